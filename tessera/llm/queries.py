@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import pii, quality_rules
 from ._tables import read_table
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of `documents`: counts and digest of the base spans, and all spans."""
+    found = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(pii.spans_text(F.col("base_spans")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each row of `documents`: measurements, base verdict, ledger and the verdict of the prose policy."""
     ledger = quality_rules.quality_ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -19,4 +26,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals", "ledger")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_quality_rules": op9_quality_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules}
