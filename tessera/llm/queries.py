@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules
+from . import packing, pii, quality_rules
 from ._tables import read_table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of each row of `documents`, packed with every source at its share of all tokens."""
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), window=4096, end_id=2, with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("queue").alias("source"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each row of `documents`: counts and digest of the base spans, and all spans."""
     found = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -26,4 +38,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals", "ledger")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules}
