@@ -160,3 +160,25 @@ def distinct_by_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     return row[keep], value[keep]
+
+
+#: Bytes between words of letters: ASCII bytes that are no letter. Bytes of non-ASCII characters count as letters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 capitals of UTF-8 bytes in lower case; every byte stays in its place."""
+    out = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    b = out[at]
+    out[at] = np.where((b >= 0x80) & (b <= 0x9E) & (b != 0x97), b + 0x20, b)
+    return out
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys in a sorted array, -1 where missing."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)

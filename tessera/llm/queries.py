@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality_rules
-from ._tables import read_table
+from . import language_id, packing, pii, quality_rules, toxicity
+from ._tables import fold_of, read_table
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of `documents`: toxicity learned from the labels outside the held-out fifth."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(fold_of("doc_id", 5) != 0)
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def tokenizer_path() -> str:
@@ -38,4 +46,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals", "ledger")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of `documents`: language learned from the rows outside the held-out quarter."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit_languages(docs.where(fold_of("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score"), "cross_entropy", F.col("language_rejected").alias("rejected"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_toxicity": op5_toxicity, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}
