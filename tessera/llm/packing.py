@@ -19,7 +19,7 @@ of any length are cut at window ends only. Other columns of the input are ignore
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +33,9 @@ from ._tables import map_arrow, small_side, written
 ROUND = 256  # rounds in which a quantum is a whole number of tokens
 QUANTA = 1 << 20  # resolution of target shares
 MAX_QUEUES = 1024  # more sources than this share queues by hash
-CACHE_WORDS = 400_000  # words whose ids a task keeps
+CACHE_WORDS = 600_000  # words whose ids a task keeps
+TAIL = "!\"#$%&()*+,-./:;=?@]^_`{|}~>"  # ASCII marks that may follow a word
+MARK = "\x01"  # stands between words that are encoded in one call
 
 
 def _token_ids(path: str, end_id: int):
@@ -45,21 +47,43 @@ def _token_ids(path: str, end_id: int):
 
     tokenizer = Tokenizer.from_file(path)
     wide = "<u4" if tokenizer.get_vocab_size() > 1 << 16 else "<u2"
+    size = int(wide[-1])
     end = np.array([end_id], wide).tobytes()
-    cache: dict[str, bytes] = {}
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+    cache: dict[str, bytes] = {"": b""}
+
+    def encode(words: Iterable[str]) -> None:
+        """Many words in one call, parted by a mark of one id that none of them holds; the others one by one."""
+        words = [w for w in words if w not in cache]
+        plain = [w for w in words if MARK not in w] if len(mark) == 1 else []
+        for at in range(0, len(plain), 2048):
+            some = plain[at : at + 2048]
+            ids = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, wide)
+            cut = np.flatnonzero(ids == mark[0])
+            raw, first, last = ids.tobytes(), (np.append(0, cut + 1) * size).tolist(), (np.append(cut, len(ids)) * size).tolist()
+            cache.update(zip(some, (raw[i:j] for i, j in zip(first, last, strict=True)), strict=True))
+        for w in words:
+            if w not in cache:
+                cache[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, wide).tobytes()
+
+    def parts(word: str) -> tuple[str, str]:
+        """What the pre-tokenizer parts in any case: a core that ends in a letter or digit, in small letters, and marks after it."""
+        core = word.rstrip(TAIL)
+        if "<|" in word or not core or not core.lower()[-1].isalnum():
+            return word, ""
+        return core.lower() if core.isascii() else core, word[len(core) :]
 
     def ids(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        new = list({w for words in split for w in words if w not in cache})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, wide).tobytes()
+            cache[""] = b""
+        new = {w: parts(w) for w in set().union(*split).difference(cache)}
+        encode({x for pair in new.values() for x in pair})
+        cache.update({w: cache[core] + cache[tail] for w, (core, tail) in new.items()})
         return [b"".join(map(cache.__getitem__, words)) + end for words in split]
 
-    return ids, int(wide[-1])
+    return ids, size
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, source: str, doc_id: str) -> DataFrame:

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extraction, language_id, packing, pii, quality_rules, toxicity
+from . import fingerprints, html_extraction, language_id, ngram_join, packing, pii, quality_rules, toxicity
 from ._tables import fold_of, read_table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of `documents`: shingles, component and class of equal sets."""
+    found = ngram_join.similarity_classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each row of `pages`: its main text."""
     found = html_extraction.extract_main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -70,4 +76,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score"), "cross_entropy", F.col("language_rejected").alias("rejected"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_html_extraction": op3_html_extraction, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_html_extraction": op3_html_extraction, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}
