@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extraction, language_id, ngram_join, packing, pii, quality_rules, toxicity
+from . import fingerprints, html_extraction, language_id, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
 from ._tables import fold_of, read_table
 
 
@@ -23,6 +23,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of `documents`: words, words removed as repeats, and the digest of the rest."""
+    found = substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each row of `documents`: toxicity learned from the labels outside the held-out fifth."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,4 +82,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score"), "cross_entropy", F.col("language_rejected").alias("rejected"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_html_extraction": op3_html_extraction, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_html_extraction": op3_html_extraction, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}
