@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extraction, language_id, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
+from . import fingerprints, html_extraction, language_id, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
 from ._tables import fold_of, read_table
 
 
@@ -17,6 +17,17 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+#: Token shares of the mixed corpus.
+TARGETS = {"good": 0.9, "poor": 0.09, "toxic": 0.01}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of `documents`: tokens, domain posteriors and the rate that mixes to TARGETS."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rated, domains, _ = mixing.mix(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), TARGETS)
+    return rated.select("doc_id", "source", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each row of `pages`: its main text."""
     found = html_extraction.extract_main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -82,4 +93,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score"), "cross_entropy", F.col("language_rejected").alias("rejected"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_html_extraction": op3_html_extraction, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_html_extraction": op3_html_extraction, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}
