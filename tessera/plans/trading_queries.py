@@ -122,7 +122,7 @@ def split_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = _fills(spark, sf_dir).groupBy(F.col("day").alias("date")).agg(F.sum("quantity").alias("remaining"), F.max("price").alias("price"))
-    credits = _fills(spark, sf_dir).where("symbol = '5'").select(F.col("day").alias("date"), F.round(F.col("price") - 2000, 2).alias("c"))
+    credits = _fills(spark, sf_dir).where("symbol = '5'").select(F.col("day").alias("date"), F.round(F.col("price") - 2000 + 1e-6, 2).alias("c"))
     return rounded(ex.equity_correction(days, days, credits, F.lit(2.0)).withColumn("correction", F.col("correction") + 1e-6), "correction", digits=2)
 
 
@@ -180,7 +180,7 @@ ORACLE_SQL = {
     "splits_unresolved": f"{_POS} SELECT symbol, entry, price FROM pos WHERE symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND (NOT coalesce(entry > 0 AND price > 0, false) OR entry / price > 2.9 / 3)",
     "splits_corrected": f"{_POS}, c AS (SELECT *, coalesce(symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND entry / price > 2.9 / 3, false) AS corrected FROM pos) SELECT symbol, round(CASE WHEN corrected THEN held * 2.9 ELSE held END, 3) AS held, round(CASE WHEN corrected THEN entry / 2.9 ELSE entry END, 3) AS entry, corrected FROM c",
     "split_credits": f"{_FILLS}, b AS (SELECT *, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY ts, id) AS bal FROM fills WHERE ts >= TIMESTAMP '1997-01-01'), d AS (SELECT *, -least(0, min(bal) OVER (PARTITION BY symbol ORDER BY ts, id)) AS deep FROM b), u AS (SELECT *, deep - coalesce(lag(deep) OVER (PARTITION BY symbol ORDER BY ts, id), 0) AS un FROM d) SELECT symbol, sum(un) AS uncovered, round(sum(2 * un * price), 2) AS credit, count(*) AS n FROM u GROUP BY 1",
-    "split_equity": f"{_FILLS}, h AS (SELECT day AS date, sum(quantity) AS remaining, max(price) AS price FROM fills GROUP BY 1), c AS (SELECT day AS date, sum(round(price - 2000, 2)) AS c FROM fills WHERE symbol = '5' GROUP BY 1) SELECT date, round(remaining * price + greatest(0, sum(coalesce(c, 0)) OVER (ORDER BY date)) + 1e-6, 2) AS correction FROM h LEFT JOIN c USING (date)",
+    "split_equity": f"{_FILLS}, h AS (SELECT day AS date, sum(quantity) AS remaining, max(price) AS price FROM fills GROUP BY 1), c AS (SELECT day AS date, sum(round(price - 2000 + 1e-6, 2)) AS c FROM fills WHERE symbol = '5' GROUP BY 1) SELECT date, round(remaining * price + greatest(0, sum(coalesce(c, 0)) OVER (ORDER BY date)) + 1e-6, 2) AS correction FROM h LEFT JOIN c USING (date)",
     "order_intents": "SELECT count(*) AS n, count(DISTINCT (l_orderkey * 10 + l_linenumber, l_suppkey, l_returnflag = 'R')) AS ids, 24 AS digits FROM lineitem",
     "stream_day_totals": f"SELECT {_NY.format('ts')} AS day, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1",
     "stream_order_totals": f"SELECT {_NY.format('ts')} AS day, user_id AS order_id, round(max(value), 6) AS value FROM events GROUP BY 1, 2",

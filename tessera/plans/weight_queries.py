@@ -1,4 +1,4 @@
-"""Queries on weight books, covariance, risk and performance."""
+"""Queries on weight books, covariance, risk and performance. Books are persisted, since several queries read them."""
 
 from __future__ import annotations
 
@@ -21,14 +21,14 @@ def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top twelve of every fourth week."""
     scored = rounded(fa.composite(fa.price_factors(bars(spark, sf_dir), WEEKLY)), "score", digits=5)
     some = scored.where(F.pmod(F.floor(F.datediff("date", F.lit("1995-01-02")) / 7), F.lit(4)) == 0)
-    return fa.top_by_score(some, 12).select("date", "symbol", "sector", "score")
+    return fa.top_by_score(some, 12).select("date", "symbol", "sector", "score").persist()
 
 
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _top(spark, sf_dir)
     gross = we.feasible_gross(top, CAP, SECTOR_CAP)
     df = we.score_weights(top.join(gross, "date"), F.col("gross"))
-    return rounded(we.sector_capped(we.within_bounds(df, LOW, CAP), SECTOR_CAP, CAP), "weight").select("date", "symbol", "sector", "score", "weight")
+    return rounded(we.sector_capped(we.within_bounds(df, LOW, CAP), SECTOR_CAP, CAP), "weight").select("date", "symbol", "sector", "score", "weight").persist()
 
 
 def weights_gross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +72,13 @@ def weights_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(we.sector_weights(_book(spark, sf_dir), 0.4), "weight", digits=5)
+    return rounded(we.sector_weights(_book(spark, sf_dir), 0.4).withColumn("weight", F.col("weight") + 1e-9), "weight", digits=5)
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = _book(spark, sf_dir).where("date >= DATE'1998-01-01'").select("date", "symbol", "weight")
     returns = rounded(fa.with_returns(bars(spark, sf_dir)).select("symbol", "date", "ret"), "ret")
-    return we.moments(returns, book, 26)
+    return we.moments(returns, book, 26).persist()
 
 
 def covariance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,7 @@ ORACLE_SQL = {
     "weights_turnover": f"{_BOOK}, {_DENSE} SELECT * FROM tv",
     "weights_turnover_capped": f"{_PLAIN}, bk AS (SELECT date, symbol, round(weight, 5) AS weight FROM sw), k AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS k FROM (SELECT DISTINCT date FROM bk)), o AS (SELECT symbol, weight FROM bk JOIN k USING (date) WHERE k = 2), n AS (SELECT symbol, weight FROM bk JOIN k USING (date) WHERE k = 1), j AS (SELECT symbol, coalesce(o.weight, 0) AS old, coalesce(n.weight, 0) AS new FROM o FULL JOIN n USING (symbol)), s AS (SELECT *, sum(abs(new - old)) OVER () AS l1, sum(old) OVER () AS g0, sum(new) OVER () AS g1 FROM j), f AS (SELECT *, g0 <= 0 OR (g0 > 1 AND g1 <= 1) OR l1 <= 0.4 AS free FROM s), w AS (SELECT symbol, free, CASE WHEN free THEN new ELSE old + 0.4 / l1 * (new - old) END AS weight FROM f) SELECT symbol, round(weight, 5) AS weight FROM w WHERE weight >= 0.0025 OR (free AND weight > 0)",
     "weights_concentration": f"{_BOOK} SELECT date, round(sum(weight * weight), 5) AS hhi, round(sum(weight), 5) AS gross, round(1 / sum(weight * weight), 5) AS effective_n FROM book GROUP BY date",
-    "weights_sectors": f"{_BOOK} SELECT date, sector, round(sum(weight), 5) AS weight, sum(weight) > 0.4 AS breach FROM book GROUP BY 1, 2",
+    "weights_sectors": f"{_BOOK} SELECT date, sector, round(sum(weight) + 1e-9, 5) AS weight, sum(weight) > 0.4 AS breach FROM book GROUP BY 1, 2",
     "covariance_sample": f"{_SAMP}, {_COV} SELECT date, a, b, round(cov, 5) AS cov FROM cov",
     "covariance_decayed": f"{_SAMP}, {_WHOLE}, s AS (SELECT date, a, b, sum(w) AS w, sum(w * w) AS ww, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * y) AS sxy FROM (SELECT *, 0.94 ** age AS w FROM pr) GROUP BY 1, 2, 3) SELECT date, a, b, round((sxy / w - sx * sy / (w * w)) * (w * w) / nullif(w * w - ww, 0), 5) AS cov FROM s",
     "covariance_shrunk": f"{_SAMP}, {_WHOLE}, c AS (SELECT date, a, b, x - avg(x) OVER v AS x, y - avg(y) OVER v AS y FROM pr WINDOW v AS (PARTITION BY date, a, b)), s AS (SELECT date, a, b, count(*) AS t, avg(x * y) AS s, avg((x * y) ** 2) AS q FROM c GROUP BY 1, 2, 3), m AS (SELECT *, sqrt(count(*) OVER (PARTITION BY date)) AS n, sum(CASE WHEN a = b THEN s END) OVER (PARTITION BY date) / sqrt(count(*) OVER (PARTITION BY date)) AS mu FROM s), g AS (SELECT *, CASE WHEN a = b THEN mu ELSE 0 END AS goal FROM m), d AS (SELECT *, sum((s - goal) ** 2) OVER (PARTITION BY date) / n AS delta, sum(q - s * s) OVER (PARTITION BY date) / n AS phi FROM g), k AS (SELECT *, greatest(0, least(1, coalesce(phi / nullif(delta * t, 0), 1))) AS k FROM d) SELECT date, a, b, round(k * goal + (1 - k) * s, 5) AS cov FROM k",
