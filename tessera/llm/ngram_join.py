@@ -8,7 +8,7 @@ Tokens are 64-bit hashes of shingles. The steps, each a Spark job over what the
    least ceil(0.4 n) tokens in hash order at least ceil(0.15 t n) must occur in another document. Tasks
    send these prefixes to buckets of the hash range; a token that repeats within a task's chunk is counted there and sent once, so
    that no frequent token piles up. Only documents with enough shared tokens go on.
-3. Index: tokens are ordered with those of frequent classes (more than `frequent` documents) last. If the
+3. Index: tokens that only one set has bound the sizes of its partners, and sets that can have none leave. Tokens are ordered with those of frequent classes (more than `frequent` sets) last. If the
    least shared token is rare, both sets hold it in their first d + 1 tokens: single tokens index these.
    If it is frequent, all shared tokens are, and the two least are in the first d + 2: pairs of
    tokens index these in sets of up to `short` tokens (longer sets, whose pairs would be too many, keep single tokens).
@@ -115,12 +115,31 @@ def _shared_prefixes(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
 
 def _token_lists(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, tokens, bits): the token set, and a bitmap of it with 4 to 8 bits a token (a power of two, so that it folds)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches, "__t"):
             row, token = _tokens(find_words(data, offsets, lower=True), batch.num_rows, k)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), ragged(signed(token), np.bincount(row, minlength=batch.num_rows))], ["doc_id", "tokens"])
-
-    return map_arrow(docs, run, "doc_id long, tokens array<long>")
+            n = np.bincount(row, minlength=batch.num_rows)
+            maps, end = [], np.cumsum(n)
+            for i, j in zip(end - n, end, strict=True):
+                bits = np.zeros(max(64, 1 << int(4 * (j - i) - 1).bit_length()) if j > i else 64, bool)
+                bits[(token[i:j] & U64(len(bits) - 1)).astype(np.int64)] = True
+                maps.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), ragged(signed(token), n), pa.array(maps, pa.binary())], ["doc_id", "tokens", "bits"])
+
+    return map_arrow(docs, run, "doc_id long, tokens array<long>, bits binary")
+
+
+def _differing_bits(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the larger folded to the smaller: no more than the sets' differing tokens."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] | a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _signatures(sets: DataFrame, frequent: np.ndarray, loose: float, short: int) -> DataFrame:
@@ -156,12 +175,26 @@ def _signatures(sets: DataFrame, frequent: np.ndarray, loose: float, short: int)
     return map_arrow(sets, run, "signature long, doc_id long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+def _linked(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least percent / 100.
+
+    Sizes and bitmaps rule out most pairs without reading their tokens, and none that is similar.
+    """
+    side = lambda key, size, bits: sketches.select(F.col("doc_id").alias(key), F.col("n").alias(size), F.col("bits").alias(bits))
+    drawn = pairs.join(side("a", "na", "xa"), "a").where("na IS NOT NULL").join(side("b", "nb", "xb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column("na").to_numpy(zero_copy_only=False) + batch.column("nb").to_numpy(zero_copy_only=False)) * (100 - percent) // (100 + percent)
+            keep = [_differing_bits(x, y) <= m for x, y, m in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), most.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left_over = written(map_arrow(drawn, near, "a long, b long"), "near-pairs")
+    some = small_side(left_over)
+    x = sets.join(some, sets["doc_id"] == some["a"]).select("a", "b", F.col("tokens").alias("x"))
+    y = sets.join(some, sets["doc_id"] == some["b"]).select("a", "b", F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+    return x.join(y, ["a", "b"]).where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
 def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, frequent: int = 64, short: int = 48, text: str = "text", doc_id: str = "doc_id", star_rounds: int = 2) -> DataFrame:
@@ -177,46 +210,52 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * ((REACH - loose) * percent / 100) - 1e-9))
     alive = written(classes.join(shared, F.col("class_id") == F.col("doc_id")).where(F.col("shared") >= least).select(F.col("class_id").alias("__id")).distinct(), "candidates")
     sets = written(_token_lists(plain.join(small_side(alive), "__id", "left_semi"), k), "tokens")
-
-    # Frequent classes. The bound on the list only moves the order of tokens, so it can rise without losing a link.
-    token_counts = sets.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > frequent)
-    token_counts = written(token_counts, "frequent")
-    limit = frequent
-    while token_counts.where(F.col("count") > limit).count() > BROADCAST_ROWS:
+    sketches = written(sets.select("doc_id", F.size("tokens").cast("long").alias("n"), "bits"), "sketches")
+
+    # One count of all tokens gives both the tokens of frequent classes and how many tokens each set has to itself.
+    # Tokens of its own bound a set's overlaps, so n and `own` bound the size of its partners: `most`.
+    counted = sets.select("doc_id", F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where((F.col("c") == 1) | (F.col("c") > frequent))
+    counted = written(counted.groupBy((F.col("c") == 1).alias("own"), F.when(F.col("c") == 1, F.col("d")).otherwise(F.col("t")).alias("key")).agg(F.sum("c").alias("n")), "token-counts")
+    # The bound on the list only moves the order of tokens, so it can rise without losing a link.
+    often, limit = counted.where("NOT own"), frequent
+    while often.where(F.col("n") > limit).count() > BROADCAST_ROWS:
         limit *= 2
-    often = np.sort(np.array([r["t"] for r in token_counts.where(F.col("count") > limit).select("t").toLocalIterator()], np.int64).view(U64))
+    often = np.sort(np.array([r["key"] for r in often.where(F.col("n") > limit).select("key").toLocalIterator()], np.int64).view(U64))
+    own = counted.where("own").select(F.col("key").alias("doc_id"), F.col("n").alias("alone"))
+    sizes = sketches.select("doc_id", "n").join(own, "doc_id", "left").select("doc_id", "n", F.floor((F.col("n") - F.coalesce("alone", F.lit(0))) * (100 + percent) / percent + 1e-9).alias("sum")).select("doc_id", "n", (F.col("sum") - F.col("n")).alias("most"))
+    sizes = written(sizes.where(F.col("most") * 100 >= F.col("n") * percent), "sizes")
 
-    postings = _signatures(sets, often, loose, short)
-    index = written(postings, "postings")
+    postings = _signatures(sets.select("doc_id", "tokens"), often, loose, short)
+    index = written(postings.join(small_side(sizes), "doc_id"), "postings")
     met = index.groupBy("signature").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     index = written(index.join(met, "signature", "left_semi"), "index")
+    band = lambda c: F.floor(F.ln(c) / math.log(1.1)).cast("int")  # noqa: E731  sizes within a tenth
 
     links: list[DataFrame] = []
     labels = None
     for step in range(star_rounds + 1):
         if labels is None:
-            own = index.withColumn("component", F.col("doc_id"))
+            held = index.withColumn("component", F.col("doc_id"))
         else:
-            own = index.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            held = index.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         # Buckets that still hold more than one component.
-        own = written(own, "labelled")
-        split = own.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(step))).alias("pivot"), F.min("doc_id").alias("least")).where("lo <> hi")
-        pivot = F.col("least") if step == 0 else F.col("pivot")
+        held = written(held, "labelled")
+        who = F.struct("doc_id", "n", "most", "component")
+        pivot = F.min(who) if step == 0 else F.min_by(who, F.xxhash64("doc_id", F.lit(step)))
+        split = held.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p")).where("lo <> hi")
         if step < star_rounds:
-            named = own.join(split.select("signature", pivot.alias("p")), "signature").where("p <> doc_id")
-            # One comparison for each document: with the first it meets.
-            if labels is None:
-                pairs = named.groupBy("doc_id").agg(F.min("p").alias("p"))
-            else:
-                other = labels.select(F.col("node").alias("p"), F.col("component").alias("pc"))
-                pairs = named.join(other, "p", "left").where(F.coalesce("pc", "p") != F.col("component")).groupBy("doc_id").agg(F.min("p").alias("p"))
+            # Two comparisons for each document whose component the pivot lacks: with the first and the last it meets.
+            named = held.join(split.select("signature", "p"), "signature").where("p.component <> component AND p.n <= most AND n <= p.most").select("doc_id", F.col("p.doc_id").alias("p"))
+            pairs = named.groupBy("doc_id").agg(F.array(F.min("p"), F.max("p")).alias("ps")).select("doc_id", F.explode("ps").alias("p"))
             pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
         else:
-            # The rest in full: pairs of documents of different components in one bucket.
-            some = own.join(split.select("signature"), "signature", "left_semi").select("signature", "doc_id", "component")
-            left, right = some.select("signature", F.col("doc_id").alias("a"), F.col("component").alias("ca")), some.select("signature", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "signature").where("a < b AND ca <> cb").select("a", "b").distinct()
-        links.append(written(_linked(pairs, sets, percent), "links"))
+            # The rest in full: pairs of documents of different components that share a bucket, each looking only into bands of sizes it can link with.
+            some = held.join(split.select("signature"), "signature", "left_semi")
+            left = some.select("signature", F.explode(F.sequence(band(F.ceil(F.col("n") * percent / 100)), band(F.greatest("most", F.ceil(F.col("n") * percent / 100))))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "most", "component")])
+            right = some.select("signature", band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "most", "component")])
+            met_ = left.join(right, ["signature", "band"]).where("doc_id_a < doc_id_b AND component_a <> component_b AND n_b <= most_a AND n_a <= most_b")
+            pairs = met_.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+        links.append(written(_linked(pairs, sets, sketches, percent), "links"))
         edges = links[0]
         for more in links[1:]:
             edges = edges.union(more)
