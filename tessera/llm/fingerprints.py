@@ -104,10 +104,10 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(as_text(_of(batch.column("__t"))))], [*names, into])
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(as_text(_of(batch.column("__tessera_text"))))], [*names, into])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{into}` string"])
-    return map_arrow(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__t")), run, schema)
+    return map_arrow(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")), run, schema)
 
 
 def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
@@ -120,9 +120,9 @@ def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", blocks
     blocks = blocks or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     cuts = docs.agg(F.percentile_approx(F.col(order).cast("double"), [i / blocks for i in range(1, blocks)], 10_000).alias("p")).first()["p"] or []
-    ranges = Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="__id", outputCol="__b", handleInvalid="keep") if cuts else None
-    dealt = docs.withColumn("__id", F.col(order).cast("double"))
-    dealt = (ranges.transform(dealt) if ranges else dealt.withColumn("__b", F.lit(0.0))).withColumn("__b", F.when(F.col("__id").isNull(), -1).otherwise(F.col("__b")).cast("int")).drop("__id")
+    ranges = Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="__tessera_id", outputCol="__b", handleInvalid="keep") if cuts else None
+    dealt = docs.withColumn("__tessera_id", F.col(order).cast("double"))
+    dealt = (ranges.transform(dealt) if ranges else dealt.withColumn("__b", F.lit(0.0))).withColumn("__b", F.when(F.col("__tessera_id").isNull(), -1).otherwise(F.col("__b")).cast("int")).drop("__tessera_id")
     # The first row of each range: its largest id, then the least of the texts with that id.
     top = dealt.groupBy(F.col("__b").alias("__c")).agg(F.max(order).alias("__top"))
     heads = dealt.select("__b", F.col(order).alias("__own"), F.col(text).alias("__head")).join(F.broadcast(top), F.expr("__b = __c AND __own <=> __top"), "left_semi")

@@ -63,14 +63,14 @@ def _posteriors(model: DomainModel, data: np.ndarray, offsets: np.ndarray) -> np
 
 def fit_domains(docs: DataFrame, labels: DataFrame, *, max_labels: int = 6000, steps: int = 300, text: str = "text", doc_id: str = "doc_id", domain: str = "domain") -> DomainModel | None:
     """Trains on at most about `max_labels` labelled documents; None without labels."""
-    one = labels.where(F.col(doc_id).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(F.col(domain).cast("string")).alias("__d"))
+    one = labels.where(F.col(doc_id).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(doc_id).alias("__tessera_id")).agg(F.min(F.col(domain).cast("string")).alias("__d"))
     share = min(1.0, max_labels / max(1, one.count()))
-    some = one.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_labels)
-    picked = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t")).join(F.broadcast(some), "__id").select("__d", "__t")
+    some = one.where(F.pmod(F.xxhash64("__tessera_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_labels)
+    picked = docs.select(F.col(doc_id).alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).join(F.broadcast(some), "__tessera_id").select("__d", "__tessera_text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, rows, base = [], [], 0
-        for batch, data, offsets in chunks(batches, "__t"):
+        for batch, data, offsets in chunks(batches, "__tessera_text"):
             row, bucket, weight, measures = _measure(data, offsets)
             names += batch.column("__d").to_pylist()
             rows.append((row + base, bucket, weight, measures))
@@ -109,13 +109,13 @@ def domain_posteriors(docs: DataFrame, model: DomainModel | None, text: str = "t
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "__t"):
+        for batch, data, offsets in chunks(batches, "__tessera_text"):
             n = np.diff(find_words(data, offsets).first)
             p = _posteriors(model, data, offsets) if model else np.ones((batch.num_rows, 1))
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], [*names, "n_tokens", "posterior"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_tokens long, posterior array<double>"])
-    return map_arrow(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__t")), run, schema)
+    return map_arrow(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")), run, schema)
 
 
 def _rate(errors: list[list[float]], pull: float) -> Column:

@@ -56,7 +56,7 @@ def shingle_sets(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, n, key1, key2): size and hash of each document's token set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "__t"):
+        for batch, data, offsets in chunks(batches, "__tessera_text"):
             row, token = _tokens(find_words(data, offsets, lower=True), batch.num_rows, k)
             n = np.bincount(row, minlength=batch.num_rows)
             keys = []
@@ -64,23 +64,23 @@ def shingle_sets(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
                 sums = np.concatenate([[U64(0)], np.cumsum(mix(token ^ U64(salt)))])
                 end = np.cumsum(n)
                 keys.append(pa.array(signed(mix(sums[end] - sums[end - n] + n.astype(U64)))))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(n), *keys], ["doc_id", "n", "key1", "key2"])
+            yield pa.RecordBatch.from_arrays([batch.column("__tessera_id"), pa.array(n), *keys], ["doc_id", "n", "key1", "key2"])
 
-    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t")), run, "doc_id long, n long, key1 long, key2 long")
+    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")), run, "doc_id long, n long, key1 long, key2 long")
 
 
 def _shared_prefixes(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """(doc_id, shared): how many tokens of its extended prefix occur in another document (copies included)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "__t"):
+        for batch, data, offsets in chunks(batches, "__tessera_text"):
             row, token = _tokens(find_words(data, offsets, lower=True), batch.num_rows, k)
             n = np.bincount(row, minlength=batch.num_rows)
             rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             keep = rank < np.ceil(REACH * n)[row]
             row, token = row[keep], token[keep]
             value, first, inverse, count = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
-            ids = batch.column("__id").to_numpy(zero_copy_only=False)
+            ids = batch.column("__tessera_id").to_numpy(zero_copy_only=False)
             here = np.bincount(row, (count > 1)[inverse], batch.num_rows).astype(np.int64)
             # Tokens that repeat here are known to be shared; one sign of them goes out, without a document.
             doc = np.where(count > 1, -1, ids[row[first]])
@@ -118,7 +118,7 @@ def _token_lists(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, tokens, bits): the token set, and a bitmap of it with 4 to 8 bits a token (a power of two, so that it folds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "__t"):
+        for batch, data, offsets in chunks(batches, "__tessera_text"):
             row, token = _tokens(find_words(data, offsets, lower=True), batch.num_rows, k)
             n = np.bincount(row, minlength=batch.num_rows)
             maps, end = [], np.cumsum(n)
@@ -126,7 +126,7 @@ def _token_lists(docs: DataFrame, k: int) -> DataFrame:
                 bits = np.zeros(max(64, 1 << int(4 * (j - i) - 1).bit_length()) if j > i else 64, bool)
                 bits[(token[i:j] & U64(len(bits) - 1)).astype(np.int64)] = True
                 maps.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), ragged(signed(token), n), pa.array(maps, pa.binary())], ["doc_id", "tokens", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("__tessera_id"), ragged(signed(token), n), pa.array(maps, pa.binary())], ["doc_id", "tokens", "bits"])
 
     return map_arrow(docs, run, "doc_id long, tokens array<long>, bits binary")
 
@@ -201,15 +201,15 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
     """(doc_id, n_shingles, component_id, class_id) for each row: component_id is the least id reachable by links, class_id the least id with the same set."""
     spark = docs.sparkSession
     loose = 1 - percent / 100
-    plain = docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text"))
     all_sets = written(shingle_sets(docs, k, text, doc_id), "sets")
     classes = all_sets.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"))
 
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = _shared_prefixes(plain.where(F.col("__id").isNotNull()), k, buckets)
+    shared = _shared_prefixes(plain.where(F.col("__tessera_id").isNotNull()), k, buckets)
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * ((REACH - loose) * percent / 100) - 1e-9))
-    alive = written(classes.join(shared, F.col("class_id") == F.col("doc_id")).where(F.col("shared") >= least).select(F.col("class_id").alias("__id")).distinct(), "candidates")
-    sets = written(_token_lists(plain.join(small_side(alive), "__id", "left_semi"), k), "tokens")
+    alive = written(classes.join(shared, F.col("class_id") == F.col("doc_id")).where(F.col("shared") >= least).select(F.col("class_id").alias("__tessera_id")).distinct(), "candidates")
+    sets = written(_token_lists(plain.join(small_side(alive), "__tessera_id", "left_semi"), k), "tokens")
     sketches = written(sets.select("doc_id", F.size("tokens").cast("long").alias("n"), "bits"), "sketches")
 
     # One count of all tokens gives both the tokens of frequent classes and how many tokens each set has to itself.

@@ -121,8 +121,8 @@ def _judged(kind: str, spans: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with columns base_spans and more_spans: arrays of (kind, start, end, votes, bits), sorted by kind as listed, then start."""
-    df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    t = F.col("__t")
+    df = docs.withColumn("__tessera_text", F.coalesce(F.col(text), F.lit("")))
+    t = F.col("__tessera_text")
     digits, at, plus = t.rlike("[0-9]"), F.instr(t, "@") > 0, F.instr(t, "+") > 0
     cheap = {"email": (_EMAIL, at), "ip": (_IP, digits & t.rlike(r"[0-9]\.[0-9]")), "card": (_CARD, digits & t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")), "phone": (_PHONE, plus), "secret": (_SECRET, digits & t.rlike(r"[A-Za-z0-9_-]{20}")), "local_phone": (_LOCAL, digits & t.rlike("[0-9]{3}[.-][0-9]{4}"))}
     none = F.array().cast("array<string>")
@@ -133,7 +133,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     more = F.concat(*[_judged(k, F.col(f"__{k}")) for k in ADDED_KINDS])
     df = df.withColumn("base_spans", base).withColumn("more_spans", more)
     free = F.filter("more_spans", lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return df.withColumn("more_spans", free).drop("__t", *[f"__{x}{k}" for k in cheap for x in ("", "m_", "p_")])
+    return df.withColumn("more_spans", free).drop("__tessera_text", *[f"__{x}{k}" for k in cheap for x in ("", "m_", "p_")])
 
 
 @dataclass(frozen=True)

@@ -58,7 +58,7 @@ DEFAULT_POLICY = Policy("prose", 2, RULES)
 
 def _measured(df: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__t", t).withColumn("__w", F.array_remove(F.split(F.col("__t"), r"[\x20\x09-\x0D]+"), ""))
+    df = df.withColumn("__tessera_text", t).withColumn("__w", F.array_remove(F.split(F.col("__tessera_text"), r"[\x20\x09-\x0D]+"), ""))
     # One long per 3-word window: the upper bits are its hash, the lower `b` bits its place, so that
     # sorting longs brings equal windows together. b is the least that holds the word count.
     b = F.length(F.bin(F.size("__w").cast("long")))
@@ -70,8 +70,8 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("__p", F.sort_array(F.array_distinct(F.transform(F.flatten(F.filter(pair, lambda p: p.isNotNull())), lambda x: x.bitwiseAND(F.col("__low"))))))
     steps = F.zip_with(F.slice("__p", 1, F.greatest(F.size("__p") - 1, F.lit(0))), F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(0))), lambda x, y: F.least(y - x, F.lit(3).cast("long")))
     covered = F.when(F.size("__p") > 0, F.aggregate(steps, F.lit(3).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
-    lines = F.filter(F.split(F.col("__t"), "\n"), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
-    solid = F.translate(F.col("__t"), BLANK, "")
+    lines = F.filter(F.split(F.col("__tessera_text"), "\n"), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
+    solid = F.translate(F.col("__tessera_text"), BLANK, "")
     df = df.withColumn("__l", lines).withColumn("__c", solid)
     return df.withColumns(
         {
@@ -83,7 +83,7 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
             "n_repeat_words": covered,
             "n_capitals": (F.length("__c") - F.length(F.regexp_replace("__c", r"\p{Lu}", ""))).cast("long"),
         }
-    ).drop("__t", "__w", "__low", "__h", "__s", "__p", "__l", "__c")
+    ).drop("__tessera_text", "__w", "__low", "__h", "__s", "__p", "__l", "__c")
 
 
 def rule_columns(limits: Limits = Limits()) -> dict[str, Column]:

@@ -56,13 +56,13 @@ def _seeds(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, rid, anchor), distinct within a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "__t"):
+        for batch, data, offsets in chunks(batches, "__tessera_text"):
             words = find_words(data, offsets)
             start, anchor = _anchors(words, window)
             row, anchor = distinct_by_row(words.row[start], anchor)
             if len(row):
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("__id").take(take), batch.column("__rid").take(take), pa.array(signed(anchor))], ["doc_id", "rid", "anchor"])
+                yield pa.RecordBatch.from_arrays([batch.column("__tessera_id").take(take), batch.column("__tessera_rid").take(take), pa.array(signed(anchor))], ["doc_id", "rid", "anchor"])
 
     return map_arrow(docs, run, "doc_id long, rid long, anchor long")
 
@@ -82,7 +82,7 @@ def _intervals(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(rid, doc_id, first, last): starts of windows that occur in a document with a smaller id."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "__t"):
+        for batch, data, offsets in chunks(batches, "__tessera_text"):
             words = find_words(data, offsets)
             start, anchor = _anchors(words, window)
             shared = batch.column("__anchors")
@@ -99,7 +99,7 @@ def _intervals(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 continue
             at, value = windows(words, window)
             value = value[np.searchsorted(at, start)]
-            ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__id", "__rid"))
+            ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__tessera_id", "__tessera_rid"))
             doc, rid, pos = ids[row], rids[row], start - words.first[row]
             order = np.lexsort((pos, rid, doc, value))
             value, doc, rid, pos, anchor = value[order], doc[order], rid[order], pos[order], anchor[order]
@@ -147,28 +147,28 @@ def _intervals(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 def dedup_substrings(docs: DataFrame, *, window: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` with n_words, n_removed, repeats (word intervals [start, end) that were removed) and kept_text (words joined by a space)."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t")).where(F.col("__id").isNotNull())
-    plain = plain.withColumn("__rid", F.xxhash64("__id", "__t"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).where(F.col("__tessera_id").isNotNull())
+    plain = plain.withColumn("__tessera_rid", F.xxhash64("__tessera_id", "__tessera_text"))
     seeds = written(_seeds(plain, window), "seeds")
     met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
-    shared = written(seeds.join(met, "anchor").groupBy(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid")).agg(F.collect_set("anchor").alias("__anchors")), "shared-anchors")
-    with_anchors = plain.join(small_side(shared, most=LIST_ROWS), ["__id", "__rid"]).select("__id", "__rid", "__t", "__anchors")
+    shared = written(seeds.join(met, "anchor").groupBy(F.col("doc_id").alias("__tessera_id"), F.col("rid").alias("__tessera_rid")).agg(F.collect_set("anchor").alias("__anchors")), "shared-anchors")
+    with_anchors = plain.join(small_side(shared, most=LIST_ROWS), ["__tessera_id", "__tessera_rid"]).select("__tessera_id", "__tessera_rid", "__tessera_text", "__anchors")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = _intervals(with_anchors, window, buckets).groupBy(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"))
+    spans = _intervals(with_anchors, window, buckets).groupBy(F.col("doc_id").alias("__tessera_id"), F.col("rid").alias("__tessera_rid"))
     spans = written(spans.agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("__s")), "repeats")
 
     new = ("n_words", "n_removed", "repeats", "kept_text")
     keep = [f for f in docs.schema.fields if f.name != text and f.name not in new]
     names = [f.name for f in keep]
-    cased = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__t"), F.col(doc_id).cast("long").alias("__id")).withColumn("__rid", F.xxhash64("__id", "__t"))
-    joined = cased.join(small_side(spans, most=LIST_ROWS), ["__id", "__rid"], "left").select(*names, "__t", "__s")
+    cased = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__tessera_text"), F.col(doc_id).cast("long").alias("__tessera_id")).withColumn("__tessera_rid", F.xxhash64("__tessera_id", "__tessera_text"))
+    joined = cased.join(small_side(spans, most=LIST_ROWS), ["__tessera_id", "__tessera_rid"], "left").select(*names, "__tessera_text", "__s")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 n, removed, repeats, kept = [], [], [], []
-                for t, s in zip(batch.column("__t").to_pylist(), batch.column("__s").to_pylist(), strict=True):
+                for t, s in zip(batch.column("__tessera_text").to_pylist(), batch.column("__s").to_pylist(), strict=True):
                     words = t.encode().split()  # bytes split at the same six characters
                     merged: list[list[int]] = []
                     for a, b in sorted(zip(s[::2], s[1::2], strict=True)) if s else ():

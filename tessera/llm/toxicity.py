@@ -117,14 +117,14 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], min_docs: int, s
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labels: int = 8000, min_docs: int = 5, steps: int = 300, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> ToxicityModel | None:
     """Trains on at most about `max_labels` labelled rows; None if they do not hold both labels."""
-    one = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("__y"))
+    one = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__tessera_id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("__y"))
     share = max_labels / max(1, one.count())
     # Bounded by max_labels, so the broadcast is.
-    some = one.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).limit(max_labels)
-    picked = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t")).join(F.broadcast(some), "__id").select("__y", "__t")
+    some = one.where(F.pmod(F.xxhash64("__tessera_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).limit(max_labels)
+    picked = docs.select(F.col(doc_id).alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).join(F.broadcast(some), "__tessera_id").select("__y", "__tessera_text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.asarray(b.column("__y").to_numpy(zero_copy_only=False), float), data.copy(), offsets.copy()) for b, data, offsets in chunks(batches, "__t")]
+        rows = [(np.asarray(b.column("__y").to_numpy(zero_copy_only=False), float), data.copy(), offsets.copy()) for b, data, offsets in chunks(batches, "__tessera_text")]
         model = _fit(rows, min_docs, steps)
         if model is not None:
             yield pa.RecordBatch.from_arrays([pa.array([model.features.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["features", "weights", "bias"])
@@ -137,11 +137,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "te
     """`docs` without its text, with `toxicity` (0 to 1), and if asked `offending`: the sentences of at least 0.5, in code points."""
     keep = [f for f in docs.schema.fields if f.name not in (text, "toxicity", "offending")]
     names = [f.name for f in keep]
-    plain = docs.select(*[F.col(n) for n in names], F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    plain = docs.select(*[F.col(n) for n in names], F.coalesce(F.col(text), F.lit("")).alias("__tessera_text"))
     features, weights, bias = (model.features, model.weights, model.bias) if model else (np.zeros(0, U64), np.zeros(0), -50.0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "__t"):
+        for batch, data, offsets in chunks(batches, "__tessera_text"):
             words = find_words(lowered(data), offsets, NO_LETTER)
             sentence, first = _sentences(data, words)
             z = np.full(len(first), bias)
