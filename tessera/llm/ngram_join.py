@@ -8,10 +8,13 @@ Tokens are 64-bit hashes of shingles. The steps, each a Spark job over what the
    least ceil(0.4 n) tokens in hash order at least ceil(0.15 t n) must occur in another document. Tasks
    send these prefixes to buckets of the hash range; a token that repeats within a task's chunk is counted there and sent once, so
    that no frequent token piles up. Only documents with enough shared tokens go on.
-3. Index: tokens that only one set has bound the sizes of its partners, and sets that can have none leave. Tokens are ordered with those of frequent classes (more than `frequent` sets) last. If the
+3. Index: tokens that only one set has bound the sizes of its partners, and sets that can have none leave. Tokens are ordered by
+   class: the rare (up to `frequent` sets) first, then each doubling of the count, within a class by hash. If the
    least shared token is rare, both sets hold it in their first d + 1 tokens: single tokens index these.
    If it is frequent, all shared tokens are, and the two least are in the first d + 2: pairs of
    tokens index these in sets of up to `short` tokens (longer sets, whose pairs would be too many, keep single tokens).
+   Sets whose least shared token has place i in one of them share at most n - i tokens, so each entry of the index
+   bounds the size of the partners met there. Edits of a much copied text are rarer than the text, come first, and so count against it.
 4. Verification without all pairs: each document is compared with the first of a bucket, what links is
    contracted, and further comparisons are made only between different components that share a bucket,
    until every bucket's pairs of components have been compared in full. No cap applies, so no link between different texts is lost.
@@ -142,37 +145,39 @@ def _differing_bits(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _signatures(sets: DataFrame, frequent: np.ndarray, loose: float, short: int) -> DataFrame:
-    """(signature, doc_id): what the index holds of each set."""
+def _signatures(sets: DataFrame, often: np.ndarray, classes: np.ndarray, percent: int, short: int) -> DataFrame:
+    """(signature, doc_id, room): what the index holds of each set; sets that meet there for the first time are similar only if neither has more than the other's `room` tokens."""
+    loose = 1 - percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("tokens")
             flat = column.flatten().to_numpy(zero_copy_only=False).view(U64)
             n = np.diff(column.offsets.to_numpy())
-            often = find(frequent, flat) >= 0
-            out_s, out_d, at = [], [], 0
+            at = find(often, flat)
+            level = np.where(at >= 0, classes[at], 0) if len(often) else np.zeros(len(flat), np.int64)
+            order = np.lexsort((flat, level, np.repeat(np.arange(len(n)), n)))
+            flat, level = flat[order], level[order]
+            out_s, out_d, out_r, begin = [], [], [], 0
             for doc, size in zip(batch.column("doc_id").to_pylist(), n.tolist(), strict=True):
-                token, common = flat[at : at + size], often[at : at + size]
-                at += size
+                token, n_rare = flat[begin : begin + size], int(np.count_nonzero(level[begin : begin + size] == 0))
+                begin += size
                 d = int(loose * size + 1e-9)
-                rare = token[~common][: d + 1]
-                found = [rare]
-                if len(rare) <= d and size > 1:
-                    late = token[common]
-                    if size <= short / (1 - loose):
-                        part = late[: d + 2 - len(rare)]
-                        i, j = np.triu_indices(len(part), 1)
-                        found.append(mix(part[i] * U64(3) + part[j]))
-                    if size > short:
-                        found.append(late[: d + 1 - len(rare)])
-                found = np.concatenate(found)
+                singles = d + 1 if size > short else min(n_rare, d + 1)
+                found, left = [token[:singles]], [size - np.arange(min(singles, size))]
+                if n_rare <= d and 1 < size <= short / (1 - loose):
+                    part = token[n_rare : d + 2]
+                    i, j = np.triu_indices(len(part), 1)
+                    found.append(mix(part[i] * U64(3) + part[j]))
+                    left.append(size - n_rare - np.maximum(i, j - 1))
+                found, left = np.concatenate(found), np.concatenate(left)
                 out_s.append(found)
                 out_d.append(np.full(len(found), doc))
+                out_r.append(left * (100 + percent) // percent - size)
             if out_s:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out_s))), pa.array(np.concatenate(out_d))], ["signature", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out_s))), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_r).astype(np.int64))], ["signature", "doc_id", "room"])
 
-    return map_arrow(sets, run, "signature long, doc_id long")
+    return map_arrow(sets, run, "signature long, doc_id long, room long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -217,16 +222,21 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
     counted = sets.select("doc_id", F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where((F.col("c") == 1) | (F.col("c") > frequent))
     counted = written(counted.groupBy((F.col("c") == 1).alias("own"), F.when(F.col("c") == 1, F.col("d")).otherwise(F.col("t")).alias("key")).agg(F.sum("c").alias("n")), "token-counts")
     # The bound on the list only moves the order of tokens, so it can rise without losing a link.
+    # An order by doublings keeps edits of a much copied text before the text itself, however many copies there are.
     often, limit = counted.where("NOT own"), frequent
     while often.where(F.col("n") > limit).count() > BROADCAST_ROWS:
         limit *= 2
-    often = np.sort(np.array([r["key"] for r in often.where(F.col("n") > limit).select("key").toLocalIterator()], np.int64).view(U64))
+    named = [(r["key"], r["level"]) for r in often.where(F.col("n") > limit).select("key", (F.floor(F.log2(F.col("n") / limit)) + 1).alias("level")).toLocalIterator()]
+    often = np.array([key for key, _ in named], np.int64).view(U64)
+    classes_of = np.array([level for _, level in named], np.int64)[np.argsort(often)]
+    often = np.sort(often)
     own = counted.where("own").select(F.col("key").alias("doc_id"), F.col("n").alias("alone"))
     sizes = sketches.select("doc_id", "n").join(own, "doc_id", "left").select("doc_id", "n", F.floor((F.col("n") - F.coalesce("alone", F.lit(0))) * (100 + percent) / percent + 1e-9).alias("sum")).select("doc_id", "n", (F.col("sum") - F.col("n")).alias("most"))
     sizes = written(sizes.where(F.col("most") * 100 >= F.col("n") * percent), "sizes")
 
-    postings = _signatures(sets.select("doc_id", "tokens"), often, loose, short)
-    index = written(postings.join(small_side(sizes), "doc_id"), "postings")
+    postings = _signatures(sets.select("doc_id", "tokens"), often, classes_of, percent, short)
+    index = postings.join(small_side(sizes), "doc_id").select("signature", "doc_id", "n", F.least("most", "room").alias("most"))
+    index = written(index.where(F.col("most") * 100 >= F.col("n") * percent), "postings")
     met = index.groupBy("signature").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     index = written(index.join(met, "signature", "left_semi"), "index")
     band = lambda c: F.floor(F.ln(c) / math.log(1.1)).cast("int")  # noqa: E731  sizes within a tenth
@@ -241,7 +251,8 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
         # Buckets that still hold more than one component.
         held = written(held, "labelled")
         who = F.struct("doc_id", "n", "most", "component")
-        pivot = F.min(who) if step == 0 else F.min_by(who, F.xxhash64("doc_id", F.lit(step)))
+        # First the set with most room, which has the fewest tokens that the others lack; then others by a hash.
+        pivot = F.max_by(who, F.struct(F.col("most") / F.col("n"), "doc_id")) if step == 0 else F.min_by(who, F.xxhash64("doc_id", F.lit(step)))
         split = held.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p")).where("lo <> hi")
         if step < star_rounds:
             # Two comparisons for each document whose component the pivot lacks: with the first and the last it meets.
