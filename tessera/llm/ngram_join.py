@@ -85,35 +85,36 @@ def _shared_prefixes(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             value, first, inverse, count = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
             ids = batch.column("__tessera_id").to_numpy(zero_copy_only=False)
             here = np.bincount(row, (count > 1)[inverse], batch.num_rows).astype(np.int64)
-            # Tokens that repeat here are known to be shared; one sign of them goes out, without a document.
-            doc = np.where(count > 1, -1, ids[row[first]])
+            # Tokens that repeat here are known to be shared; one sign of them goes out, without a document. Any id can occur, so none stands for this.
+            doc, known = ids[row[first]], count > 1
             bucket = (value % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             used, start = np.unique(bucket[order], return_index=True)
             end = np.append(start[1:], len(order))
             short = (value >> U64(32)).astype(np.uint32)[order]
-            doc = doc[order]
-            out = [(int(b), short[i:j].tobytes(), doc[i:j].tobytes(), b"") for b, i, j in zip(used, start, end, strict=True)]
+            doc, known = doc[order], known[order]
+            out = [(int(b), short[i:j][~known[i:j]].tobytes(), short[i:j][known[i:j]].tobytes(), doc[i:j][~known[i:j]].tobytes(), b"") for b, i, j in zip(used, start, end, strict=True)]
             some = np.flatnonzero(here)
             if len(some):
-                out.append((int(ids[some[0]] % buckets), b"", ids[some].tobytes(), here[some].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "tokens", "docs", "counts"])
+                out.append((int(ids[some[0]] % buckets), b"", b"", ids[some].tobytes(), here[some].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "tokens", "known", "docs", "counts"])
 
     def meet(table: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(b"".join(x for x in table.column("tokens").to_pylist()), np.uint32)
-        whole = [(np.frombuffer(d, np.int64), np.frombuffer(c, np.int64)) for t, d, c in zip(table.column("tokens").to_pylist(), table.column("docs").to_pylist(), table.column("counts").to_pylist(), strict=True) if c]
-        docs_ = np.frombuffer(b"".join(d for d, c in zip(table.column("docs").to_pylist(), table.column("counts").to_pylist(), strict=True) if not c), np.int64)
+        columns = [table.column(c).to_pylist() for c in ("tokens", "known", "docs", "counts")]
+        tokens = np.frombuffer(b"".join(columns[0] + columns[1]), np.uint32)
+        whole = [(np.frombuffer(d, np.int64), np.frombuffer(c, np.int64)) for d, c in zip(*columns[2:], strict=True) if c]
+        docs_ = np.frombuffer(b"".join(d for d, c in zip(*columns[2:], strict=True) if not c), np.int64)
         order = np.argsort(tokens, kind="stable")
         t = tokens[order]
         same = np.zeros(len(t), bool)
         same[1:] = t[1:] == t[:-1]
         same[:-1] |= same[1:]
-        shared = docs_[order][same]
-        ids, count = np.unique(shared[shared >= 0], return_counts=True)
+        with_doc = order[same]
+        ids, count = np.unique(docs_[with_doc[with_doc < len(docs_)]], return_counts=True)
         ids, count = np.concatenate([ids, *[w[0] for w in whole]]), np.concatenate([count, *[w[1] for w in whole]])
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "shared": pa.array(count, pa.int64())})
 
-    sent = map_arrow(docs, send, "bucket int, tokens binary, docs binary, counts binary")
+    sent = map_arrow(docs, send, "bucket int, tokens binary, known binary, docs binary, counts binary")
     return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 

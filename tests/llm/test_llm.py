@@ -74,6 +74,20 @@ def test_similarity_classes_equal_brute_force(docs, nothing):
     assert ngram_join.similarity_classes(nothing).count() == 0
 
 
+def test_similarity_classes_of_negative_ids(spark):
+    word = lambda r: "".join(r.choice("abcdefgh") for _ in range(6))
+    r, rows, pairs = random.Random(8), [], []
+    for i in range(1, 41):
+        base = [word(r) for _ in range(120)]
+        a, b = (-i, -1000 - i) if i % 3 else (-i, 1000 + i)
+        rows += [(a, " ".join(base)), (b, " ".join([*base[:-1], "zz"]))]
+        pairs.append((a, b))
+    # Copies stand in different tasks, so that no chunk sees them repeat.
+    spread = spark.createDataFrame(spark.sparkContext.parallelize(rows[::2] + rows[1::2], 2), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.similarity_classes(spread).collect()}
+    assert got == {x: min(pair) for pair in pairs for x in pair}
+
+
 def test_substring_dedup_equals_brute_force(docs, nothing):
     words = {i: t.encode().split() for i, t in plain(docs)}
     least = {}
