@@ -94,15 +94,15 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = purged_folds(spark, sf_dir)
-    dates = sorted(r[0] for r in splits.select("rebalance_date").distinct().collect())[-2:]
-    scores, _ = fe.walk_forward(_features(spark, sf_dir), splits, NAMES, dates, stride=4, trees=5)
+    dates = sorted(r[0] for r in splits.select("rebalance_date").distinct().collect())
+    scores, _ = fe.walk_forward(_features(spark, sf_dir), splits, NAMES, dates, stride=4)
     return scores
 
 
 def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = purged_folds(spark, sf_dir)
-    dates = sorted(r[0] for r in splits.select("rebalance_date").distinct().collect())[-1:]
-    return fe.top_importances(fe.walk_forward(_features(spark, sf_dir), splits, NAMES, dates, stride=4, trees=5)[1])
+    dates = sorted(r[0] for r in splits.select("rebalance_date").distinct().collect())
+    return fe.top_importances(fe.walk_forward(_features(spark, sf_dir), splits, NAMES, dates, stride=4)[1])
 
 
 def validation_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,20 @@ def test_query_equals_sql(spark, name):
     plain = lambda v: f"{v:.5f}" if isinstance(v, float) else str(v)
     got = sorted(tuple(plain(r[c]) for c in names) for r in rows.collect())
     assert got == sorted(tuple(plain(v) for v in r) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["walk_forward_scores", "model_importances"])
+def test_walk_forward_fits_every_rebalance_date(spark, monkeypatch, name):
+    from tessera.plans import analysis_queries as aq
+
+    seen = []
+
+    def fit(features, splits, names, dates, **options):
+        seen.append((list(dates), options.get("trees", 20)))
+        some = spark.createDataFrame([(d, "momentum", 1.0) for d in dates], "date date, feature string, importance double")
+        return some, some
+
+    monkeypatch.setattr(aq.fe, "walk_forward", fit)
+    rows = entry.queries()[name](spark, SF)
+    want = sorted(r[0] for r in aq.purged_folds(spark, SF).select("rebalance_date").distinct().collect())
+    assert len(want) > 2 and seen == [(want, 20)] and rows.count() == len(want)
