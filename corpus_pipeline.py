@@ -17,7 +17,7 @@ from tessera.llm import mixing, ngram_join, packing, pii, toxicity
 from tessera.llm._tables import read_table, written
 from tessera.llm.queries import tokenizer_path
 
-#: Token shares of the mixture: documents of low quality are thinned out, good ones are all kept.
+#: Shares of the kept tokens: documents of low quality are thinned out, good ones are all kept.
 MIX = {"good": 0.97, "poor": 0.03}
 
 
@@ -44,8 +44,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays with the chance of its rate (1 at most), drawn by a hash of id and text."""
-    rated, _, _ = mixing.mix(_boxed(docs), mixing.quality_domains(read_table(spark, sf_dir, "labels")), MIX)
+    """Each document stays with the chance of its rate (0 to 1), drawn by a hash of id and text."""
+    rated, _, _ = mixing.mix(_boxed(docs), mixing.quality_domains(read_table(spark, sf_dir, "labels")), MIX, whole="good")
     drawn = F.pmod(F.xxhash64("doc_id", "__row.text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
     return rated.where(drawn).select("__row.*")
 

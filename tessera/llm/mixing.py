@@ -17,6 +17,7 @@ empty table gives an empty result; a domain without a target has target 0; furth
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -118,13 +119,13 @@ def domain_posteriors(docs: DataFrame, model: DomainModel | None, text: str = "t
     return map_arrow(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")), run, schema)
 
 
-def _rate(errors: list[list[float]], pull: float) -> Column:
-    """The rate after projected steps with these errors, from 1."""
+def _rate(errors: list[list[float]], pull: float, most: float = math.inf) -> Column:
+    """The rate after steps with these errors, from 1, each projected on [0, most]."""
     if not errors:
         return F.lit(1.0)
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in errors])
     dot = lambda e: F.aggregate(F.zip_with(e, F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e) - pull * (r - 1.0)))
+    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(e) - pull * (r - 1.0))))
 
 
 def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[str, float], *, pull: float = 0.002, max_steps: int = 30, tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
@@ -151,12 +152,46 @@ def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[
     return posteriors.withColumn("rate", _rate(errors, pull)), shares
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, text: str = "text", doc_id: str = "doc_id", domain: str = "domain") -> tuple[DataFrame, tuple[str, ...], list[float]]:
-    """(`docs` without its text, with n_tokens, posterior and rate; domains; token shares that the rates give)."""
+def fit_keep_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[str, float], *, whole: str, max_steps: int = 60, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
+    """`posteriors` with `rate`, a chance from 0 to 1, and the shares of the kept tokens that the rates give each domain.
+
+    Targets are shares of the kept tokens, not of the input. Nothing is taken twice: the other domains are thinned to their
+    targets, and the domain `whole` is never thinned for its own sake, so a domain with less than its target stays as it is.
+    """
+    k = len(domains)
+    goal = np.array([targets.get(d, 0.0) for d in domains])
+    goal = goal / goal.sum() if goal.sum() else np.full(k, 1 / k)
+    errors: list[list[float]] = []
+    own, shares = None, goal.tolist()
+    for step in range(max_steps + 1):
+        r = _rate(errors, 0.0, 1.0)
+        sums = posteriors.select(F.col("n_tokens").alias("t"), r.alias("r"), "posterior").agg(F.sum("t").alias("total"), *[F.sum(F.col("t") * F.col("r") * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+        if not sums["total"]:
+            return posteriors.withColumn("rate", F.lit(1.0)), shares
+        mass = np.array([sums[f"s{i}"] for i in range(k)]) / sums["total"]
+        kept = mass.sum()
+        own = np.maximum(mass, 1e-4) if own is None else own
+        shares = (mass / max(kept, 1e-12)).tolist()
+        # What a domain has too much of, against the tokens that are kept now. A step moves rates that are not at a bound.
+        error = np.array([min(0.0, e) if d == whole else e for d, e in zip(domains, mass - goal * kept, strict=True)])
+        if np.maximum(error, 0).max() < tolerance * kept and (step == 0 or np.abs(error).max() < tolerance * kept) or step == max_steps:
+            break
+        errors.append((error / own).tolist())
+    return posteriors.withColumn("rate", _rate(errors, 0.0, 1.0)), shares
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, whole: str | None = None, text: str = "text", doc_id: str = "doc_id", domain: str = "domain") -> tuple[DataFrame, tuple[str, ...], list[float]]:
+    """(`docs` without its text, with n_tokens, posterior and rate; domains; token shares that the rates give).
+
+    With `whole`, rates are chances to keep a document and shares are those of the kept tokens, see fit_keep_rates.
+    """
     model = fit_domains(docs, labels, text=text, doc_id=doc_id, domain=domain)
     domains = model.domains if model else ("all",)
     posteriors = written(domain_posteriors(docs, model, text), "posteriors")
-    rated, shares = fit_rates(posteriors, domains, targets if model else {"all": 1.0})
+    if whole is not None and model:
+        rated, shares = fit_keep_rates(posteriors, domains, targets, whole=whole)
+    else:
+        rated, shares = fit_rates(posteriors, domains, targets if model else {"all": 1.0})
     return rated, domains, shares
 
 

@@ -108,6 +108,29 @@ def test_substring_dedup_equals_brute_force(docs, nothing):
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
 
+def kept_shares(spark, n_good, n_poor, n_toxic=0, soft=0.0):
+    rows = [(10, [1 - soft, soft, 0.0])] * n_good + [(10, [soft, 1 - soft, 0.0])] * n_poor + [(10, [0.0, 0.0, 1.0])] * n_toxic
+    df = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    rated, shares = mixing.fit_keep_rates(df, ("good", "poor", "toxic"), corpus_pipeline.MIX, whole="good")
+    got = rated.selectExpr("posterior", "rate", "n_tokens * rate AS kept").collect()
+    total = sum(x["kept"] for x in got)
+    assert all(0 <= x["rate"] <= 1 for x in got)
+    measured = [sum(x["kept"] * x["posterior"][i] for x in got) / total for i in range(3)]
+    assert np.allclose(measured, shares, atol=1e-6)
+    return measured, [x["rate"] for x in got if x["posterior"][0] > 0.5]
+
+
+@pytest.mark.parametrize(("good", "poor", "toxic", "soft"), [(500, 500, 0, 0.0), (200, 800, 0, 0.0), (500, 400, 100, 0.0), (500, 500, 0, 0.01)])
+def test_mixture_of_the_kept_tokens_meets_its_targets(spark, good, poor, toxic, soft):
+    shares, rates = kept_shares(spark, good, poor, toxic, soft)
+    assert np.allclose(shares, [0.97, 0.03, 0.0], atol=5e-4) and min(rates) == 1
+
+
+def test_mixture_keeps_all_if_poor_is_below_its_target(spark):
+    shares, rates = kept_shares(spark, 990, 10)
+    assert np.allclose(shares, [0.99, 0.01, 0.0], atol=1e-6) and min(rates) == 1
+
+
 def test_packing_is_an_exact_round_trip(docs, nothing):
     from tokenizers import Tokenizer
 
