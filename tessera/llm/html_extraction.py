@@ -5,7 +5,8 @@ three for its length, discounted by the share of its text that is link text; its
 that, the grandparent half, and further ancestors less and less. The best container wins, with
 those siblings that score at least a fifth of it; inside an ``article`` or ``main`` it stands for the whole of
 that element. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are cut out first, by element, role, or words of class and id.
+reader comments are cut out first, by element, role, or words of class and id. A first reading finds the elements with such
+marks that are wrappers of the article instead (see ``_wrappers``); these stay, and marked elements inside them are cut.
 
 Blocks come in page order, joined by one line feed; white space inside a block is one space;
 character references are decoded. Cases: a null or empty page has an empty text; a page without
@@ -37,6 +38,11 @@ CUT_TAGS = frozenset("nav header footer aside form button select menu dialog hea
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notification notifications overlay pager pagination popup promo promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
 NEVER_CUT = frozenset("html body article main".split())
+#: Marked elements that can be a wrapper of the article; the other CUT_TAGS hold no text of an article.
+SIDE_TAGS = frozenset("nav header footer aside form".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+STATES = frozenset("has no with without".split())
+SOME, SIDE, COMMENTS, HIDDEN = 1, 2, 3, 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,32 +56,41 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "cut", "score", "order")
+    __slots__ = ("tag", "parent", "cut", "score", "order", "mark")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool, order: int) -> None:
-        self.tag, self.parent, self.cut, self.order, self.score = tag, parent, cut, order, 0.0
+    def __init__(self, tag: str, parent: _Node | None, cut: bool, order: int, mark: int = 0) -> None:
+        self.tag, self.parent, self.cut, self.order, self.mark, self.score = tag, parent, cut, order, mark, 0.0
 
 
-def _is_cut(tag: str, attrs: str) -> bool:
-    if tag in CUT_TAGS:
-        return True
+def _mark(tag: str, attrs: str) -> int:
+    """0, or how an element is marked as not the article: never shown, a side container by all words of a name, by some, or reader comments."""
+    if tag in CUT_TAGS and tag not in SIDE_TAGS:
+        return HIDDEN
+    found = SOME if tag == "form" else SIDE if tag in SIDE_TAGS else 0
     if not attrs or tag in NEVER_CUT:
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return HIDDEN
         if name == "role" and value.lower() in CUT_ROLES:
-            return True
+            found = max(found, SOME if value.lower() == "form" else SIDE)
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and any(w.lower() in CUT_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+            return HIDDEN
+        if name in ("class", "id"):
+            for token in value.split():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                cut = [w for w in words if w in CUT_WORDS]
+                if cut and words[0] not in STATES:  # has-sidebar, no-comments: says what the page has, not what the element is
+                    found = max(found, COMMENTS if COMMENT_WORDS.intersection(cut) else SIDE if len(cut) == len(words) else SOME)
+    return found
+
 
+def _blocks(html: str, wrappers: frozenset[int] | None = frozenset()) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
+    """(node, text, characters in links) of the blocks that are not cut out, and all nodes.
 
-def _blocks(html: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
-    """(node, text, characters in links) of the blocks that are not cut out, and all nodes."""
+    wrappers: order of the marked nodes that stay; None keeps all that can be shown, for the first reading.
+    """
     root = _Node("html", None, False, 0)
     nodes, stack, blocks = [root], [root], []
     pieces: list[str] = []
@@ -142,10 +157,11 @@ def _blocks(html: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
             flush()
         if tag == "hr":
             continue
-        cut = stack[-1].cut or _is_cut(tag, m["attrs"] or "")
+        mark = _mark(tag, m["attrs"] or "")
+        cut = stack[-1].cut or mark == HIDDEN or mark > 0 and wrappers is not None and len(nodes) not in wrappers
         if cut and not stack[-1].cut:
             flush()
-        node = _Node(tag, stack[-1], cut, len(nodes))
+        node = _Node(tag, stack[-1], cut, len(nodes), mark)
         nodes.append(node)
         stack.append(node)
         in_link += tag == "a"
@@ -163,13 +179,50 @@ def _inside(node: _Node | None, top: _Node) -> bool:
     return False
 
 
+def _points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
+
+
+def _wrappers(html: str) -> frozenset[int]:
+    """Order of the marked nodes that hold the article, so that they must not be cut.
+
+    These hold a main; or an article with more points than all that is not in marked nodes, if no article or main is out of them;
+    or half of the page's points at least, and twice what is not in marked nodes (if all words of a name are marks, or
+    for side elements: if nothing else has points). Reader comments are wrappers only for what they hold in a main.
+    """
+    blocks, nodes = _blocks(html, None)
+    if not any(0 < n.mark < HIDDEN for n in nodes):
+        return frozenset()
+    held, marked = [0.0] * len(nodes), [False] * len(nodes)
+    for n in nodes[1:]:
+        marked[n.order] = n.mark > 0 or marked[n.parent.order]
+    outside = 0.0
+    for node, text, linked in blocks:
+        points = _points(text, linked)
+        outside += 0.0 if marked[node.order] else points
+        held[node.order] += points
+    for n in reversed(nodes[1:]):
+        held[n.parent.order] += held[n.order]
+    has_main, has_article = [False] * len(nodes), [0.0] * len(nodes)
+    free = any(n.tag in ("article", "main") and not marked[n.order] for n in nodes)
+    for n in reversed(nodes):
+        has_main[n.order] |= n.tag == "main" and not n.cut and held[n.order] > 0
+        if n.tag == "article" and not n.cut:
+            has_article[n.order] = max(has_article[n.order], held[n.order])
+        if n.parent is not None:
+            has_main[n.parent.order] |= has_main[n.order]
+            has_article[n.parent.order] = max(has_article[n.parent.order], has_article[n.order])
+    most = [n.mark != COMMENTS and held[n.order] * 2 > held[0] and (outside == 0 or n.mark == SOME and outside * 2 <= held[n.order]) for n in nodes]
+    return frozenset(n.order for n in nodes if 0 < n.mark < HIDDEN and (has_main[n.order] or n.mark != COMMENTS and not free and has_article[n.order] > outside or most[n.order] and not free))
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
-    blocks, nodes = _blocks(html or "")
+    blocks, nodes = _blocks(html or "", _wrappers(html or ""))
     if not blocks:
         return ""
     for node, text, linked in blocks:
-        points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
+        points = _points(text, linked)
         holder, share, depth = (node.parent if node.tag not in ("div", "section", "article", "main", "body", "html", "td") and node.parent else node), 1.0, 1
         while holder is not None:
             holder.score += points * share

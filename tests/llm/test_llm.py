@@ -108,6 +108,35 @@ def test_substring_dedup_equals_brute_force(docs, nothing):
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
 
+ARTICLE = "".join(f"<p>Paragraph {i} of the story, with a comma, and a second one, goes on.</p>" for i in range(6))
+SIDE = "<div class='sidebar'><p>Other things, and more, here.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id='aspnetForm'><div>{a}</div>{s}</form>",
+        "<form id='aspnetForm'><article>{a}</article>{s}</form>",
+        "<div class='content-sidebar-wrap'><main>{a}</main>{s}</div>",
+        "<div class='content-sidebar-wrap'><article>{a}</article>{s}</div>",
+        "<div class='has-sidebar'><div>{a}</div>{s}</div>",
+        "<div id='no-footer'><p>Short.</p><div>{a}</div></div><footer><p>Imprint, and so on.</p></footer>",
+        "<form><div class='with-banner'><div>{a}</div></div>{s}</form><div class='comments'><p>I, too, think so.</p></div>",
+    ],
+)
+def test_wrappers_of_the_article_are_not_cut(page):
+    want = html_extraction.main_text(f"<html><body><div>{ARTICLE}</div></body></html>")
+    got = html_extraction.main_text(f"<html><body>{page.format(a=ARTICLE, s=SIDE)}</body></html>")
+    assert want.count("\n") == 5 and want in got and not re.search("Other things|Imprint|I, too", got)
+
+
+def test_side_containers_with_much_text_are_cut():
+    talk = "".join(f"<article class='comment-body'><p>Reader {i}, at length, says this, and that.</p></article>" for i in range(30))
+    for side in (f"<div class='comments'>{talk}</div>", f"<aside>{talk}</aside>", f"<div class='cookie-notice'>{ARTICLE * 3}</div>"):
+        got = html_extraction.main_text(f"<html><body><article>{ARTICLE}</article>{side}</body></html>")
+        assert got == html_extraction.main_text(f"<html><body><article>{ARTICLE}</article></body></html>")
+
+
 def kept_shares(spark, n_good, n_poor, n_toxic=0, soft=0.0):
     rows = [(10, [1 - soft, soft, 0.0])] * n_good + [(10, [soft, 1 - soft, 0.0])] * n_poor + [(10, [0.0, 0.0, 1.0])] * n_toxic
     df = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
