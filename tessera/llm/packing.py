@@ -1,13 +1,17 @@
 """Packing documents into fixed-size token sequences with a controlled mixture of sources.
 
 Each source is a queue of tokens in table order. Deficit round-robin serves the queues: in
-round n source s may have been served floor(n * w_s / 256) tokens in all, so what a round could
-not serve of its quantum w_s / 256 is carried to the next round, window and partition. A source
+round n source s may have been served floor(n * w_s / d) tokens in all, where d gives a round the
+length of a window, so what a round could not serve of its quantum w_s / d is carried to the next round, window and partition. A source
 that runs dry drops out and the others go on. The rounds form one stream, cut at every
 `window` tokens. Since the served amounts are a closed form of the round number, the place of
 any token follows from its position in its queue alone: no task waits for another. Only the
 token counts of (partition, source) meet in a shuffle.
 
+Every source is a queue of its own, however many there are. Sources with the same quantum and token count are one
+kind; sums over queues are prefix sums over the kinds of each quantum, of which there are few (about 1,500), so that
+no task holds a list of the sources.
+
 The last, short window is cut into sequences whose lengths are powers of two, so that nothing
 is padded.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +35,7 @@ from pyspark.sql import functions as F
 
 from ._tables import map_arrow, small_side, written
 
-ROUND = 256  # rounds in which a quantum is a whole number of tokens
 QUANTA = 1 << 20  # resolution of target shares
-MAX_QUEUES = 1024  # more sources than this share queues by hash
 CACHE_WORDS = 600_000  # words whose ids a task keeps
 TAIL = "!\"#$%&()*+,-./:;=?@]^_`{|}~>"  # ASCII marks that may follow a word
 MARK = "\x01"  # stands between words that are encoded in one call
@@ -88,9 +91,6 @@ def _token_ids(path: str, end_id: int):
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, source: str, doc_id: str) -> DataFrame:
     """(doc_id, source, ids, width, n, part, before): before counts the source's earlier tokens of the same task."""
-    n_sources = docs.select(source).distinct().count()
-    queue = F.coalesce(F.col(source).cast("string"), F.lit("")) if n_sources <= MAX_QUEUES else F.concat(F.lit("queue "), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, width = _token_ids(tokenizer_path, end_id)
         part, served = TaskContext.get().partitionId(), {}
@@ -102,23 +102,46 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, sour
                 for name, k in zip(names, n, strict=True):
                     before.append(served.get(name, 0))
                     served[name] = before[-1] + k
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array([width] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int64()), pa.array(before, pa.int64())], ["doc_id", "queue", "ids", "width", "n", "part", "before"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(ids, pa.binary()), pa.array([width] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int64()), pa.array(before, pa.int64())], ["doc_id", "queue", "ids", "width", "n", "part", "before"])
 
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("queue"), F.col(text).alias("text"))
     return map_arrow(plain, encode, "doc_id long, queue string, ids binary, width int, n long, part long, before long")
 
 
 @dataclass(frozen=True)
 class Mixture:
-    """Deficit round-robin over queues with `tokens[s]` tokens and integer quanta `quanta[s]`, in closed form."""
+    """Deficit round-robin in closed form over `count[k]` queues of each kind, with `tokens[k]` tokens and integer quantum `quanta[k]`.
+
+    Kinds are sorted by quantum and tokens; a round serves the queues in the order of kind and rank. A group is the kinds of one quantum.
+    """
 
     tokens: np.ndarray
     quanta: np.ndarray
+    count: np.ndarray
     window: int
 
     @property
     def total(self) -> int:
-        return int(self.tokens.sum())
+        return int((self.tokens * self.count).sum())
+
+    @cached_property
+    def rounds(self) -> int:
+        """Rounds in which a quantum is a whole number of tokens; the quanta of all make a window a round."""
+        return max(1, QUANTA // self.window)
+
+    @cached_property
+    def groups(self) -> tuple[np.ndarray, ...]:
+        """quantum, first kind and end of each group; the group of each kind; sums of queues and of tokens before each kind; sorted keys of the kinds."""
+        quantum, first, group = np.unique(self.quanta, return_index=True, return_inverse=True)
+        queues, sums = (np.append(0, np.cumsum(x)) for x in (self.count, self.count * self.tokens))
+        return quantum, first, np.append(first[1:], len(self.tokens)), group, queues, sums, self._key(group, self.tokens)
+
+    def _key(self, group: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        top = int(self.tokens.max()) + 1
+        return group * (top + 1) + np.minimum(tokens, top)
+
+    def kind(self, quanta: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.groups[6], self._key(np.searchsorted(self.groups[0], quanta), tokens))
 
     def starts(self, sequence: np.ndarray) -> np.ndarray:
         """Stream position at which each sequence starts; the tail is cut at powers of two."""
@@ -136,31 +159,50 @@ class Mixture:
         cuts = self.starts(np.arange(full, full + self.window.bit_length() + 1))
         return np.where(place < full * self.window, place // self.window, full + np.searchsorted(np.unique(cuts), place, "right") - 1)
 
-    def served(self, rounds: np.ndarray) -> np.ndarray:
-        """Tokens served to each queue (columns) before each round (rows)."""
-        last = self.tokens * ROUND // self.quanta + 1
-        return np.minimum(np.minimum(rounds[:, None], last) * self.quanta // ROUND, self.tokens)
-
-    def place(self, queue: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def reach(self, rounds: np.ndarray) -> np.ndarray:
+        """Tokens that a queue of each group (columns) may have been served before each round (rows)."""
+        quantum, _, end = self.groups[:3]
+        last = self.tokens[end - 1] * self.rounds // quantum + 1
+        return np.minimum(rounds[:, None], last) * quantum // self.rounds
+
+    def served(self, reach: np.ndarray) -> np.ndarray:
+        """Tokens served to all queues of each group."""
+        _, first, end, _, queues, sums, keys = self.groups
+        dry = np.searchsorted(keys, self._key(np.arange(len(first)), reach), "right")
+        return sums[dry] - sums[first] + (queues[end] - queues[dry]) * reach
+
+    def _inside(self, reach: np.ndarray, kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Tokens served to the queues before (kind, rank) in its group."""
+        _, first, _, group, queues, sums, keys = self.groups
+        start = first[group[kind]]
+        dry = np.clip(np.searchsorted(keys, self._key(group[kind], reach), "right"), start, kind)
+        return sums[dry] - sums[start] + (queues[kind] - queues[dry]) * reach + rank * np.minimum(reach, self.tokens[kind])
+
+    def place(self, kind: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Stream position of the token at position `at` of its queue."""
-        rounds = -(-(at + 1) * ROUND // self.quanta[queue]) - 1
-        before, after = self.served(rounds), self.served(rounds + 1)
-        earlier = np.cumsum(after - before, axis=1) - (after - before)
-        rows = np.arange(len(at))
-        return before.sum(axis=1) + earlier[rows, queue] + at - before[rows, queue]
-
-    def taken(self, place: np.ndarray) -> np.ndarray:
-        """Tokens of each queue (columns) among the first `place` tokens of the stream (rows)."""
+        rounds = -(-(at + 1) * self.rounds // self.quanta[kind]) - 1
+        low, high = self.reach(rounds), self.reach(rounds + 1)
+        before, after = self.served(low), self.served(high)
+        rows, group = np.arange(len(at)), self.groups[3][kind]
+        earlier = (np.cumsum(after - before, axis=1) - (after - before))[rows, group] + self._inside(high[rows, group], kind, rank) - self._inside(low[rows, group], kind, rank)
+        return before.sum(axis=1) + earlier + at - np.minimum(low[rows, group], self.tokens[kind])
+
+    def taken(self, place: np.ndarray, row: np.ndarray, kind: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Among the first `place[row]` tokens of the stream: those of the queue (kind, rank), and those of the queues before it."""
         low = np.zeros(len(place), np.int64)
-        high = np.full(len(place), int((self.tokens * ROUND // self.quanta).max()) + 2 if len(self.tokens) else 1)
+        high = np.full(len(place), int((self.tokens * self.rounds // self.quanta).max()) + 2)
         while (high - low > 1).any():
             mid = (low + high) // 2
-            under = self.served(mid).sum(axis=1) <= place
+            under = self.served(self.reach(mid)).sum(axis=1) <= place
             low, high = np.where(under, mid, low), np.where(under, high, mid)
-        before, after = self.served(low), self.served(low + 1)
-        more = after - before
-        left = (place - before.sum(axis=1))[:, None] - (np.cumsum(more, axis=1) - more)
-        return before + np.clip(left, 0, more)
+        now, then = self.reach(low), self.reach(low + 1)
+        before, more = self.served(now), self.served(then) - self.served(now)
+        left, group = (place - before.sum(axis=1))[row], self.groups[3][kind]
+        a, b = now[row, group], then[row, group]
+        inside = self._inside(a, kind, rank)
+        earlier = (np.cumsum(more, axis=1) - more)[row, group] + self._inside(b, kind, rank) - inside
+        own, own_more = np.minimum(a, self.tokens[kind]), np.minimum(b, self.tokens[kind]) - np.minimum(a, self.tokens[kind])
+        return own + np.clip(left - earlier, 0, own_more), (np.cumsum(before, axis=1) - before)[row, group] + inside + np.minimum(left, earlier)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: int = 2, targets: Mapping[str, float] | None = None, text: str = "text", source: str = "source", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -172,41 +214,48 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: in
     """
     table = written(tokenized(docs, tokenizer_path, end_id, text, source, doc_id), "tokens")
     parts = written(table.groupBy("part", "queue").agg(F.sum("n").alias("n")), "token-counts")
-    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES rows
-    names = sorted(totals)
-    index = {name: i for i, name in enumerate(names)}
-    tokens = np.array([totals[x] for x in names], np.int64)
-    share = tokens / max(1, tokens.sum()) if targets is None else np.array([targets.get(x, 0.0) for x in names]) / max(sum(targets.values()), 1e-12)
-    mixture = Mixture(tokens, np.maximum(1, np.round(share * QUANTA)).astype(np.int64), window)
-
-    # A partition's first position in each queue: running sums over the partitions, a few rows a partition.
+    totals = written(parts.groupBy("queue").agg(F.sum("n").alias("total")), "source-counts")
     from pyspark.sql import Window
 
+    if targets is None:
+        share = totals.withColumn("share", F.col("total") / max(1, totals.agg(F.sum("total")).first()[0] or 0))
+    else:
+        whole = max(sum(targets.values()), 1e-12)
+        wanted = docs.sparkSession.createDataFrame([(k, float(v) / whole) for k, v in targets.items()], "target string, share double")
+        share = totals.join(wanted, F.col("queue").eqNullSafe(F.col("target")), "left")
+    # The rank of a source among those of its kind; only the kinds go to the driver.
+    ranked = share.select("queue", "total", F.greatest(F.lit(1), F.rint(F.coalesce("share", F.lit(0.0)) * QUANTA).cast("long")).alias("quantum"))
+    ranked = written(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("quantum", "total").orderBy("queue")).cast("long") - 1), "sources")
+    kinds = sorted(tuple(r) for r in ranked.groupBy("quantum", "total").agg(F.count(F.lit(1)).alias("count")).collect())
+    quanta, tokens, count = np.array(kinds, np.int64).reshape(-1, 3).T.copy()
+    mixture = Mixture(tokens, quanta, count, window)
+
+    # A partition's first position in each queue: running sums over the partitions, a few rows a partition.
     over = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("part", "queue", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    bases = parts.select(F.col("part").alias("in_part"), F.col("queue").alias("of"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    bases = bases.join(small_side(ranked), F.col("of").eqNullSafe(F.col("queue"))).drop("queue")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = max(1, 2_000_000 // max(1, len(names)))
+        block = max(1, 1_000_000 // max(1, len(np.unique(quanta))))
         for whole in batches:
             for lo in range(0, whole.num_rows, min(block, 1024)):
                 batch = whole.slice(lo, min(block, 1024))
                 width = batch.column("width")[0].as_py()
-                queue = np.array([index[x] for x in batch.column("queue").to_pylist()])
-                n, at = batch.column("n").to_numpy(zero_copy_only=False), batch.column("at").to_numpy(zero_copy_only=False)
-                first = mixture.sequence(mixture.place(queue, at))
-                count = mixture.sequence(mixture.place(queue, at + n - 1)) - first + 1
+                n, at, quantum, total, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "at", "quantum", "total", "rank"))
+                kind = mixture.kind(quantum, total)
+                first = mixture.sequence(mixture.place(kind, rank, at))
+                count = mixture.sequence(mixture.place(kind, rank, at + n - 1)) - first + 1
                 row = np.repeat(np.arange(len(n)), count)
                 seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 for piece in range(0, len(row), block):
                     r, s = row[piece : piece + block], seq[piece : piece + block]
                     known, where = np.unique(s, return_inverse=True)
-                    begin, end = mixture.taken(mixture.starts(known)), mixture.taken(mixture.starts(known + 1))
-                    size = end - begin
-                    earlier = (np.cumsum(size, axis=1) - size)[where, queue[r]]
-                    low = np.maximum(begin[where, queue[r]], at[r])
-                    high = np.minimum(end[where, queue[r]], at[r] + n[r])
+                    begin, before = mixture.taken(mixture.starts(known), where, kind[r], rank[r])
+                    end, before_end = mixture.taken(mixture.starts(known + 1), where, kind[r], rank[r])
+                    low = np.maximum(begin, at[r])
+                    high = np.minimum(end, at[r] + n[r])
                     keep = high > low
-                    r, s, low, high, offset = r[keep], s[keep], low[keep], high[keep], (earlier + low - begin[where, queue[r]])[keep]
+                    r, s, low, high, offset = r[keep], s[keep], low[keep], high[keep], (before_end - before + low - begin)[keep]
                     start = low - at[r]
                     raw = batch.column("ids")
                     cut = [raw[int(i)].as_buffer()[int(a) * width : int(b) * width] for i, a, b in zip(r, start, start + high - low, strict=True)]
@@ -219,5 +268,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: in
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
     columns += ", ids binary, width int" if with_ids else ""
     names_out = [c.split()[0] for c in columns.split(", ")]
-    placed = table.join(small_side(bases, parts.count()), ["part", "queue"]).select("doc_id", "queue", "ids", "width", "n", (F.col("base") + F.col("before")).alias("at"))
+    placed = table.join(small_side(bases, parts.count()), (F.col("part") == F.col("in_part")) & F.col("queue").eqNullSafe(F.col("of"))).select("doc_id", "queue", "ids", "width", "n", "quantum", "total", "rank", (F.col("base") + F.col("before")).alias("at"))
     return map_arrow(placed, place, columns)

@@ -188,6 +188,30 @@ def test_packing_is_an_exact_round_trip(docs, nothing):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
+def test_packing_gives_each_of_many_sources_its_own_queue(spark):
+    rows = [(i, "a b c d " * (1 + i % 4), None if i == 0 else "" if i == 1 else f"site{i % 1500}") for i in range(2, 3002)]
+    rows += [(0, "a b", None), (1, "a b", "")] + [(5000 + i, "a b c d " * 50, "hot") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    of = {i: q for i, _, q in rows}
+    for targets in (None, {"hot": 0.5, "site7": 0.1}):
+        sequences, pieces, first = defaultdict(list), defaultdict(int), Counter()
+        for r in packing.pack(df, tokenizer_path(), window=1024, targets=targets, with_ids=False).collect():
+            assert r["queue"] == of[r["doc_id"]]
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+            pieces[r["doc_id"]] += r["length"]
+            first[r["queue"]] += r["length"] if r["sequence_id"] == 0 else 0
+            n = pieces[r["doc_id"]]
+            assert n <= r["doc_tokens"]
+        assert len(pieces) == len(rows)
+        for s in sequences.values():
+            at = 0
+            for offset, n in sorted(s):
+                assert offset == at
+                at += n
+            assert at == 1024 or at & (at - 1) == 0
+        assert not targets or first["hot"] >= 512
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
