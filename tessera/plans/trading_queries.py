@@ -148,6 +148,12 @@ def stream_day_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("day").agg(F.sum("n").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
+def stream_loss_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily loss rule over events as profits and losses around 50."""
+    df = _stream(spark, sf_dir, lambda s: rules.loss_flags(s.select("ts", (F.round(F.col("value"), 2) - 50).alias("value")), 100.0))
+    return df.select("day", "n", F.round("value", 2).alias("value"), "stopped")
+
+
 def stream_order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _stream(spark, sf_dir, lambda s: rules.highest_notional(s.select("ts", F.col("user_id").alias("order_id"), "value")))
     return df.groupBy("day", "order_id").agg(F.round(F.max("value"), 6).alias("value"))
@@ -157,7 +163,7 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, lambda s: rules.bars(s.select("ts", F.col("user_id").alias("symbol"), F.col("value").alias("price")))).select("symbol", "start", "high", "low", "volume")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (orders_rebalance, orders_pre_trade, positions_drift, drift_summary, orders_sliced, fill_slippage, rebalance_completion, position_profit, fills_by_day, fills_assigned, trading_day_totals, retry_cooldown, account_history, splits_unresolved, splits_corrected, split_credits, split_equity, order_intents, stream_day_totals, stream_order_totals, stream_bars)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (orders_rebalance, orders_pre_trade, positions_drift, drift_summary, orders_sliced, fill_slippage, rebalance_completion, position_profit, fills_by_day, fills_assigned, trading_day_totals, retry_cooldown, account_history, splits_unresolved, splits_corrected, split_credits, split_equity, order_intents, stream_day_totals, stream_loss_flags, stream_order_totals, stream_bars)}
 
 _FILLS = "WITH fills AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey::VARCHAR AS symbol, l_shipdate AS ts, l_shipdate::DATE AS day, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity, round(l_extendedprice / l_quantity + 1e-9, 4) AS price, l_discount, l_tax FROM lineitem)"
 _POS = f"{_FILLS}, pos AS (SELECT symbol, sum(quantity) AS held, round(sum(quantity * price) / sum(quantity), 2) AS entry, max_by(price, (ts, id)) AS price, min(day) AS entry_date FROM fills WHERE side = 'buy' GROUP BY 1), tg AS (SELECT symbol, round(sum(quantity) / sum(sum(quantity)) OVER (), 8) AS weight FROM fills WHERE side = 'sell' GROUP BY 1)"
@@ -183,6 +189,7 @@ ORACLE_SQL = {
     "split_equity": f"{_FILLS}, h AS (SELECT day AS date, sum(quantity) AS remaining, max(price) AS price FROM fills GROUP BY 1), c AS (SELECT day AS date, sum(round(price - 2000 + 1e-6, 2)) AS c FROM fills WHERE symbol = '5' GROUP BY 1) SELECT date, round(remaining * price + greatest(0, sum(coalesce(c, 0)) OVER (ORDER BY date)) + 1e-6, 2) AS correction FROM h LEFT JOIN c USING (date)",
     "order_intents": "SELECT count(*) AS n, count(DISTINCT (l_orderkey * 10 + l_linenumber, l_suppkey, l_returnflag = 'R')) AS ids, 24 AS digits FROM lineitem",
     "stream_day_totals": f"SELECT {_NY.format('ts')} AS day, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1",
+    "stream_loss_flags": f"SELECT day, count(*) AS n, round(sum(v), 2) AS value, sum(v) < -100 AS stopped FROM (SELECT {_NY.format('ts')} AS day, round(value, 2) - 50 AS v FROM events) GROUP BY 1",
     "stream_order_totals": f"SELECT {_NY.format('ts')} AS day, user_id AS order_id, round(max(value), 6) AS value FROM events GROUP BY 1, 2",
     "stream_bars": "SELECT user_id AS symbol, date_trunc('day', ts) AS start, max(value) AS high, min(value) AS low, count(*) AS volume FROM events GROUP BY 1, 2",
 }

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Trading days start at midnight in New York; a stream keyed by that date survives changes of the clock.
 NEW_YORK = "America/New_York"
@@ -14,17 +18,21 @@ def _timed(rows: DataFrame, late: str) -> DataFrame:
 
 
 def _day(fills: DataFrame, late: str) -> DataFrame:
-    return _timed(fills, late).withColumn("local", F.from_utc_timestamp("ts", NEW_YORK))
+    """Rows with `local`, the New York time, which carries the watermark: its days are the windows, so a day is one row.
+
+    Changes of the clock fall within a day, so they close none.
+    """
+    return fills.withColumn("local", F.from_utc_timestamp(F.col("ts").cast("timestamp"), NEW_YORK)).withWatermark("local", late)
 
 
 def daily_totals(fills: DataFrame, late: str = "1 hour") -> DataFrame:
     """(day, n, value) for each New York day; later rows than the watermark are dropped."""
-    return _day(fills, late).groupBy(F.window("ts", "1 day").alias("w"), F.to_date("local").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select("day", "n", "value")
+    return _day(fills, late).groupBy(F.window("local", "1 day").alias("w"), F.to_date("local").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select("day", "n", "value")
 
 
 def highest_notional(fills: DataFrame, late: str = "1 hour") -> DataFrame:
     """(day, order_id, value): the largest cumulative notional of each order and day."""
-    return _day(fills, late).groupBy(F.window("ts", "1 day").alias("w"), F.to_date("local").alias("day"), "order_id").agg(F.max("value").alias("value")).select("day", "order_id", "value")
+    return _day(fills, late).groupBy(F.window("local", "1 day").alias("w"), F.to_date("local").alias("day"), "order_id").agg(F.max("value").alias("value")).select("day", "order_id", "value")
 
 
 def loss_flags(profits: DataFrame, limit: float, late: str = "1 hour") -> DataFrame:
@@ -39,5 +47,23 @@ def bars(ticks: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFr
 
 
 def first_attempts(attempts: DataFrame, seconds: int = 300, late: str = "1 hour") -> DataFrame:
-    """Attempts at stop orders, one for each symbol and cooldown window."""
-    return _timed(attempts, late).groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "symbol").agg(F.min("ts").alias("ts")).select("symbol", "ts")
+    """(symbol, ts): attempts at stop orders that pass the cooldown, at least `seconds` after the symbol's last that passed.
+
+    The state of a symbol is its last passed attempt. Attempts older than that, which came late, do not pass. Append mode only.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        passed = []
+        for at in sorted(x for b in batches for x in b["us"].tolist()):
+            if last is None or at - last >= seconds * 1_000_000:
+                passed.append(at)
+                last = at
+        if passed:
+            state.update((last,))
+        yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(passed), dtype=object), "us": pd.Series(passed, dtype="int64")})
+
+    rows = _timed(attempts, late).where("symbol IS NOT NULL AND ts IS NOT NULL")
+    kept = rows.select(F.col("symbol").cast("string").alias("symbol"), F.unix_micros("ts").alias("us"))
+    out = kept.groupBy("symbol").applyInPandasWithState(run, "symbol string, us long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.col("symbol").cast(attempts.schema["symbol"].dataType).alias("symbol"), F.timestamp_micros("us").alias("ts"))

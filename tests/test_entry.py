@@ -1,8 +1,13 @@
 """The driver's contract, and a few registered queries against their SQL."""
 
+import datetime
+import tempfile
+
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +50,36 @@ def test_walk_forward_fits_every_rebalance_date(spark, monkeypatch, name):
     rows = entry.queries()[name](spark, SF)
     want = sorted(r[0] for r in aq.purged_folds(spark, SF).select("rebalance_date").distinct().collect())
     assert len(want) > 2 and seen == [(want, 20)] and rows.count() == len(want)
+
+
+def run_stream(spark, rows, schema, build, mode):
+    """What build() makes of rows that come in one file after another."""
+    base = tempfile.mkdtemp(prefix="spark-")
+    for some in rows:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    got = []
+    keep = lambda df, _: (got.clear() if mode == "complete" else None, got.extend(df.collect()))
+    stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return got
+
+
+def test_loss_of_a_new_york_day_counts_across_midnight_utc(spark):
+    from tessera.streaming import rules
+
+    at = lambda day, hour: datetime.datetime(2024, 1, day, hour, tzinfo=datetime.UTC)
+    got = run_stream(spark, [[(at(3, 23), -60.0)], [(at(4, 1), -60.0), (at(4, 6), -60.0)]], "ts timestamp, value double", lambda s: rules.loss_flags(s, 100.0), "complete")
+    assert sorted((str(r["day"]), r["n"], r["value"], r["stopped"]) for r in got) == [("2024-01-03", 2, -120.0, True), ("2024-01-04", 1, -60.0, False)]
+
+
+def test_cooldown_holds_across_windows_and_batches(spark):
+    from tessera.streaming import rules
+
+    at = lambda s: datetime.datetime.fromtimestamp(1_704_300_000 + s, datetime.UTC)
+    rows = [[("a", at(298)), ("a", at(302)), ("b", at(302))], [("a", at(597)), ("a", at(598)), ("b", at(601))]]
+    got = run_stream(spark, rows, "symbol string, ts timestamp", lambda s: rules.first_attempts(s).select("symbol", F.unix_seconds("ts").alias("s")), "append")
+    assert sorted((r["symbol"], r["s"] - 1_704_300_000) for r in got) == [("a", 298), ("a", 598), ("b", 302)]
+
+
+def test_loss_flags_equal_sql(spark):
+    test_query_equals_sql(spark, "stream_loss_flags")
