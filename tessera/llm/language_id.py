@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import map_arrow
+from ._tables import in_one_task, map_arrow
 from ._words import NO_LETTER, U64, chunks, find, find_words, lowered, mix
 
 ORDER = 4
@@ -175,7 +175,7 @@ def fit_languages(docs: DataFrame, *, max_docs: int = 600, text: str = "text", l
     if not counts:
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, max_docs / n) * (1 << 30))))])
-    some = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")]).select("lang", "text")
+    some = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples: dict[str, Counter] = {k: Counter() for k in counts}
@@ -209,7 +209,7 @@ def fit_languages(docs: DataFrame, *, max_docs: int = 600, text: str = "text", l
         meta = json.dumps({"languages": model.languages, "floor": model.floor, "offset": float(w[0]), "slope": float(max(w[1], 0.1))})
         yield pa.RecordBatch.from_arrays([pa.array([meta]), *[pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in (model.grams, model.log_p, model.contexts, model.log_weight)]], ["meta", "a", "b", "c", "d"])
 
-    got = map_arrow(some.coalesce(1), fit, "meta string, a binary, b binary, c binary, d binary").collect()
+    got = map_arrow(in_one_task(some, "id", "text"), fit, "meta string, a binary, b binary, c binary, d binary").collect()
     if not got:
         return None
     meta = json.loads(got[0]["meta"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import map_arrow, written
+from ._tables import in_one_task, map_arrow, written
 from ._words import U64, chunks, distinct_by_row, find_words, lowered
 
 WIDTH = 1 << 14  # hashed words
@@ -67,7 +67,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, max_labels: int = 6000, s
     one = labels.where(F.col(doc_id).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(doc_id).alias("__tessera_id")).agg(F.min(F.col(domain).cast("string")).alias("__d"))
     share = min(1.0, max_labels / max(1, one.count()))
     some = one.where(F.pmod(F.xxhash64("__tessera_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_labels)
-    picked = docs.select(F.col(doc_id).alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).join(F.broadcast(some), "__tessera_id").select("__d", "__tessera_text")
+    picked = docs.select(F.col(doc_id).alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).join(F.broadcast(some), "__tessera_id").select("__tessera_id", "__d", "__tessera_text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, rows, base = [], [], 0
@@ -97,7 +97,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, max_labels: int = 6000, s
                 value -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(domains)]), pa.array([theta.tobytes()]), pa.array([phi.tobytes()])], ["domains", "words", "measures"])
 
-    got = map_arrow(picked.coalesce(1), fit, "domains string, words binary, measures binary").collect()
+    got = map_arrow(in_one_task(picked, "__tessera_id", "__tessera_text"), fit, "domains string, words binary, measures binary").collect()
     if not got:
         return None
     domains = tuple(json.loads(got[0]["domains"]))

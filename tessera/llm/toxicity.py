@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import map_arrow
+from ._tables import in_one_task, map_arrow
 from ._words import NO_LETTER, U64, Words, chunks, distinct_by_row, find, find_words, lowered, mix, prefix_hash
 
 #: Lengths in bytes of the word beginnings that are features beside whole words.
@@ -121,7 +121,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labels: int = 8000,
     share = max_labels / max(1, one.count())
     # Bounded by max_labels, so the broadcast is.
     some = one.where(F.pmod(F.xxhash64("__tessera_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).limit(max_labels)
-    picked = docs.select(F.col(doc_id).alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).join(F.broadcast(some), "__tessera_id").select("__y", "__tessera_text")
+    picked = docs.select(F.col(doc_id).alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).join(F.broadcast(some), "__tessera_id").select("__tessera_id", "__y", "__tessera_text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(np.asarray(b.column("__y").to_numpy(zero_copy_only=False), float), data.copy(), offsets.copy()) for b, data, offsets in chunks(batches, "__tessera_text")]
@@ -129,7 +129,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labels: int = 8000,
         if model is not None:
             yield pa.RecordBatch.from_arrays([pa.array([model.features.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["features", "weights", "bias"])
 
-    got = map_arrow(picked.coalesce(1), fit, "features binary, weights binary, bias double").collect()
+    got = map_arrow(in_one_task(picked, "__tessera_id", "__tessera_text"), fit, "features binary, weights binary, bias double").collect()
     return ToxicityModel(np.frombuffer(bytes(got[0][0]), U64), np.frombuffer(bytes(got[0][1])), got[0][2]) if got else None
 
 

@@ -212,6 +212,26 @@ def test_packing_gives_each_of_many_sources_its_own_queue(spark):
         assert not targets or first["hot"] >= 512
 
 
+def test_fits_read_the_table_in_all_tasks(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def seen(batches):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        open(f"{folder}/{context.stageId()}-{context.partitionId()}", "w").close()
+        yield from batches
+
+    rows = [(i, f"some words {i % 7} and {'bad' if i % 2 else 'fine'} ones", "en" if i % 3 else "de") for i in range(200)]
+    raw = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    docs = raw.mapInArrow(seen, raw.schema)
+    labels = spark.createDataFrame([(i, i % 2, "good" if i % 2 else "poor") for i in range(200)], "doc_id long, toxic int, domain string")
+    for fit in (lambda: toxicity.fit_toxicity(docs, labels), lambda: mixing.fit_domains(docs, labels), lambda: language_id.fit_languages(docs)):
+        assert fit() is not None
+        tasks = Counter(f.name.split("-")[0] for f in tmp_path.iterdir())
+        assert tasks and all(n == 4 for n in tasks.values())
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
