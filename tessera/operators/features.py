@@ -144,9 +144,9 @@ def ensemble(first: DataFrame, second: DataFrame, weight: float = 0.5, top: int
     return both.select("symbol", "date", F.when(agreed, mixed * boost).otherwise(mixed).alias("score"), agreed.alias("consensus"))
 
 
-def turnover_penalty(scores: DataFrame, previous: DataFrame, penalty: float = 0.1) -> DataFrame:
+def turnover_penalty(scores: DataFrame, previous: DataFrame, penalty: float = 0.1, keys: tuple[str, ...] = ()) -> DataFrame:
     """Scores less a share of their change since the previous table; new symbols keep theirs."""
-    before = previous.select("symbol", F.col("score").alias("before"))
-    joined = scores.join(before, "symbol", "left")
+    before = previous.select(*keys, "symbol", F.col("score").alias("before"))
+    joined = scores.join(before, [*keys, "symbol"], "left")
     return joined.withColumn("score", F.col("score") - penalty * F.coalesce(F.abs(F.col("score") - F.col("before")), F.lit(0.0))).drop("before")
 

@@ -93,11 +93,11 @@ def windowed(equity: DataFrame, windows: DataFrame) -> DataFrame:
     return equity.join(F.broadcast(windows), equity["date"] >= windows["start"]).select(F.col("name").alias("run"), "date", "equity", "bench")
 
 
-def monthly_table(equity: DataFrame) -> DataFrame:
-    """(year, m1..m12, annual): returns from month end to month end; the first month has none."""
-    ends = equity.groupBy(F.trunc("date", "month").alias("month")).agg(F.max_by("equity", "date").alias("v"))
-    rets = ends.withColumn("r", F.try_divide("v", F.lag("v").over(Window.orderBy("month"))) - 1).where("r IS NOT NULL")  # a row for each month
-    return rets.groupBy(F.year("month").alias("year")).agg(*[F.max(F.when(F.month("month") == i, F.col("r"))).alias(f"m{i}") for i in range(1, 13)], (F.product(1 + F.col("r")) - 1).alias("annual"))
+def monthly_table(equity: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, year, m1..m12, annual): returns from month end to month end; the first month has none."""
+    ends = equity.groupBy(*keys, F.trunc("date", "month").alias("month")).agg(F.max_by("equity", "date").alias("v"))
+    rets = ends.withColumn("r", F.try_divide("v", F.lag("v").over(Window.partitionBy(*keys).orderBy("month"))) - 1).where("r IS NOT NULL")  # a row for each month
+    return rets.groupBy(*keys, F.year("month").alias("year")).agg(*[F.max(F.when(F.month("month") == i, F.col("r"))).alias(f"m{i}") for i in range(1, 13)], (F.product(1 + F.col("r")) - 1).alias("annual"))
 
 
 def risk_report(returns: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFrame:

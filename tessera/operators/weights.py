@@ -72,14 +72,14 @@ def volatility_scaled(book: DataFrame, covariance: DataFrame, target: float, lev
     return df.withColumn("weight", F.col("weight") * scale).drop("vol")
 
 
-def turnover_capped(previous: DataFrame, target: DataFrame, cap: float, gross_cap: float, stub: float = 0.0025) -> DataFrame:
-    """(symbol, weight): the target, or a blend on the way to it if the full change exceeds the cap; books that reduce an excess pass."""
-    both = previous.select("symbol", F.col("weight").alias("old")).join(target.select("symbol", F.col("weight").alias("new")), "symbol", "full_outer").fillna(0.0)
-    sums = both.agg(F.sum(F.abs(F.col("new") - F.col("old"))).alias("l1"), F.sum("old").alias("g0"), F.sum("new").alias("g1"))
+def turnover_capped(previous: DataFrame, target: DataFrame, cap: float, gross_cap: float, stub: float = 0.0025, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, symbol, weight), for each value of the keys: the target, or a blend on the way to it if the full change exceeds the cap; books that reduce an excess pass."""
+    both = previous.select(*keys, "symbol", F.col("weight").alias("old")).join(target.select(*keys, "symbol", F.col("weight").alias("new")), [*keys, "symbol"], "full_outer").fillna(0.0, ["old", "new"])
+    sums = both.groupBy(*keys).agg(F.sum(F.abs(F.col("new") - F.col("old"))).alias("l1"), F.sum("old").alias("g0"), F.sum("new").alias("g1"))
     free = (F.col("g0") <= 0) | ((F.col("g0") > gross_cap) & (F.col("g1") <= gross_cap)) | (F.lit(cap) >= 1) | (F.col("l1") <= cap)
     blended = F.when(free, F.col("new")).otherwise(F.col("old") + F.try_divide(F.lit(cap), F.col("l1")) * (F.col("new") - F.col("old")))
-    out = both.join(F.broadcast(sums)).withColumn("weight", blended)
-    return out.where((F.col("weight") >= stub) | (free & (F.col("weight") > 0))).select("symbol", "weight")
+    out = both.join(F.broadcast(sums), list(keys) or None).withColumn("weight", blended)
+    return out.where((F.col("weight") >= stub) | (free & (F.col("weight") > 0))).select(*keys, "symbol", "weight")
 
 
 def without_stopped(book: DataFrame, stopped: Column) -> DataFrame:

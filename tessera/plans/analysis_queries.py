@@ -10,7 +10,7 @@ from ..operators import analysis as an
 from ..operators import factors as fa
 from ..operators import features as fe
 from ..sources import panel as src
-from .common import WEEKLY, Query, bars, rounded, sql_bars, sql_factors, sql_full
+from .common import WEEKLY, Query, bars, of_the_date_before, rounded, sql_bars, sql_factors, sql_full
 from .quality_queries import DELISTINGS, delistings
 
 NAMES = ("momentum", "short_term_reversal", "high_proximity", "volatility")
@@ -130,7 +130,13 @@ def penalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fe.turnover_penalty(now, before), "score", digits=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (ic_by_date, ic_statistics, quantile_spreads, decay_by_horizon, rank_turnover, correlation_of_factors, collinearity, feature_base, feature_oscillators, feature_matrix, cross_sectional_target, purged_folds, training_panel, walk_forward_scores, model_importances, validation_spreads, validation_skill, ensemble_scores, penalized_scores)}
+def penalized_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every date against the one before."""
+    df = _two_scores(spark, sf_dir)[0]
+    return rounded(fe.turnover_penalty(df, of_the_date_before(df), keys=("date",)), "score", digits=5)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (ic_by_date, ic_statistics, quantile_spreads, decay_by_horizon, rank_turnover, correlation_of_factors, collinearity, feature_base, feature_oscillators, feature_matrix, cross_sectional_target, purged_folds, training_panel, walk_forward_scores, model_importances, validation_spreads, validation_skill, ensemble_scores, penalized_scores, penalized_scores_all)}
 
 _FWD = lambda h: f"CASE WHEN count(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN sum(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END"
 _PCT = lambda x, keys="date": f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {keys}, {x} IS NULL ORDER BY {x}) + (count({x}) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {keys}) END"

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..operators import factors as fa
 from ..sources import panel as src
 
+def of_the_date_before(df: DataFrame) -> DataFrame:
+    """The rows of each date under the next date that there is."""
+    dates = df.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date"))).where("next IS NOT NULL")  # a row for each date
+    return df.join(F.broadcast(dates), "date").withColumn("date", F.col("next")).drop("next")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Window lengths for weekly bars of the test tables; the operators' defaults are for daily bars.

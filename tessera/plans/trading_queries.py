@@ -126,6 +126,13 @@ def split_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ex.equity_correction(days, days, credits, F.lit(2.0)).withColumn("correction", F.col("correction") + 1e-6), "correction", digits=2)
 
 
+def split_equity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the credits of every symbol."""
+    days = _fills(spark, sf_dir).groupBy(F.col("day").alias("date")).agg(F.sum("quantity").alias("remaining"), F.max("price").alias("price"))
+    credits = _fills(spark, sf_dir).select(F.col("day").alias("date"), F.round(F.col("price") - 2000 + 1e-6, 2).alias("c"))
+    return rounded(ex.equity_correction(days, days, credits, F.lit(2.0)).withColumn("correction", F.col("correction") + 1e-6), "correction", digits=2)
+
+
 def order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fills(spark, sf_dir).select(F.col("id").alias("k"), ex.intent_id("id", "symbol", "side").alias("intent"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("intent").alias("ids"), F.max(F.length("intent")).alias("digits"))
@@ -163,7 +170,7 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, lambda s: rules.bars(s.select("ts", F.col("user_id").alias("symbol"), F.col("value").alias("price")))).select("symbol", "start", "high", "low", "volume")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (orders_rebalance, orders_pre_trade, positions_drift, drift_summary, orders_sliced, fill_slippage, rebalance_completion, position_profit, fills_by_day, fills_assigned, trading_day_totals, retry_cooldown, account_history, splits_unresolved, splits_corrected, split_credits, split_equity, order_intents, stream_day_totals, stream_loss_flags, stream_order_totals, stream_bars)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (orders_rebalance, orders_pre_trade, positions_drift, drift_summary, orders_sliced, fill_slippage, rebalance_completion, position_profit, fills_by_day, fills_assigned, trading_day_totals, retry_cooldown, account_history, splits_unresolved, splits_corrected, split_credits, split_equity, split_equity_all, order_intents, stream_day_totals, stream_loss_flags, stream_order_totals, stream_bars)}
 
 _FILLS = "WITH fills AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey::VARCHAR AS symbol, l_shipdate AS ts, l_shipdate::DATE AS day, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity, round(l_extendedprice / l_quantity + 1e-9, 4) AS price, l_discount, l_tax FROM lineitem)"
 _POS = f"{_FILLS}, pos AS (SELECT symbol, sum(quantity) AS held, round(sum(quantity * price) / sum(quantity), 2) AS entry, max_by(price, (ts, id)) AS price, min(day) AS entry_date FROM fills WHERE side = 'buy' GROUP BY 1), tg AS (SELECT symbol, round(sum(quantity) / sum(sum(quantity)) OVER (), 8) AS weight FROM fills WHERE side = 'sell' GROUP BY 1)"

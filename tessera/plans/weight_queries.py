@@ -11,10 +11,11 @@ from ..operators import performance as pe
 from ..operators import quality as qu
 from ..operators import weights as we
 from ..sources import panel as src
-from .common import WEEKLY, Query, bars, rounded, sql_bars, sql_composite, sql_factors, sql_full
+from .common import WEEKLY, Query, bars, of_the_date_before, rounded, sql_bars, sql_composite, sql_factors, sql_full
 from .quality_queries import DELISTINGS, delistings
 
 CAP, LOW, SECTOR_CAP = 0.12, 0.03, 0.5
+EVER = "0001-01-01"
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,13 @@ def weights_turnover_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(we.turnover_capped(old, new, 0.4, 1.0), "weight", digits=5)
 
 
+def weights_turnover_capped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every book against the one before."""
+    book = rounded(we.score_weights(_top(spark, sf_dir), F.lit(1.0)).select("date", "symbol", "weight"), "weight", digits=5).persist()
+    old = of_the_date_before(book)
+    return rounded(we.turnover_capped(old, book.join(old.select("date").distinct(), "date", "left_semi"), 0.4, 1.0, keys=("date",)), "weight", digits=5)
+
+
 def weights_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(we.concentration(_book(spark, sf_dir)), "hhi", "gross", "effective_n", digits=5)
 
@@ -75,8 +83,8 @@ def weights_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(we.sector_weights(_book(spark, sf_dir), 0.4).withColumn("weight", F.col("weight") + 1e-9), "weight", digits=5)
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = _book(spark, sf_dir).where("date >= DATE'1998-01-01'").select("date", "symbol", "weight")
+def _samples(spark: SparkSession, sf_dir: str, since: str = "1998-01-01") -> DataFrame:
+    book = _book(spark, sf_dir).where(F.col("date") >= F.lit(since).cast("date")).select("date", "symbol", "weight")
     returns = rounded(fa.with_returns(bars(spark, sf_dir)).select("symbol", "date", "ret"), "ret")
     return we.moments(returns, book, 26).persist()
 
@@ -104,6 +112,27 @@ def book_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(we.book_risk(_samples(spark, sf_dir), book), "hhi", "gross", "effective_n", "top_sector", "vol", "drawdown", "var", "cvar", digits=4)
 
 
+def covariance_sample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(we.covariance(_samples(spark, sf_dir, EVER)), "cov", digits=5)
+
+
+def covariance_shrunk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(we.covariance(_samples(spark, sf_dir, EVER), "shrunk"), "cov", digits=5)
+
+
+def covariance_decayed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(we.covariance(_samples(spark, sf_dir, EVER), "ewm"), "cov", digits=5)
+
+
+def weights_volatility_scaled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cov = we.covariance(_samples(spark, sf_dir, EVER))
+    return rounded(we.volatility_scaled(_book(spark, sf_dir), cov, 1.0, F.lit(1.5), 52).select("date", "symbol", "weight"), "weight", digits=5)
+
+
+def book_risk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(we.book_risk(_samples(spark, sf_dir, EVER), _book(spark, sf_dir)), "hhi", "gross", "effective_n", "top_sector", "vol", "drawdown", "var", "cvar", digits=4)
+
+
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     returns = fa.with_returns(bars(spark, sf_dir)).select("symbol", "date", "ret")
     market = fa.with_returns(src.benchmark_bars(spark, sf_dir)).select("date", F.col("ret").alias("market"))
@@ -133,6 +162,18 @@ def performance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df, *[c for c in df.columns if c != "run"], digits=4)
 
 
+def performance_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = spark.createDataFrame([("5y", "1995-01-01"), ("3y", "1996-06-01"), ("1y", "1998-01-01")], "name string, s string").select("name", F.col("s").cast("date").alias("start"))
+    cut = _curves(spark, sf_dir).join(F.broadcast(windows), F.col("date") >= F.col("start")).drop("start")
+    df = pe.performance(cut, ("run", "name"), periods=52)
+    return rounded(df, *[c for c in df.columns if c not in ("run", "name")], digits=4)
+
+
+def monthly_returns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pe.monthly_table(_curves(spark, sf_dir), ("run",))
+    return rounded(df, *[c for c in df.columns if c not in ("run", "year")], digits=5)
+
+
 def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pe.monthly_table(_curves(spark, sf_dir).where("run = 'NATION_1'"))
     return rounded(df, *[c for c in df.columns if c != "year"], digits=5)
@@ -183,7 +224,7 @@ def rebalance_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("date", pe.cost_rate(F.col("turnover")).alias("cost"), pe.margin_interest(F.col("turnover") - 0.5).alias("interest")), "cost", "interest", digits=8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (weights_gross, weights_by_score, weights_bounded, weights_sector_capped, weights_hard_limits, weights_stopped, weights_turnover, weights_turnover_capped, weights_concentration, weights_sectors, covariance_sample, covariance_shrunk, covariance_decayed, weights_volatility_scaled, book_risk, exposures, market_regime, performance_by_run, performance_windows, monthly_returns, return_risk, account_summary, weekly_curve, sharpe_rolling, stop_losses, delisting_payoff, holding_growth, portfolio_equity, rebalance_costs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (weights_gross, weights_by_score, weights_bounded, weights_sector_capped, weights_hard_limits, weights_stopped, weights_turnover, weights_turnover_capped, weights_turnover_capped_all, covariance_sample_all, covariance_shrunk_all, covariance_decayed_all, weights_volatility_scaled_all, book_risk_all, performance_windows_all, monthly_returns_all, weights_concentration, weights_sectors, covariance_sample, covariance_shrunk, covariance_decayed, weights_volatility_scaled, book_risk, exposures, market_regime, performance_by_run, performance_windows, monthly_returns, return_risk, account_summary, weekly_curve, sharpe_rolling, stop_losses, delisting_payoff, holding_growth, portfolio_equity, rebalance_costs)}
 
 _TOP = f"WITH {sql_bars()}, {sql_factors(WEEKLY)}, {sql_composite('fac', fa.WEIGHTS)}, t0 AS (SELECT date, symbol, sector, round(score, 5) AS score FROM comp WHERE score IS NOT NULL AND ((date - DATE '1995-01-02') // 7) % 4 = 0), top AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS k FROM t0) WHERE k <= 12)"
 

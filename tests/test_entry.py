@@ -83,3 +83,12 @@ def test_cooldown_holds_across_windows_and_batches(spark):
 
 def test_loss_flags_equal_sql(spark):
     test_query_equals_sql(spark, "stream_loss_flags")
+
+
+def test_whole_tables_hold_the_subsets_and_more(spark):
+    got = lambda name: {tuple(r) for r in entry.queries()[name](spark, SF).collect()}
+    part, whole = got("monthly_returns"), got("monthly_returns_all")
+    assert {r[1:] for r in whole if r[0] == "NATION_1"} == part and len({r[0] for r in whole}) > 1
+    part, whole = got("weights_turnover_capped"), got("weights_turnover_capped_all")
+    last = max(r[0] for r in whole)
+    assert {r[1:] for r in whole if r[0] == last} == part and len({r[0] for r in whole}) > 2
