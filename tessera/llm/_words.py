@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _seed(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-
-
-BYTE_CODE = _seed(256)
-BASE = U64(0xD1342543DE82EF95)
+#: Bytes of a word that are hashed in blocks of eight for many words at once; longer words are hashed one by one.
+BLOCK_BYTES = 128
+#: Masks that keep the first 0 to 8 bytes of a little-endian block.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 @lru_cache(maxsize=8)
@@ -52,6 +51,28 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return _powers(int(base), max(12, int(n).bit_length()))[:n]
 
 
+def _head_hash(head: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(mix(length.astype(U64)) ^ (head & HEAD[np.minimum(length, 8)]))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first eight bytes) of each span of bytes: its length and then block after block of eight bytes, each
+    scrambled into what came before, so that no structure of the bytes cancels out."""
+    length = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    block = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    head = block[start]
+    value = _head_hash(head, length)
+    more, k = np.flatnonzero(length > 8), 8
+    while len(more) and k < BLOCK_BYTES:
+        value[more] = mix(value[more] ^ (block[start[more] + k] & HEAD[np.minimum(length[more] - k, 8)]))
+        k += 8
+        more = more[length[more] > k]
+    for i in more.tolist():
+        value[i] = U64(int.from_bytes(blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little"))
+    return value, head
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,7 +108,7 @@ class Words:
     row: np.ndarray  # row of the chunk
     first: np.ndarray  # n_rows + 1: index of each row's first word
     hash: np.ndarray
-    sums: np.ndarray  # running sums that hash any prefix of a word
+    head: np.ndarray  # first eight bytes
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, lower: bool = False) -> Words:
@@ -104,25 +125,13 @@ def find_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE,
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(start, offsets)
-    length = end - start
-    at = np.arange(n, dtype=np.int64)
-    if len(start):
-        origin = np.zeros(n, np.int64)
-        origin[start] = start
-        np.maximum.accumulate(origin, out=origin)
-        at -= origin
-    code = BYTE_CODE[LOWER] if lower else BYTE_CODE
-    sums = np.zeros(n + 1, U64)
-    longest = int(at.max()) + 1 if n else 1
-    np.cumsum(code[data] * powers(BASE, longest)[at], out=sums[1:])
-    value = mix(sums[end] - sums[start] + length.astype(U64)) if len(start) else np.zeros(0, U64)
-    return Words(start, end, row, first, value, sums)
+    value, head = span_hashes(LOWER[data] if lower else data, start, end)
+    return Words(start, end, row, first, value, head)
 
 
 def prefix_hash(words: Words, length: int) -> np.ndarray:
-    """Hash of each word's first `length` bytes; words not longer than that hash as whole words do."""
-    stop = np.minimum(words.end, words.start + length)
-    return mix(words.sums[stop] - words.sums[words.start] + (stop - words.start).astype(U64))
+    """Hash of each word's first `length` bytes, at most eight; words not longer than that hash as whole words do."""
+    return _head_hash(words.head, np.minimum(words.end - words.start, length))
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

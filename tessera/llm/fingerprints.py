@@ -6,47 +6,44 @@ a wide vector and the document's fingerprint is the sum of the vectors, lane by
 the order of paragraphs, and inserting or deleting one adds or subtracts its vector; no other
 paragraph is read again.
 
-The equality lanes of a paragraph are independent 64-bit scrambles of its bytes' hash. Its
+The equality lanes of a paragraph are the 512 bits of its BLAKE2b digest, so they are independent of each other. Its
 likeness lanes are a count sketch of its runs of three words (shorter paragraphs: the whole as one
 run): every run adds +1 or -1 to one lane. The dot product of two sketches estimates the dot
 product of the run counts, hence the likeness 2 a.b / (a.a + b.b), cut to 0..1.
 
 Cases: a null text is empty; an empty text has the fingerprint of one empty paragraph, and any two
 texts without a word have likeness 1; equal texts have equal fingerprints, wherever and however
-often they occur; long texts are read whole; an empty table gives no rows.
+often they occur; long texts are read whole; an empty table gives no rows. Input columns that have the name of
+an output are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import map_arrow
-from ._words import CHUNK_BYTES, SPACE, U64, _seed, find_words, mix, text_bytes, windows
+from ._words import CHUNK_BYTES, SPACE, U64, find_words, mix, text_bytes, windows
 
 EQUAL_LANES, LIKE_LANES, RUN = 8, 128, 3
-LANE_SEEDS = _seed(EQUAL_LANES)
-NO_BREAK = np.zeros(256, bool)
-NO_BREAK[0x0A] = True
+#: Bytes of text in one range of ids, about.
+RANGE_BYTES = 32 << 20
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows x 8 sums modulo 2**64, rows x 128 sums modulo 2**16) of the texts of a chunk."""
     n = len(offsets) - 1
-    # Paragraphs: words when only the line feed parts them, and empty ones beside.
-    lines = find_words(data, offsets, NO_BREAK)
-    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-    n_lines = breaks[offsets[1:]] - breaks[offsets[:-1]] + 1
-    empty = n_lines - np.bincount(lines.row, minlength=n)
-    equal = np.zeros((n, EQUAL_LANES), U64)
-    for lane in range(EQUAL_LANES):
-        value = np.concatenate([[U64(0)], np.cumsum(mix(lines.hash ^ LANE_SEEDS[lane]))])
-        equal[:, lane] = value[lines.first[1:]] - value[lines.first[:-1]] + empty.astype(U64) * mix(LANE_SEEDS[lane : lane + 1])[0]
+    blob, at = data.tobytes(), offsets.tolist()
+    lines = [blob[i:j].split(b"\n") for i, j in zip(at, at[1:])]
+    digests = np.frombuffer(b"".join([blake2b(x).digest() for row in lines for x in row]), "<u8").reshape(-1, EQUAL_LANES)
+    equal = np.add.reduceat(digests, np.cumsum([0, *map(len, lines)])[:-1], axis=0)
     # Runs of words within paragraphs: cutting rows at line feeds keeps runs from crossing them.
     cuts = np.unique(np.concatenate([offsets, np.flatnonzero(data == 0x0A)]))
     words = find_words(data, cuts, SPACE)
@@ -86,7 +83,7 @@ def as_text(v: tuple[np.ndarray, np.ndarray]) -> list[str]:
 
 
 def _of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    parts = []
+    parts = [(np.zeros((0, EQUAL_LANES), U64), np.zeros((0, LIKE_LANES), np.uint16))]
     data, offsets = text_bytes(texts)
     at = 0
     while at < len(texts):
@@ -113,24 +110,44 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint")
 def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
     """`docs` with `next_text`: the text of the row after in descending order of the id (for the last: of the first).
 
-    Rows are dealt to ranges of the id (by approximate quantiles) and sorted there, which is the only shuffle
-    of texts. The first row of each range, at most `blocks` + 1 rows in all, is handed to the range before it. Rows of one id
-    follow in the order of their texts; null ids come last, null texts are empty.
+    Rows are dealt to ranges of the id (by approximate quantiles; their number follows from the bytes of text) and sorted
+    there, which is the only shuffle of texts. The first row of each range is handed to the range before it, by a join on the
+    ranges. Rows of one id follow in the order of their texts; null ids come last, null texts are empty.
     """
-    blocks = blocks or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    cuts = docs.agg(F.percentile_approx(F.col(order).cast("double"), [i / blocks for i in range(1, blocks)], 10_000).alias("p")).first()["p"] or []
-    ranges = Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="__tessera_id", outputCol="__b", handleInvalid="keep") if cuts else None
-    dealt = docs.withColumn("__tessera_id", F.col(order).cast("double"))
-    dealt = (ranges.transform(dealt) if ranges else dealt.withColumn("__b", F.lit(0.0))).withColumn("__b", F.when(F.col("__tessera_id").isNull(), -1).otherwise(F.col("__b")).cast("int")).drop("__tessera_id")
-    # The first row of each range: its largest id, then the least of the texts with that id.
-    top = dealt.groupBy(F.col("__b").alias("__c")).agg(F.max(order).alias("__top"))
-    heads = dealt.select("__b", F.col(order).alias("__own"), F.col(text).alias("__head")).join(F.broadcast(top), F.expr("__b = __c AND __own <=> __top"), "left_semi")
-    heads = heads.groupBy("__b").agg(F.min("__head").alias("__head"))
-    lowest_first = Window.orderBy("__b")  # a row for each range
-    after = heads.select("__b", F.coalesce(F.lag("__head").over(lowest_first), F.last("__head").over(lowest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__after"))
-    inside = dealt.withColumn("next_text", F.lead(text).over(Window.partitionBy("__b").orderBy(F.col(order).desc_nulls_last(), F.col(text))))
-    return inside.join(F.broadcast(after), "__b", "left").withColumn("next_text", F.coalesce("next_text", "__after")).drop("__b", "__after")
+    if blocks is None:
+        blocks = max(2 * parts, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // RANGE_BYTES)
+    key, block = F.col(order).cast("double"), F.col("__tessera_block")
+    cuts = docs.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks)).alias("p")).first()["p"] or []
+    ranges = Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="__tessera_key", outputCol="__tessera_block", handleInvalid="keep") if cuts else None
+    dealt = docs.withColumn("__tessera_key", key)
+    dealt = ranges.transform(dealt) if ranges else dealt.withColumn("__tessera_block", F.lit(0.0))
+    dealt = dealt.withColumn("__tessera_block", F.when(F.col("__tessera_key").isNull(), -1).otherwise(block).cast("int")).drop("__tessera_key")
+    # The first row of each range: its largest id, then the least of the texts with that id. A few bytes a range.
+    top = dealt.groupBy(block.alias("__c")).agg(F.max(order).alias("__top"))
+    heads = dealt.select("__tessera_block", F.col(order).alias("__own"), F.col(text).alias("__head")).join(F.broadcast(top), F.expr("__tessera_block = __c AND __own <=> __top"), "left_semi")
+    heads = heads.groupBy("__tessera_block").agg(F.min("__head").alias("__head"))
+    lowest_first = Window.orderBy("__tessera_block")  # a row for each range
+    after = heads.select("__tessera_block", F.coalesce(F.lag("__head").over(lowest_first), F.last("__head").over(lowest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__tessera_after"))
+    if blocks > 2 * parts:
+        dealt = dealt.repartition(blocks // 2, block)
+    inside = dealt.withColumn("next_text", F.lead(text).over(Window.partitionBy("__tessera_block").orderBy(F.col(order).desc_nulls_last(), F.col(text))))
+    # Both sides are dealt by the range, so the join moves the heads only.
+    return inside.join(after, "__tessera_block", "left").withColumn("next_text", F.coalesce("next_text", "__tessera_after")).drop("__tessera_block", "__tessera_after")
+
+
+def _other(texts: pa.Array, own: tuple[np.ndarray, np.ndarray], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of another column; where it holds the text of the row after, they are known already."""
+    column, texts = pc.fill_null(column, ""), pc.fill_null(texts, "")
+    known = np.zeros(len(texts), bool)
+    known[:-1] = pc.equal(column.slice(0, len(texts) - 1), texts.slice(1)).to_numpy(zero_copy_only=False)
+    rest = np.flatnonzero(~known)
+    new = _of(column.take(pa.array(rest)))
+    out = tuple(np.roll(x, -1, axis=0) for x in own)
+    for x, y in zip(out, new, strict=True):
+        x[rest] = y
+    return out
 
 
 def compare(docs: DataFrame, text: str, others: dict[str, str], hashed: tuple[str, ...] = ()) -> DataFrame:
@@ -138,18 +155,18 @@ def compare(docs: DataFrame, text: str, others: dict[str, str], hashed: tuple[st
 
     others: column of another text -> name of the likeness. Those in `hashed` also give `<column>_fingerprint`.
     """
-    keep = [f for f in docs.schema.fields if f.name != text and f.name not in others]
-    names = [f.name for f in keep]
     new = ["fingerprint", *[f"{c}_fingerprint" for c in hashed], *others.values()]
+    keep = [f for f in docs.schema.fields if f.name not in (text, *others, *new)]
+    names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 own = _of(batch.column(text))
-                found = {c: _of(batch.column(c)) for c in others}
+                found = {c: _other(batch.column(text), own, batch.column(c)) for c in others}
                 out = [pa.array(as_text(own)), *[pa.array(as_text(found[c])) for c in hashed], *[pa.array(likeness(own[1], found[c][1])) for c in others]]
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *out], [*names, *new])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), *[f"`{n}` {'double' if n in others.values() else 'string'}" for n in new]])
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs.select(*names, text, *others), run, schema)

@@ -23,7 +23,7 @@ of any length are cut at window ends only. Other columns of the input are ignore
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -34,77 +34,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import map_arrow, small_side, written
+from ._words import chunks, find_words
 
 QUANTA = 1 << 20  # resolution of target shares
 CACHE_WORDS = 600_000  # words whose ids a task keeps
 TAIL = "!\"#$%&()*+,-./:;=?@]^_`{|}~>"  # ASCII marks that may follow a word
 MARK = "\x01"  # stands between words that are encoded in one call
+#: What the pre-tokenizer never joins across: the space and the line feed.
+BREAK = np.zeros(256, bool)
+BREAK[[0x20, 0x0A]] = True
 
 
-def _token_ids(path: str, end_id: int):
-    """A function from texts to little-endian 16- or 32-bit ids, with ids of words kept.
+class _TokenIds:
+    """Ids of texts, with the ids of words kept.
 
-    The pre-tokenizer never joins what a space or line feed parts, so ids of a text are the ids of its words in turn.
+    The pre-tokenizer never joins what a space or line feed parts, so ids of a text are the ids of its words in turn. Words are
+    told apart by 64-bit hashes; each new word is encoded once and its ids stay in one flat array.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    wide = "<u4" if tokenizer.get_vocab_size() > 1 << 16 else "<u2"
-    size = int(wide[-1])
-    end = np.array([end_id], wide).tobytes()
-    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
-    cache: dict[str, bytes] = {"": b""}
-
-    def encode(words: Iterable[str]) -> None:
-        """Many words in one call, parted by a mark of one id that none of them holds; the others one by one."""
-        words = [w for w in words if w not in cache]
+
+    def __init__(self, path: str, end_id: int) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.end_id = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        """Slot 0 holds the end id; slot i the ids of the i-th known word."""
+        self.slots: dict[int, int] = {}
+        self.cores: dict[str, bytes] = {"": b""}
+        self.flat = np.array([self.end_id], self.kind)
+        self.first, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _encode(self, parts: set[str]) -> None:
+        """Many in one call, parted by a mark of one id that none of them holds; the others one by one."""
+        size, cache, mark = self.kind.itemsize, self.cores, self.mark
+        words = [w for w in parts if w not in cache]
         plain = [w for w in words if MARK not in w] if len(mark) == 1 else []
         for at in range(0, len(plain), 2048):
             some = plain[at : at + 2048]
-            ids = np.array(tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, wide)
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(ids == mark[0])
             raw, first, last = ids.tobytes(), (np.append(0, cut + 1) * size).tolist(), (np.append(cut, len(ids)) * size).tolist()
             cache.update(zip(some, (raw[i:j] for i, j in zip(first, last, strict=True)), strict=True))
         for w in words:
             if w not in cache:
-                cache[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, wide).tobytes()
-
-    def parts(word: str) -> tuple[str, str]:
-        """What the pre-tokenizer parts in any case: a core that ends in a letter or digit, in small letters, and marks after it."""
-        core = word.rstrip(TAIL)
-        if "<|" in word or not core or not core.lower()[-1].isalnum():
-            return word, ""
-        return core.lower() if core.isascii() else core, word[len(core) :]
-
-    def ids(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-            cache[""] = b""
-        new = {w: parts(w) for w in set().union(*split).difference(cache)}
-        encode({x for pair in new.values() for x in pair})
-        cache.update({w: cache[core] + cache[tail] for w, (core, tail) in new.items()})
-        return [b"".join(map(cache.__getitem__, words)) + end for words in split]
-
-    return ids, size
+                cache[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Gives each new word a slot. A core that ends in a letter or digit, in small letters, and the marks after it are parted in any case."""
+        pairs = []
+        for word in words:
+            core = word.rstrip(TAIL)
+            if not core or "<|" in word or not core.lower()[-1].isalnum():
+                pairs.append((word, ""))
+            else:
+                pairs.append((core.lower() if core.isascii() else core, word[len(core) :]))
+        self._encode({x for pair in pairs for x in pair})
+        ids = [self.cores[core] + self.cores[tail] for core, tail in pairs]
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        self.slots.update(zip(hashes.tolist(), range(len(self.count), len(self.count) + len(ids)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), self.kind)])
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, number of each row) of a chunk of texts; each row ends with the end id."""
+        words = find_words(data, offsets, BREAK)
+        if len(self.count) > CACHE_WORDS:
+            self._forget()
+        known, index, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+        slot = np.fromiter((self.slots.get(h, -1) for h in known.tolist()), np.int64, len(known))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            blob, at = data.tobytes(), index[new]
+            slot[new] = np.arange(len(self.count), len(self.count) + len(new))
+            self._learn(known[new], [blob[i:j].decode() for i, j in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
+        items = np.insert(slot[inverse], words.first[1:], 0)
+        count = self.count[items]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.first[items] - (ends - count), count) + np.arange(ends[-1])]
+        rows = ends[words.first[1:] + np.arange(len(offsets) - 1)]
+        return ids, np.diff(rows, prepend=0)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, source: str, doc_id: str) -> DataFrame:
     """(doc_id, source, ids, width, n, part, before): before counts the source's earlier tokens of the same task."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, width = _token_ids(tokenizer_path, end_id)
-        part, served = TaskContext.get().partitionId(), {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                names, ids = batch.column(1).to_pylist(), to_ids([t or "" for t in batch.column(2).to_pylist()])
-                n, before = [len(x) // width for x in ids], []
-                for name, k in zip(names, n, strict=True):
-                    before.append(served.get(name, 0))
-                    served[name] = before[-1] + k
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(ids, pa.binary()), pa.array([width] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int64()), pa.array(before, pa.int64())], ["doc_id", "queue", "ids", "width", "n", "part", "before"])
-
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("queue"), F.col(text).alias("text"))
+        to_ids = _TokenIds(tokenizer_path, end_id)
+        part, served, width = TaskContext.get().partitionId(), {}, to_ids.kind.itemsize
+        for batch, data, offsets in chunks(batches, "text"):
+            ids, n = to_ids.of(data, offsets)
+            before = []
+            for name, k in zip(batch.column(1).to_pylist(), n.tolist(), strict=True):
+                before.append(served.get(name, 0))
+                served[name] = before[-1] + k
+            places = np.append(0, np.cumsum(n) * width)
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, pa.array([width] * len(n), pa.int32()), pa.array(n), pa.array([part] * len(n), pa.int64()), pa.array(before, pa.int64())], ["doc_id", "queue", "ids", "width", "n", "part", "before"])
+
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("queue"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return map_arrow(plain, encode, "doc_id long, queue string, ids binary, width int, n long, part long, before long")
 
 
