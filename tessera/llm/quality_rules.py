@@ -9,7 +9,8 @@ over the texts. Only built-in expressions are used.
 Cases: a null or blank text has 0 words and fails ``too_few_words``; rows with the same text
 get the same ledger; an empty table gives an empty ledger; columns beyond the id and the text
 are carried along unless they have the name of a measurement, which then replaces them.
-A text is measured whole, whatever its length.
+A text is measured whole, whatever its length. Windows count as equal by their words: hashes only bring them together (in a text
+of n words 64 less log2(n) bits; a repeat could be missed only where other words with the same bits stand between).
 """
 
 from __future__ import annotations
@@ -56,34 +57,37 @@ BASE_POLICY = Policy("base", 1, RULES[:2])
 DEFAULT_POLICY = Policy("prose", 2, RULES)
 
 
-def _measured(df: DataFrame, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__tessera_text", t).withColumn("__w", F.array_remove(F.split(F.col("__tessera_text"), r"[\x20\x09-\x0D]+"), ""))
+def _measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` and the measurements. A row travels as one struct, so that no name of a step meets one of the input."""
+    own = F.struct(*keep) if keep else F.struct(F.lit(0).alias("nothing"))
+    df = docs.select(own.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    df = df.withColumn("w", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     # One long per 3-word window: the upper bits are its hash, the lower `b` bits its place, so that
-    # sorting longs brings equal windows together. b is the least that holds the word count.
-    b = F.length(F.bin(F.size("__w").cast("long")))
-    df = df.withColumn("__low", F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1).withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
-    window = F.transform(F.slice("__h", 1, F.greatest(F.size("__h") - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("__h", i + 1), F.get("__h", i + 2)).bitwiseAND(F.bitwise_not("__low")).bitwiseOR(i.cast("long")))
-    df = df.withColumn("__s", F.sort_array(window))
-    same = lambda x, y: x.bitwiseXOR(y) <= F.col("__low")  # noqa: E731  equal upper bits leave only place bits
-    pair = F.zip_with(F.slice("__s", 1, F.greatest(F.size("__s") - 1, F.lit(0))), F.slice("__s", 2, F.greatest(F.size("__s") - 1, F.lit(0))), lambda x, y: F.when((x.bitwiseXOR(y) >= 0) & same(x, y), F.array(x, y)))
-    df = df.withColumn("__p", F.sort_array(F.array_distinct(F.transform(F.flatten(F.filter(pair, lambda p: p.isNotNull())), lambda x: x.bitwiseAND(F.col("__low"))))))
-    steps = F.zip_with(F.slice("__p", 1, F.greatest(F.size("__p") - 1, F.lit(0))), F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(0))), lambda x, y: F.least(y - x, F.lit(3).cast("long")))
-    covered = F.when(F.size("__p") > 0, F.aggregate(steps, F.lit(3).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
-    lines = F.filter(F.split(F.col("__tessera_text"), "\n"), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
-    solid = F.translate(F.col("__tessera_text"), BLANK, "")
-    df = df.withColumn("__l", lines).withColumn("__c", solid)
-    return df.withColumns(
-        {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length("__c").cast("long"),
-            "n_symbols": (F.length("__c") - F.length(F.translate("__c", SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("__l").cast("long"),
-            "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-            "n_repeat_words": covered,
-            "n_capitals": (F.length("__c") - F.length(F.regexp_replace("__c", r"\p{Lu}", ""))).cast("long"),
-        }
-    ).drop("__tessera_text", "__w", "__low", "__h", "__s", "__p", "__l", "__c")
+    # sorting longs brings equal windows together. b is the least that holds the word count. Where the upper bits agree the words decide.
+    b = F.length(F.bin(F.size("w").cast("long")))
+    df = df.withColumn("low", F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    window = F.transform(F.slice("h", 1, F.greatest(F.size("h") - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("h", i + 1), F.get("h", i + 2)).bitwiseAND(F.bitwise_not("low")).bitwiseOR(i.cast("long")))
+    df = df.withColumn("s", F.sort_array(window))
+    words_at = lambda x: F.slice("w", x.bitwiseAND(F.col("low")).cast("int") + 1, 3)
+    same = lambda x, y: (x.bitwiseXOR(y) >= 0) & (x.bitwiseXOR(y) <= F.col("low")) & (words_at(x) == words_at(y))  # noqa: E731  equal upper bits leave only place bits
+    pair = F.zip_with(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda x, y: F.when(same(x, y), F.array(x, y)))
+    df = df.withColumn("p", F.sort_array(F.array_distinct(F.transform(F.flatten(F.filter(pair, lambda p: p.isNotNull())), lambda x: x.bitwiseAND(F.col("low"))))))
+    steps = F.zip_with(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x, y: F.least(y - x, F.lit(3).cast("long")))
+    covered = F.when(F.size("p") > 0, F.aggregate(steps, F.lit(3).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
+    df = df.withColumn("l", lines).withColumn("c", F.translate("text", BLANK, ""))
+    measures = {
+        "n_words": F.size("w").cast("long"),
+        "word_chars": F.length("c").cast("long"),
+        "n_symbols": (F.length("c") - F.length(F.translate("c", SYMBOLS, ""))).cast("long"),
+        "n_lines": F.size("l").cast("long"),
+        "n_dup_lines": (F.size("l") - F.size(F.array_distinct("l"))).cast("long"),
+        "n_repeat_words": covered,
+        "n_capitals": (F.length("c") - F.length(F.regexp_replace("c", r"\p{Lu}", ""))).cast("long"),
+    }
+    # A generator of one row: filters on measurements stay above it, so that no filter measures a text again.
+    measured = df.select("row", F.inline(F.array(F.struct(*[m.alias(name) for name, m in measures.items()]))))
+    return measured.select(*[F.col("row")[c].alias(c) for c in keep], *measures)
 
 
 def rule_columns(limits: Limits = Limits()) -> dict[str, Column]:
@@ -106,7 +110,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 def quality_ledger(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """`docs` without its text, with the measurements and `ledger` (bit b set: RULES[b] failed)."""
     keep = [c for c in docs.columns if c != text and c.lower() not in MEASURES and c.lower() != "ledger"]
-    df = _measured(docs.select(*keep, text), text).drop(text)
+    df = _measured(docs, text, keep)
     bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(rule_columns(limits).values())]
     total = bits[0]
     for b in bits[1:]:
