@@ -11,10 +11,12 @@ Tokens are 64-bit hashes of shingles. The steps, each a Spark job over what the
 3. Index: tokens that only one set has bound the sizes of its partners, and sets that can have none leave. Tokens are ordered by
    class: the rare (up to `frequent` sets) first, then each doubling of the count, within a class by hash. If the
    least shared token is rare, both sets hold it in their first d + 1 tokens: single tokens index these.
-   If it is frequent, all shared tokens are, and the two least are in the first d + 2: pairs of
-   tokens index these in sets of up to `short` tokens (longer sets, whose pairs would be too many, keep single tokens).
-   Sets whose least shared token has place i in one of them share at most n - i tokens, so each entry of the index
-   bounds the size of the partners met there. Edits of a much copied text are rarer than the text, come first, and so count against it.
+   If it is frequent, all shared tokens are. Then combinations of two index the sets: of the frequent tokens of a set, each with the
+   next one in the order. A token that only one of two sets has breaks at most one such combination, so sets of a and b frequent tokens,
+   s of them shared, have 3 s - 1 - a - b combinations in common, and the prefix of combinations that must hold one of these is extended
+   to about n / 2. So a set of any size has fewer entries than tokens.
+   An entry at a later place leaves less to share, so each bounds the size of the partners met there. Edits of a much
+   copied text are rarer than the text, come first, and so count against it.
 4. Verification without all pairs: each document is compared with the first of a bucket, what links is
    contracted, and further comparisons are made only between different components that share a bucket,
    until every bucket's pairs of components have been compared in full. No cap applies, so no link between different texts is lost.
@@ -39,6 +41,7 @@ from ._tables import BROADCAST_ROWS, map_arrow, small_side, written
 from ._words import U64, Words, chunks, distinct_by_row, find, find_words, mix, ragged, signed, windows
 
 REACH = 0.4  # share of a set in its extended prefix
+BUCKET_BYTES = 32 << 20  # of prefixes that meet in one group, at most about
 
 
 def _tokens(words: Words, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,37 +149,41 @@ def _differing_bits(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _signatures(sets: DataFrame, often: np.ndarray, classes: np.ndarray, percent: int, short: int) -> DataFrame:
+def _signatures(sets: DataFrame, often: np.ndarray, classes: np.ndarray, percent: int) -> DataFrame:
     """(signature, doc_id, room): what the index holds of each set; sets that meet there for the first time are similar only if neither has more than the other's `room` tokens."""
     loose = 1 - percent / 100
+    paired = percent > 50
+    # Below this sum of sizes, two similar sets need not have a combination in common, and frequent tokens are indexed singly too.
+    small = 2 * (100 + percent) / (2 * percent - 100) if paired else math.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("tokens")
             flat = column.flatten().to_numpy(zero_copy_only=False).view(U64)
-            n = np.diff(column.offsets.to_numpy())
+            n = np.diff(column.offsets.to_numpy()).astype(np.int64)
+            if not len(flat):
+                continue
             at = find(often, flat)
             level = np.where(at >= 0, classes[at], 0) if len(often) else np.zeros(len(flat), np.int64)
-            order = np.lexsort((flat, level, np.repeat(np.arange(len(n)), n)))
-            flat, level = flat[order], level[order]
-            out_s, out_d, out_r, begin = [], [], [], 0
-            for doc, size in zip(batch.column("doc_id").to_pylist(), n.tolist(), strict=True):
-                token, n_rare = flat[begin : begin + size], int(np.count_nonzero(level[begin : begin + size] == 0))
-                begin += size
-                d = int(loose * size + 1e-9)
-                singles = d + 1 if size > short else min(n_rare, d + 1)
-                found, left = [token[:singles]], [size - np.arange(min(singles, size))]
-                if n_rare <= d and 1 < size <= short / (1 - loose):
-                    part = token[n_rare : d + 2]
-                    i, j = np.triu_indices(len(part), 1)
-                    found.append(mix(part[i] * U64(3) + part[j]))
-                    left.append(size - n_rare - np.maximum(i, j - 1))
-                found, left = np.concatenate(found), np.concatenate(left)
-                out_s.append(found)
-                out_d.append(np.full(len(found), doc))
-                out_r.append(left * (100 + percent) // percent - size)
-            if out_s:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(out_s))), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_r).astype(np.int64))], ["signature", "doc_id", "room"])
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, level, row))
+            flat, rare = flat[order], level[order] == 0
+            size, place = n[row], np.arange(len(flat)) - (np.cumsum(n) - n)[row]
+            m = n - np.bincount(row, rare, len(n)).astype(np.int64)  # frequent tokens
+            one = np.flatnonzero((place <= np.floor(loose * size + 1e-9)) & (rare | (size * (100 + percent) < 100 * small)))
+            signature, who = [flat[one]], [row[one]]
+            room = [(size[one] - place[one]) * (100 + percent) // percent - size[one]]
+            if paired:
+                two = np.flatnonzero(~rare & (place + 1 < size))
+                nth = place[two] - (size - m[row])[two]
+                left = ((100 + percent) * (2 * m[row[two]] - nth) - 3 * percent * size[two]) // (2 * percent - 100)
+                fits = left * 100 >= size[two] * percent
+                two, left = two[fits], left[fits]
+                signature.append(mix(flat[two] * U64(3) + flat[two + 1]))
+                who.append(row[two])
+                room.append(left)
+            doc = batch.column("doc_id").take(pa.array(np.concatenate(who)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(signature))), doc, pa.array(np.concatenate(room))], ["signature", "doc_id", "room"])
 
     return map_arrow(sets, run, "signature long, doc_id long, room long")
 
@@ -203,15 +210,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int
     return x.join(y, ["a", "b"]).where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
-def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, frequent: int = 64, short: int = 48, text: str = "text", doc_id: str = "doc_id", star_rounds: int = 2) -> DataFrame:
+def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, frequent: int = 64, text: str = "text", doc_id: str = "doc_id", star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) for each row: component_id is the least id reachable by links, class_id the least id with the same set."""
     spark = docs.sparkSession
     loose = 1 - percent / 100
     plain = docs.select(F.col(doc_id).cast("long").alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text"))
     all_sets = written(shingle_sets(docs, k, text, doc_id), "sets")
-    classes = all_sets.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"))
+    classes = all_sets.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
 
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = all_sets.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
+    buckets = max(4 * parts, int((held["tokens"] or 0) * REACH * 12) // BUCKET_BYTES)
     shared = _shared_prefixes(plain.where(F.col("__tessera_id").isNotNull()), k, buckets)
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * ((REACH - loose) * percent / 100) - 1e-9))
     alive = written(classes.join(shared, F.col("class_id") == F.col("doc_id")).where(F.col("shared") >= least).select(F.col("class_id").alias("__tessera_id")).distinct(), "candidates")
@@ -235,7 +244,7 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
     sizes = sketches.select("doc_id", "n").join(own, "doc_id", "left").select("doc_id", "n", F.floor((F.col("n") - F.coalesce("alone", F.lit(0))) * (100 + percent) / percent + 1e-9).alias("sum")).select("doc_id", "n", (F.col("sum") - F.col("n")).alias("most"))
     sizes = written(sizes.where(F.col("most") * 100 >= F.col("n") * percent), "sizes")
 
-    postings = _signatures(sets.select("doc_id", "tokens"), often, classes_of, percent, short)
+    postings = _signatures(sets.select("doc_id", "tokens"), often, classes_of, percent)
     index = postings.join(small_side(sizes), "doc_id").select("signature", "doc_id", "n", F.least("most", "room").alias("most"))
     index = written(index.where(F.col("most") * 100 >= F.col("n") * percent), "postings")
     met = index.groupBy("signature").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -273,14 +282,34 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
             edges = edges.union(more)
         labels = components(edges)
 
-    comps = classes.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("key1", "key2", "class_id", F.coalesce("component", "class_id").alias("component"))
-    merged = all_sets.join(comps, ["key1", "key2"], "left")
-    alone = F.col("n") == 0
-    return merged.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    comps = classes.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("key1", "key2", "copies", "class_id", F.coalesce("component", "class_id").alias("component"))
+    comps = written(comps, "classes")
+    # Classes with many copies, of which there are at most 8 a partition, are broadcast; so no task gets all copies of a text.
+    many = held["rows"] // (8 * parts)
+    heavy = F.broadcast(comps.where(F.col("copies") > many).drop("copies"))
+    worded, keys = all_sets.where("n > 0"), ["key1", "key2"]
+    alone = all_sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component"))
+    merged = [worded.join(heavy, keys), worded.join(heavy, keys, "left_anti").join(comps.where(F.col("copies") <= many), keys)]
+    for part in merged:
+        alone = alone.union(part.select("doc_id", "n", "class_id", "component"))
+    return alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_id")
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """`docs` with one row of each component: that of the least id (of equal ids the least text); rows without words all stay."""
-    found = similarity_classes(docs, text=text, doc_id=doc_id, **options)
-    drop = written(found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "dropped")
-    return docs.join(small_side(drop), doc_id, "left_anti")
+    """`docs` with one row of each component: that of the least id (of rows with that id the one of the least text).
+
+    Rows without words all stay, and so do rows with a null id, which are no node of the graph.
+    """
+    found = similarity_classes(docs, text=text, doc_id=doc_id, **options).where(F.col("n_shingles") > 0)
+    found = written(found.select(F.col("doc_id").alias("__tessera_id"), "component_id").where(F.col("__tessera_id").isNotNull()), "members")
+    drop = written(found.where("__tessera_id <> component_id").select("__tessera_id").distinct(), "dropped")
+    known = F.col(doc_id).cast("long")
+    left = docs.join(small_side(drop), known == F.col("__tessera_id"), "left_anti")
+    twice = written(found.where("__tessera_id = component_id").groupBy("__tessera_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__tessera_id"), "repeated-ids")
+    if twice.isEmpty():
+        return left
+    worded = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
+    one = left.where(worded).join(small_side(twice), known == F.col("__tessera_id"), "left_semi").select(F.struct(*docs.columns).alias("__row"))
+    one = one.groupBy(F.col("__row")[doc_id].alias("__tessera_id")).agg(F.min_by("__row", F.struct(F.col("__row")[text], F.xxhash64("__row"))).alias("__row")).select("__row.*")
+    rest = left.where(worded).join(small_side(twice), known == F.col("__tessera_id"), "left_anti")
+    return rest.union(left.where(~worded)).union(one)

@@ -68,12 +68,53 @@ def test_similarity_classes_equal_brute_force(docs, nothing):
             if i < j and n and 100 * n >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
-    got = ngram_join.similarity_classes(docs, frequent=2, short=20).collect()
+    got = ngram_join.similarity_classes(docs, frequent=2).collect()
     assert len(got) == docs.count()
     assert all((r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), top(r["doc_id"])) for r in got)
     assert ngram_join.similarity_classes(nothing).count() == 0
 
 
+def jaccard_classes(rows):
+    """{id: least id reachable} by comparing all pairs of sets of five-word shingles."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    least = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    return least, links
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 64])
+def test_similarity_classes_of_long_and_much_copied_texts(spark, frequent):
+    # Sets of 60 to 900 shingles; more copies of one text than `frequent`, near and not so near to each other.
+    r, rows = random.Random(11), []
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    for n, copies in ((64, 90), (300, 8), (904, 6), (120, 6)):
+        base = [word() for _ in range(n)]
+        for c in range(copies):
+            near = list(base)
+            for k in range(r.choice([0, 1, 1, 2, 3, 5]) * max(1, n // 64)):
+                near[r.randrange(n) if c % 2 else k] = word()
+            rows.append((len(rows) + 1, " ".join(near[r.choice([0, 0, 3]) :])))
+    r.shuffle(rows)
+    want, links = jaccard_classes(rows)
+    assert len(links) > 500 and len(set(want.values())) > 8
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {x["doc_id"]: x["component_id"] for x in ngram_join.similarity_classes(df, frequent=frequent).collect()} == want
+
+
+def test_one_row_of_each_component_stays(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base + " b", 1), (1, base, 2), (1, base, 3), (2, base, 4), (3, "else " * 9, 5), (4, "", 6), (4, "", 7), (None, base, 8), (None, base, 9), (5, None, 10)]
+    got = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __id int")).collect()
+    kept = sorted(x[2] for x in got)
+    assert kept in ([2, 5, 6, 7, 8, 9, 10], [3, 5, 6, 7, 8, 9, 10]) and got[0].__fields__ == ["doc_id", "text", "__id"]
+
+
 def test_similarity_classes_of_negative_ids(spark):
     word = lambda r: "".join(r.choice("abcdefgh") for _ in range(6))
     r, rows, pairs = random.Random(8), [], []
