@@ -93,7 +93,7 @@ def _shared_prefixes(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             bucket = (value % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             used, start = np.unique(bucket[order], return_index=True)
-            end = np.append(start[1:], len(order))
+            end = np.append(start[1:], len(order))[: len(used)]
             short = (value >> U64(32)).astype(np.uint32)[order]
             doc, known = doc[order], known[order]
             out = [(int(b), short[i:j][~known[i:j]].tobytes(), short[i:j][known[i:j]].tobytes(), doc[i:j][~known[i:j]].tobytes(), b"") for b, i, j in zip(used, start, end, strict=True)]
@@ -219,8 +219,8 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
     classes = all_sets.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = all_sets.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
-    buckets = max(4 * parts, int((held["tokens"] or 0) * REACH * 12) // BUCKET_BYTES)
+    totals = all_sets.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows")).first()
+    buckets = max(4 * parts, int((totals["tokens"] or 0) * REACH * 12) // BUCKET_BYTES)
     shared = _shared_prefixes(plain.where(F.col("__tessera_id").isNotNull()), k, buckets)
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * ((REACH - loose) * percent / 100) - 1e-9))
     alive = written(classes.join(shared, F.col("class_id") == F.col("doc_id")).where(F.col("shared") >= least).select(F.col("class_id").alias("__tessera_id")).distinct(), "candidates")
@@ -285,7 +285,7 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
     comps = classes.join(labels.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("key1", "key2", "copies", "class_id", F.coalesce("component", "class_id").alias("component"))
     comps = written(comps, "classes")
     # Classes with many copies, of which there are at most 8 a partition, are broadcast; so no task gets all copies of a text.
-    many = held["rows"] // (8 * parts)
+    many = totals["rows"] // (8 * parts)
     heavy = F.broadcast(comps.where(F.col("copies") > many).drop("copies"))
     worded, keys = all_sets.where("n > 0"), ["key1", "key2"]
     alone = all_sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component"))
