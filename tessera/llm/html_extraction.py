@@ -11,7 +11,9 @@ marks that are wrappers of the article instead (see ``_wrappers``); these stay,
 Blocks come in page order, joined by one line feed; white space inside a block is one space;
 character references are decoded. Cases: a null or empty page has an empty text; a page without
 any paragraph points yields its article, main or body; markup that never closes is closed at the
-end; equal pages give equal texts; pages of any length are read whole; further columns are carried along.
+end; elements deeper than `DEEPEST` are no elements of their own, as in browsers; after `BAD_QUOTES` tags whose quotes never close,
+tags end at the first ``>``. So the time grows with the length of a page only. Equal pages give equal texts; pages
+of any length are read whole; further columns are carried along, unless the new column has their name.
 """
 
 from __future__ import annotations
@@ -43,23 +45,48 @@ SIDE_TAGS = frozenset("nav header footer aside form".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 STATES = frozenset("has no with without".split())
 SOME, SIDE, COMMENTS, HIDDEN = 1, 2, 3, 4
+DEEPEST = 512  # elements inside each other
+REACH = 32  # ancestors that a paragraph gives points to
+BAD_QUOTES = 64
 
+_QUOTED = r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|xmp)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+|[^>]*+)>"
-    r"|<[!?/][^>]*+(?:>|\Z)",
+    r"<!--.*?(?:-->|(?P<open>\Z))"
+    r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|xmp)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|(?P<unended>\Z))"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>{_QUOTED}|[^>]*+)>"
+    r"|<[!?/][^>]*+>",
     re.I | re.S,
 )
+_SIMPLE = re.compile(_TOKEN.pattern.replace(_QUOTED + "|", ""), re.I | re.S)
+_BALANCED = re.compile(_QUOTED)
+_NO_TEXT = re.compile(r"<[!?/]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _tokens(html: str) -> Iterator[tuple[int, int, re.Match[str] | None]]:
+    """(start, end, match) of tags, comments and raw elements in page order. After the last ``>`` there is no tag; what never closes takes the rest."""
+    pattern, at, last, bad = _TOKEN, 0, html.rfind(">") + 1, 0
+    while m := pattern.search(html, at, last):
+        at = m.end()
+        if m["open"] is not None or m["unended"] is not None:
+            yield m.start(), len(html), m
+            return
+        yield m.start(), at, m
+        attrs = m["attrs"]
+        if attrs and bad <= BAD_QUOTES and ('"' in attrs or "'" in attrs) and not _BALANCED.fullmatch(attrs):
+            bad += 1
+            pattern = _SIMPLE if bad > BAD_QUOTES else _TOKEN
+    if m := _NO_TEXT.search(html, max(at, last)):
+        yield m.start(), len(html), None
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "cut", "score", "order", "mark")
+    __slots__ = ("tag", "parent", "cut", "score", "order", "mark", "block")
 
     def __init__(self, tag: str, parent: _Node | None, cut: bool, order: int, mark: int = 0) -> None:
         self.tag, self.parent, self.cut, self.order, self.mark, self.score = tag, parent, cut, order, mark, 0.0
+        self.block: _Node = self if parent is None or tag in BLOCK else parent.block
 
 
 def _mark(tag: str, attrs: str) -> int:
@@ -94,26 +121,30 @@ def _blocks(html: str, wrappers: frozenset[int] | None = frozenset()) -> tuple[l
     root = _Node("html", None, False, 0)
     nodes, stack, blocks = [root], [root], []
     pieces: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, at = 0, 0
+    opened: dict[str, int] = {}
+    skipped: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split()) if pieces else ""
         if text and not stack[-1].cut:
-            k = len(stack) - 1
-            while k and stack[k].tag not in BLOCK:
-                k -= 1
-            blocks.append((stack[k], text, min(linked, len(text))))
+            blocks.append((stack[-1].block, text, min(linked, len(text))))
         pieces.clear()
         linked = 0
 
+    def leave(to: int) -> None:
+        for n in stack[to:]:
+            opened[n.tag] -= 1
+        del stack[to:]
+
     def close(to: int) -> None:
-        nonlocal in_link
         flush()
-        in_link -= sum(n.tag == "a" for n in stack[to:])
-        del stack[to:]
+        leave(to)
 
     def up_to(tags: tuple[str, ...], stop: frozenset[str]) -> int:
+        if not any(opened.get(t) for t in tags):
+            return 0
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 return k
@@ -121,16 +152,21 @@ def _blocks(html: str, wrappers: frozenset[int] | None = frozenset()) -> tuple[l
                 return 0
         return 0
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at and not stack[-1].cut:
-            piece = html[at : m.start()]
+    for start, end, m in _tokens(html):
+        if start > at and not stack[-1].cut:
+            piece = html[at:start]
             pieces.append(piece)
-            if in_link:
+            if opened.get("a"):
                 linked += len(piece.strip())
-        at = m.end()
-        tag = (m["tag"] or "").lower()
+        at = end
+        tag = (m["tag"] or "").lower() if m else ""
         if not tag:
             continue
+        if m["end"] and skipped.get(tag):
+            skipped[tag] -= 1
+            if tag in BLOCK:
+                flush()
+            continue
         if m["end"]:
             if tag in BLOCK:
                 if k := up_to((tag,), frozenset()):
@@ -138,11 +174,9 @@ def _blocks(html: str, wrappers: frozenset[int] | None = frozenset()) -> tuple[l
                 else:
                     flush()
             elif k := up_to((tag,), BLOCK):
-                in_link -= sum(n.tag == "a" for n in stack[k:])
-                was_cut = stack[k].cut
-                if was_cut:
+                if stack[k].cut:
                     pieces.clear()
-                del stack[k:]
+                leave(k)
             continue
         if tag == "br":
             pieces.append(" ")
@@ -161,24 +195,19 @@ def _blocks(html: str, wrappers: frozenset[int] | None = frozenset()) -> tuple[l
         cut = stack[-1].cut or mark == HIDDEN or mark > 0 and wrappers is not None and len(nodes) not in wrappers
         if cut and not stack[-1].cut:
             flush()
+        if len(stack) > DEEPEST and (not cut or stack[-1].cut):
+            skipped[tag] = skipped.get(tag, 0) + 1
+            continue
         node = _Node(tag, stack[-1], cut, len(nodes), mark)
         nodes.append(node)
         stack.append(node)
-        in_link += tag == "a"
+        opened[tag] = opened.get(tag, 0) + 1
     if at < len(html) and not stack[-1].cut:
         pieces.append(html[at:])
     flush()
     return blocks, nodes
 
 
-def _inside(node: _Node | None, top: _Node) -> bool:
-    while node is not None and node.order >= top.order:
-        if node is top:
-            return True
-        node = node.parent
-    return False
-
-
 def _points(text: str, linked: int) -> float:
     return (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
 
@@ -224,7 +253,7 @@ def main_text(html: str | None) -> str:
     for node, text, linked in blocks:
         points = _points(text, linked)
         holder, share, depth = (node.parent if node.tag not in ("div", "section", "article", "main", "body", "html", "td") and node.parent else node), 1.0, 1
-        while holder is not None:
+        while holder is not None and depth <= REACH:
             holder.score += points * share
             depth += 1
             share = 0.5 if depth == 2 else 1 / (3 * depth)
@@ -245,7 +274,10 @@ def main_text(html: str | None) -> str:
         if node.tag == "li" and node.parent is not None:
             lists.setdefault(node.parent.order, []).append(linked > 0.8 * len(text))
     menus = {k for k, linkish in lists.items() if len(linkish) >= 3 and all(linkish)}
-    out = [text for node, text, _ in blocks if any(_inside(node, k) for k in kept) and not (node.tag == "li" and node.parent is not None and node.parent.order in menus)]
+    chosen, inside = {k.order for k in kept}, [False] * len(nodes)
+    for n in nodes:
+        inside[n.order] = n.order in chosen or n.parent is not None and inside[n.parent.order]
+    out = [text for node, text, _ in blocks if inside[node.order] and not (node.tag == "li" and node.parent is not None and node.parent.order in menus)]
     return "\n".join(out)
 
 
