@@ -45,6 +45,12 @@ def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROW
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def small_lists(df: DataFrame, lists: str, most: int = 64 << 20) -> DataFrame:
+    """As small_side, for a written table with a column of lists of longs: the bytes of all lists count."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(lists)).alias("items")).first()
+    return F.broadcast(df) if 64 * size["rows"] + 8 * (size["items"] or 0) <= most else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -134,20 +134,21 @@ def prefix_hash(words: Words, length: int) -> np.ndarray:
     return _head_hash(words.head, np.minimum(words.end - words.start, length))
 
 
-def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of each run of k words within one row."""
+def windows(words: Words, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, hash) of each run of k words within one row; another salt gives a hash that does not depend on the first."""
     n = len(words.hash)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     odd = U64(0x9FB21C651E98DF25)
+    hashes = mix(words.hash ^ U64(salt)) if salt else words.hash
     if k <= 8:
         value = np.zeros(n - k + 1, U64)
         for j, p in enumerate(powers(odd, k)):
-            value += words.hash[j : n - k + 1 + j] * p
+            value += hashes[j : n - k + 1 + j] * p
     else:
         inverse = U64(pow(int(odd), -1, 1 << 64))
         sums = np.zeros(n + 1, U64)
-        np.cumsum(words.hash * powers(odd, n), out=sums[1:])
+        np.cumsum(hashes * powers(odd, n), out=sums[1:])
         value = (sums[k:] - sums[:-k]) * powers(inverse, n - k + 1)
     at = np.flatnonzero(words.row[k - 1 :] == words.row[: n - k + 1])
     return at, mix(value[at] + U64(k))

@@ -6,7 +6,8 @@
 2. Extension: around an anchor that another document has, a match reaches as far to both sides as
    the windows with that anchor agree. Windows go to the bucket of their anchor; the least id
    that has a window decides. Within a task's chunk only the least id's window is sent, the others are
-   settled at once, so that a passage that very many documents share does not pile up in a bucket.
+   settled at once, so that a passage that very many documents share does not pile up in a bucket. Windows are equal if two
+   independent 64-bit hashes of their words agree.
 3. Maximal repeats: agreeing windows next to each other merge into intervals of at least `window`
    words; these are removed from all documents but the one with the least id.
 
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import map_arrow, small_side, written
+from ._tables import map_arrow, small_lists, written
 from ._words import U64, Words, chunks, distinct_by_row, find_words, signed, windows
 
-#: Rows with lists of a few hundred bytes up to which a broadcast is allowed.
-LIST_ROWS = 200_000
+#: Bytes of windows that meet in one bucket, about.
+BUCKET_BYTES = 32 << 20
+SALT = 0x5851F42D4C957F2D
 
 
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +100,14 @@ def _intervals(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             if not len(start):
                 continue
             at, value = windows(words, window)
-            value = value[np.searchsorted(at, start)]
+            at = np.searchsorted(at, start)
+            value, check = value[at], windows(words, window, SALT)[1][at]
             ids, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__tessera_id", "__tessera_rid"))
             doc, rid, pos = ids[row], rids[row], start - words.first[row]
-            order = np.lexsort((pos, rid, doc, value))
-            value, doc, rid, pos, anchor = value[order], doc[order], rid[order], pos[order], anchor[order]
+            order = np.lexsort((pos, rid, doc, check, value))
+            value, check, doc, rid, pos, anchor = (x[order] for x in (value, check, doc, rid, pos, anchor))
             new = np.ones(len(value), bool)
-            new[1:] = value[1:] != value[:-1]
+            new[1:] = (value[1:] != value[:-1]) | (check[1:] != check[:-1])
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             settled = doc > least
             again = np.zeros(len(value), bool)  # repeated rows
@@ -112,35 +115,34 @@ def _intervals(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             out: list[tuple] = []
             if settled.any():
                 done = _runs(rid[settled], doc[settled], pos[settled])
-                out.append((int(value[0] % U64(buckets)), b"", *[x.astype(np.int64).tobytes() for x in done]))
+                out.append((int(value[0] % U64(buckets)), b"", b"", *[x.astype(np.int64).tobytes() for x in done]))
             go = ~settled & ~again
             bucket = (anchor[go] % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            columns = [x[go][order] for x in (value, rid, doc, pos)]
+            columns = [x[go][order] for x in (value, check, rid, doc, pos)]
             used, first = np.unique(bucket[order], return_index=True)
             for b, i, j in zip(used, first, np.append(first[1:], len(order)), strict=True):
-                v, r, d, p = (x[i:j] for x in columns)
-                out.append((int(b), v.tobytes(), r.tobytes(), d.tobytes(), p.tobytes(), b""))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 6)]], ["bucket", "value", "rid", "doc", "first", "last"])
+                out.append((int(b), *[x[i:j].tobytes() for x in columns], b""))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 7)]], ["bucket", "value", "check", "rid", "doc", "first", "last"])
 
     def meet(table: pa.Table) -> pa.Table:
-        value = table.column("value").to_pylist()
+        value, check = (table.column(c).to_pylist() for c in ("value", "check"))
         rid, doc, first, last = (table.column(c).to_pylist() for c in ("rid", "doc", "first", "last"))
         join = lambda parts, kind: np.frombuffer(b"".join(parts), kind)
         sent = [i for i, v in enumerate(value) if v]
-        v = join((value[i] for i in sent), U64)
+        v, w = (join((x[i] for i in sent), U64) for x in (value, check))
         r, d, p = (join((x[i] for i in sent), np.int64) for x in (rid, doc, first))
-        order = np.lexsort((d, v))
-        v, r, d, p = v[order], r[order], d[order], p[order]
+        order = np.lexsort((d, w, v))
+        v, w, r, d, p = (x[order] for x in (v, w, r, d, p))
         new = np.ones(len(v), bool)
-        new[1:] = v[1:] != v[:-1]
+        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
         least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(v) else d
         hit = d > least
         found = [_runs(r[hit], d[hit], p[hit])]
-        found += [tuple(np.frombuffer(x[i], np.int64) for x in (rid, doc, first, last)) for i, w in enumerate(value) if not w]
+        found += [tuple(np.frombuffer(y[i], np.int64) for y in (rid, doc, first, last)) for i, x in enumerate(value) if not x]
         return pa.table({n: pa.array(np.concatenate([f[k] for f in found])) for k, n in enumerate(("rid", "doc_id", "first", "last"))})
 
-    sent = map_arrow(docs, send, "bucket int, value binary, rid binary, doc binary, first binary, last binary")
+    sent = map_arrow(docs, send, "bucket int, value binary, check binary, rid binary, doc binary, first binary, last binary")
     return sent.groupBy("bucket").applyInArrow(meet, "rid long, doc_id long, first long, last long")
 
 
@@ -152,8 +154,10 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, text: str = "text", d
     seeds = written(_seeds(plain, window), "seeds")
     met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
     shared = written(seeds.join(met, "anchor").groupBy(F.col("doc_id").alias("__tessera_id"), F.col("rid").alias("__tessera_rid")).agg(F.collect_set("anchor").alias("__anchors")), "shared-anchors")
-    with_anchors = plain.join(small_side(shared, most=LIST_ROWS), ["__tessera_id", "__tessera_rid"]).select("__tessera_id", "__tessera_rid", "__tessera_text", "__anchors")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with_anchors = plain.join(small_lists(shared, "__anchors"), ["__tessera_id", "__tessera_rid"]).select("__tessera_id", "__tessera_rid", "__tessera_text", "__anchors")
+    # An anchor stands for at most window - k + 1 windows of 40 bytes.
+    sent = (shared.agg(F.sum(F.size("__anchors"))).first()[0] or 0) * (window - window // 2 + 1) * 40
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), sent // BUCKET_BYTES)
     spans = _intervals(with_anchors, window, buckets).groupBy(F.col("doc_id").alias("__tessera_id"), F.col("rid").alias("__tessera_rid"))
     spans = written(spans.agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("__s")), "repeats")
 
@@ -161,7 +165,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, text: str = "text", d
     keep = [f for f in docs.schema.fields if f.name != text and f.name not in new]
     names = [f.name for f in keep]
     cased = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__tessera_text"), F.col(doc_id).cast("long").alias("__tessera_id")).withColumn("__tessera_rid", F.xxhash64("__tessera_id", "__tessera_text"))
-    joined = cased.join(small_side(spans, most=LIST_ROWS), ["__tessera_id", "__tessera_rid"], "left").select(*names, "__tessera_text", "__s")
+    joined = cased.join(small_lists(spans, "__s"), ["__tessera_id", "__tessera_rid"], "left").select(*names, "__tessera_text", "__s")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
