@@ -128,27 +128,33 @@ def _rate(errors: list[list[float]], pull: float, most: float = math.inf) -> Col
     return F.aggregate(steps, F.lit(1.0), lambda r, e: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(e) - pull * (r - 1.0))))
 
 
-def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[str, float], *, pull: float = 0.002, max_steps: int = 30, tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
+def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[str, float], *, pull: float = 1e-4, max_steps: int = 40, tolerance: float = 2e-4) -> tuple[DataFrame, list[float]]:
     """`posteriors` with `rate`, and the shares of the token total that the rates give each domain.
 
-    Steps are scaled by each domain's own token share, so that a full step is stable (the scaled Gram matrix is stochastic).
+    Gradient steps on half the squared miss of the shares, scaled by the inverse of the posteriors' Gram matrix over the documents whose
+    rate is above 0 (K x K, from the same aggregate), projected on rates of 0 and more. Steps end when every share is within
+    `tolerance` of its target; targets that no rates can meet end at `max_steps`, near the closest shares.
     """
     k = len(domains)
     goal = np.array([targets.get(d, 0.0) for d in domains])
     goal = goal / goal.sum() if goal.sum() else np.full(k, 1 / k)
     errors: list[list[float]] = []
-    own, shares = None, []
+    shares, last, damp = [], math.inf, 1.0
     for step in range(max_steps + 1):
-        r = _rate(errors, pull)
-        sums = posteriors.select(F.col("n_tokens").alias("t"), r.alias("r"), "posterior").agg(F.sum("t").alias("total"), *[F.sum(F.col("t") * F.col("r") * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
+        rated = posteriors.select(F.col("n_tokens").alias("t"), _rate(errors, pull).alias("r"), *[F.get("posterior", F.lit(i)).alias(f"p{i}") for i in range(k)])
+        moves = F.when(F.col("r") > 0, F.col("t")).otherwise(0)
+        gram = [F.sum(moves * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]
+        sums = rated.agg(F.sum("t").alias("total"), *[F.sum(F.col("t") * F.col("r") * F.col(f"p{i}")).alias(f"s{i}") for i in range(k)], *gram).first()
         if not sums["total"]:
             return posteriors.withColumn("rate", F.lit(1.0)), list(goal)
         share = np.array([sums[f"s{i}"] for i in range(k)]) / sums["total"]
-        own = np.maximum(share, 1e-4) if own is None else own
-        shares = share.tolist()
-        if np.abs(share - goal).max() < tolerance or step == max_steps:
+        shares, miss = share.tolist(), share - goal
+        if np.abs(miss).max() < tolerance or step == max_steps:
             break
-        errors.append(((share - goal) / own).tolist())
+        norm = float(np.linalg.norm(miss))
+        damp, last = (damp / 2, last) if norm > last else (min(1.0, damp * 1.5), norm)
+        g = np.array([[sums[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) / sums["total"]
+        errors.append((damp * np.linalg.solve(g + 1e-6 * np.eye(k), miss)).tolist())
     return posteriors.withColumn("rate", _rate(errors, pull)), shares
 
 

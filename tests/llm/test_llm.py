@@ -74,6 +74,38 @@ def test_similarity_classes_equal_brute_force(docs, nothing):
     assert ngram_join.similarity_classes(nothing).count() == 0
 
 
+def turned(m):
+    """The m-th Thue-Morse string over a and b, and the same with a and b exchanged: no polynomial modulo 2**64 tells long ones apart."""
+    x = "a"
+    for _ in range(m):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_any_structure_have_different_hashes(spark):
+    import pyarrow as pa
+
+    from tessera.llm._words import find_words
+
+    for m in (3, 6, 10, 11, 12):
+        x, y = turned(m)
+        data = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+        a, b = find_words(data, np.array([0, len(data)])).hash
+        assert a != b
+        one, other = (fingerprints.as_text(fingerprints._of(pa.array([t])))[0] for t in (x, y))
+        lanes = [(one[i : i + 16], other[i : i + 16]) for i in range(0, 128, 16)]
+        assert all(a != b for a, b in lanes)
+        r = random.Random(m)
+        side = [" ".join(r.choice("pqrstuv") * 3 + str(r.randrange(99)) for _ in range(49)) for _ in range(2)]
+        rows = [(1, f"{side[0]} {x} {side[1]}"), (2, f"{side[0]} {y} {side[1]}"), (3, f"{side[0]} {x}")]
+        got = {x["doc_id"]: x["n_removed"] for x in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: 0, 2: 0, 3: 50}
+    r = random.Random(0)
+    words = {"".join(r.choice("abé0") for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 127, 128, 129, 400]))) for _ in range(3000)}
+    data = np.frombuffer(" ".join(sorted(words)).encode(), np.uint8)
+    assert len(set(find_words(data, np.array([0, len(data)])).hash.tolist())) == len(words)
+
+
 def jaccard_classes(rows):
     """{id: least id reachable} by comparing all pairs of sets of five-word shingles."""
     sets = {}
@@ -196,6 +228,27 @@ def test_mixture_of_the_kept_tokens_meets_its_targets(spark, good, poor, toxic,
     assert np.allclose(shares, [0.97, 0.03, 0.0], atol=5e-4) and min(rates) == 1
 
 
+@pytest.mark.parametrize(("seed", "goal"), [(1, [0.9, 0.09, 0.01]), (2, [0.2, 0.3, 0.5]), (3, [0.0, 0.0, 1.0])])
+def test_rates_equal_a_dense_solver(spark, seed, goal):
+    r = np.random.default_rng(seed)
+    p = r.dirichlet([0.4, 0.3, 0.05], 600)
+    t = r.integers(0, 900, 600)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "n_tokens long, posterior array<double>").repartition(3)
+    names = ("good", "poor", "toxic")
+    rated, shares = mixing.fit_rates(df, names, dict(zip(names, goal, strict=True)))
+    got = rated.collect()
+    rates = np.array([x["rate"] for x in got])
+    measured = np.array([x["rate"] * x["n_tokens"] * np.array(x["posterior"]) for x in got]).sum(0) / t.sum()
+    assert (rates >= 0).all() and np.allclose(measured, shares, atol=1e-9)
+    a, dense = (p * t[:, None]).T / t.sum(), np.ones(600)
+    for _ in range(200_000):
+        dense = np.maximum(0, dense - (a @ dense - goal) @ a / np.linalg.norm(a, 2) ** 2)
+    best = np.linalg.norm(a @ dense - goal)
+    assert np.linalg.norm(measured - goal) <= best + 1e-3
+    if goal[2] < 1:
+        assert best < 1e-3 and np.abs(measured - goal).max() < 2e-4
+
+
 def test_mixture_keeps_all_if_poor_is_below_its_target(spark):
     shares, rates = kept_shares(spark, 990, 10)
     assert np.allclose(shares, [0.99, 0.01, 0.0], atol=1e-6) and min(rates) == 1
