@@ -15,7 +15,9 @@ Tokens are 64-bit hashes of shingles. The steps, each a Spark job over what the
    next one in the order. A token that only one of two sets has breaks at most one such combination, so sets of a and b frequent tokens,
    s of them shared, have 3 s - 1 - a - b combinations in common, and the prefix of combinations that must hold one of these is extended
    to about n / 2. So a set of any size has fewer entries than tokens.
-   An entry at a later place leaves less to share, so each bounds the size of the partners met there. Edits of a much
+   Each entry keeps how many tokens come before and after it. Shared tokens before the first common combination have one that is
+   not shared after them, in one of the two sets, so with i and j tokens before it at most (i + j) / 3 are shared, and after it no more than the fewer. So
+   entries bound the size of the partners met there, and two entries that meet what both sets can share. Edits of a much
    copied text are rarer than the text, come first, and so count against it.
 4. Verification without all pairs: each document is compared with the first of a bucket, what links is
    contracted, and further comparisons are made only between different components that share a bucket,
@@ -150,7 +152,11 @@ def _differing_bits(x: bytes, y: bytes) -> int:
 
 
 def _signatures(sets: DataFrame, often: np.ndarray, classes: np.ndarray, percent: int) -> DataFrame:
-    """(signature, doc_id, room): what the index holds of each set; sets that meet there for the first time are similar only if neither has more than the other's `room` tokens."""
+    """(signature, doc_id, room, before, after): what the index holds of each set.
+
+    Sets that meet there for the first time are similar only if neither has more than the other's `room` tokens, and share at most
+    a third of the sum of `before` and the lesser `after`.
+    """
     loose = 1 - percent / 100
     paired = percent > 50
     # Below this sum of sizes, two similar sets need not have a combination in common, and frequent tokens are indexed singly too.
@@ -172,20 +178,24 @@ def _signatures(sets: DataFrame, often: np.ndarray, classes: np.ndarray, percent
             m = n - np.bincount(row, rare, len(n)).astype(np.int64)  # frequent tokens
             one = np.flatnonzero((place <= np.floor(loose * size + 1e-9)) & (rare | (size * (100 + percent) < 100 * small)))
             signature, who = [flat[one]], [row[one]]
+            before, after = [np.zeros(len(one), np.int64)], [size[one] - place[one]]
             room = [(size[one] - place[one]) * (100 + percent) // percent - size[one]]
             if paired:
                 two = np.flatnonzero(~rare & (place + 1 < size))
                 nth = place[two] - (size - m[row])[two]
                 left = ((100 + percent) * (2 * m[row[two]] - nth) - 3 * percent * size[two]) // (2 * percent - 100)
+                left = np.minimum(left, m[row[two]] * (100 + percent) // percent - size[two])
                 fits = left * 100 >= size[two] * percent
-                two, left = two[fits], left[fits]
+                two, left, nth = two[fits], left[fits], nth[fits]
                 signature.append(mix(flat[two] * U64(3) + flat[two + 1]))
                 who.append(row[two])
                 room.append(left)
+                before.append(nth)
+                after.append(m[row[two]] - nth)
             doc = batch.column("doc_id").take(pa.array(np.concatenate(who)))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(signature))), doc, pa.array(np.concatenate(room))], ["signature", "doc_id", "room"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(signature))), doc, *[pa.array(np.concatenate(x)) for x in (room, before, after)]], ["signature", "doc_id", "room", "before", "after"])
 
-    return map_arrow(sets, run, "signature long, doc_id long, room long")
+    return map_arrow(sets, run, "signature long, doc_id long, room long, before long, after long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -245,12 +255,16 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
     sizes = written(sizes.where(F.col("most") * 100 >= F.col("n") * percent), "sizes")
 
     postings = _signatures(sets.select("doc_id", "tokens"), often, classes_of, percent)
-    index = postings.join(small_side(sizes), "doc_id").select("signature", "doc_id", "n", F.least("most", "room").alias("most"))
+    index = postings.join(small_side(sizes), "doc_id").select("signature", "doc_id", "n", F.least("most", "room").alias("most"), "before", "after")
     index = written(index.where(F.col("most") * 100 >= F.col("n") * percent), "postings")
     met = index.groupBy("signature").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     index = written(index.join(met, "signature", "left_semi"), "index")
     band = lambda c: F.floor(F.ln(c) / math.log(1.1)).cast("int")  # noqa: E731  sizes within a tenth
 
+    # Whether two entries that meet leave enough to share; names of the one and the other side.
+    enough = lambda x, y: F.expr(f"{x('n')} <= {y('most')} AND {y('n')} <= {x('most')} AND {100 + percent} * (3 * least({x('after')}, {y('after')}) + {x('before')} + {y('before')}) >= {3 * percent} * ({x('n')} + {y('n')})")
+    fields = ("doc_id", "n", "most", "before", "after", "component")
+
     links: list[DataFrame] = []
     labels = None
     for step in range(star_rounds + 1):
@@ -260,21 +274,21 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
             held = index.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         # Buckets that still hold more than one component.
         held = written(held, "labelled")
-        who = F.struct("doc_id", "n", "most", "component")
+        who = F.struct(*fields)
         # First the set with most room, which has the fewest tokens that the others lack; then others by a hash.
         pivot = F.max_by(who, F.struct(F.col("most") / F.col("n"), "doc_id")) if step == 0 else F.min_by(who, F.xxhash64("doc_id", F.lit(step)))
         split = held.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p")).where("lo <> hi")
         if step < star_rounds:
             # Two comparisons for each document whose component the pivot lacks: with the first and the last it meets.
-            named = held.join(split.select("signature", "p"), "signature").where("p.component <> component AND p.n <= most AND n <= p.most").select("doc_id", F.col("p.doc_id").alias("p"))
+            named = held.join(split.select("signature", "p"), "signature").where("p.component <> component").where(enough(lambda c: c, lambda c: f"p.{c}")).select("doc_id", F.col("p.doc_id").alias("p"))
             pairs = named.groupBy("doc_id").agg(F.array(F.min("p"), F.max("p")).alias("ps")).select("doc_id", F.explode("ps").alias("p"))
             pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
         else:
             # The rest in full: pairs of documents of different components that share a bucket, each looking only into bands of sizes it can link with.
             some = held.join(split.select("signature"), "signature", "left_semi")
-            left = some.select("signature", F.explode(F.sequence(band(F.ceil(F.col("n") * percent / 100)), band(F.greatest("most", F.ceil(F.col("n") * percent / 100))))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "most", "component")])
-            right = some.select("signature", band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "most", "component")])
-            met_ = left.join(right, ["signature", "band"]).where("doc_id_a < doc_id_b AND component_a <> component_b AND n_b <= most_a AND n_a <= most_b")
+            left = some.select("signature", F.explode(F.sequence(band(F.ceil(F.col("n") * percent / 100)), band(F.greatest("most", F.ceil(F.col("n") * percent / 100))))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in fields])
+            right = some.select("signature", band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_b") for c in fields])
+            met_ = left.join(right, ["signature", "band"]).where("doc_id_a < doc_id_b AND component_a <> component_b").where(enough(lambda c: f"{c}_a", lambda c: f"{c}_b"))
             pairs = met_.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
         links.append(written(_linked(pairs, sets, sketches, percent), "links"))
         edges = links[0]
