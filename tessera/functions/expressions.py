@@ -27,7 +27,7 @@ def col(x: Column | str) -> Column:
 
 def clean(x: Column | str) -> Column:
     """A finite double or null."""
-    x = col(x).cast("double")
+    x = col(x).try_cast("double")
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
@@ -85,23 +85,3 @@ def mean_of(columns: Sequence[Column]) -> Column:
     total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in columns])
     n = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), 1).otherwise(0) for c in columns])
     return ratio(total, n)
-
-
-def ewm(x: Column | str, alpha: float, rows: int | None = None) -> Column:
-    """Exponentially weighted mean (first value as seed, decay through gaps) over a bounded frame of rows.
-
-    Weights fall below 1e-16 within the frame, so that the part before it does not count.
-    """
-    import math
-
-    rows = rows or math.ceil(math.log(1e-16) / math.log(1 - alpha))
-    frame = by_symbol().rowsBetween(-rows, 0)
-    pair = F.collect_list(F.struct(F.row_number().over(by_symbol()).alias("i"), col(x).alias("v"))).over(frame)
-    kept = F.filter(pair, lambda p: p["v"].isNotNull())
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0).cast("int").alias("i"))
-
-    def step(acc: Column, p: Column) -> Column:
-        keep = F.pow(F.lit(1 - alpha), (p["i"] - acc["i"]).cast("double"))
-        return F.struct(F.when(acc["m"].isNull(), p["v"]).otherwise((acc["m"] * keep + p["v"] * alpha) / (keep + alpha)).alias("m"), p["i"].alias("i"))
-
-    return F.aggregate(kept, start, step, lambda acc: acc["m"])

@@ -29,7 +29,7 @@ def information_coefficients(df: DataFrame, factor: str, forward: str, *, keys:
 
 def ic_summary(ics: DataFrame, keys: Sequence[str] = (), least: int = 20) -> DataFrame:
     """Mean, deviation, ratio, hit rate, t and count of the coefficients; null under `least` dates."""
-    s = ics.where("ic IS NOT NULL").groupBy(*keys).agg(F.count("ic").alias("n"), F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.avg((F.col("ic") > 1e-9).cast("double")).alias("h"))
+    s = ics.where("ic IS NOT NULL").groupBy(*keys).agg(F.count("ic").alias("n"), F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.avg((F.col("ic") > 0).cast("double")).alias("h"))
     enough = F.col("n") >= least
     icir = F.when(F.col("s") > 0, F.try_divide("m", "s")).otherwise(0.0)
     return s.select(*keys, *[F.when(enough, F.round(v, d)).alias(name) for name, v, d in (("mean_ic", F.col("m"), 4), ("std_ic", F.col("s"), 4), ("icir", icir, 4), ("hit_rate", F.col("h"), 4), ("t_stat", icir * F.sqrt("n"), 2))], "n")

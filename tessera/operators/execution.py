@@ -19,18 +19,18 @@ def intent_id(*parts: str) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*parts)), 256), 1, 24)
 
 
-def rebalance_orders(positions: DataFrame, targets: DataFrame, prices: DataFrame, value: Column, offset: float = 0.001) -> DataFrame:
-    """(symbol, side, quantity, limit_price, place): whole shares from held to target, sells first; names without a price are left out."""
-    both = positions.select("symbol", "held").join(targets.select("symbol", "weight"), "symbol", "full_outer").fillna(0)
+def rebalance_orders(positions: DataFrame, targets: DataFrame, prices: DataFrame, value: Column, offset: float = 0.001, keys: tuple[str, ...] = ("account",)) -> DataFrame:
+    """(keys, symbol, side, quantity, limit_price, place): whole shares from held to target, sells first within each account; names without a price are left out."""
+    both = positions.select(*keys, "symbol", "held").join(targets.select(*keys, "symbol", "weight"), [*keys, "symbol"], "full_outer").fillna(0, ["held", "weight"])
     rows = both.join(prices.select("symbol", "price"), "symbol").where("price > 0")
     n = (F.floor(F.col("weight") * value / F.col("price")) - F.col("held")).cast("long")
     rows = rows.withColumn("n", n).where("n <> 0").withColumn("side", F.when(F.col("n") > 0, "buy").otherwise("sell"))
     limit = F.col("price") * F.when(F.col("n") > 0, 1 + offset).otherwise(1 - offset)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("side"), "symbol")  # one rebalance: a row for each symbol
-    return rows.select("symbol", "side", F.abs("n").alias("quantity"), limit.alias("limit_price")).withColumn("place", F.row_number().over(order))
+    order = Window.partitionBy(*keys).orderBy(F.desc("side"), "symbol")
+    return rows.select(*keys, "symbol", "side", F.abs("n").alias("quantity"), limit.alias("limit_price")).withColumn("place", F.row_number().over(order))
 
 
-def pre_trade(orders: DataFrame, limits: Mapping[str, float]) -> DataFrame:
+def order_checks(orders: DataFrame, limits: Mapping[str, float]) -> DataFrame:
     """`orders` with the first rule each fails, or null.
 
     Columns: symbol, ts, side, quantity, price, held, portfolio, adv, and filled (value filled that day before it). Rules on concentration never block what reduces a position.
@@ -59,12 +59,12 @@ def filled_before(fills: DataFrame) -> DataFrame:
     return fills.withColumn("filled", F.coalesce(F.sum(F.col("quantity") * F.col("price")).over(day), F.lit(0.0)))
 
 
-def drift(targets: DataFrame, positions: DataFrame, value: Column, alert: float = 0.05, warn: float = 0.02) -> DataFrame:
-    """(symbol, target, actual, drift, level), largest drift first by `place`."""
-    both = targets.select("symbol", F.col("weight").alias("target")).join(positions.select("symbol", (F.col("held") * F.col("price") / value).alias("actual")), "symbol", "full_outer").fillna(0.0)
+def drift(targets: DataFrame, positions: DataFrame, value: Column, alert: float = 0.05, warn: float = 0.02, keys: tuple[str, ...] = ("account",)) -> DataFrame:
+    """(keys, symbol, target, actual, drift, level), the largest drift of each account first by `place`."""
+    both = targets.select(*keys, "symbol", F.col("weight").alias("target")).join(positions.select(*keys, "symbol", (F.col("held") * F.col("price") / value).alias("actual")), [*keys, "symbol"], "full_outer").fillna(0.0, ["target", "actual"])
     gap = both.withColumn("drift", F.col("actual") - F.col("target"))
     level = F.when(F.abs("drift") >= alert, "alert").when(F.abs("drift") >= warn, "warn").otherwise("ok")
-    return gap.withColumn("level", level).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.abs("drift")), "symbol")))
+    return gap.withColumn("level", level).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("drift")), "symbol")))
 
 
 def drift_summary(gaps: DataFrame) -> DataFrame:
@@ -100,9 +100,9 @@ def position_profit(positions: DataFrame) -> DataFrame:
 
 
 def fills_by_day(orders: DataFrame) -> DataFrame:
-    """(day, trades): orders with any fill, whatever their status, by New York day, as arrays of structs."""
+    """(day, n, filled): orders with any fill, whatever their status, by New York day."""
     some = orders.where("filled > 0").withColumn("day", new_york_date("filled_at"))
-    return some.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("id", "symbol", "side", "filled"))).alias("trades"))
+    return some.groupBy("day").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("filled").alias("filled"))
 
 
 def assign_rebalances(events: DataFrame) -> DataFrame:
@@ -131,14 +131,14 @@ def looks_presplit(entry: Column, current: Column, ratio: Column) -> Column:
 
 def unresolved_splits(positions: DataFrame, splits: DataFrame) -> DataFrame:
     """Positions entered before a split that still carry the old count; unusable numbers count as unresolved."""
-    both = positions.join(F.broadcast(splits), "symbol").where(F.col("entry_date") < F.col("effective"))
+    both = positions.join(splits, "symbol").where(F.col("entry_date") < F.col("effective"))
     bad = ~F.coalesce((F.col("entry") > 0) & (F.col("price") > 0), F.lit(False))
     return both.where(bad | looks_presplit(F.col("entry"), F.col("price"), F.col("ratio")))
 
 
 def split_corrected(positions: DataFrame, splits: DataFrame) -> DataFrame:
     """Held counts and entries after splits: count times ratio, entry over ratio."""
-    both = positions.join(F.broadcast(splits), "symbol", "left")
+    both = positions.join(splits, "symbol", "left")
     hit = F.coalesce(looks_presplit(F.col("entry"), F.col("price"), F.col("ratio")) & (F.col("entry_date") < F.col("effective")), F.lit(False))
     return both.select(*[c for c in positions.columns if c not in ("held", "entry")], F.when(hit, F.col("held") * F.col("ratio")).otherwise(F.col("held")).alias("held"), F.when(hit, F.col("entry") / F.col("ratio")).otherwise(F.col("entry")).alias("entry"), hit.alias("corrected"))
 
@@ -156,8 +156,33 @@ def sold_credit(orders: DataFrame, ratio: Column) -> DataFrame:
     return df.withColumn("uncovered", new).withColumn("credit", (ratio - 1) * F.col("uncovered") * F.col("price")).drop("deep")
 
 
-def equity_correction(history: DataFrame, held: DataFrame, credits: DataFrame, ratio: Column) -> DataFrame:
-    """(date, correction): (ratio - 1) * remaining * price on each date, and credits to date less compensation."""
+def equity_correction(history: DataFrame, held: DataFrame, credits: DataFrame, ratio: Column, paid: DataFrame | None = None) -> DataFrame:
+    """(date, correction): (ratio - 1) * remaining * price on each date, and credits to date less what was paid (date, amount) to date."""
     line = history.select("date", F.lit(0.0).alias("c")).union(credits.select("date", "c"))
+    line = line if paid is None else line.union(paid.select("date", -F.col("amount")))
     paid = line.groupBy("date").agg(F.sum("c").alias("c")).withColumn("total", F.sum("c").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))  # a row for each date
     return history.select("date").join(held, "date", "left").join(paid.select("date", "total"), "date").select("date", (F.coalesce((ratio - 1) * F.col("remaining") * F.col("price"), F.lit(0.0)) + F.greatest(F.lit(0.0), F.col("total"))).alias("correction"))
+
+
+def current_weights(positions: DataFrame, prices: DataFrame, equity: Column) -> DataFrame:
+    """(symbol, weight): what each held name is worth of the account's equity; raises if a count or a price is unusable, instead of taking it as 0."""
+    good = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = positions.select("symbol", F.col("held").cast("double").alias("held")).join(prices.select("symbol", F.col("price").cast("double").alias("price")), "symbol", "left").withColumn("equity", equity.cast("double"))
+    bad = rows.agg(F.count_if(~F.coalesce(good(F.col("held")) & (F.col("held") >= 0), F.lit(False))).alias("held"), F.count_if(~F.coalesce(good(F.col("price")) & (F.col("price") > 0), F.lit(False))).alias("price"), F.count_if(~F.coalesce(good(F.col("equity")) & (F.col("equity") > 0), F.lit(False))).alias("equity")).first()
+    if any(bad):
+        raise ValueError(f"current weights: {bad['held']} bad counts, {bad['price']} bad prices, {bad['equity']} rows without equity")
+    return rows.select("symbol", (F.col("held") * F.col("price") / F.col("equity")).alias("weight"))
+
+
+def account_equity(cash: Column, positions: DataFrame, splits: DataFrame, orders: DataFrame, ratio: Column, compensation: Column | None = None) -> DataFrame:
+    """(equity, value, credit): cash, the value of the positions with their counts put right after splits, and what sales before the correction should have brought, less what was paid for it."""
+    fixed = split_corrected(positions, splits).agg(F.coalesce(F.sum(F.col("held") * F.col("price")), F.lit(0.0)).alias("value"))
+    owed = sold_credit(orders, ratio).agg(F.coalesce(F.sum("credit"), F.lit(0.0)).alias("credit"))
+    left = F.greatest(F.lit(0.0), F.col("credit") - (compensation if compensation is not None else F.lit(0.0)))
+    return fixed.join(owed).select((cash + left + F.col("value")).alias("equity"), "value", left.alias("credit"))
+
+
+def with_equity(rebalances: DataFrame, history: DataFrame, current: Column) -> DataFrame:
+    """`rebalances` with `equity`: that of their date in the account's history, else the current one."""
+    known = history.where("equity IS NOT NULL").select("date", "equity")
+    return rebalances.join(known, "date", "left").withColumn("equity", F.coalesce("equity", current))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import by_symbol, change, ewm, full, rank_share, ratio
+from ..functions.expressions import by_symbol, change, full, rank_share, ratio
 
 
 def base_features(panel: DataFrame, returns: Sequence[int] = (5, 10, 21, 63), band: int = 20, atr: int = 14, bias: int = 21, long: int = 63) -> DataFrame:
@@ -23,18 +24,36 @@ def base_features(panel: DataFrame, returns: Sequence[int] = (5, 10, 21, 63), ba
     return df.drop("__size", "__abs", "__sign", "__step")
 
 
+def _over_symbols(panel: DataFrame, columns: Sequence[str], fill: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Adds columns that follow a recursion over a symbol's rows in date order (a row for each session, so that a group is small)."""
+    kept = [f for f in panel.schema.fields if f.name not in columns]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` double" for c in columns)])
+    names = [f.name for f in kept]
+    return panel.select(*names).groupBy("symbol").applyInPandas(lambda pdf: fill(pdf.sort_values("date"))[[*names, *columns]], schema)
+
+
 def wilder_rsi(panel: DataFrame, n: int = 14) -> DataFrame:
-    step = F.col("close") - F.lag("close").over(by_symbol())
-    df = panel.withColumns({"__up": F.greatest(step, F.lit(0.0)), "__down": F.greatest(-step, F.lit(0.0))}).withColumns({"__up": F.when(step.isNotNull(), F.col("__up")), "__down": F.when(step.isNotNull(), F.col("__down"))})
-    seen = F.count("__up").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    gain, loss = ewm("__up", 1 / n), ewm("__down", 1 / n)
-    rsi = F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
-    return df.withColumn("rsi", F.when((seen >= n) & F.col("__up").isNotNull(), rsi)).drop("__up", "__down")
+    """`panel` with `rsi`: exponentially weighted gains and losses with 1 / n, from the n-th change on."""
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        step = pdf["close"].astype(float).diff()
+        gain, loss = (x.ewm(alpha=1 / n, min_periods=n, adjust=False).mean() for x in (step.clip(lower=0), -step.clip(upper=0)))
+        rsi = (100 - 100 / (1 + gain / loss.where(loss != 0))).where(loss != 0, 100.0)
+        return pdf.assign(rsi=rsi.where(step.notna() & gain.notna()))
+
+    return _over_symbols(panel, ["rsi"], fill)
 
 
 def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = panel.withColumn("macd", ewm("close", 2 / (fast + 1)) - ewm("close", 2 / (slow + 1)))
-    return df.withColumn("macd_signal", ewm("macd", 2 / (signal + 1))).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    """`panel` with macd, macd_signal and macd_histogram from exponentially weighted means of the close."""
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean = lambda x, span: x.ewm(span=span, adjust=False).mean()
+        close = pdf["close"].astype(float)
+        line = mean(close, fast) - mean(close, slow)
+        return pdf.assign(macd=line, macd_signal=mean(line, signal), macd_histogram=line - mean(line, signal))
+
+    return _over_symbols(panel, ["macd", "macd_signal", "macd_histogram"], fill)
 
 
 def feature_table(df: DataFrame, names: Sequence[str], eligible: str | None = None) -> DataFrame:
@@ -74,7 +93,8 @@ def purged_splits(sessions: DataFrame, rebalances: DataFrame, train: int = 504,
     at = rebalances.select(F.col("date").alias("rebalance_date")).join(order, F.col("rebalance_date") == F.col("date")).select("rebalance_date", F.col("i").alias("at"))
     at = at.withColumns({"v0": F.col("at") - validate, "v1": F.col("at") - embargo}).withColumns({"t1": F.col("v0") - embargo}).withColumn("t0", F.greatest(F.lit(0), F.col("v0") - train))
     at = at.where(F.col("t1") - F.col("t0") >= validate)
-    rows = order.join(F.broadcast(at), (F.col("i") >= F.col("t0")) & (F.col("i") < F.col("v1")))
+    spans = at.withColumn("i", F.explode(F.sequence("t0", F.col("v1") - 1)))  # at most train + validate rows for each rebalance
+    rows = order.join(spans, "i")
     rows = rows.withColumn("split", F.when(F.col("i") < F.col("t1"), "train").when(F.col("i") >= F.col("v0"), "validate")).where("split IS NOT NULL")
     return rows.select("rebalance_date", "date", "split", F.when(F.col("split") == "train", F.col("i") - F.col("t0")).otherwise(F.col("i") - F.col("v0")).alias("position"))
 
@@ -82,7 +102,7 @@ def purged_splits(sessions: DataFrame, rebalances: DataFrame, train: int = 504,
 def training_rows(features: DataFrame, splits: DataFrame, stride: int = 21) -> DataFrame:
     """Labelled rows of every stride-th training session (all validation ones), of dates with two names or more."""
     some = splits.where((F.col("split") == "validate") | (F.col("position") % stride == 0))
-    rows = features.where(F.col("label").isNotNull()).join(F.broadcast(some), "date")
+    rows = features.where(F.col("label").isNotNull()).join(some, "date")
     return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("rebalance_date", "date"))).where("__n >= 2").drop("__n")
 
 
@@ -104,6 +124,7 @@ def walk_forward(features: DataFrame, splits: DataFrame, names: Sequence[str], d
         weight = features.sparkSession.createDataFrame([(d, n, float(w)) for n, w in zip(names, model.featureImportances.toArray(), strict=True)], "date date, feature string, importance double")
         scores = out if scores is None else scores.unionByName(out)
         importances = weight if importances is None else importances.unionByName(weight)
+    rows.unpersist()
     return (None if scores is None else scores.withColumn("score", rank_share("margin"))), importances
 
 

@@ -20,7 +20,7 @@ def holding_growth(books: DataFrame, bars: DataFrame) -> DataFrame:
     """
     dates = books.select("date").distinct().withColumn("until", F.lead("date").over(Window.orderBy("date")))  # a row for each book
     valued = bars.withColumns({"price": F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), "entry_price": execution_price()})
-    held = books.join(F.broadcast(dates), "date").select(F.col("date").alias("period"), "until", "symbol", "weight")
+    held = books.join(dates, "date").select(F.col("date").alias("period"), "until", "symbol", "weight")
     rows = held.join(valued, (held["symbol"] == valued["symbol"]) & (F.col("date") > F.col("period")) & (F.col("until").isNull() | (F.col("date") <= F.date_add("until", 7)))).select("period", "until", held["symbol"], "weight", "date", "price", "entry_price")
     first = Window.partitionBy("period", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("entry", F.first("entry_price").over(first)).where(F.col("until").isNull() | (F.col("date") <= F.col("until")))
@@ -32,7 +32,7 @@ def chained_equity(growth: DataFrame, start: float = 1_000_000.0) -> DataFrame:
     """(date, equity): periods one after the other."""
     ends = growth.groupBy("period").agg(F.max_by("growth", "date").alias("last"))
     before = ends.select("period", F.coalesce(F.product("last").over(Window.orderBy("period").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)).alias("base"))  # a row for each period
-    return growth.join(F.broadcast(before), "period").select("date", (F.col("growth") * F.col("base") * start).alias("equity"))
+    return growth.join(before, "period").select("date", (F.col("growth") * F.col("base") * start).alias("equity"))
 
 
 def cost_rate(turnover: Column, commission: float = 10, slippage: float = 5, impact: float = 2.5) -> Column:
@@ -57,7 +57,7 @@ def stop_signals(held: DataFrame, loss: float = 0.15) -> DataFrame:
 
 def delisted_prices(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Closes with a delisting's payoff (last price times 1 + return) on its date, and constant after."""
-    joined = bars.join(F.broadcast(events.select("symbol", "date", "delisting_return")), ["symbol", "date"], "left")
+    joined = bars.join(events.select("symbol", "date", "delisting_return"), ["symbol", "date"], "left")
     past = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
     before = F.last("close", ignorenulls=True).over(past)
     paid = joined.withColumn("__pay", F.when(F.col("delisting_return").isNotNull(), before * (1 + F.col("delisting_return"))))
@@ -77,7 +77,7 @@ def performance(equity: DataFrame, keys: tuple[str, ...] = ("run",), rate: float
     daily = (1 + rate) ** (1 / periods) - 1
     s = df.groupBy(*keys).agg(
         F.min_by("equity", "date").alias("v0"), F.max_by("equity", "date").alias("v1"), F.min_by("bench", "date").alias("b0"), F.max_by("bench", "date").alias("b1"), F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"),
-        F.sqrt(F.avg(F.pow(F.least(F.col("r") - daily, F.lit(0.0)), 2))).alias("down"), F.min("drawdown").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("w"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("win_rate"), F.avg(F.col("r") - F.col("b")).alias("am"), F.stddev_samp(F.col("r") - F.col("b")).alias("as"),
+        F.sqrt(F.avg(F.when(F.col("r").isNotNull(), F.pow(F.least(F.col("r") - daily, F.lit(0.0)), 2)))).alias("down"), F.min("drawdown").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("w"), F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("win_rate"), F.avg(F.col("r") - F.col("b")).alias("am"), F.stddev_samp(F.col("r") - F.col("b")).alias("as"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     root = periods**0.5
@@ -89,8 +89,10 @@ def performance(equity: DataFrame, keys: tuple[str, ...] = ("run",), rate: float
 
 
 def windowed(equity: DataFrame, windows: DataFrame) -> DataFrame:
-    """One run cut to several windows (name, start): rows of each window under its name, for performance()."""
-    return equity.join(F.broadcast(windows), equity["date"] >= windows["start"]).select(F.col("name").alias("run"), "date", "equity", "bench")
+    """Each run cut to several windows (name, start), a few: its rows under every window's name, for performance() by (run, name)."""
+    named = windows.agg(F.collect_list(F.struct("name", "start")).alias("__windows"))
+    cut = equity.join(named).withColumn("__w", F.explode("__windows")).where(F.col("date") >= F.col("__w.start"))
+    return cut.select(*[c for c in equity.columns if c != "name"], F.col("__w.name").alias("name"))
 
 
 def monthly_table(equity: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -119,3 +121,21 @@ def account_panel(equity: DataFrame, keys: tuple[str, ...] = ("run",)) -> DataFr
 def weekly(equity: DataFrame) -> DataFrame:
     """The last row of each week, with the drawdown of the full curve."""
     return drawdowns(equity).groupBy(F.date_trunc("week", "date").cast("date").alias("week")).agg(*[F.max_by(c, "date").alias(c) for c in ("equity", "bench", "drawdown")])
+
+
+def drawdown_breaches(equity: DataFrame, limit: float, keys: tuple[str, ...] = ("run",)) -> DataFrame:
+    """(keys, drawdown, breached): the drawdown at the last value that is there, against a limit."""
+    some = equity.where(F.col("equity").isNotNull() & ~F.isnan("equity") & (F.abs("equity") < float("inf")))
+    last = drawdowns(some, keys).groupBy(*keys).agg(F.max_by("drawdown", "date").alias("drawdown"))
+    return last.withColumn("breached", F.col("drawdown") < -limit)
+
+
+def rebalance_activity(books: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, rebalances, avg_turnover, changes): mean half change of weights from book to book, and positions opened, closed or changed; the first book has no change."""
+    order = Window.partitionBy(*keys).orderBy("date")
+    dates = books.select(*keys, "date").distinct().withColumn("next", F.lead("date").over(order))  # a row for each book
+    old = books.select(*keys, "date", "symbol", F.col("weight").alias("old")).join(dates.where("next IS NOT NULL"), [*keys, "date"]).select(*keys, F.col("next").alias("date"), "symbol", "old")
+    new = books.select(*keys, "date", "symbol", "weight").join(dates.select(*keys, F.col("next").alias("date")).where("date IS NOT NULL"), [*keys, "date"], "left_semi")
+    moved = old.join(new, [*keys, "date", "symbol"], "full_outer").withColumn("d", F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
+    by_book = moved.groupBy(*keys, "date").agg((F.sum("d") / 2).alias("turnover"), F.count_if(F.col("d") > 1e-9).alias("n"))
+    return by_book.groupBy(*keys).agg(F.count(F.lit(1)).alias("rebalances"), F.avg("turnover").alias("avg_turnover"), F.sum("n").alias("changes"))

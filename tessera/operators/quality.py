@@ -22,7 +22,7 @@ def late_starters(panel: DataFrame, days: int = 30) -> DataFrame:
 
 
 def live_gate(panel: DataFrame, benchmark: str | None = None, *, least: int = 200, missing: float = 0.05, breadth: float = 0.8) -> DataFrame:
-    """The panel's symbols that are fit to trade now; raises if too few are, or the benchmark is not.
+    """The panel's symbols that are fit to be bought now; raises if too few are, or the benchmark is not.
 
     A symbol needs `least` finite positive closes, at most `missing` gaps, and a close in the last two sessions.
     """
@@ -103,7 +103,7 @@ def with_delistings(returns: DataFrame, delistings: DataFrame) -> DataFrame:
     lost = delistings.join(returns, ["symbol", "date"], "left_anti").count()
     if lost:
         raise ValueError(f"{lost} delistings fall on no session")
-    return returns.join(F.broadcast(delistings), ["symbol", "date"], "left")
+    return returns.join(delistings, ["symbol", "date"], "left")
 
 
 def forward_filled(column: str) -> Column:

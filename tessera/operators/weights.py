@@ -15,7 +15,7 @@ def _day(*more: str):
 
 
 def with_sector(book: DataFrame, sectors: DataFrame) -> DataFrame:
-    return book.join(F.broadcast(sectors), "symbol", "left").withColumn("sector", F.coalesce("sector", F.lit(UNKNOWN)))
+    return book.join(sectors, "symbol", "left").withColumn("sector", F.coalesce("sector", F.lit(UNKNOWN)))
 
 
 def feasible_gross(book: DataFrame, cap: float, sector_cap: float) -> DataFrame:
@@ -72,13 +72,21 @@ def volatility_scaled(book: DataFrame, covariance: DataFrame, target: float, lev
     return df.withColumn("weight", F.col("weight") * scale).drop("vol")
 
 
-def turnover_capped(previous: DataFrame, target: DataFrame, cap: float, gross_cap: float, stub: float = 0.0025, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, symbol, weight), for each value of the keys: the target, or a blend on the way to it if the full change exceeds the cap; books that reduce an excess pass."""
+def turnover_capped(previous: DataFrame, target: DataFrame, cap: float, gross_cap: float, stub: float = 0.0025, keys: tuple[str, ...] = (), sector_cap: float | None = None) -> DataFrame:
+    """(keys, symbol, weight), for each value of the keys: the target, or a blend on the way to it if the full change exceeds the cap.
+
+    Books that bring the gross, or (with `sector_cap` and a column `sector` in both tables) a sector, from above its cap to within it pass as they are.
+    """
     both = previous.select(*keys, "symbol", F.col("weight").alias("old")).join(target.select(*keys, "symbol", F.col("weight").alias("new")), [*keys, "symbol"], "full_outer").fillna(0.0, ["old", "new"])
     sums = both.groupBy(*keys).agg(F.sum(F.abs(F.col("new") - F.col("old"))).alias("l1"), F.sum("old").alias("g0"), F.sum("new").alias("g1"))
-    free = (F.col("g0") <= 0) | ((F.col("g0") > gross_cap) & (F.col("g1") <= gross_cap)) | (F.lit(cap) >= 1) | (F.col("l1") <= cap)
+    if sector_cap is not None:
+        side = lambda df, name: df.groupBy(*keys, F.coalesce("sector", F.lit(UNKNOWN)).alias("sector")).agg(F.sum("weight").alias(name))
+        sectors = side(previous, "s0").join(side(target, "s1"), [*keys, "sector"], "left").groupBy(*keys).agg(F.max((F.col("s0") > sector_cap + 1e-9) & (F.coalesce("s1", F.lit(0.0)) <= sector_cap + 1e-9)).alias("relief"))
+        sums = sums.join(sectors, list(keys), "left") if keys else sums.join(sectors)
+    relief = F.coalesce("relief", F.lit(False)) if sector_cap is not None else F.lit(False)
+    free = relief | (F.col("g0") <= 0) | ((F.col("g0") > gross_cap + 1e-9) & (F.col("g1") <= gross_cap + 1e-9)) | (F.lit(cap) >= 1) | (F.col("l1") <= cap)
     blended = F.when(free, F.col("new")).otherwise(F.col("old") + F.try_divide(F.lit(cap), F.col("l1")) * (F.col("new") - F.col("old")))
-    out = both.join(F.broadcast(sums), list(keys) or None).withColumn("weight", blended)
+    out = both.join(sums, list(keys) or None).withColumn("weight", blended)
     return out.where((F.col("weight") >= stub) | (free & (F.col("weight") > 0))).select(*keys, "symbol", "weight")
 
 
@@ -118,6 +126,15 @@ def moments(returns: DataFrame, books: DataFrame, window: int) -> DataFrame:
     return at.join(span, "book_date").join(returns.select("symbol", "date", "ret"), ["symbol", "date"], "left")
 
 
+def _complete(samples: DataFrame) -> DataFrame:
+    """Sessions on which every name of a book has a return; in books with fewer than two of these, all with any return, where missing ones take the name's mean."""
+    session, book = Window.partitionBy("book_date", "date"), Window.partitionBy("book_date")
+    df = samples.withColumns({"__all": F.count("ret").over(session) == F.count(F.lit(1)).over(session), "__any": F.count("ret").over(session) > 0})
+    df = df.withColumn("__few", F.coalesce(F.max(F.when(F.col("__all"), F.col("date"))).over(book) <= F.min(F.when(F.col("__all"), F.col("date"))).over(book), F.lit(True)))
+    mean = F.coalesce(F.avg("ret").over(Window.partitionBy("book_date", "symbol")), F.lit(0.0))
+    return df.withColumn("ret", F.when(F.col("__few"), F.coalesce("ret", mean)).otherwise(F.col("ret"))).where("__all OR (__few AND __any)").drop("__all", "__any", "__few")
+
+
 def covariance(samples: DataFrame, method: str = "sample", decay: float = 0.06) -> DataFrame:
     """(date, a, b, cov) of each book from the rows of moments().
 
@@ -125,8 +142,7 @@ def covariance(samples: DataFrame, method: str = "sample", decay: float = 0.06)
     """
     df = samples
     if method != "sample":
-        whole = df.groupBy("book_date", "date").agg((F.count("ret") == F.count(F.lit(1))).alias("whole"))
-        df = df.join(whole, ["book_date", "date"]).where("whole")
+        df = _complete(df)
     x = df.where("ret IS NOT NULL").select("book_date", "date", "age", F.col("symbol").alias("a"), F.col("ret").alias("x"))
     y = x.select("book_date", "date", F.col("a").alias("b"), F.col("x").alias("y"))
     pairs = x.join(y, ["book_date", "date"])
@@ -171,14 +187,18 @@ def book_risk(samples: DataFrame, books: DataFrame) -> DataFrame:
     return concentration(books).withColumnRenamed("date", "book_date").join(sector, "book_date").join(stats, "book_date", "left").join(tail_risk(rets), "book_date", "left")
 
 
-def factor_exposures(returns: DataFrame, factors: list[str], key: str = "book") -> DataFrame:
-    """(key, factor, beta, alpha, r2): least squares of `ret` on factor columns by group; only sums of products reach Python."""
+def factor_exposures(returns: DataFrame, factors: list[str], key: str = "book", window: int = 126, least: int = 30) -> DataFrame:
+    """(key, factor, beta, alpha, r2, residual_vol): least squares of `ret` on factor columns over each group's last `window` complete dates; only sums of products reach Python.
+
+    Groups with fewer than `least` complete dates have no row; alpha and the residual volatility are for a year.
+    """
     import numpy as np
     import pandas as pd
 
     k = len(factors)
     names = ["__one", *factors, "ret"]
-    whole = returns.dropna(subset=["ret", *factors]).withColumn("__one", F.lit(1.0))
+    whole = returns.dropna(subset=["ret", *factors]).withColumns({"__one": F.lit(1.0), "__k": F.row_number().over(Window.partitionBy(key).orderBy(F.desc("date"))), "__n": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    whole = whole.where((F.col("__k") <= window) & (F.col("__n") >= least))
     sums = [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
     moments_ = whole.groupBy(key).agg(*sums)
 
@@ -187,15 +207,16 @@ def factor_exposures(returns: DataFrame, factors: list[str], key: str = "book")
             out = []
             for r in pdf.to_dict("records"):
                 m = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(k + 2)] for i in range(k + 2)], float)
-                if m[0, 0] < 30:
+                if m[0, 0] < k + 1:
                     continue
                 beta = np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
                 residual = m[-1, -1] - beta @ m[:-1, -1]
                 total = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
-                out += [(str(r[key]), f, float(b), float(beta[0] * 252), float(1 - residual / total) if total > 0 else 0.0) for f, b in zip(factors, beta[1:], strict=True)]
-            yield pd.DataFrame(out, columns=[key, "factor", "beta", "alpha", "r2"])
+                spread = float(np.sqrt(max(residual, 0.0) / (m[0, 0] - k - 1) * 252)) if m[0, 0] > k + 1 else None
+                out += [(str(r[key]), f, float(b), float(beta[0] * 252), float(1 - residual / total) if total > 0 else 0.0, spread) for f, b in zip(factors, beta[1:], strict=True)]
+            yield pd.DataFrame(out, columns=[key, "factor", "beta", "alpha", "r2", "residual_vol"])
 
-    return moments_.mapInPandas(solve, f"{key} string, factor string, beta double, alpha double, r2 double")
+    return moments_.mapInPandas(solve, f"{key} string, factor string, beta double, alpha double, r2 double, residual_vol double")
 
 
 def regime(benchmark: DataFrame, window: int = 21, low: float = 0.12, high: float = 0.25, periods: int = 252) -> DataFrame:
@@ -203,3 +224,23 @@ def regime(benchmark: DataFrame, window: int = 21, low: float = 0.12, high: floa
     frame = by_symbol().rowsBetween(-window + 1, 0)
     vol = F.when(F.count("ret").over(frame) == window, F.stddev_samp("ret").over(frame) * periods**0.5)
     return benchmark.withColumn("vol", vol).select("date", "vol", F.when(F.col("vol") < low, "low").when(F.col("vol") > high, "high").otherwise("normal").alias("regime"))
+
+
+def portfolio_table(book: DataFrame, prices: DataFrame, capital: float, keys: tuple[str, ...] = ("date",)) -> DataFrame:
+    """(keys, symbol, score, weight, weight_pct, dollars, shares, price): what a book buys of each name, in whole shares (0 without a price)."""
+    rows = book.join(prices.select(*keys, "symbol", "price"), [*keys, "symbol"], "left").withColumn("dollars", F.col("weight") * capital)
+    shares = F.coalesce(F.floor(F.try_divide("dollars", "price")), F.lit(0)).cast("long")
+    return rows.select(*keys, "symbol", "score", "weight", F.round(F.col("weight") * 100, 2).alias("weight_pct"), F.round("dollars", 2).alias("dollars"), shares.alias("shares"), F.round("price", 2).alias("price"))
+
+
+def portfolio_header(book: DataFrame, regimes: DataFrame) -> DataFrame:
+    """(date, regime, invested_pct, cash_pct) of each book."""
+    sums = book.groupBy("date").agg(F.sum("weight").alias("w")).join(regimes.select("date", "regime"), "date", "left")
+    return sums.select("date", F.coalesce("regime", F.lit("normal")).alias("regime"), F.round(F.col("w") * 100, 1).alias("invested_pct"), F.round(F.greatest(F.lit(0.0), 1 - F.col("w")) * 100, 1).alias("cash_pct"))
+
+
+def factor_breakdown(factors: DataFrame, held: DataFrame, weights: dict[str, float], digits: int = 3) -> DataFrame:
+    """(date, symbol, factor, value): the factors with a positive weight of each book's names on its date."""
+    active = [name for name, w in weights.items() if w > 0 and name in factors.columns]
+    rows = held.select("date", "symbol").join(factors.select("date", "symbol", *active), ["date", "symbol"], "left")
+    return rows.unpivot(["date", "symbol"], active, "factor", "value").withColumn("value", F.round("value", digits))

@@ -13,6 +13,7 @@ from ..sources import panel as src
 from .common import WEEKLY, Query, bars, of_the_date_before, rounded, sql_bars, sql_factors, sql_full
 from .quality_queries import DELISTINGS, delistings
 
+WINDOWS = (2, 4, 8, 13)
 NAMES = ("momentum", "short_term_reversal", "high_proximity", "volatility")
 
 
@@ -52,7 +53,7 @@ def collinearity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fe.base_features(fa.with_returns(bars(spark, sf_dir)), (2, 4, 13), 10, 7, 10, 13)
+    df = fe.base_features(fa.with_returns(bars(spark, sf_dir)), WINDOWS, 10, 7, 10, WINDOWS[-1])
     names = [c for c in df.columns if c.startswith(("ret_", "vol_", "activity_")) or c in ("band_width", "atr", "bias")]
     return rounded(df.select("symbol", "date", *names), *names, digits=5)
 
@@ -62,22 +63,42 @@ def feature_oscillators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("symbol", "date", "rsi", "macd", "macd_signal", "macd_histogram"), "rsi", "macd", "macd_signal", "macd_histogram", digits=5)
 
 
+#: Base features of the matrix: rolling ones, price factors, and (in the full matrix) oscillators.
+ROLLING = [*[f"ret_{n}" for n in WINDOWS], *[f"vol_{n}" for n in WINDOWS], *[f"activity_{n}" for n in WINDOWS[:-1]], "band_width", "atr", "bias"]
+FACTOR_FEATURES = ["momentum", "short_term_reversal", "high_proximity", "volatility_contraction", "trend_persistence"]
+OSCILLATORS = ["rsi", "macd", "macd_signal", "macd_histogram"]
+
+
+def _base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factors = rounded(fa.price_factors(bars(spark, sf_dir), WEEKLY).select("symbol", "date", *FACTOR_FEATURES), *FACTOR_FEATURES, digits=5)
+    return feature_base(spark, sf_dir).join(factors, ["symbol", "date"])
+
+
+def _matrix(df: DataFrame, names: list[str]) -> DataFrame:
+    return rounded(fe.feature_table(df, names), *[f"{c}_rank" for c in names])
+
+
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["ret_2", "vol_4"]
-    df = fe.feature_table(rounded(feature_base(spark, sf_dir).select("symbol", "date", *names), *names), names)
-    return rounded(df, "ret_2_rank", "vol_4_rank")
+    """Values, ranks and missing flags of the features that SQL can express."""
+    return _matrix(_base_features(spark, sf_dir), [*ROLLING, *FACTOR_FEATURES])
+
+
+def feature_matrix_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 23 base features with ranks and missing flags."""
+    slow = fe.macd(fe.wilder_rsi(bars(spark, sf_dir).select("symbol", "date", "close"), 6), 3, 6, 4).drop("close")
+    return _matrix(_base_features(spark, sf_dir).join(slow, ["symbol", "date"]), [*ROLLING, *FACTOR_FEATURES, *OSCILLATORS])
 
 
 def cross_sectional_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     returns = fa.with_returns(bars(spark, sf_dir, "month")).select("symbol", "date", "ret")
     events = delistings(spark).withColumn("date", F.trunc("date", "month"))
-    df = returns.join(F.broadcast(events), ["symbol", "date"], "left")
+    df = returns.join(events, ["symbol", "date"], "left")
     df = rounded(fe.forward_return(df, 3, event="delisting_return"), "fwd_ret")
     return rounded(fe.target(df).select("symbol", "date", "fwd_ret", "label", "grade"), "label")
 
 
 def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = src.trade_bars(spark, sf_dir).select("date").distinct()
+    sessions = src.deal_bars(spark, sf_dir).select("date").distinct()
     some = sessions.withColumn("k", F.row_number().over(Window.orderBy("date")) - 1).where("k % 40 = 39").select("date")
     return fe.purged_splits(sessions, some, 104, 13, 4)
 
@@ -125,31 +146,25 @@ def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def penalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _two_scores(spark, sf_dir)[0]
-    now, before = df.where("date = DATE'1998-06-01'"), df.where("date = DATE'1998-05-04' AND symbol <> 'NATION_4'")
-    return rounded(fe.turnover_penalty(now, before), "score", digits=5)
-
-
-def penalized_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every date against the one before."""
     df = _two_scores(spark, sf_dir)[0]
-    return rounded(fe.turnover_penalty(df, of_the_date_before(df), keys=("date",)), "score", digits=5)
+    return rounded(fe.turnover_penalty(df, of_the_date_before(df), keys=("date",)), "score", digits=7)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (ic_by_date, ic_statistics, quantile_spreads, decay_by_horizon, rank_turnover, correlation_of_factors, collinearity, feature_base, feature_oscillators, feature_matrix, cross_sectional_target, purged_folds, training_panel, walk_forward_scores, model_importances, validation_spreads, validation_skill, ensemble_scores, penalized_scores, penalized_scores_all)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (ic_by_date, ic_statistics, quantile_spreads, decay_by_horizon, rank_turnover, correlation_of_factors, collinearity, feature_base, feature_oscillators, feature_matrix, cross_sectional_target, purged_folds, training_panel, walk_forward_scores, model_importances, validation_spreads, validation_skill, ensemble_scores, penalized_scores, feature_matrix_full)}
 
 _FWD = lambda h: f"CASE WHEN count(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN sum(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END"
 _PCT = lambda x, keys="date": f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {keys}, {x} IS NULL ORDER BY {x}) + (count({x}) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {keys}) END"
 _BASE = f"WITH {sql_bars()}, {sql_factors(WEEKLY)}, df AS (SELECT symbol, sector, date, close, ret, {', '.join(f'round({c}, 6) AS {c}' for c in NAMES)}, {_FWD(4)} AS fwd FROM fac)"
 _RK = f"both_ AS (SELECT date, momentum AS f, fwd AS r FROM df WHERE momentum IS NOT NULL AND fwd IS NOT NULL), rk AS (SELECT date, f, r, {_PCT('f')} AS pf, {_PCT('r')} AS pr FROM both_), ics AS (SELECT date, CASE WHEN count(*) >= 10 THEN corr(pf, pr) END AS ic, CASE WHEN count(*) >= 10 THEN corr(f, r) END AS pic FROM rk GROUP BY date)"
-_SUM = "CASE WHEN count(ic) >= 20 THEN round(avg(ic), 4) END AS mean_ic, CASE WHEN count(ic) >= 20 THEN round(stddev_samp(ic), 4) END AS std_ic, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / stddev_samp(ic), 4) END AS icir, CASE WHEN count(ic) >= 20 THEN round(avg((ic > 1e-9)::INT), 4) END AS hit_rate, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 2) END AS t_stat, count(ic) AS n"
+_SUM = "CASE WHEN count(ic) >= 20 THEN round(avg(ic), 4) END AS mean_ic, CASE WHEN count(ic) >= 20 THEN round(stddev_samp(ic), 4) END AS std_ic, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / stddev_samp(ic), 4) END AS icir, CASE WHEN count(ic) >= 20 THEN round(avg((ic > 0)::INT), 4) END AS hit_rate, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 2) END AS t_stat, count(ic) AS n"
 _EDGES = "e AS (SELECT date, quantile_cont(f, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM both_ GROUP BY date HAVING count(*) >= 10 AND len(list_distinct(quantile_cont(f, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) = 6)"
 _LONGF = " UNION ALL ".join(f"SELECT symbol, date, '{c}' AS name, {c} AS v FROM s" for c in NAMES)
-_FEAT = f"""x AS (SELECT symbol, date, close, ret, close - lag(close) OVER w AS d, {', '.join(f'close / lag(close, {n}) OVER w - 1 AS ret_{n}' for n in (2, 4, 13))} FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+_FEAT = f"""x AS (SELECT symbol, date, close, ret, close - lag(close) OVER w AS d, {', '.join(f'close / lag(close, {n}) OVER w - 1 AS ret_{n}' for n in WINDOWS)} FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 y AS (SELECT *, abs(d) AS ad, abs(ret) AS ar, sign(ret) AS sg FROM x),
-feat AS (SELECT symbol, date, {', '.join(f'round(ret_{n}, 5) AS ret_{n}, round(({sql_full("ret", n, "stddev_samp")}) * sqrt(252), 5) AS vol_{n}' for n in (2, 4, 13))},
+feat AS (SELECT symbol, date, {', '.join(f'round(ret_{n}, 5) AS ret_{n}, round(({sql_full("ret", n, "stddev_samp")}) * sqrt(252), 5) AS vol_{n}' for n in WINDOWS)},
   round(4 * ({sql_full('close', 10, 'stddev_samp')}) / ({sql_full('close', 10)}), 5) AS band_width, round(({sql_full('ad', 7)}) / close, 5) AS atr, round({sql_full('sg', 10, 'sum')}, 5) AS bias,
-  {', '.join(f'round(({sql_full("ar", n)}) / ({sql_full("ar", 13)}), 5) AS activity_{n}' for n in (2, 4))} FROM y)"""
+  {', '.join(f'round(({sql_full("ar", n)}) / ({sql_full("ar", 13)}), 5) AS activity_{n}' for n in WINDOWS[:-1])} FROM y)"""
 _EV = ", ".join(f"({s!r}, date_trunc('month', DATE {d!r})::DATE, {r}::DOUBLE)" for s, d, r in DELISTINGS)
 _SES = "ses AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM raw)), pts AS (SELECT date AS rebalance_date, i AS a FROM ses WHERE i % 40 = 39), sp AS (SELECT rebalance_date, a - 13 AS v0, a - 4 AS v1, a - 17 AS t1, greatest(0, a - 117) AS t0 FROM pts WHERE a - 17 - greatest(0, a - 117) >= 13), folds AS (SELECT rebalance_date, date, CASE WHEN i < t1 THEN 'train' ELSE 'validate' END AS split, (CASE WHEN i < t1 THEN i - t0 ELSE i - v0 END)::INT AS position FROM ses, sp WHERE i >= t0 AND i < v1 AND (i < t1 OR i >= v0))"
 _LAB = f"lab0 AS (SELECT symbol, date, {', '.join(f'coalesce({c}, 0) AS {c}' for c in NAMES)}, round(fwd, 6) AS fwd_ret FROM df), lab AS (SELECT *, {_PCT('fwd_ret')} AS label FROM lab0)"
@@ -163,12 +178,12 @@ ORACLE_SQL = {
     "rank_turnover": f"{_BASE}, p AS (SELECT symbol, date, {_PCT('momentum')} AS p FROM df), d AS (SELECT date, abs(p - lag(p) OVER (PARTITION BY symbol ORDER BY date)) AS d FROM p) SELECT date, round(avg(d), 6) AS turnover FROM d GROUP BY date",
     "correlation_of_factors": f"{_BASE}, ds AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM df)) WHERE k % 8 = 0), s AS (SELECT * FROM df WHERE date IN (SELECT date FROM ds) AND momentum IS NOT NULL), l AS ({_LONGF}), p AS (SELECT symbol, date, name, {_PCT('v', 'date, name')} AS p FROM l), c AS (SELECT x.name AS a, y.name AS b, x.date, CASE WHEN stddev_pop(x.p) > 0 AND stddev_pop(y.p) > 0 THEN corr(x.p, y.p) END AS c FROM p x JOIN p y USING (symbol, date) GROUP BY 1, 2, 3 HAVING count(*) >= 10) SELECT a, b, round(avg(coalesce(c, 0)), 3) AS corr FROM c GROUP BY 1, 2",
     "feature_base": f"WITH {sql_bars()}, {_FEAT} SELECT * FROM feat",
-    "feature_matrix": f"WITH {sql_bars()}, {_FEAT} SELECT symbol, date, coalesce(ret_2, 0) AS ret_2, coalesce(vol_4, 0) AS vol_4, round(coalesce({_PCT('ret_2')}, 0), 6) AS ret_2_rank, round(coalesce({_PCT('vol_4')}, 0), 6) AS vol_4_rank, (ret_2 IS NULL)::INT AS ret_2_missing, (vol_4 IS NULL)::INT AS vol_4_missing, (ret_2 IS NULL)::INT AS ret_2_rank_missing, (vol_4 IS NULL)::INT AS vol_4_rank_missing FROM feat",
+    "feature_matrix": f"WITH {sql_bars()}, {sql_factors(WEEKLY)}, {_FEAT}, fx AS (SELECT feat.*, {', '.join(f'round(fac.{c}, 5) AS {c}' for c in FACTOR_FEATURES)} FROM feat JOIN fac USING (symbol, date)) SELECT symbol, date, {', '.join(f'coalesce({c}, 0) AS {c}, round(coalesce({_PCT(c)}, 0), 6) AS {c}_rank, ({c} IS NULL)::INT AS {c}_missing, ({c} IS NULL)::INT AS {c}_rank_missing' for c in [*ROLLING, *FACTOR_FEATURES])} FROM fx",
     "cross_sectional_target": f"WITH {sql_bars('month')}, v AS (SELECT * FROM (VALUES {_EV}) v(symbol, date, e)), r1 AS (SELECT symbol, date, ret, e, count(e) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS gone FROM rets LEFT JOIN v USING (symbol, date)), r2 AS (SELECT symbol, date, CASE WHEN gone THEN 0 ELSE coalesce(e, ret) END AS r FROM r1), r3 AS (SELECT symbol, date, round((1 + lead(r, 1) OVER w) * (1 + lead(r, 2) OVER w) * (1 + lead(r, 3) OVER w) - 1, 6) AS fwd_ret FROM r2 WINDOW w AS (PARTITION BY symbol ORDER BY date)), r4 AS (SELECT *, {_PCT('fwd_ret')} AS label FROM r3) SELECT symbol, date, fwd_ret, round(label, 6) AS label, least(floor(label * 10), 9)::BIGINT AS grade FROM r4",
     "purged_folds": f"WITH {sql_bars()}, {_SES} SELECT * FROM folds",
     "training_panel": f"{_BASE}, {_SES}, {_LAB}, r AS (SELECT rebalance_date, split, date, label, count(*) OVER (PARTITION BY rebalance_date, date) AS n FROM lab JOIN folds USING (date) WHERE label IS NOT NULL AND (split = 'validate' OR position % 4 = 0)) SELECT rebalance_date, split, count(*) AS n, count(DISTINCT date) AS dates, round(avg(label), 6) AS label FROM r WHERE n >= 2 GROUP BY 1, 2",
     "validation_spreads": f"{_BASE}, {_LAB}, k AS (SELECT date, fwd_ret, greatest(1, floor(count(*) OVER (PARTITION BY date) / 10)) AS n, row_number() OVER (PARTITION BY date ORDER BY momentum DESC, symbol) AS up, row_number() OVER (PARTITION BY date ORDER BY momentum, symbol) AS down FROM lab WHERE fwd_ret IS NOT NULL) SELECT date, round(avg(fwd_ret) FILTER (WHERE up <= n) - avg(fwd_ret) FILTER (WHERE down <= n) + 1e-9, 6) AS spread FROM k GROUP BY date",
     "validation_skill": f"{_BASE}, {_LAB}, k AS (SELECT label, {_PCT('momentum')} AS s FROM lab) SELECT count(*) AS n, round(sqrt(avg((s - label) ** 2)), 6) AS rmse, round(sqrt(avg((label - 0.5) ** 2)), 6) AS rmse_constant, round(1 - sqrt(avg((s - label) ** 2)) / sqrt(avg((label - 0.5) ** 2)), 6) AS skill FROM k WHERE label IS NOT NULL",
     "ensemble_scores": f"{_BASE}, {_SIDE('momentum', 'a', '')}, {_SIDE('volatility', 'b', _NOT_2)}, j AS (SELECT symbol, date, a.p AS pa, b.p AS pb, coalesce(a.t, false) AND coalesce(b.t, false) AS tops, coalesce(max(a.o) OVER (PARTITION BY date), false) AND coalesce(max(b.o) OVER (PARTITION BY date), false) AS act FROM a FULL JOIN b USING (symbol, date)) SELECT symbol, date, round((0.5 * coalesce(pa, 0.5) + 0.5 * coalesce(pb, 0.5)) * CASE WHEN tops AND act THEN 1.3 ELSE 1 END, 6) AS score, tops AND act AS consensus FROM j",
-    "penalized_scores": f"{_BASE} SELECT n.symbol, n.date, round(n.momentum - 0.1 * coalesce(abs(n.momentum - p.momentum), 0), 5) AS score FROM df n LEFT JOIN (SELECT symbol, momentum FROM df WHERE date = DATE '1998-05-04' AND symbol <> 'NATION_4') p USING (symbol) WHERE n.date = DATE '1998-06-01'",
+    "penalized_scores": f"{_BASE}, ds AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM df)) SELECT n.symbol, n.date, round(n.momentum - 0.1 * coalesce(abs(n.momentum - p.momentum), 0), 7) AS score FROM df n JOIN ds ON ds.date = n.date LEFT JOIN df p ON p.symbol = n.symbol AND p.date = ds.prev",
 }

@@ -13,7 +13,7 @@ from ..sources import panel as src
 def of_the_date_before(df: DataFrame) -> DataFrame:
     """The rows of each date under the next date that there is."""
     dates = df.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date"))).where("next IS NOT NULL")  # a row for each date
-    return df.join(F.broadcast(dates), "date").withColumn("date", F.col("next")).drop("next")
+    return df.join(dates, "date").withColumn("date", F.col("next")).drop("next")
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ MONTHLY = fa.Lengths(momentum=(3, 6, 11), skip=1, reversion=6, trend=(3, 10), tr
 
 
 def bars(spark: SparkSession, sf_dir: str, freq: str = "week") -> DataFrame:
-    return src.densify(src.trade_bars(spark, sf_dir, freq))
+    return src.densify(src.deal_bars(spark, sf_dir, freq))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

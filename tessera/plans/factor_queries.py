@@ -21,7 +21,7 @@ def panel_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = src.trade_bars(spark, sf_dir).select("symbol", "date", "close")
+    symbols = src.deal_bars(spark, sf_dir).select("symbol", "date", "close")
     return symbols.unionByName(src.benchmark_bars(spark, sf_dir))
 
 
@@ -30,12 +30,12 @@ def cross_section_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_completed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.completed_sessions(src.trade_bars(spark, sf_dir, "day"), F.lit("1997-06-18 19:00:00").cast("timestamp")).select("symbol", "date", "close")
+    return src.completed_sessions(src.deal_bars(spark, sf_dir, "day"), F.lit("1997-06-18 19:00:00").cast("timestamp")).select("symbol", "date", "close")
 
 
 def panel_static_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = src.read(spark, sf_dir, "nation").where("n_regionkey IN (1, 2)").select(F.col("n_name").alias("symbol"))
-    return src.static_universe(src.trade_bars(spark, sf_dir), listed).select("symbol", "date", "close")
+    return src.static_universe(src.deal_bars(spark, sf_dir), listed).select("symbol", "date", "close")
 
 
 def panel_average_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +95,9 @@ def fundamental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fundamentals_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot on every session for which it was fetched in time (fetch date less 90 days), and the static score repeated on it."""
-    sessions = src.trade_bars(spark, sf_dir, "month").select("date").distinct()
+    sessions = src.deal_bars(spark, sf_dir, "month").select("date").distinct()
     scored = fundamental_scores(spark, sf_dir).withColumn("fetched", F.lit("1998-01-01").cast("date"))
-    return sessions.join(F.broadcast(scored), F.date_sub("fetched", 90) <= F.col("date")).select("date", "symbol", "value")
+    return sessions.join(scored, F.date_sub("fetched", 90) <= F.col("date")).select("date", "symbol", "value")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (flagship_composite, panel_bars, panel_benchmark, cross_section_members, panel_completed_sessions, panel_static_universe, panel_average_volume, panel_returns, factor_table, factor_sector_neutral, factor_standardized, universe_mask, composite_signal, composite_top, fundamental_scores, fundamentals_available)}

@@ -54,7 +54,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rebalance_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = src.trade_bars(spark, sf_dir, "week").select("date").distinct()
+    sessions = src.deal_bars(spark, sf_dir, "week").select("date").distinct()
     return qu.next_sessions(qu.business_schedule(sessions), sessions, "1996-01-01")
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import execution as ex
@@ -21,14 +20,19 @@ def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("id", F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").alias("ts"), F.to_date("l_shipdate").alias("day"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity") + 1e-9, 4).alias("price"), "l_discount", "l_tax")
 
 
+def _account():
+    """Ten accounts, by the last digit of a name."""
+    return F.col("symbol").cast("long") % 10
+
+
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fills(spark, sf_dir).where("side = 'buy'").groupBy("symbol").agg(F.sum("quantity").alias("held"), F.round(F.sum(F.col("quantity") * F.col("price")) / F.sum("quantity"), 2).alias("entry"), F.max_by("price", F.struct("ts", "id")).alias("price"), F.min("day").alias("entry_date"))
+    return _fills(spark, sf_dir).where("side = 'buy'").groupBy("symbol").agg(F.sum("quantity").alias("held"), F.round(F.sum(F.col("quantity") * F.col("price")) / F.sum("quantity"), 2).alias("entry"), F.max_by("price", F.struct("ts", "id")).alias("price"), F.min("day").alias("entry_date")).withColumn("account", _account())
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = _fills(spark, sf_dir).where("side = 'sell'").groupBy("symbol").agg(F.sum("quantity").alias("q"))
     total = pos.agg(F.sum("q").alias("t"))
-    return pos.join(F.broadcast(total)).select("symbol", F.round(F.col("q") / F.col("t"), 8).alias("weight"))
+    return pos.join(F.broadcast(total)).select("symbol", F.round(F.col("q") / F.col("t"), 8).alias("weight"), _account().alias("account"))
 
 
 def orders_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +40,12 @@ def orders_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ex.rebalance_orders(pos, _targets(spark, sf_dir), pos, F.lit(50_000_000.0)), "limit_price", digits=3)
 
 
-def orders_pre_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills = ex.filled_before(_fills(spark, sf_dir))
     held = _positions(spark, sf_dir).select("symbol", "held")
     adv = _fills(spark, sf_dir).groupBy("symbol").agg(F.sum("quantity").alias("adv"))
     rows = fills.join(held, "symbol", "left").join(adv, "symbol").fillna(0.0, ["held"]).withColumn("portfolio", F.lit(20_000_000.0))
-    return ex.pre_trade(rows, LIMITS).select("id", "reason")
+    return ex.order_checks(rows, LIMITS).select("id", "reason")
 
 
 def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drift(spark, sf_dir).select("symbol", "target", "actual", "drift", "level")
+    return _drift(spark, sf_dir).select("account", "symbol", "target", "actual", "drift", "level", "place")
 
 
 def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,7 @@ def position_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fills_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fills(spark, sf_dir).select("id", "symbol", "side", F.when(F.col("quantity") > 5, F.col("quantity")).otherwise(0.0).alias("filled"), F.col("ts").alias("filled_at"))
-    return ex.fills_by_day(rows).select("day", F.size("trades").alias("n"), F.aggregate("trades", F.lit(0.0), lambda a, t: a + t["filled"]).alias("filled"))
+    return ex.fills_by_day(rows)
 
 
 def fills_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +102,11 @@ def retry_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def account_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equity, and profit against the day before, by New York day of an epoch."""
+    """Equity, and profit against the day before (none on the first), by New York day of an epoch."""
     epochs = src.read(spark, sf_dir, "events").select(F.unix_timestamp("ts").alias("epoch"), "value")
-    return rounded(epochs.groupBy(ex.new_york_date(F.timestamp_seconds("epoch")).alias("day")).agg(F.sum("value").alias("equity")), "equity", digits=2)
+    days = epochs.groupBy(ex.new_york_date(F.timestamp_seconds("epoch")).alias("day")).agg(F.sum("value").alias("equity"))
+    days = days.withColumn("profit", F.col("equity") - F.lag("equity").over(Window.orderBy("day")))  # a row for each day
+    return rounded(days, "equity", "profit", digits=2)
 
 
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,16 +127,12 @@ def split_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _fills(spark, sf_dir).groupBy(F.col("day").alias("date")).agg(F.sum("quantity").alias("remaining"), F.max("price").alias("price"))
-    credits = _fills(spark, sf_dir).where("symbol = '5'").select(F.col("day").alias("date"), F.round(F.col("price") - 2000 + 1e-6, 2).alias("c"))
-    return rounded(ex.equity_correction(days, days, credits, F.lit(2.0)).withColumn("correction", F.col("correction") + 1e-6), "correction", digits=2)
-
-
-def split_equity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the credits of every symbol."""
-    days = _fills(spark, sf_dir).groupBy(F.col("day").alias("date")).agg(F.sum("quantity").alias("remaining"), F.max("price").alias("price"))
-    credits = _fills(spark, sf_dir).select(F.col("day").alias("date"), F.round(F.col("price") - 2000 + 1e-6, 2).alias("c"))
-    return rounded(ex.equity_correction(days, days, credits, F.lit(2.0)).withColumn("correction", F.col("correction") + 1e-6), "correction", digits=2)
+    """Corrections by day with the credits of every symbol, less what was paid on some days."""
+    fills = _fills(spark, sf_dir)
+    days = fills.groupBy(F.col("day").alias("date")).agg(F.sum("quantity").alias("remaining"), F.max("price").alias("price"))
+    credits = fills.select(F.col("day").alias("date"), (F.col("price") - 1400).alias("c"))
+    paid = fills.where("quantity = 50").select(F.col("day").alias("date"), (F.col("price") / 10).alias("amount"))
+    return rounded(ex.equity_correction(days, days, credits, F.lit(2.0), paid), "correction", digits=2)
 
 
 def order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,47 +140,71 @@ def order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("intent").alias("ids"), F.max(F.length("intent")).alias("digits"))
 
 
-def _stream(spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Runs a streaming form over the events files to the end (all that is there now) and returns what it wrote."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _stream(spark: SparkSession, sf_dir: str, build, keys: tuple[str, ...] = (), mode: str = "update") -> DataFrame:
+    """Runs a streaming form over the events files to the end (all that is there now) and returns what it wrote: of each key its last update, or all rows."""
+    run = f"{src.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = src.read(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    out = build(stream)
-    query = out.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{run}/out")).option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{run}/out")
+    out = build(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+    spark.createDataFrame([], out.schema).write.parquet(f"{run}/out/batch=-1")  # so that there is a table without any batch
+    save = lambda df, k: df.write.mode("overwrite").parquet(f"{run}/out/batch={k}")
+    out.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(out.schema.add("batch", "long")).parquet(f"{run}/out")
+    if not keys:
+        return rows.drop("batch")
+    rest = [c for c in out.columns if c not in keys and c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
 
 
 def stream_day_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _stream(spark, sf_dir, lambda s: rules.loss_flags(s.select("ts", "value"), 100.0))
-    return df.groupBy("day").agg(F.sum("n").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return rounded(_stream(spark, sf_dir, lambda s: rules.daily_totals(s.select("ts", "value")), ("day",)), "value", digits=2)
 
 
 def stream_loss_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily loss rule over events as profits and losses around 50."""
-    df = _stream(spark, sf_dir, lambda s: rules.loss_flags(s.select("ts", (F.round(F.col("value"), 2) - 50).alias("value")), 100.0))
-    return df.select("day", "n", F.round("value", 2).alias("value"), "stopped")
+    df = _stream(spark, sf_dir, lambda s: rules.loss_flags(s.select("ts", (F.round(F.col("value"), 2) - 50).alias("value")), 100.0), ("day",))
+    return rounded(df.select("day", "n", "value", "stopped"), "value", digits=2)
 
 
 def stream_order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _stream(spark, sf_dir, lambda s: rules.highest_notional(s.select("ts", F.col("user_id").alias("order_id"), "value")))
-    return df.groupBy("day", "order_id").agg(F.round(F.max("value"), 6).alias("value"))
+    df = _stream(spark, sf_dir, lambda s: rules.highest_notional(s.select("ts", F.col("user_id").alias("order_id"), "value")), ("day", "order_id"))
+    return rounded(df, "value")
 
 
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir, lambda s: rules.bars(s.select("ts", F.col("user_id").alias("symbol"), F.col("value").alias("price")))).select("symbol", "start", "high", "low", "volume")
+    return _stream(spark, sf_dir, lambda s: rules.bars(s.select("ts", F.col("user_id").alias("symbol"), F.col("value").alias("price"))), ("symbol", "start"))
+
+
+def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that pass a cooldown of an hour for their symbol, from keyed state."""
+    return _stream(spark, sf_dir, lambda s: rules.first_attempts(s.select("ts", F.col("user_id").alias("symbol")), 3600, late="60 days"), mode="append")
+
+
+def weights_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos = _positions(spark, sf_dir)
+    return rounded(ex.current_weights(pos, pos, F.lit(2_000_000_000.0)), "weight")
+
+
+def account_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = _fills(spark, sf_dir).where("ts >= TIMESTAMP'1997-01-01'")
+    return rounded(ex.account_equity(F.lit(1_000_000.0), _positions(spark, sf_dir), _splits(spark, sf_dir), late, F.lit(3.0), F.lit(5_000.0)), "equity", "value", "credit", digits=0)
+
+
+def rebalance_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account's equity at each month of orders: of days with shipments from the history, of the others the current one."""
+    dates = src.read(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").cast("date").alias("date")).distinct()
+    history = _fills(spark, sf_dir).where("quantity > 45").groupBy(F.col("day").alias("date")).agg(F.sum(F.col("quantity") * F.col("price")).alias("equity"))
+    return rounded(ex.with_equity(dates, history, F.lit(123.0)), "equity", digits=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (orders_rebalance, orders_pre_trade, positions_drift, drift_summary, orders_sliced, fill_slippage, rebalance_completion, position_profit, fills_by_day, fills_assigned, trading_day_totals, retry_cooldown, account_history, splits_unresolved, splits_corrected, split_credits, split_equity, split_equity_all, order_intents, stream_day_totals, stream_loss_flags, stream_order_totals, stream_bars)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (orders_rebalance, orders_checked, positions_drift, drift_summary, orders_sliced, fill_slippage, rebalance_completion, position_profit, fills_by_day, fills_assigned, trading_day_totals, retry_cooldown, account_history, splits_unresolved, splits_corrected, split_credits, split_equity, order_intents, stream_day_totals, stream_loss_flags, stream_order_totals, stream_bars, stream_cooldown, weights_current, account_equity, rebalance_equity)}
 
 _FILLS = "WITH fills AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey::VARCHAR AS symbol, l_shipdate AS ts, l_shipdate::DATE AS day, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity, round(l_extendedprice / l_quantity + 1e-9, 4) AS price, l_discount, l_tax FROM lineitem)"
 _POS = f"{_FILLS}, pos AS (SELECT symbol, sum(quantity) AS held, round(sum(quantity * price) / sum(quantity), 2) AS entry, max_by(price, (ts, id)) AS price, min(day) AS entry_date FROM fills WHERE side = 'buy' GROUP BY 1), tg AS (SELECT symbol, round(sum(quantity) / sum(sum(quantity)) OVER (), 8) AS weight FROM fills WHERE side = 'sell' GROUP BY 1)"
-_DRIFT = f"{_POS}, dr AS (SELECT symbol, coalesce(weight, 0) AS target, coalesce(held * price / 2e9, 0) AS actual, coalesce(held * price / 2e9, 0) - coalesce(weight, 0) AS drift FROM tg FULL JOIN pos USING (symbol)), d6 AS (SELECT symbol, target, round(actual, 6) AS actual, round(drift, 6) AS drift, CASE WHEN abs(drift) >= 0.002 THEN 'alert' WHEN abs(drift) >= 0.001 THEN 'warn' ELSE 'ok' END AS level FROM dr)"
+_DRIFT = f"{_POS}, dr AS (SELECT symbol, coalesce(weight, 0) AS target, coalesce(held * price / 2e9, 0) AS actual, coalesce(held * price / 2e9, 0) - coalesce(weight, 0) AS drift FROM tg FULL JOIN pos USING (symbol)), d6 AS (SELECT symbol::BIGINT % 10 AS account, row_number() OVER (PARTITION BY symbol::BIGINT % 10 ORDER BY abs(drift) DESC, symbol)::INT AS place, symbol, target, round(actual, 6) AS actual, round(drift, 6) AS drift, CASE WHEN abs(drift) >= 0.002 THEN 'alert' WHEN abs(drift) >= 0.001 THEN 'warn' ELSE 'ok' END AS level FROM dr)"
 _NY = "timezone('America/New_York', timezone('UTC', {}))::DATE"
 ORACLE_SQL = {
-    "orders_rebalance": f"{_POS}, o AS (SELECT symbol, (floor(coalesce(weight, 0) * 5e7 / price) - held)::BIGINT AS n, price FROM pos LEFT JOIN tg USING (symbol) WHERE price > 0) SELECT symbol, CASE WHEN n > 0 THEN 'buy' ELSE 'sell' END AS side, abs(n) AS quantity, round(price * CASE WHEN n > 0 THEN 1.001 ELSE 0.999 END, 3) AS limit_price, row_number() OVER (ORDER BY n > 0, symbol)::INT AS place FROM o WHERE n <> 0",
-    "orders_pre_trade": f"{_POS}, adv AS (SELECT symbol, sum(quantity) AS adv FROM fills GROUP BY 1), f AS (SELECT fills.*, coalesce(held, 0) AS held, adv, coalesce(sum(quantity * fills.price) OVER (PARTITION BY day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled FROM fills LEFT JOIN pos USING (symbol) JOIN adv USING (symbol)) SELECT id, CASE WHEN quantity <= 0 THEN 'bad_number' WHEN price <= 0 THEN 'price' WHEN price < 950 THEN 'min_price' WHEN quantity * price > 90000 THEN 'order_value' WHEN quantity > 45 THEN 'order_shares' WHEN filled + quantity * price > 300000 THEN 'daily_value' WHEN NOT (side = 'sell' AND held > 0) AND (held + CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) * price / 2e7 > 0.1 THEN 'concentration' WHEN adv <= 0 THEN 'adv_invalid' WHEN quantity / adv > 0.02 THEN 'adv_share' END AS reason FROM f",
+    "orders_rebalance": f"{_POS}, o AS (SELECT symbol, (floor(coalesce(weight, 0) * 5e7 / price) - held)::BIGINT AS n, price FROM pos LEFT JOIN tg USING (symbol) WHERE price > 0) SELECT symbol::BIGINT % 10 AS account, symbol, CASE WHEN n > 0 THEN 'buy' ELSE 'sell' END AS side, abs(n) AS quantity, round(price * CASE WHEN n > 0 THEN 1.001 ELSE 0.999 END, 3) AS limit_price, row_number() OVER (PARTITION BY symbol::BIGINT % 10 ORDER BY n > 0, symbol)::INT AS place FROM o WHERE n <> 0",
+    "orders_checked": f"{_POS}, adv AS (SELECT symbol, sum(quantity) AS adv FROM fills GROUP BY 1), f AS (SELECT fills.*, coalesce(held, 0) AS held, adv, coalesce(sum(quantity * fills.price) OVER (PARTITION BY day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled FROM fills LEFT JOIN pos USING (symbol) JOIN adv USING (symbol)) SELECT id, CASE WHEN quantity <= 0 THEN 'bad_number' WHEN price <= 0 THEN 'price' WHEN price < 950 THEN 'min_price' WHEN quantity * price > 90000 THEN 'order_value' WHEN quantity > 45 THEN 'order_shares' WHEN filled + quantity * price > 300000 THEN 'daily_value' WHEN NOT (side = 'sell' AND held > 0) AND (held + CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) * price / 2e7 > 0.1 THEN 'concentration' WHEN adv <= 0 THEN 'adv_invalid' WHEN quantity / adv > 0.02 THEN 'adv_share' END AS reason FROM f",
     "positions_drift": f"{_DRIFT} SELECT * FROM d6",
     "drift_summary": f"{_DRIFT} SELECT round(sum(abs(drift)), 6) AS total, max_by(symbol, (abs(drift), symbol)) AS worst, round(max(abs(drift)), 6) AS largest FROM d6",
     "orders_sliced": f"{_FILLS}, n AS (SELECT id, quantity::BIGINT AS q, CASE WHEN quantity / 2000 > 0.01 THEN least(5, quantity)::INT ELSE 1 END AS n FROM fills) SELECT id, slice::INT AS slice, q // n + (slice < q % n)::INT AS slice_quantity, CASE WHEN n > 1 THEN slice * 1800.0::DOUBLE / (n - 1) ELSE 0 END::DOUBLE AS \"offset\" FROM (SELECT *, unnest(range(0, n)) AS slice FROM n)",
@@ -189,14 +215,17 @@ ORACLE_SQL = {
     "fills_assigned": "SELECT id, rebalance FROM (SELECT event_id AS id, event_id % 7 = 0 AS s, last_value(CASE WHEN event_id % 7 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rebalance FROM events) WHERE NOT s",
     "trading_day_totals": f"SELECT day, count(*) AS orders, round(sum(greatest(v, 0)), 2) AS value FROM (SELECT {_NY.format('ts')} AS day, user_id, max(round(value, 2)) AS v FROM events GROUP BY 1, 2) GROUP BY 1",
     "retry_cooldown": "SELECT event_id AS id, coalesce(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) >= 3600, true) AS allowed FROM events",
-    "account_history": f"SELECT {_NY.format('ts')} AS day, round(sum(value), 2) AS equity FROM events GROUP BY 1",
+    "account_history": f"SELECT day, round(e, 2) AS equity, round(e - lag(e) OVER (ORDER BY day), 2) AS profit FROM (SELECT {_NY.format('ts')} AS day, sum(value) AS e FROM events GROUP BY 1)",
     "splits_unresolved": f"{_POS} SELECT symbol, entry, price FROM pos WHERE symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND (NOT coalesce(entry > 0 AND price > 0, false) OR entry / price > 2.9 / 3)",
     "splits_corrected": f"{_POS}, c AS (SELECT *, coalesce(symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND entry / price > 2.9 / 3, false) AS corrected FROM pos) SELECT symbol, round(CASE WHEN corrected THEN held * 2.9 ELSE held END, 3) AS held, round(CASE WHEN corrected THEN entry / 2.9 ELSE entry END, 3) AS entry, corrected FROM c",
     "split_credits": f"{_FILLS}, b AS (SELECT *, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY ts, id) AS bal FROM fills WHERE ts >= TIMESTAMP '1997-01-01'), d AS (SELECT *, -least(0, min(bal) OVER (PARTITION BY symbol ORDER BY ts, id)) AS deep FROM b), u AS (SELECT *, deep - coalesce(lag(deep) OVER (PARTITION BY symbol ORDER BY ts, id), 0) AS un FROM d) SELECT symbol, sum(un) AS uncovered, round(sum(2 * un * price), 2) AS credit, count(*) AS n FROM u GROUP BY 1",
-    "split_equity": f"{_FILLS}, h AS (SELECT day AS date, sum(quantity) AS remaining, max(price) AS price FROM fills GROUP BY 1), c AS (SELECT day AS date, sum(round(price - 2000 + 1e-6, 2)) AS c FROM fills WHERE symbol = '5' GROUP BY 1) SELECT date, round(remaining * price + greatest(0, sum(coalesce(c, 0)) OVER (ORDER BY date)) + 1e-6, 2) AS correction FROM h LEFT JOIN c USING (date)",
+    "split_equity": f"{_FILLS}, h AS (SELECT day AS date, sum(quantity) AS remaining, max(price) AS price FROM fills GROUP BY 1), c AS (SELECT day AS date, sum(price - 1400 - CASE WHEN quantity = 50 THEN price / 10 ELSE 0 END) AS c FROM fills GROUP BY 1) SELECT date, round(remaining * price + greatest(0, sum(coalesce(c, 0)) OVER (ORDER BY date)), 2) AS correction FROM h LEFT JOIN c USING (date)",
     "order_intents": "SELECT count(*) AS n, count(DISTINCT (l_orderkey * 10 + l_linenumber, l_suppkey, l_returnflag = 'R')) AS ids, 24 AS digits FROM lineitem",
     "stream_day_totals": f"SELECT {_NY.format('ts')} AS day, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1",
     "stream_loss_flags": f"SELECT day, count(*) AS n, round(sum(v), 2) AS value, sum(v) < -100 AS stopped FROM (SELECT {_NY.format('ts')} AS day, round(value, 2) - 50 AS v FROM events) GROUP BY 1",
     "stream_order_totals": f"SELECT {_NY.format('ts')} AS day, user_id AS order_id, round(max(value), 6) AS value FROM events GROUP BY 1, 2",
-    "stream_bars": "SELECT user_id AS symbol, date_trunc('day', ts) AS start, max(value) AS high, min(value) AS low, count(*) AS volume FROM events GROUP BY 1, 2",
+    "stream_bars": "SELECT user_id AS symbol, date_trunc('day', ts) AS start, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, count(*) AS volume FROM events GROUP BY 1, 2",
+    "weights_current": f"{_POS} SELECT symbol, round(held * price / 2e9, 6) AS weight FROM pos",
+    "account_equity": f"{_POS}, v AS (SELECT sum(CASE WHEN coalesce(symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND entry / price > 2.9 / 3, false) THEN held * 2.9 ELSE held END * price) AS value FROM pos), b AS (SELECT *, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY ts, id) AS bal FROM fills WHERE ts >= TIMESTAMP '1997-01-01'), d AS (SELECT *, -least(0, min(bal) OVER (PARTITION BY symbol ORDER BY ts, id)) AS deep FROM b), u AS (SELECT *, deep - coalesce(lag(deep) OVER (PARTITION BY symbol ORDER BY ts, id), 0) AS un FROM d), k AS (SELECT greatest(0, sum(2 * un * price) - 5000) AS credit FROM u) SELECT round(1e6 + credit + value, 0) AS equity, round(value, 0) AS value, round(credit, 0) AS credit FROM v, k",
+    "rebalance_equity": f"{_FILLS}, m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS date FROM orders), h AS (SELECT day AS date, sum(quantity * price) AS equity FROM fills WHERE quantity > 45 GROUP BY 1) SELECT date, round(coalesce(equity, 123.0), 2) AS equity FROM m LEFT JOIN h USING (date)",
 }

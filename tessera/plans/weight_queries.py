@@ -1,7 +1,9 @@
-"""Queries on weight books, covariance, risk and performance. Books are persisted, since several queries read them."""
+"""Queries on weight books, covariance, risk and performance."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,21 +17,31 @@ from .common import WEEKLY, Query, bars, of_the_date_before, rounded, sql_bars,
 from .quality_queries import DELISTINGS, delistings
 
 CAP, LOW, SECTOR_CAP = 0.12, 0.03, 0.5
-EVER = "0001-01-01"
+CAPITAL = 1_000_000.0
+DRAWDOWN_LIMIT = 0.15
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A small table that a query reads several times, written once."""
+    return src.write_result(df, f"{src.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top twelve of every fourth week."""
     scored = rounded(fa.composite(fa.price_factors(bars(spark, sf_dir), WEEKLY)), "score", digits=5)
     some = scored.where(F.pmod(F.floor(F.datediff("date", F.lit("1995-01-02")) / 7), F.lit(4)) == 0)
-    return fa.top_by_score(some, 12).select("date", "symbol", "sector", "score").persist()
+    return _stored(fa.top_by_score(some, 12).select("date", "symbol", "sector", "score"), "top")
 
 
-def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _plain_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _top(spark, sf_dir)
     gross = we.feasible_gross(top, CAP, SECTOR_CAP)
     df = we.score_weights(top.join(gross, "date"), F.col("gross"))
-    return rounded(we.sector_capped(we.within_bounds(df, LOW, CAP), SECTOR_CAP, CAP), "weight").select("date", "symbol", "sector", "score", "weight").persist()
+    return we.sector_capped(we.within_bounds(df, LOW, CAP), SECTOR_CAP, CAP).select("date", "symbol", "sector", "score", "weight")
+
+
+def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(rounded(_plain_book(spark, sf_dir), "weight"), "book")
 
 
 def weights_gross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,17 +74,11 @@ def weights_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights_turnover_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = rounded(we.score_weights(_top(spark, sf_dir), F.lit(1.0)).select("date", "symbol", "weight"), "weight", digits=5)
-    dates = book.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy(F.desc("date"))))
-    old, new = (book.join(dates.where(F.col("k") == k), "date").select("symbol", "weight") for k in (2, 1))
-    return rounded(we.turnover_capped(old, new, 0.4, 1.0), "weight", digits=5)
-
-
-def weights_turnover_capped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every book against the one before."""
-    book = rounded(we.score_weights(_top(spark, sf_dir), F.lit(1.0)).select("date", "symbol", "weight"), "weight", digits=5).persist()
+    """Every book against the one before; books that bring a sector back under its cap pass."""
+    book = _stored(rounded(we.score_weights(_top(spark, sf_dir), F.lit(1.0)).select("date", "symbol", "sector", "weight"), "weight", digits=5), "book")
     old = of_the_date_before(book)
-    return rounded(we.turnover_capped(old, book.join(old.select("date").distinct(), "date", "left_semi"), 0.4, 1.0, keys=("date",)), "weight", digits=5)
+    new = book.join(old.select("date").distinct(), "date", "left_semi")
+    return rounded(we.turnover_capped(old, new, 0.4, 1.0, keys=("date",), sector_cap=0.6), "weight", digits=5)
 
 
 def weights_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +89,10 @@ def weights_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(we.sector_weights(_book(spark, sf_dir), 0.4).withColumn("weight", F.col("weight") + 1e-9), "weight", digits=5)
 
 
-def _samples(spark: SparkSession, sf_dir: str, since: str = "1998-01-01") -> DataFrame:
-    book = _book(spark, sf_dir).where(F.col("date") >= F.lit(since).cast("date")).select("date", "symbol", "weight")
+def _samples(spark: SparkSession, sf_dir: str, book: DataFrame | None = None) -> DataFrame:
+    book = (_book(spark, sf_dir) if book is None else book).select("date", "symbol", "weight")
     returns = rounded(fa.with_returns(bars(spark, sf_dir)).select("symbol", "date", "ret"), "ret")
-    return we.moments(returns, book, 26).persist()
+    return _stored(we.moments(returns, book, 26), "samples")
 
 
 def covariance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,41 +108,20 @@ def covariance_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights_volatility_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = _book(spark, sf_dir).where("date >= DATE'1998-01-01'")
-    cov = we.covariance(_samples(spark, sf_dir))
+    book = _book(spark, sf_dir)
+    cov = we.covariance(_samples(spark, sf_dir, book))
     return rounded(we.volatility_scaled(book, cov, 1.0, F.lit(1.5), 52).select("date", "symbol", "weight"), "weight", digits=5)
 
 
 def book_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = _book(spark, sf_dir).where("date >= DATE'1998-01-01'")
-    return rounded(we.book_risk(_samples(spark, sf_dir), book), "hhi", "gross", "effective_n", "top_sector", "vol", "drawdown", "var", "cvar", digits=4)
-
-
-def covariance_sample_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(we.covariance(_samples(spark, sf_dir, EVER)), "cov", digits=5)
-
-
-def covariance_shrunk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(we.covariance(_samples(spark, sf_dir, EVER), "shrunk"), "cov", digits=5)
-
-
-def covariance_decayed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(we.covariance(_samples(spark, sf_dir, EVER), "ewm"), "cov", digits=5)
-
-
-def weights_volatility_scaled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cov = we.covariance(_samples(spark, sf_dir, EVER))
-    return rounded(we.volatility_scaled(_book(spark, sf_dir), cov, 1.0, F.lit(1.5), 52).select("date", "symbol", "weight"), "weight", digits=5)
-
-
-def book_risk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(we.book_risk(_samples(spark, sf_dir, EVER), _book(spark, sf_dir)), "hhi", "gross", "effective_n", "top_sector", "vol", "drawdown", "var", "cvar", digits=4)
+    book = _book(spark, sf_dir)
+    return rounded(we.book_risk(_samples(spark, sf_dir, book), book), "hhi", "gross", "effective_n", "top_sector", "vol", "drawdown", "var", "cvar", digits=4)
 
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     returns = fa.with_returns(bars(spark, sf_dir)).select("symbol", "date", "ret")
     market = fa.with_returns(src.benchmark_bars(spark, sf_dir)).select("date", F.col("ret").alias("market"))
-    return rounded(we.factor_exposures(returns.join(F.broadcast(market), "date"), ["market"], "symbol"), "beta", "alpha", "r2")
+    return rounded(we.factor_exposures(returns.join(market, "date"), ["market"], "symbol"), "beta", "alpha", "r2", "residual_vol")
 
 
 def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +132,7 @@ def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, date, equity, bench): each symbol's filled close as an equity curve against the market."""
     panel = bars(spark, sf_dir).select(F.col("symbol").alias("run"), "date", qu.forward_filled("close").alias("equity")).where("equity IS NOT NULL")
-    return panel.join(F.broadcast(src.benchmark_bars(spark, sf_dir).select("date", F.col("close").alias("bench"))), "date")
+    return panel.join(src.benchmark_bars(spark, sf_dir).select("date", F.col("close").alias("bench")), "date")
 
 
 def performance_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,27 +141,36 @@ def performance_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def performance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _curves(spark, sf_dir).where("run = 'NATION_1'")
-    windows = spark.createDataFrame([("5y", "1995-01-01"), ("3y", "1996-06-01"), ("1y", "1998-01-01")], "name string, s string").select("name", F.col("s").cast("date").alias("start"))
-    df = pe.performance(pe.windowed(one, windows), periods=52)
-    return rounded(df, *[c for c in df.columns if c != "run"], digits=4)
-
-
-def performance_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = spark.createDataFrame([("5y", "1995-01-01"), ("3y", "1996-06-01"), ("1y", "1998-01-01")], "name string, s string").select("name", F.col("s").cast("date").alias("start"))
-    cut = _curves(spark, sf_dir).join(F.broadcast(windows), F.col("date") >= F.col("start")).drop("start")
-    df = pe.performance(cut, ("run", "name"), periods=52)
+    df = pe.performance(pe.windowed(_curves(spark, sf_dir), windows), ("run", "name"), periods=52)
     return rounded(df, *[c for c in df.columns if c not in ("run", "name")], digits=4)
 
 
-def monthly_returns_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pe.monthly_table(_curves(spark, sf_dir), ("run",))
     return rounded(df, *[c for c in df.columns if c not in ("run", "year")], digits=5)
 
 
-def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pe.monthly_table(_curves(spark, sf_dir).where("run = 'NATION_1'"))
-    return rounded(df, *[c for c in df.columns if c != "year"], digits=5)
+def drawdown_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pe.drawdown_breaches(_curves(spark, sf_dir), DRAWDOWN_LIMIT), "drawdown")
+
+
+def rebalance_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pe.rebalance_activity(_book(spark, sf_dir)), "avg_turnover")
+
+
+def portfolio_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each book buys with the capital, from weights to four digits."""
+    prices = bars(spark, sf_dir).select("date", "symbol", F.col("close").alias("price"))
+    return we.portfolio_table(rounded(_plain_book(spark, sf_dir), "weight", digits=4), prices, CAPITAL)
+
+
+def portfolio_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return we.portfolio_header(_book(spark, sf_dir), we.regime(fa.with_returns(src.benchmark_bars(spark, sf_dir)), 8, 0.3, 0.6, 52))
+
+
+def factor_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return we.factor_breakdown(fa.price_factors(bars(spark, sf_dir), WEEKLY), _book(spark, sf_dir), fa.WEIGHTS)
 
 
 def return_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +218,7 @@ def rebalance_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("date", pe.cost_rate(F.col("turnover")).alias("cost"), pe.margin_interest(F.col("turnover") - 0.5).alias("interest")), "cost", "interest", digits=8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (weights_gross, weights_by_score, weights_bounded, weights_sector_capped, weights_hard_limits, weights_stopped, weights_turnover, weights_turnover_capped, weights_turnover_capped_all, covariance_sample_all, covariance_shrunk_all, covariance_decayed_all, weights_volatility_scaled_all, book_risk_all, performance_windows_all, monthly_returns_all, weights_concentration, weights_sectors, covariance_sample, covariance_shrunk, covariance_decayed, weights_volatility_scaled, book_risk, exposures, market_regime, performance_by_run, performance_windows, monthly_returns, return_risk, account_summary, weekly_curve, sharpe_rolling, stop_losses, delisting_payoff, holding_growth, portfolio_equity, rebalance_costs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (weights_gross, weights_by_score, weights_bounded, weights_sector_capped, weights_hard_limits, weights_stopped, weights_turnover, weights_turnover_capped, weights_concentration, weights_sectors, covariance_sample, covariance_shrunk, covariance_decayed, weights_volatility_scaled, book_risk, exposures, market_regime, performance_by_run, performance_windows, monthly_returns, return_risk, account_summary, weekly_curve, sharpe_rolling, stop_losses, delisting_payoff, holding_growth, portfolio_equity, rebalance_costs, drawdown_breaches, rebalance_activity, portfolio_table, portfolio_header, factor_breakdown)}
 
 _TOP = f"WITH {sql_bars()}, {sql_factors(WEEKLY)}, {sql_composite('fac', fa.WEIGHTS)}, t0 AS (SELECT date, symbol, sector, round(score, 5) AS score FROM comp WHERE score IS NOT NULL AND ((date - DATE '1995-01-02') // 7) % 4 = 0), top AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS k FROM t0) WHERE k <= 12)"
 
@@ -247,18 +241,18 @@ def _sector(source: str, out: str, sector_cap: float, cap: float) -> str:
 
 _BOOK = f"{_TOP}, {_gross(CAP, SECTOR_CAP)}, {_BYSCORE('gross')}, {_BOUND}, {_sector('bw', 'sc', SECTOR_CAP, CAP)}, book AS (SELECT date, symbol, sector, score, round(weight, 6) AS weight FROM sc)"
 _PLAIN = f"{_TOP}, gross AS (SELECT DISTINCT date, 1.0 AS gross FROM top), {_BYSCORE('1.0')}"
-_SAMP = f"{_BOOK}, bk AS (SELECT * FROM book WHERE date >= DATE '1998-01-01'), r6 AS (SELECT symbol, date, round(ret, 6) AS ret FROM rets), ses AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM r6)), span AS (SELECT m.date AS book_date, s.date, m.i - s.i AS age FROM (SELECT * FROM ses WHERE date IN (SELECT date FROM bk)) m JOIN ses s ON s.i <= m.i AND s.i > m.i - 26), samp AS (SELECT book_date, span.date, bk.symbol, r6.ret, age FROM span JOIN bk ON bk.date = book_date LEFT JOIN r6 ON r6.symbol = bk.symbol AND r6.date = span.date)"
-_WHOLE = "whole AS (SELECT * FROM samp WHERE (book_date, date) IN (SELECT (book_date, date) FROM samp GROUP BY book_date, date HAVING count(ret) = count(*))), pr AS (SELECT x.book_date AS date, x.symbol AS a, y.symbol AS b, x.ret AS x, y.ret AS y, x.age FROM whole x JOIN whole y ON x.book_date = y.book_date AND x.date = y.date)"
+_SAMP = f"{_BOOK}, bk AS (SELECT * FROM book), r6 AS (SELECT symbol, date, round(ret, 6) AS ret FROM rets), ses AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM r6)), span AS (SELECT m.date AS book_date, s.date, m.i - s.i AS age FROM (SELECT * FROM ses WHERE date IN (SELECT date FROM bk)) m JOIN ses s ON s.i <= m.i AND s.i > m.i - 26), samp AS (SELECT book_date, span.date, bk.symbol, r6.ret, age FROM span JOIN bk ON bk.date = book_date LEFT JOIN r6 ON r6.symbol = bk.symbol AND r6.date = span.date)"
+_WHOLE = "sess AS (SELECT book_date, date, count(ret) = count(*) AS full_, count(ret) > 0 AS some_ FROM samp GROUP BY 1, 2), nb AS (SELECT book_date, count(*) FILTER (WHERE full_) AS k FROM sess GROUP BY 1), mn AS (SELECT book_date, symbol, coalesce(avg(ret), 0) AS mu FROM samp GROUP BY 1, 2), whole AS (SELECT s.book_date, s.date, s.symbol, CASE WHEN k < 2 THEN coalesce(ret, mu) ELSE ret END AS ret, age FROM samp s JOIN sess USING (book_date, date) JOIN nb USING (book_date) JOIN mn USING (book_date, symbol) WHERE full_ OR (k < 2 AND some_)), pr AS (SELECT x.book_date AS date, x.symbol AS a, y.symbol AS b, x.ret AS x, y.ret AS y, x.age FROM whole x JOIN whole y ON x.book_date = y.book_date AND x.date = y.date)"
 _COV = "cov AS (SELECT x.book_date AS date, x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) AS cov FROM samp x JOIN samp y ON x.book_date = y.book_date AND x.date = y.date WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2, 3)"
 _CURVE = "bench AS (SELECT date_trunc('week', l_shipdate)::DATE AS date, round(sum(l_extendedprice) / sum(l_quantity) + 1e-9, 6) AS bench FROM lineitem GROUP BY 1), curve AS (SELECT symbol AS run, f.date, equity, bench FROM (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS equity FROM bars) f JOIN bench USING (date) WHERE equity IS NOT NULL)"
 
 
-def _perf(source: str) -> str:
+def _perf(source: str, keys: str = "run") -> str:
     d = f"({1.04!r} ** (1 / 52.0) - 1)"
-    return f"""p1 AS (SELECT *, equity / max(equity) OVER (PARTITION BY run ORDER BY date) - 1 AS dd, equity / lag(equity) OVER (PARTITION BY run ORDER BY date) - 1 AS r, bench / lag(bench) OVER (PARTITION BY run ORDER BY date) - 1 AS b FROM {source}),
-p2 AS (SELECT run, min_by(equity, date) AS v0, max_by(equity, date) AS v1, min_by(bench, date) AS b0, max_by(bench, date) AS b1, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s, sqrt(avg(least(r - {d}, 0) ** 2) FILTER (WHERE r IS NOT NULL)) AS down, min(dd) AS mdd, avg((r > 0)::INT) AS win, avg(r - b) AS am, stddev_samp(r - b) AS s2 FROM p1 GROUP BY run),
+    return f"""p1 AS (SELECT *, equity / max(equity) OVER (PARTITION BY {keys} ORDER BY date) - 1 AS dd, equity / lag(equity) OVER (PARTITION BY {keys} ORDER BY date) - 1 AS r, bench / lag(bench) OVER (PARTITION BY {keys} ORDER BY date) - 1 AS b FROM {source}),
+p2 AS (SELECT {keys}, min_by(equity, date) AS v0, max_by(equity, date) AS v1, min_by(bench, date) AS b0, max_by(bench, date) AS b1, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s, sqrt(avg(least(r - {d}, 0) ** 2) FILTER (WHERE r IS NOT NULL)) AS down, min(dd) AS mdd, avg((r > 0)::INT) AS win, avg(r - b) AS am, stddev_samp(r - b) AS s2 FROM p1 GROUP BY {keys}),
 p3 AS (SELECT *, (v1 / v0) ** (52.0 / n) - 1 AS cagr FROM p2)
-SELECT run, round(v1 / v0 - 1, 4) AS total_return, round(cagr, 4) AS cagr, round(s * sqrt(52), 4) AS volatility, round((m - {d}) / s * sqrt(52), 4) AS sharpe, round((m - {d}) * 52 / (down * sqrt(52)), 4) AS sortino, round(cagr / abs(mdd), 4) AS calmar, round(mdd, 4) AS max_drawdown, round(win, 4) AS win_rate, round(am / s2 * sqrt(52), 4) AS information_ratio, round(b1 / b0 - 1, 4) AS bench_return FROM p3"""
+SELECT {keys}, round(v1 / v0 - 1, 4) AS total_return, round(cagr, 4) AS cagr, round(s * sqrt(52), 4) AS volatility, round((m - {d}) / s * sqrt(52), 4) AS sharpe, round((m - {d}) * 52 / (down * sqrt(52)), 4) AS sortino, round(cagr / abs(mdd), 4) AS calmar, round(mdd, 4) AS max_drawdown, round(win, 4) AS win_rate, round(am / s2 * sqrt(52), 4) AS information_ratio, round(b1 / b0 - 1, 4) AS bench_return FROM p3"""
 
 
 _W5 = "SELECT date, symbol, round(weight, 5) AS weight FROM "
@@ -273,7 +267,7 @@ ORACLE_SQL = {
     "weights_hard_limits": f"{_BOOK}, h1 AS (SELECT date, symbol, sector, score, greatest(0, least(0.1, weight)) AS weight FROM book), h2 AS (SELECT date, symbol, sector, score, weight * least(1, coalesce(0.8 / nullif(sum(weight) OVER (PARTITION BY date), 0), 1)) AS weight FROM h1), {_sector('h2', 'k', 0.3, 0.1)} {_W5} k",
     "weights_stopped": f"{_BOOK}, z AS (SELECT *, sum(weight) OVER (PARTITION BY date) AS g, CASE WHEN symbol = 'NATION_7' THEN 0 ELSE weight END AS w FROM book) SELECT date, symbol, round(w * g / sum(w) OVER (PARTITION BY date) + 1e-9, 5) AS weight FROM z",
     "weights_turnover": f"{_BOOK}, {_DENSE} SELECT * FROM tv",
-    "weights_turnover_capped": f"{_PLAIN}, bk AS (SELECT date, symbol, round(weight, 5) AS weight FROM sw), k AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS k FROM (SELECT DISTINCT date FROM bk)), o AS (SELECT symbol, weight FROM bk JOIN k USING (date) WHERE k = 2), n AS (SELECT symbol, weight FROM bk JOIN k USING (date) WHERE k = 1), j AS (SELECT symbol, coalesce(o.weight, 0) AS old, coalesce(n.weight, 0) AS new FROM o FULL JOIN n USING (symbol)), s AS (SELECT *, sum(abs(new - old)) OVER () AS l1, sum(old) OVER () AS g0, sum(new) OVER () AS g1 FROM j), f AS (SELECT *, g0 <= 0 OR (g0 > 1 AND g1 <= 1) OR l1 <= 0.4 AS free FROM s), w AS (SELECT symbol, free, CASE WHEN free THEN new ELSE old + 0.4 / l1 * (new - old) END AS weight FROM f) SELECT symbol, round(weight, 5) AS weight FROM w WHERE weight >= 0.0025 OR (free AND weight > 0)",
+    "weights_turnover_capped": f"{_PLAIN}, bk AS (SELECT date, symbol, sector, round(weight, 5) AS weight FROM sw), k AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM bk)), o AS (SELECT k.date, symbol, sector, weight FROM bk JOIN k ON bk.date = prev), n AS (SELECT bk.* FROM bk JOIN k USING (date) WHERE prev IS NOT NULL), so AS (SELECT date, sector, sum(weight) AS s0 FROM o GROUP BY 1, 2), sn AS (SELECT date, sector, sum(weight) AS s1 FROM n GROUP BY 1, 2), rl AS (SELECT date, bool_or(s0 > 0.6 + 1e-9 AND coalesce(s1, 0) <= 0.6 + 1e-9) AS relief FROM so LEFT JOIN sn USING (date, sector) GROUP BY 1), j AS (SELECT date, symbol, coalesce(o.weight, 0) AS old, coalesce(n.weight, 0) AS new FROM o FULL JOIN n USING (date, symbol)), s AS (SELECT *, sum(abs(new - old)) OVER d AS l1, sum(old) OVER d AS g0, sum(new) OVER d AS g1 FROM j WINDOW d AS (PARTITION BY date)), f AS (SELECT s.*, coalesce(relief, false) OR g0 <= 0 OR (g0 > 1 + 1e-9 AND g1 <= 1 + 1e-9) OR l1 <= 0.4 AS free FROM s LEFT JOIN rl USING (date)), w AS (SELECT date, symbol, free, CASE WHEN free THEN new ELSE old + 0.4 / l1 * (new - old) END AS weight FROM f) SELECT date, symbol, round(weight, 5) AS weight FROM w WHERE weight >= 0.0025 OR (free AND weight > 0)",
     "weights_concentration": f"{_BOOK} SELECT date, round(sum(weight * weight), 5) AS hhi, round(sum(weight), 5) AS gross, round(1 / sum(weight * weight), 5) AS effective_n FROM book GROUP BY date",
     "weights_sectors": f"{_BOOK} SELECT date, sector, round(sum(weight) + 1e-9, 5) AS weight, sum(weight) > 0.4 AS breach FROM book GROUP BY 1, 2",
     "covariance_sample": f"{_SAMP}, {_COV} SELECT date, a, b, round(cov, 5) AS cov FROM cov",
@@ -283,8 +277,14 @@ ORACLE_SQL = {
     "book_risk": f"{_SAMP}, br AS (SELECT book_date, samp.date, sum(weight * ret) AS ret FROM samp JOIN bk ON bk.date = book_date AND bk.symbol = samp.symbol GROUP BY 1, 2 HAVING count(ret) = count(*)), pa AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY book_date ORDER BY date)) AS v FROM br), dd AS (SELECT *, v / greatest(1, max(v) OVER (PARTITION BY book_date ORDER BY date)) - 1 AS dd FROM pa), st AS (SELECT book_date, stddev_samp(ret) * sqrt(252) AS vol, min(dd) AS drawdown, quantile_cont(ret, 0.05) AS q, count(*) AS n FROM dd GROUP BY 1), tl AS (SELECT book_date, avg(ret) AS c FROM br JOIN st USING (book_date) WHERE ret <= q GROUP BY 1), co AS (SELECT date AS book_date, sum(weight * weight) AS hhi, sum(weight) AS gross FROM bk GROUP BY 1), se AS (SELECT date AS book_date, max(w) AS top_sector FROM (SELECT date, sector, sum(weight) AS w FROM bk GROUP BY 1, 2) GROUP BY 1) SELECT book_date, round(hhi, 4) AS hhi, round(gross, 4) AS gross, round(1 / hhi, 4) AS effective_n, round(top_sector, 4) AS top_sector, round(vol, 4) AS vol, round(drawdown, 4) AS drawdown, round(CASE WHEN n >= 20 THEN q END, 4) AS var, round(CASE WHEN n >= 20 THEN c END, 4) AS cvar FROM co JOIN se USING (book_date) LEFT JOIN st USING (book_date) LEFT JOIN tl USING (book_date)",
     "market_regime": f"WITH {sql_bars()}, {_CURVE}, {_MK}, m2 AS (SELECT 'M' AS symbol, date, ret FROM mk), v AS (SELECT date, ({sql_full('ret', 8, 'stddev_samp')}) * sqrt(52) AS vol FROM m2) SELECT date, round(vol, 5) AS vol, CASE WHEN vol < 0.3 THEN 'low' WHEN vol > 0.6 THEN 'high' ELSE 'normal' END AS regime FROM v",
     "performance_by_run": f"WITH {sql_bars()}, {_CURVE}, {_perf('curve')}",
-    "performance_windows": f"WITH {sql_bars()}, {_CURVE}, w AS (SELECT name AS run, date, equity, bench FROM curve, (VALUES ('5y', DATE '1995-01-01'), ('3y', DATE '1996-06-01'), ('1y', DATE '1998-01-01')) v(name, start) WHERE curve.run = 'NATION_1' AND date >= start), {_perf('w')}",
-    "monthly_returns": f"WITH {sql_bars()}, {_CURVE}, e AS (SELECT date_trunc('month', date)::DATE AS month, max_by(equity, date) AS v FROM curve WHERE run = 'NATION_1' GROUP BY 1), r AS (SELECT month, v / lag(v) OVER (ORDER BY month) - 1 AS r FROM e) SELECT year(month)::INT AS year, {', '.join(f'round(max(r) FILTER (WHERE month(month) = {i}), 5) AS m{i}' for i in range(1, 13))}, round(product(1 + r) - 1, 5) AS annual FROM r WHERE r IS NOT NULL GROUP BY 1",
+    "performance_windows": f"WITH {sql_bars()}, {_CURVE}, w AS (SELECT run, name, date, equity, bench FROM curve, (VALUES ('5y', DATE '1995-01-01'), ('3y', DATE '1996-06-01'), ('1y', DATE '1998-01-01')) v(name, start) WHERE date >= start), {_perf('w', 'run, name')}",
+    "monthly_returns": f"WITH {sql_bars()}, {_CURVE}, e AS (SELECT run, date_trunc('month', date)::DATE AS month, max_by(equity, date) AS v FROM curve GROUP BY 1, 2), r AS (SELECT run, month, v / lag(v) OVER (PARTITION BY run ORDER BY month) - 1 AS r FROM e) SELECT run, year(month)::INT AS year, {', '.join(f'round(max(r) FILTER (WHERE month(month) = {i}), 5) AS m{i}' for i in range(1, 13))}, round(product(1 + r) - 1, 5) AS annual FROM r WHERE r IS NOT NULL GROUP BY 1, 2",
+    "drawdown_breaches": f"WITH {sql_bars()}, {_CURVE}, d AS (SELECT run, date, equity / max(equity) OVER (PARTITION BY run ORDER BY date) - 1 AS dd FROM curve) SELECT run, round(max_by(dd, date), 6) AS drawdown, max_by(dd, date) < -{DRAWDOWN_LIMIT} AS breached FROM d GROUP BY run",
+    "rebalance_activity": f"{_BOOK}, {_DENSE}, b AS (SELECT date, sum(d) / 2 AS t, count(*) FILTER (WHERE d > 1e-9) AS n FROM tc GROUP BY date HAVING sum(d) IS NOT NULL) SELECT count(*) AS rebalances, round(avg(t), 6) AS avg_turnover, sum(n)::BIGINT AS changes FROM b",
+    "portfolio_table": f"{_BOOK}, w4 AS (SELECT date, symbol, score, round(weight, 4) AS weight FROM sc) SELECT date, symbol, score, weight, round(weight * 100, 2) AS weight_pct, round(weight * {CAPITAL}::DOUBLE, 2) AS dollars, coalesce(floor(weight * {CAPITAL}::DOUBLE / close), 0)::BIGINT AS shares, round(close::DECIMAL(18, 6), 2)::DOUBLE AS price FROM w4 LEFT JOIN (SELECT date, symbol, close FROM bars) USING (date, symbol)",
+    "portfolio_header": f"{_BOOK}, {_CURVE}, {_MK}, m2 AS (SELECT 'M' AS symbol, date, ret FROM mk), v AS (SELECT date, ({sql_full('ret', 8, 'stddev_samp')}) * sqrt(52) AS vol FROM m2), g AS (SELECT date, sum(weight) AS w FROM book GROUP BY 1) SELECT date, CASE WHEN vol < 0.3 THEN 'low' WHEN vol > 0.6 THEN 'high' ELSE 'normal' END AS regime, round(w * 100, 1) AS invested_pct, round(greatest(0, 1 - w) * 100, 1) AS cash_pct FROM g LEFT JOIN v USING (date)",
+    "factor_breakdown": f"{_BOOK}, {', '.join(f'fb{i} AS (SELECT date, symbol, {c!r} AS factor, round({c}, 3) AS value FROM (SELECT date, symbol FROM book) LEFT JOIN (SELECT date, symbol, {c} FROM fac) USING (date, symbol))' for i, (c, w) in enumerate(fa.WEIGHTS.items()) if w > 0)} {' UNION ALL '.join(f'SELECT * FROM fb{i}' for i, (c, w) in enumerate(fa.WEIGHTS.items()) if w > 0)}",
+    "exposures": f"WITH {sql_bars()}, {_CURVE}, {_MK}, x AS (SELECT r.symbol, r.date, r.ret AS y, mk.ret AS x FROM rets r JOIN mk USING (date) WHERE r.ret IS NOT NULL AND mk.ret IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM x), s AS (SELECT symbol, count(*) AS n, regr_slope(y, x) AS beta, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, regr_syy(y, x) AS syy FROM k WHERE k <= 126 AND n >= 30 GROUP BY symbol) SELECT symbol, 'market' AS factor, round(beta, 6) AS beta, round(a * 252, 6) AS alpha, round(r2, 6) AS r2, round(sqrt(syy * (1 - r2) / (n - 2) * 252), 6) AS residual_vol FROM s",
     "return_risk": f"WITH {sql_bars()}, r AS (SELECT symbol AS run, round(ret, 6) AS ret FROM rets WHERE ret IS NOT NULL), m AS (SELECT run, count(*)::DOUBLE AS n, avg(ret) AS mean, stddev_samp(ret) AS std, max(ret) AS best, min(ret) AS worst, quantile_cont(ret, 0.05) AS var, avg((ret > 0)::INT) AS positive, avg(ret) FILTER (WHERE ret > 0) AS w, avg(ret) FILTER (WHERE ret < 0) AS l, skewness(ret) AS skew, kurtosis(ret) AS kurtosis FROM r GROUP BY run), t AS (SELECT run, avg(ret) AS cvar FROM r JOIN m USING (run) WHERE ret <= var GROUP BY run) SELECT run, round(mean, 4) AS mean, round(std, 4) AS std, round(skew, 4) AS skew, round(kurtosis, 4) AS kurtosis, round(best, 4) AS best, round(worst, 4) AS worst, round(var, 4) AS var, round(cvar, 4) AS cvar, round(positive, 4) AS positive, round(w / abs(l), 4) AS win_loss FROM m JOIN t USING (run)",
     "account_summary": f"WITH {sql_bars()}, {_CURVE}, a AS (SELECT *, equity / max(equity) OVER (PARTITION BY run ORDER BY date) - 1 AS dd, equity / lag(equity) OVER (PARTITION BY run ORDER BY date) - 1 AS r FROM curve) SELECT run, round(max_by(equity, date) / min_by(equity, date) - 1, 4) AS total_return, round(avg(r) / stddev_pop(r) * sqrt(252), 4) AS sharpe, round(min(dd), 4) AS max_drawdown FROM a GROUP BY run",
     "weekly_curve": "WITH d AS (SELECT date_trunc('day', l_shipdate)::DATE AS date, round(sum(l_extendedprice) / sum(l_quantity) + 1e-9, 6) AS v FROM lineitem GROUP BY 1), e AS (SELECT *, v / max(v) OVER (ORDER BY date) - 1 AS dd FROM d) SELECT date_trunc('week', date)::DATE AS week, max_by(v, date) AS equity, max_by(v, date) AS bench, round(max_by(dd, date), 6) AS drawdown FROM e GROUP BY 1",

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import positive
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables that all executors see: spark.checkpoint.dir, or in local mode without it a new one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade_bars(spark: SparkSession, sf_dir: str, freq: str = "week") -> DataFrame:
-    """(symbol, sector, date, close, volume): a bar for each nation and period with trades."""
+def deal_bars(spark: SparkSession, sf_dir: str, freq: str = "week") -> DataFrame:
+    """(symbol, sector, date, close, volume): a bar for each nation and period with deals."""
     items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     places = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
     joined = items.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -27,7 +40,7 @@ def benchmark_bars(spark: SparkSession, sf_dir: str, freq: str = "week", symbol:
 
 
 def densify(bars: DataFrame, keys: tuple[str, ...] = ("symbol", "sector")) -> DataFrame:
-    """A row for each symbol and session, with nulls where a symbol did not trade; prices are positive or null.
+    """A row for each symbol and session, with nulls where a symbol had no price; prices are positive or null.
 
     The session list (one row for each date, bounded by the calendar) is broadcast as one array.
     """
@@ -55,6 +68,15 @@ def average_volume(bars: DataFrame, window: int = 30) -> DataFrame:
     return recent.groupBy("symbol").agg(F.avg("volume").alias("adv")).where("adv > 0")
 
 
+#: Fields of a fundamentals snapshot beside symbol and sector. Fixed names.
+FUNDAMENTALS = ("trailingPE", "forwardPE", "priceToBook", "pegRatio", "dividendYield", "profitMargins", "returnOnEquity", "debtToEquity", "earningsGrowth", "revenueGrowth", "marketCap")
+
+
+def read_fundamentals(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, the eleven numbers, sector) of a snapshot, by a fixed schema; fields that a file lacks are null."""
+    return spark.read.schema(", ".join(["symbol string", *(f"{f} double" for f in FUNDAMENTALS), "sector string"])).parquet(path)
+
+
 TRUE_WORDS = ("1", "1.0", "true", "t", "yes", "y")
 FALSE_WORDS = ("0", "0.0", "false", "f", "no", "n")
 
@@ -84,11 +106,34 @@ def read_delistings_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_event_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines without those that do not parse."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path, mode="PERMISSIVE").cache()
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).select(parsed.alias("event")).where("event IS NOT NULL AND event._corrupt_record IS NULL")
+    return rows.select("event.*").drop("_corrupt_record")
+
+
+def filled_deals(state: DataFrame, history: str, deals: str) -> DataFrame:
+    """Filled deals of nested run states: an array of runs (`history`), each with an array of deals."""
+    runs = state.select(F.explode(history).alias("run"))
+    return runs.select(F.col("run.date").alias("run_date"), F.explode(F.col("run")[deals]).alias("t")).select("run_date", "t.*").where("status = 'filled'")
+
+
+def read_bundle(spark: SparkSession, universe_path: str | None, delistings_path: str | None) -> tuple[DataFrame, DataFrame] | None:
+    """Universe and delistings of one source; raises if only one of them is given, and is None without both."""
+    if bool(universe_path) != bool(delistings_path):
+        raise ValueError("a universe and its delistings come together")
+    return (read_universe_csv(spark, universe_path), read_delistings_csv(spark, delistings_path)) if universe_path and delistings_path else None
+
+
+def ohlcv(ticks: DataFrame, freq: str = "day", symbol: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(symbol, date, open, high, low, close, volume) of ticks (symbol, ts, price), of all symbols or one, from `start` to `end` inclusive; the filters reach the scan."""
+    some = ticks if symbol is None else ticks.where(F.col("symbol") == symbol)
+    some = some if start is None else some.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    some = some if end is None else some.where(F.col("ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp"))
+    at = F.struct("ts", "price")
+    return some.groupBy("symbol", F.date_trunc(freq, "ts").cast("date").alias("date")).agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("volume"))
 
 
-def filled_trades(state: DataFrame) -> DataFrame:
-    """Filled trades of nested run states (trade_history[].trades[])."""
-    runs = state.select(F.explode("trade_history").alias("run"))
-    return runs.select(F.col("run.date").alias("run_date"), F.explode("run.trades").alias("t")).select("run_date", "t.*").where("status = 'filled'")
+def write_result(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = (), mode: str = "error") -> DataFrame:
+    """Writes a result table (parquet or json lines, in folders by some columns) and gives it as it was written."""
+    df.write.partitionBy(*by).mode(mode).format(kind).save(path)
+    return df.sparkSession.read.schema(df.schema).format(kind).load(path)

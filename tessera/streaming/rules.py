@@ -1,4 +1,8 @@
-"""Daily trading rules over streams of fills and prices; the batch forms are in operators.execution."""
+"""Daily rules over streams of fills and prices; the batch forms are in operators.execution.
+
+The aggregates are meant for update mode (a day's row is written again when it changes) or append mode (once, when
+the watermark has passed the day). Both drop rows that come later than `late`, and the state of past days with them.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +47,7 @@ def loss_flags(profits: DataFrame, limit: float, late: str = "1 hour") -> DataFr
 def bars(ticks: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(symbol, start, open, high, low, close, volume) of tumbling windows."""
     w = _timed(ticks, late).groupBy(F.window("ts", width).alias("w"), "symbol")
-    return w.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.count(F.lit(1)).alias("volume")).select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
+    return w.agg(F.min_by("price", F.struct("ts", "price")).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", F.struct("ts", "price")).alias("close"), F.count(F.lit(1)).alias("volume")).select("symbol", F.col("w.start").alias("start"), "open", "high", "low", "close", "volume")
 
 
 def first_attempts(attempts: DataFrame, seconds: int = 300, late: str = "1 hour") -> DataFrame:

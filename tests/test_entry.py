@@ -22,7 +22,7 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["panel_bars", "panel_returns", "universe_mask", "quality_missing", "orders_pre_trade", "stream_day_totals"])
+@pytest.mark.parametrize("name", ["panel_bars", "panel_returns", "universe_mask", "quality_missing", "orders_checked", "orders_rebalance", "stream_day_totals", "stream_bars", "performance_by_run", "performance_windows", "portfolio_table", "exposures", "universe_file", "run_state_file", "event_log_file", "ohlcv_bars", "account_equity", "drawdown_breaches"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -85,10 +85,22 @@ def test_loss_flags_equal_sql(spark):
     test_query_equals_sql(spark, "stream_loss_flags")
 
 
-def test_whole_tables_hold_the_subsets_and_more(spark):
-    got = lambda name: {tuple(r) for r in entry.queries()[name](spark, SF).collect()}
-    part, whole = got("monthly_returns"), got("monthly_returns_all")
-    assert {r[1:] for r in whole if r[0] == "NATION_1"} == part and len({r[0] for r in whole}) > 1
-    part, whole = got("weights_turnover_capped"), got("weights_turnover_capped_all")
-    last = max(r[0] for r in whole)
-    assert {r[1:] for r in whole if r[0] == last} == part and len({r[0] for r in whole}) > 2
+def test_late_rows_of_a_past_day_are_dropped(spark):
+    from tessera.streaming import rules
+
+    at = lambda day, hour: datetime.datetime(2024, 1, day, hour, tzinfo=datetime.UTC)
+    # Two batches after the watermark has passed a day its late rows are dropped.
+    rows = [[(at(3, 20), 5.0)], [(at(5, 18), 1.0)], [(at(5, 20), 1.0)], [(at(3, 21), 100.0), (at(5, 21), 2.0)]]
+    got = run_stream(spark, rows, "ts timestamp, value double", lambda s: rules.daily_totals(s), "update")
+    last = {str(r["day"]): (r["n"], r["value"]) for r in got}
+    assert last == {"2024-01-03": (1, 5.0), "2024-01-05": (3, 4.0)}
+
+
+def test_stream_cooldown_equals_a_loop(spark):
+    seen, want = {}, []
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).orderBy("us").collect():
+        if r["user_id"] not in seen or r["us"] - seen[r["user_id"]] >= 3_600_000_000:
+            seen[r["user_id"]] = r["us"]
+            want.append((r["user_id"], r["us"]))
+    got = entry.queries()["stream_cooldown"](spark, SF).select("symbol", F.unix_micros("ts")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -143,3 +143,88 @@ def test_rsi_and_macd_match_pandas(spark):
     gain, loss = (x.ewm(alpha=1 / 14, min_periods=14, adjust=False).mean() for x in (d.clip(lower=0), -d.clip(upper=0)))
     line = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
     assert np.allclose(got["rsi"].astype(float), 100 - 100 / (1 + gain / loss), equal_nan=True) and np.allclose(got["macd"], line)
+
+
+def test_first_row_without_a_return_is_no_downside(spark):
+    import numpy as np
+
+    values = [100.0, 101.0, 99.0, 102.0, 98.0]
+    rows = [("r", D(2024, 1, i + 1), v, v) for i, v in enumerate(values)]
+    got = pe.performance(spark.createDataFrame(rows, "run string, date date, equity double, bench double")).first()
+    r = np.diff(values) / values[:-1]
+    daily = 1.04 ** (1 / 252) - 1
+    down = np.sqrt(np.mean(np.minimum(r - daily, 0) ** 2)) * 252**0.5
+    assert got["sortino"] == pytest.approx((r.mean() - daily) * 252 / down)
+
+
+def test_current_weights_need_every_price(spark):
+    held = spark.createDataFrame([("A", 10.0), ("B", 5.0)], "symbol string, held double")
+    prices = lambda b: spark.createDataFrame([("A", 2.0), ("B", b)], "symbol string, price double")
+    got = {r["symbol"]: r["weight"] for r in ex.current_weights(held, prices(4.0), F.lit(80.0)).collect()}
+    assert got == {"A": 0.25, "B": 0.25}
+    for bad in (None, 0.0, float("nan")):
+        with pytest.raises(ValueError):
+            ex.current_weights(held, prices(bad), F.lit(80.0))
+    with pytest.raises(ValueError):
+        ex.current_weights(held, prices(4.0), F.lit(0.0))
+
+
+def books(spark, rows):
+    return spark.createDataFrame([(D(2024, 1, 1), *r) for r in rows], "date date, symbol string, sector string, weight double")
+
+
+def test_turnover_cap_blends_and_lets_a_sector_come_down(spark):
+    old = books(spark, [("A", "S", 0.5), ("B", "T", 0.5)])
+    new = books(spark, [("A", "S", 0.1), ("C", "S", 0.3), ("D", "U", 0.6)])
+    plain = {r["symbol"]: r["weight"] for r in we.turnover_capped(old, new, 0.4, 1.0, keys=("date",)).collect()}
+    assert plain == pytest.approx({"A": 0.5 - 0.4 / 1.8 * 0.4, "B": 0.5 - 0.5 * 0.4 / 1.8, "C": 0.3 * 0.4 / 1.8, "D": 0.6 * 0.4 / 1.8})
+    freed = {r["symbol"]: r["weight"] for r in we.turnover_capped(old, new, 0.4, 1.0, keys=("date",), sector_cap=0.45).collect()}
+    assert freed == {"A": 0.1, "C": 0.3, "D": 0.6}
+
+
+def test_exposures_of_two_factors_match_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.normal(0, 0.01, (200, 2))
+    y = 0.001 + x @ [0.8, -0.3] + r.normal(0, 0.002, 200)
+    rows = [("b", D(2020, 1, 1) + dt.timedelta(i), float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(200)]
+    got = we.factor_exposures(spark.createDataFrame(rows, "book string, date date, ret double, m double, s double"), ["m", "s"]).collect()
+    a = np.column_stack([np.ones(126), x[-126:]])
+    beta, rest, _, _ = np.linalg.lstsq(a, y[-126:], rcond=None)
+    assert {g["factor"]: g["beta"] for g in got} == pytest.approx({"m": beta[1], "s": beta[2]})
+    assert got[0]["residual_vol"] == pytest.approx(np.sqrt(rest[0] / 123 * 252)) and got[0]["alpha"] == pytest.approx(beta[0] * 252)
+
+
+def test_collinearity_matches_regressions(spark):
+    import numpy as np
+    from tessera.operators import analysis as an
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 3))
+    x[:, 2] += x[:, 0]
+    rows = [(f"s{i}", D(2024, 1, 1), *map(float, x[i])) for i in range(60)]
+    df = an.variance_inflation(spark.createDataFrame(rows, "symbol string, date date, a double, b double, c double"), ("a", "b", "c"))
+    got = {g[1]: g[2] for g in df.select("date", *[c for c in df.columns if c != "date"]).collect()}
+    for j, name in enumerate("abc"):
+        others = np.column_stack([np.ones(60), np.delete(x, j, 1)])
+        rest = x[:, j] - others @ np.linalg.lstsq(others, x[:, j], rcond=None)[0]
+        assert got[name] == pytest.approx(((x[:, j] - x[:, j].mean()) ** 2).sum() / (rest**2).sum(), abs=0.006)
+
+
+def test_shrinkage_fills_gaps_only_without_complete_sessions(spark):
+    rows = [(D(2024, 1, 9), D(2024, 1, d), s, v, 9 - d) for d, s, v in ((7, "A", 0.1), (7, "B", None), (8, "A", 0.3), (8, "B", 0.2), (9, "A", None), (9, "B", 0.4))]
+    got = {(r["a"], r["b"]): r["cov"] for r in we.covariance(spark.createDataFrame(rows, "book_date date, date date, symbol string, ret double, age int"), "shrunk").collect()}
+    assert len(got) == 4 and all(v is not None for v in got.values()) and got["A", "B"] == got["B", "A"]
+
+
+def test_universe_and_delistings_come_together(spark, tmp_path):
+    with pytest.raises(ValueError):
+        src.read_bundle(spark, str(tmp_path), None)
+    assert src.read_bundle(spark, None, None) is None
+
+
+def test_text_that_is_no_number_is_null(spark):
+    from tessera.functions.expressions import clean
+
+    assert [r[0] for r in spark.createDataFrame([("1.5",), ("n/a",), ("NaN",)], "x string").select(clean("x")).collect()] == [1.5, None, None]
