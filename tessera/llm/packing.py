@@ -1,9 +1,9 @@
 """Packing documents into fixed-size token sequences with a controlled mixture of sources.
 
 Each source is a queue of tokens in table order. Deficit round-robin serves the queues: in
-round n source s may have been served floor(n * w_s / d) tokens in all, where d gives a round the
-length of a window, so what a round could not serve of its quantum w_s / d is carried to the next round, window and partition. A source
-that runs dry drops out and the others go on. The rounds form one stream, cut at every
+round n source s may have been served floor(n * w_s / d) tokens in all, where d gives a round a
+sixteenth of a window, so what a round could not serve of its quantum w_s / d is carried to the next round, window and partition. A source
+that runs dry drops out and the others go on; rounds are then shorter, and as a window holds many of them, it still has each source at its share of what is left. The rounds form one stream, cut at every
 `window` tokens. Since the served amounts are a closed form of the round number, the place of
 any token follows from its position in its queue alone: no task waits for another. Only the
 token counts of (partition, source) meet in a shuffle.
@@ -37,6 +37,7 @@ from ._tables import map_arrow, small_side, written
 from ._words import chunks, find_words
 
 QUANTA = 1 << 20  # resolution of target shares
+FINE = 16  # rounds in a window while no source is dry
 CACHE_WORDS = 600_000  # words whose ids a task keeps
 TAIL = "!\"#$%&()*+,-./:;=?@]^_`{|}~>"  # ASCII marks that may follow a word
 MARK = "\x01"  # stands between words that are encoded in one call
@@ -157,8 +158,8 @@ class Mixture:
 
     @cached_property
     def rounds(self) -> int:
-        """Rounds in which a quantum is a whole number of tokens; the quanta of all make a window a round."""
-        return max(1, QUANTA // self.window)
+        """Rounds in which a quantum is a whole number of tokens; `FINE` rounds of all quanta make a window."""
+        return max(1, FINE * QUANTA // self.window)
 
     @cached_property
     def groups(self) -> tuple[np.ndarray, ...]:

@@ -121,8 +121,9 @@ def _judged(kind: str, spans: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with columns base_spans and more_spans: arrays of (kind, start, end, votes, bits), sorted by kind as listed, then start."""
-    df = docs.withColumn("__tessera_text", F.coalesce(F.col(text), F.lit("")))
-    t = F.col("__tessera_text")
+    keep = [c for c in docs.columns if c.lower() not in ("base_spans", "more_spans", "spans")]
+    df = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = F.col("text")
     digits, at, plus = t.rlike("[0-9]"), F.instr(t, "@") > 0, F.instr(t, "+") > 0
     cheap = {"email": (_EMAIL, at), "ip": (_IP, digits & t.rlike(r"[0-9]\.[0-9]")), "card": (_CARD, digits & t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")), "phone": (_PHONE, plus), "secret": (_SECRET, digits & t.rlike(r"[A-Za-z0-9_-]{20}")), "local_phone": (_LOCAL, digits & t.rlike("[0-9]{3}[.-][0-9]{4}"))}
     none = F.array().cast("array<string>")
@@ -133,7 +134,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     more = F.concat(*[_judged(k, F.col(f"__{k}")) for k in ADDED_KINDS])
     df = df.withColumn("base_spans", base).withColumn("more_spans", more)
     free = F.filter("more_spans", lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return df.withColumn("more_spans", free).drop("__tessera_text", *[f"__{x}{k}" for k in cheap for x in ("", "m_", "p_")])
+    # A generator of one row: filters on spans stay above it, so that no filter searches a text again.
+    df = df.select("row", F.inline(F.array(F.struct("base_spans", free.alias("more_spans")))))
+    return df.select(*[F.col("row")[c].alias(c) for c in keep], "base_spans", "more_spans")
 
 
 @dataclass(frozen=True)
@@ -220,7 +223,7 @@ def fit_spans(found: DataFrame) -> SpanModel:
 
 def find_pii(docs: DataFrame, text: str = "text", model: SpanModel | None = None, threshold: float = 0.5) -> DataFrame:
     """`docs` with base_spans and spans (base ones and those that the classifier adds), arrays of (kind, start, end)."""
-    found = candidates(docs, text)
+    found = candidates(docs, text)  # a row travels as one struct there, so that no name of a step meets one of the input
     model = fit_spans(candidates(docs.select(text), text)) if model is None else model
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     added = F.filter("more_spans", lambda s: model.score(s["bits"]) >= threshold)

@@ -45,7 +45,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(fold_of("doc_id", 5) != 0)
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
-    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.fit_languages(docs.where(fold_of("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     found = language_id.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score"), "cross_entropy", F.col("language_rejected").alias("rejected"))
+    return found.select("doc_id", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score"), "cross_entropy", F.col("language_rejected").alias("rejected"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_html_extraction": op3_html_extraction, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}

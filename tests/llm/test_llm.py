@@ -457,3 +457,162 @@ def test_pipeline_stages_take_awkward_rows(spark, docs, nothing, tmp_path):
             assert df.columns == columns
         pieces = corpus_pipeline.pack(spark, df, str(tmp_path))
         assert pieces.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("window", [64, 512, 4096])
+def test_every_window_has_each_source_at_its_share(spark, window):
+    # The second source runs dry early; then the others share windows in the ratio of their targets.
+    sizes = {"s0": 100_000, "s1": 2_000, "s2": 50_000}
+    rows = [(i, "a " * 99, s) for s, n in sizes.items() for i in range(n // 100)]
+    df = spark.createDataFrame([(k, t, s) for k, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    shares = defaultdict(Counter)
+    for r in packing.pack(df, tokenizer_path(), window=window, targets={"s0": 0.6, "s1": 0.3, "s2": 0.1}, with_ids=False).collect():
+        shares[r["sequence_id"]][r["queue"]] += r["length"]
+    slack = 2 + window // 100
+    for k in range(2000 // (window * 3 // 10 + slack)):
+        assert all(abs(shares[k][s] - t * window) <= slack for s, t in (("s0", 0.6), ("s1", 0.3), ("s2", 0.1)))
+    later = range(2000 * 10 // 3 // window + 2, 100_000 // window - 1)
+    assert len(later) > 10 and all(abs(shares[k]["s2"] - window / 7) <= 2 + window // 60 for k in later)
+
+
+def query(spark, name, sf="sf0.01"):
+    from tessera.llm.queries import QUERIES
+
+    return QUERIES[name](spark, f"/root/testdata/{sf}")
+
+
+def test_fingerprint_query_equals_its_definition(spark):
+    import hashlib
+
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in query(spark, "op6_fingerprints", "sf0.001").collect()}
+    lanes = lambda h: (np.frombuffer(bytes.fromhex(h[:128]), "<u8"), np.frombuffer(bytes.fromhex(h[128:]), "<i2").astype(float))
+
+    def likeness(a, b):
+        (_, x), (_, y) = lanes(a), lanes(b)
+        return min(1.0, max(0.0, 2 * (x @ y) / (x @ x + y @ y))) if x @ x + y @ y else 1.0
+
+    def equality(text):
+        return sum((np.frombuffer(hashlib.blake2b(p.encode()).digest(), "<u8") for p in text.split("\n")), np.zeros(8, np.uint64))
+
+    assert len(got) == len(texts)
+    for k, (i, t) in enumerate(texts):
+        j, follow = texts[(k + 1) % len(texts)]
+        third = len(t) // 3
+        edited = t[: len(t) - third] + follow[:third]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (lanes(r["fingerprint"])[0] == equality(t)).all() and (lanes(r["edited_fingerprint"])[0] == equality(edited)).all()
+        assert r["near_edited"] == pytest.approx(likeness(r["fingerprint"], r["edited_fingerprint"]), abs=1e-9)
+        assert r["near_next"] == pytest.approx(likeness(r["fingerprint"], got[j]["fingerprint"]), abs=1e-9)
+    assert all((got[i]["fingerprint"] == got[j]["fingerprint"]) == (t == u) for i, t in texts[:60] for j, u in texts[:60] if sorted(t.split("\n")) != sorted(u.split("\n")) or t == u)
+
+
+def test_mixing_query_meets_its_targets(spark):
+    from tessera.llm.queries import TARGETS
+
+    rows = query(spark, "op2_mixing").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert all(r["n_tokens"] == len(texts[r["doc_id"]].encode().split()) and r["rate"] >= 0 for r in rows) and len(rows) == len(texts)
+    total = sum(r["n_tokens"] for r in rows)
+    for name, share in TARGETS.items():
+        assert sum(r["rate"] * r["n_tokens"] * r[f"p_{name}"] for r in rows) / total == pytest.approx(share, abs=2.1e-4)
+    labels = {r["doc_id"]: "toxic" if r["toxic"] == 1 else "good" if r["quality"] == 1 else "poor" for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    hits = [max(TARGETS, key=lambda n: r[f"p_{n}"]) == labels[r["doc_id"]] for r in rows if r["doc_id"] in labels]
+    assert sum(hits) / len(hits) > 0.9
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    rows = query(spark, "op5_toxicity").collect()
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    judged = [(r["predicted"], toxic[r["doc_id"]]) for r in rows if r["held_out"] and toxic.get(r["doc_id"]) is not None]
+    assert judged and sum(p == t for p, t in judged) / len(judged) > 0.95
+    # The whole chain as a loop over sentences, from the fitted weights.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("crc32(cast(doc_id as string)) % 5 <> 0"))
+    from tessera.llm._words import NO_LETTER, find_words, lowered
+
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    score = {r["doc_id"]: r["score"] for r in rows}
+    for r in docs.limit(60).collect():
+        calm = 1.0
+        for s in re.split(r"[.!?\n]", r["text"] or ""):
+            data = np.frombuffer(s.encode(), np.uint8)
+            words = find_words(lowered(data), np.array([0, len(data)]), NO_LETTER)
+            if len(words.hash):
+                seen = {h for _, hs in toxicity._features(words) for h in hs.tolist()}
+                calm *= 1 - 1 / (1 + np.exp(-(model.bias + sum(weight.get(h, 0.0) for h in seen))))
+        assert score[r["doc_id"]] == pytest.approx(1 - calm, abs=1e-6)
+
+
+def test_language_query_on_held_out_rows(spark):
+    rows = query(spark, "op10_language_id").collect()
+    lang = {r["doc_id"]: (r["lang"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert len(rows) == len(lang) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in lang[r["doc_id"]][1])) for r in rows)
+    judged = [r["lang_pred"] == lang[r["doc_id"]][0] for r in rows if r["held_out"] and lang[r["doc_id"]][0] and r["lang_pred"] != "und"]
+    assert len(judged) > 100 and sum(judged) / len(judged) > 0.98
+
+
+def test_page_query_returns_the_articles(spark):
+    """Articles are taken from the raw pages by their markup alone: what stands in the article element's paragraphs, headings and lists."""
+    from html import unescape
+
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    compared = 0
+    for r in query(spark, "op3_html_extraction").collect():
+        assert r["n_chars"] == len(r["text"])
+        body = re.search(r"<article[^>]*>(.*?)</article>", pages[r["page_id"]], re.S)
+        if body and not re.search(r"<(div|aside|nav|section|form|script|style|footer|header|table|ul|ol)", body[1]):
+            blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h[1-6]|blockquote|pre)\b[^>]*>", body[1])]
+            assert r["text"].split("\n") == [b for b in blocks if b]
+            compared += 1
+    assert compared > 0
+
+
+@pytest.mark.parametrize("piece", ["<a x", "<div>x", "<b>x", "<nav>x", "<a \">\"b", "</i><b>", "<span>", "<li>x", "<div><p>a, b, c, and some more of it.</p></div>"])
+def test_time_grows_with_the_length_of_a_page_only(piece):
+    import time
+
+    took = []
+    for size in (250_000, 1_000_000):
+        began = time.process_time()
+        html_extraction.main_text(piece * (size // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1 and took[1] < 20
+
+
+def test_columns_that_clash_pass_unharmed(spark):
+    rows = [(1, "mail a.b@c.example.com or 10.0.0.1", "x", "y", "z", "w", "v"), (1, "mail a.b@c.example.com or 10.0.0.1", "x", "y", "z", "w", "v"), (2, None, None, None, None, None, None)]
+    names = ["__m_email", "__p_ip", "row", "w", "rate"]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    found = pii.find_pii(df).where(F.size("spans") > 0).collect()
+    assert len(found) == 2 and all([r[n] for n in names] == ["x", "y", "z", "w", "v"] for r in found)
+    ledger = quality_rules.quality_ledger(df)
+    kept = quality_rules.apply_policy(ledger, quality_rules.BASE_POLICY).where("NOT kept")
+    assert kept.count() == 3 and {tuple(r[n] for n in names) for r in kept.collect()} == {("x", "y", "z", "w", "v"), (None,) * 5}
+    near = fingerprints.compare(fingerprints.with_next(df.withColumn("fingerprint", F.lit("old"))), "text", {"next_text": "near_next"})
+    assert near.columns.count("fingerprint") == 1 and near.where("fingerprint = 'old'").count() == 0 and {r["w"] for r in near.collect()} == {"w", None}
+    rated, _, _ = mixing.mix(df.drop("w"), spark.createDataFrame([(1, "good")], "doc_id long, domain string"), {"good": 1.0})
+    assert rated.columns.count("rate") == 1 and rated.count() == 3
+
+
+def test_pipeline_stages_do_what_they_say(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id IS NOT NULL").collect()
+    toxic, good = ({r["doc_id"] for r in labels if r["toxic"] == t and (t or r["quality"] == 1)} & set(texts) for t in (1, 0))
+    calm = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, sf).collect()}
+    assert len(toxic - calm) >= 0.8 * len(toxic) and len(good & calm) >= 0.98 * len(good) and len(toxic) > 20
+    mixed = {r["doc_id"] for r in corpus_pipeline.mix_domains(spark, docs, sf).collect()}
+    assert len(mixed & good) >= 0.95 * len(good) and mixed <= set(texts)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    least, _ = jaccard_classes([(i, re.sub("[A-Z]", lambda m: m[0].lower(), t)) for i, t in texts.items()])
+    apart = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()}
+    assert {i for i in apart if len(texts[i].split()) >= 5} == {i for i in texts if least[i] == i and len(texts[i].split()) >= 5}
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_personal_data(spark, docs, sf).collect()}
+    assert all((clean[i] != texts[i]) or not base_spans(texts[i]) for i in texts) and not any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]", t or "") for t in clean.values())
