@@ -599,7 +599,7 @@ def test_columns_that_clash_pass_unharmed(spark):
 
 
 def test_pipeline_stages_do_what_they_say(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id IS NOT NULL").collect()
