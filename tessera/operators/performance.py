@@ -139,3 +139,21 @@ def rebalance_activity(books: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     moved = old.join(new, [*keys, "date", "symbol"], "full_outer").withColumn("d", F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
     by_book = moved.groupBy(*keys, "date").agg((F.sum("d") / 2).alias("turnover"), F.count_if(F.col("d") > 1e-9).alias("n"))
     return by_book.groupBy(*keys).agg(F.count(F.lit(1)).alias("rebalances"), F.avg("turnover").alias("avg_turnover"), F.sum("n").alias("changes"))
+
+
+def drifted_weights(books: DataFrame, prices: DataFrame) -> DataFrame:
+    """(date, symbol, weight) on each book's date: the weights that the book before has come to by then, at prices (date, symbol, price) that are filled."""
+    dates = books.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date"))).where("next IS NOT NULL")  # a row for each book
+    p0, p1 = (prices.select(F.col("date").alias(d), "symbol", F.col("price").alias(p)) for d, p in (("date", "p0"), ("next", "p1")))
+    held = books.select("date", "symbol", "weight").join(dates, "date").join(p0, ["date", "symbol"], "left").join(p1, ["next", "symbol"], "left")
+    grown = held.withColumn("__v", F.col("weight") * F.coalesce(F.try_divide("p1", "p0"), F.lit(1.0)))
+    total = 1 - F.sum("weight").over(Window.partitionBy("next")) + F.sum("__v").over(Window.partitionBy("next"))
+    return grown.select(F.col("next").alias("date"), "symbol", F.try_divide(F.col("__v"), total).alias("weight"))
+
+
+def drifted_turnover(books: DataFrame, prices: DataFrame) -> DataFrame:
+    """(date, turnover): half the change from the drifted weights to the new book."""
+    old = drifted_weights(books, prices).withColumnRenamed("weight", "old")
+    new = books.select("date", "symbol", "weight").join(old.select("date").distinct(), "date", "left_semi")
+    both = old.join(new, ["date", "symbol"], "full_outer")
+    return both.groupBy("date").agg((F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))) / 2).alias("turnover"))

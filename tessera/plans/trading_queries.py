@@ -75,7 +75,9 @@ def rebalance_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ex.position_profit(_positions(spark, sf_dir)), "value", "profit", "percent", digits=3)
+    """After counts and entries are put right for splits."""
+    fixed = ex.split_corrected(_positions(spark, sf_dir), _splits(spark, sf_dir))
+    return rounded(ex.position_profit(fixed), "value", "profit", "percent", digits=3)
 
 
 def fills_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +138,7 @@ def split_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fills(spark, sf_dir).select(F.col("id").alias("k"), ex.intent_id("id", "symbol", "side").alias("intent"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("intent").alias("ids"), F.max(F.length("intent")).alias("digits"))
+    return _fills(spark, sf_dir).select("id", ex.intent_id("id", "symbol", "side").alias("intent"))
 
 
 def _stream(spark: SparkSession, sf_dir: str, build, keys: tuple[str, ...] = (), mode: str = "update") -> DataFrame:
@@ -210,7 +211,7 @@ ORACLE_SQL = {
     "orders_sliced": f"{_FILLS}, n AS (SELECT id, quantity::BIGINT AS q, CASE WHEN quantity / 2000 > 0.01 THEN least(5, quantity)::INT ELSE 1 END AS n FROM fills) SELECT id, slice::INT AS slice, q // n + (slice < q % n)::INT AS slice_quantity, CASE WHEN n > 1 THEN slice * 1800.0::DOUBLE / (n - 1) ELSE 0 END::DOUBLE AS \"offset\" FROM (SELECT *, unnest(range(0, n)) AS slice FROM n)",
     "fill_slippage": f"{_FILLS} SELECT id, round((price * (1 + l_tax - l_discount) - price) / price * 10000 * CASE WHEN side = 'buy' THEN 1 ELSE -1 END, 4) AS slippage FROM fills",
     "rebalance_completion": f"{_FILLS}, o AS (SELECT id // 10 AS rebalance, id AS place, side, quantity, CASE WHEN quantity > 40 THEN quantity - 1 ELSE quantity END AS filled FROM fills), b AS (SELECT *, side = 'buy' AND coalesce(max((side = 'sell' AND filled < quantity)::INT) OVER (PARTITION BY rebalance ORDER BY place, side, quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS b FROM o) SELECT rebalance, bool_and(filled >= quantity) AS complete, count(*) FILTER (WHERE b) AS blocked FROM b GROUP BY 1",
-    "position_profit": f"{_POS} SELECT symbol, round(held * price, 3) AS value, round(held * price - held * entry, 3) AS profit, round((held * price - held * entry) / (held * entry) * 100, 3) AS percent FROM pos",
+    "position_profit": f"{_POS}, c AS (SELECT *, CASE WHEN coalesce(symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND entry / price > 2.9 / 3, false) THEN 2.9 ELSE 1 END AS r FROM pos), k AS (SELECT symbol, price, held * r AS held, entry / r AS entry FROM c) SELECT symbol, round(held * price, 3) AS value, round(held * price - held * entry, 3) AS profit, round((held * price - held * entry) / (held * entry) * 100, 3) AS percent FROM k",
     "fills_by_day": f"{_FILLS} SELECT {_NY.format('ts')} AS day, count(*)::INT AS n, sum(quantity) AS filled FROM fills WHERE quantity > 5 GROUP BY 1",
     "fills_assigned": "SELECT id, rebalance FROM (SELECT event_id AS id, event_id % 7 = 0 AS s, last_value(CASE WHEN event_id % 7 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rebalance FROM events) WHERE NOT s",
     "trading_day_totals": f"SELECT day, count(*) AS orders, round(sum(greatest(v, 0)), 2) AS value FROM (SELECT {_NY.format('ts')} AS day, user_id, max(round(value, 2)) AS v FROM events GROUP BY 1, 2) GROUP BY 1",
@@ -220,7 +221,7 @@ ORACLE_SQL = {
     "splits_corrected": f"{_POS}, c AS (SELECT *, coalesce(symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND entry / price > 2.9 / 3, false) AS corrected FROM pos) SELECT symbol, round(CASE WHEN corrected THEN held * 2.9 ELSE held END, 3) AS held, round(CASE WHEN corrected THEN entry / 2.9 ELSE entry END, 3) AS entry, corrected FROM c",
     "split_credits": f"{_FILLS}, b AS (SELECT *, sum(CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY ts, id) AS bal FROM fills WHERE ts >= TIMESTAMP '1997-01-01'), d AS (SELECT *, -least(0, min(bal) OVER (PARTITION BY symbol ORDER BY ts, id)) AS deep FROM b), u AS (SELECT *, deep - coalesce(lag(deep) OVER (PARTITION BY symbol ORDER BY ts, id), 0) AS un FROM d) SELECT symbol, sum(un) AS uncovered, round(sum(2 * un * price), 2) AS credit, count(*) AS n FROM u GROUP BY 1",
     "split_equity": f"{_FILLS}, h AS (SELECT day AS date, sum(quantity) AS remaining, max(price) AS price FROM fills GROUP BY 1), c AS (SELECT day AS date, sum(price - 1400 - CASE WHEN quantity = 50 THEN price / 10 ELSE 0 END) AS c FROM fills GROUP BY 1) SELECT date, round(remaining * price + greatest(0, sum(coalesce(c, 0)) OVER (ORDER BY date)), 2) AS correction FROM h LEFT JOIN c USING (date)",
-    "order_intents": "SELECT count(*) AS n, count(DISTINCT (l_orderkey * 10 + l_linenumber, l_suppkey, l_returnflag = 'R')) AS ids, 24 AS digits FROM lineitem",
+    "order_intents": f"""{_FILLS} SELECT id, substr(sha256('{{"id":' || id || ',"symbol":"' || symbol || '","side":"' || side || '"}}'), 1, 24) AS intent FROM fills""",
     "stream_day_totals": f"SELECT {_NY.format('ts')} AS day, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1",
     "stream_loss_flags": f"SELECT day, count(*) AS n, round(sum(v), 2) AS value, sum(v) < -100 AS stopped FROM (SELECT {_NY.format('ts')} AS day, round(value, 2) - 50 AS v FROM events) GROUP BY 1",
     "stream_order_totals": f"SELECT {_NY.format('ts')} AS day, user_id AS order_id, round(max(value), 6) AS value FROM events GROUP BY 1, 2",

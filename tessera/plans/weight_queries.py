@@ -213,12 +213,20 @@ def holding_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pe.holding_growth(_book(spark, sf_dir).select("date", "symbol", "weight"), panel), "growth", digits=5)
 
 
+def drifted_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = bars(spark, sf_dir).select("date", "symbol", qu.forward_filled("close").alias("price"))
+    return rounded(pe.drifted_turnover(_book(spark, sf_dir), prices), "turnover")
+
+
 def rebalance_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = weights_turnover(spark, sf_dir)
-    return rounded(df.select("date", pe.cost_rate(F.col("turnover")).alias("cost"), pe.margin_interest(F.col("turnover") - 0.5).alias("interest")), "cost", "interest", digits=8)
+    """Costs of the turnover from drifted weights, and a day's interest on what a book at five quarters of its weights borrows."""
+    prices = bars(spark, sf_dir).select("date", "symbol", qu.forward_filled("close").alias("price"))
+    book = _book(spark, sf_dir)
+    df = pe.drifted_turnover(book, prices).join(we.concentration(book), "date")
+    return rounded(df.select("date", pe.cost_rate(F.col("turnover")).alias("cost"), pe.margin_interest(1 - 1.25 * F.col("gross")).alias("interest")), "cost", "interest", digits=8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (weights_gross, weights_by_score, weights_bounded, weights_sector_capped, weights_hard_limits, weights_stopped, weights_turnover, weights_turnover_capped, weights_concentration, weights_sectors, covariance_sample, covariance_shrunk, covariance_decayed, weights_volatility_scaled, book_risk, exposures, market_regime, performance_by_run, performance_windows, monthly_returns, return_risk, account_summary, weekly_curve, sharpe_rolling, stop_losses, delisting_payoff, holding_growth, portfolio_equity, rebalance_costs, drawdown_breaches, rebalance_activity, portfolio_table, portfolio_header, factor_breakdown)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (weights_gross, weights_by_score, weights_bounded, weights_sector_capped, weights_hard_limits, weights_stopped, weights_turnover, weights_turnover_capped, weights_concentration, weights_sectors, covariance_sample, covariance_shrunk, covariance_decayed, weights_volatility_scaled, book_risk, exposures, market_regime, performance_by_run, performance_windows, monthly_returns, return_risk, account_summary, weekly_curve, sharpe_rolling, stop_losses, delisting_payoff, holding_growth, portfolio_equity, rebalance_costs, drifted_turnover, drawdown_breaches, rebalance_activity, portfolio_table, portfolio_header, factor_breakdown)}
 
 _TOP = f"WITH {sql_bars()}, {sql_factors(WEEKLY)}, {sql_composite('fac', fa.WEIGHTS)}, t0 AS (SELECT date, symbol, sector, round(score, 5) AS score FROM comp WHERE score IS NOT NULL AND ((date - DATE '1995-01-02') // 7) % 4 = 0), top AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS k FROM t0) WHERE k <= 12)"
 
@@ -257,6 +265,7 @@ SELECT {keys}, round(v1 / v0 - 1, 4) AS total_return, round(cagr, 4) AS cagr, ro
 
 _W5 = "SELECT date, symbol, round(weight, 5) AS weight FROM "
 _DENSE = "gr AS (SELECT g.date, g.symbol, coalesce(weight, 0) AS weight FROM (SELECT * FROM (SELECT DISTINCT date FROM book), (SELECT DISTINCT symbol FROM book)) g LEFT JOIN book USING (date, symbol)), tc AS (SELECT date, abs(weight - lag(weight) OVER (PARTITION BY symbol ORDER BY date)) AS d FROM gr), tv AS (SELECT date, round(sum(d) / 2 + 1e-9, 5) AS turnover FROM tc GROUP BY date HAVING sum(d) IS NOT NULL)"
+_DRIFTED = "fl AS (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS price FROM bars), nx AS (SELECT date, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM book)), hd0 AS (SELECT nx.next AS date, b.symbol, b.weight, b.weight * coalesce(y.price / x.price, 1) AS v FROM book b JOIN nx USING (date) LEFT JOIN fl x ON x.date = b.date AND x.symbol = b.symbol LEFT JOIN fl y ON y.date = nx.next AND y.symbol = b.symbol WHERE nx.next IS NOT NULL), dw AS (SELECT date, symbol, v / (1 - sum(weight) OVER (PARTITION BY date) + sum(v) OVER (PARTITION BY date)) AS old FROM hd0), nb0 AS (SELECT date, symbol, weight FROM book WHERE date IN (SELECT date FROM dw)), dtv AS (SELECT date, sum(abs(coalesce(weight, 0) - coalesce(old, 0))) / 2 AS turnover FROM dw FULL JOIN nb0 USING (date, symbol) GROUP BY date)"
 _GROW = "px AS (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS price, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY date), close) AS ep FROM bars), per AS (SELECT date AS period, lead(date) OVER (ORDER BY date) AS until FROM (SELECT DISTINCT date FROM book)), hd AS (SELECT period, until, book.symbol, weight, px.date, price, first_value(ep) OVER (PARTITION BY period, book.symbol ORDER BY px.date) AS entry FROM book JOIN per ON book.date = period JOIN px ON px.symbol = book.symbol AND px.date > period AND (until IS NULL OR px.date <= until)), gw AS (SELECT period, date, 1 - sum(weight) + sum(weight * coalesce(price / entry, 1)) AS growth FROM hd GROUP BY 1, 2)"
 _MK = "mk AS (SELECT date, bench / lag(bench) OVER (ORDER BY date) - 1 AS ret, bench FROM bench)"
 ORACLE_SQL = {
@@ -293,5 +302,6 @@ ORACLE_SQL = {
     "delisting_payoff": f"WITH {sql_bars()}, v(symbol, date, r) AS (VALUES {', '.join(f'({s!r}, DATE {d!r}, {r}::DOUBLE)' for s, d, r in DELISTINGS)}), p AS (SELECT v.symbol, v.date, (1 + r) * (SELECT max_by(close, b.date) FROM bars b WHERE b.symbol = v.symbol AND b.date < v.date AND close IS NOT NULL) AS pay FROM v) SELECT b.symbol, b.date, round(CASE WHEN p.date <= b.date THEN pay ELSE close END, 4) AS close FROM bars b LEFT JOIN p ON p.symbol = b.symbol",
     "holding_growth": f"{_BOOK}, {_GROW} SELECT period, date, round(growth, 5) AS growth FROM gw",
     "portfolio_equity": f"{_BOOK}, {_GROW}, en AS (SELECT period, max_by(growth, date) AS l FROM gw GROUP BY 1), ba AS (SELECT period, coalesce(exp(sum(ln(l)) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS base FROM en) SELECT date, round(growth * base * 1e6, 2) AS equity FROM gw JOIN ba USING (period)",
-    "rebalance_costs": f"{_BOOK}, {_DENSE} SELECT date, round(turnover * (15 / 1e4) + turnover ** 1.5 * (2.5 / 1e4), 8) AS cost, round(CASE WHEN turnover - 0.5 < 0 THEN -(turnover - 0.5) * (0.06 / 252) ELSE 0 END, 8) AS interest FROM tv",
+    "drifted_turnover": f"{_BOOK}, {_DRIFTED} SELECT date, round(turnover, 6) AS turnover FROM dtv",
+    "rebalance_costs": f"{_BOOK}, {_DRIFTED}, gs AS (SELECT date, sum(weight) AS gross FROM book GROUP BY 1) SELECT date, round(turnover * (15 / 1e4) + turnover ** 1.5 * (2.5 / 1e4), 8) AS cost, round(CASE WHEN 1 - 1.25 * gross < 0 THEN -(1 - 1.25 * gross) * (0.06 / 252) ELSE 0 END, 8) AS interest FROM dtv JOIN gs USING (date)",
 }

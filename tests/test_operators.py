@@ -228,3 +228,28 @@ def test_text_that_is_no_number_is_null(spark):
     from tessera.functions.expressions import clean
 
     assert [r[0] for r in spark.createDataFrame([("1.5",), ("n/a",), ("NaN",)], "x string").select(clean("x")).collect()] == [1.5, None, None]
+
+
+def test_live_gate_prunes_or_raises(spark):
+    good = [100.0 + i % 7 for i in range(30)]
+    closes = {"A": good, "B": good, "C": [*good[:20], *[None] * 10], "D": good[:28] + [None, None], "MARKET": good}
+    gate = lambda c, **k: sorted(r["symbol"] for r in qu.live_gate(panel(spark, c), "MARKET", least=20, missing=0.2, **k).select("symbol").distinct().collect())
+    assert gate(closes, breadth=0.5) == ["A", "B", "MARKET"]
+    with pytest.raises(ValueError, match="2 of 4"):
+        gate(closes, breadth=0.8)
+    with pytest.raises(ValueError, match="benchmark fails"):
+        gate(closes | {"MARKET": [*good[:28], None, None]}, breadth=0.5)
+
+
+def test_names_without_a_sector_share_a_bucket(spark):
+    book = spark.createDataFrame([("A", 0.5), ("B", 0.3), (None, 0.2)], "symbol string, weight double")
+    got = {r["symbol"]: r["sector"] for r in we.with_sector(book, spark.createDataFrame([("A", "S")], "symbol string, sector string")).collect()}
+    assert got == {"A": "S", "B": we.UNKNOWN, None: we.UNKNOWN}
+
+
+def test_drifted_turnover_follows_prices(spark):
+    rows = [(D(2024, 1, 1), "A", 0.5), (D(2024, 1, 1), "B", 0.3), (D(2024, 1, 2), "A", 0.5)]
+    prices = [(D(2024, 1, d), s, p) for d, s, p in ((1, "A", 10.0), (2, "A", 20.0), (1, "B", 10.0), (2, "B", 10.0))]
+    got = pe.drifted_turnover(spark.createDataFrame(rows, "date date, symbol string, weight double"), spark.createDataFrame(prices, "date date, symbol string, price double")).collect()
+    # The first book grows from 1 to 1.5: A is 1.0 of it, B 0.3, cash 0.2.
+    assert len(got) == 1 and got[0]["turnover"] == pytest.approx((abs(0.5 - 1 / 1.5) + 0.3 / 1.5) / 2)
