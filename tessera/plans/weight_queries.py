@@ -62,7 +62,7 @@ def weights_sector_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights_hard_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(we.hard_limits(_book(spark, sf_dir), 0.1, 0.8, 0.3).select("date", "symbol", "weight"), "weight", digits=5)
+    return rounded(we.hard_limits(_book(spark, sf_dir), 0.1, 0.8, 0.3).select("date", "symbol", "weight"), "weight", digits=7)
 
 
 def weights_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +273,7 @@ ORACLE_SQL = {
     "weights_by_score": f"{_PLAIN} {_W5} sw",
     "weights_bounded": f"{_PLAIN}, {_BOUND} {_W5} bw",
     "weights_sector_capped": f"{_PLAIN}, {_sector('sw', 'k', 0.4, 0.2)} {_W5} k",
-    "weights_hard_limits": f"{_BOOK}, h1 AS (SELECT date, symbol, sector, score, greatest(0, least(0.1, weight)) AS weight FROM book), h2 AS (SELECT date, symbol, sector, score, weight * least(1, coalesce(0.8 / nullif(sum(weight) OVER (PARTITION BY date), 0), 1)) AS weight FROM h1), {_sector('h2', 'k', 0.3, 0.1)} {_W5} k",
+    "weights_hard_limits": f"{_BOOK}, h1 AS (SELECT date, symbol, sector, score, greatest(0, least(0.1, weight)) AS weight FROM book), h2 AS (SELECT date, symbol, sector, score, weight * least(1, coalesce(0.8 / nullif(sum(weight) OVER (PARTITION BY date), 0), 1)) AS weight FROM h1), {_sector('h2', 'k', 0.3, 0.1)} SELECT date, symbol, round(weight, 7) AS weight FROM k",
     "weights_stopped": f"{_BOOK}, z AS (SELECT *, sum(weight) OVER (PARTITION BY date) AS g, CASE WHEN symbol = 'NATION_7' THEN 0 ELSE weight END AS w FROM book) SELECT date, symbol, round(w * g / sum(w) OVER (PARTITION BY date) + 1e-9, 5) AS weight FROM z",
     "weights_turnover": f"{_BOOK}, {_DENSE} SELECT * FROM tv",
     "weights_turnover_capped": f"{_PLAIN}, bk AS (SELECT date, symbol, sector, round(weight, 5) AS weight FROM sw), k AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM bk)), o AS (SELECT k.date, symbol, sector, weight FROM bk JOIN k ON bk.date = prev), n AS (SELECT bk.* FROM bk JOIN k USING (date) WHERE prev IS NOT NULL), so AS (SELECT date, sector, sum(weight) AS s0 FROM o GROUP BY 1, 2), sn AS (SELECT date, sector, sum(weight) AS s1 FROM n GROUP BY 1, 2), rl AS (SELECT date, bool_or(s0 > 0.6 + 1e-9 AND coalesce(s1, 0) <= 0.6 + 1e-9) AS relief FROM so LEFT JOIN sn USING (date, sector) GROUP BY 1), j AS (SELECT date, symbol, coalesce(o.weight, 0) AS old, coalesce(n.weight, 0) AS new FROM o FULL JOIN n USING (date, symbol)), s AS (SELECT *, sum(abs(new - old)) OVER d AS l1, sum(old) OVER d AS g0, sum(new) OVER d AS g1 FROM j WINDOW d AS (PARTITION BY date)), f AS (SELECT s.*, coalesce(relief, false) OR g0 <= 0 OR (g0 > 1 + 1e-9 AND g1 <= 1 + 1e-9) OR l1 <= 0.4 AS free FROM s LEFT JOIN rl USING (date)), w AS (SELECT date, symbol, free, CASE WHEN free THEN new ELSE old + 0.4 / l1 * (new - old) END AS weight FROM f) SELECT date, symbol, round(weight, 5) AS weight FROM w WHERE weight >= 0.0025 OR (free AND weight > 0)",
