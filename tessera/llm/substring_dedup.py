@@ -6,7 +6,8 @@
 2. Extension: around an anchor that another document has, a match reaches as far to both sides as
    the windows with that anchor agree. Windows go to the bucket of their anchor; the least id
    that has a window decides. Within a task's chunk only the least id's window is sent, the others are
-   settled at once, so that a passage that very many documents share does not pile up in a bucket. Windows are equal if two
+   settled at once; and windows around an anchor of more than `hot` documents are dealt to buckets one by one, not by their
+   anchor. So a passage that very many documents share does not pile up in a bucket. Windows are equal if two
    independent 64-bit hashes of their words agree.
 3. Maximal repeats: agreeing windows next to each other merge into intervals of at least `window`
    words; these are removed from all documents but the one with the least id.
@@ -117,7 +118,8 @@ def _intervals(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 done = _runs(rid[settled], doc[settled], pos[settled])
                 out.append((int(value[0] % U64(buckets)), b"", b"", *[x.astype(np.int64).tobytes() for x in done]))
             go = ~settled & ~again
-            bucket = (anchor[go] % U64(buckets)).astype(np.int64)
+            often = np.unique(np.asarray(batch.column("__hot").flatten().to_numpy(zero_copy_only=False)).view(U64))
+            bucket = (np.where(np.isin(anchor[go], often), value[go], anchor[go]) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             columns = [x[go][order] for x in (value, check, rid, doc, pos)]
             used, first = np.unique(bucket[order], return_index=True)
@@ -146,15 +148,15 @@ def _intervals(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "rid long, doc_id long, first long, last long")
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, window: int = 50, hot: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` with n_words, n_removed, repeats (word intervals [start, end) that were removed) and kept_text (words joined by a space)."""
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).where(F.col("__tessera_id").isNotNull())
     plain = plain.withColumn("__tessera_rid", F.xxhash64("__tessera_id", "__tessera_text"))
     seeds = written(_seeds(plain, window), "seeds")
-    met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("anchor")
-    shared = written(seeds.join(met, "anchor").groupBy(F.col("doc_id").alias("__tessera_id"), F.col("rid").alias("__tessera_rid")).agg(F.collect_set("anchor").alias("__anchors")), "shared-anchors")
-    with_anchors = plain.join(small_lists(shared, "__anchors"), ["__tessera_id", "__tessera_rid"]).select("__tessera_id", "__tessera_rid", "__tessera_text", "__anchors")
+    met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("anchor", (F.col("n") > hot).alias("hot"))
+    shared = written(seeds.join(met, "anchor").groupBy(F.col("doc_id").alias("__tessera_id"), F.col("rid").alias("__tessera_rid")).agg(F.collect_set("anchor").alias("__anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("__hot")), "shared-anchors")
+    with_anchors = plain.join(small_lists(shared, "__anchors"), ["__tessera_id", "__tessera_rid"]).select("__tessera_id", "__tessera_rid", "__tessera_text", "__anchors", "__hot")
     # An anchor stands for at most window - k + 1 windows of 40 bytes.
     sent = (shared.agg(F.sum(F.size("__anchors"))).first()[0] or 0) * (window - window // 2 + 1) * 40
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), sent // BUCKET_BYTES)

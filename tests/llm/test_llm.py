@@ -161,14 +161,15 @@ def test_similarity_classes_of_negative_ids(spark):
     assert got == {x: min(pair) for pair in pairs for x in pair}
 
 
-def test_substring_dedup_equals_brute_force(docs, nothing):
+@pytest.mark.parametrize("hot", [256, 1])
+def test_substring_dedup_equals_brute_force(docs, nothing, hot):
     words = {i: t.encode().split() for i, t in plain(docs)}
     least = {}
     for i, w in words.items():
         for k in range(len(w) - 49):
             key = tuple(w[k : k + 50])
             least[key] = min(i, least.get(key, i))
-    got = substring_dedup.dedup_substrings(docs).collect()
+    got = substring_dedup.dedup_substrings(docs, hot=hot).collect()
     assert len(got) == docs.count() and sum(r["n_removed"] for r in got) > 0
     for r in got:
         w = words[r["doc_id"]]
