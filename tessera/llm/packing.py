@@ -34,23 +34,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import map_arrow, small_side, written
-from ._words import chunks, find_words
+from ._words import LOWER, chunks, find_words, span_hashes
 
 QUANTA = 1 << 20  # resolution of target shares
 FINE = 16  # rounds in a window while no source is dry
 CACHE_WORDS = 600_000  # words whose ids a task keeps
 TAIL = "!\"#$%&()*+,-./:;=?@]^_`{|}~>"  # ASCII marks that may follow a word
 MARK = "\x01"  # stands between words that are encoded in one call
+TAIL_BYTE, ALNUM_BYTE = np.zeros(256, bool), np.zeros(256, bool)
+TAIL_BYTE[[ord(c) for c in TAIL]] = True
+ALNUM_BYTE[[i for i in range(128) if chr(i).isalnum()]] = True
 #: What the pre-tokenizer never joins across: the space and the line feed.
 BREAK = np.zeros(256, bool)
 BREAK[[0x20, 0x0A]] = True
 
 
+class _Pieces:
+    """Runs of ids in one flat array: slot i has count[i] ids from first[i] on. Keys are 64-bit hashes."""
+
+    def __init__(self, kind: np.dtype, ids: list[int]) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat, self.first, self.count = np.array(ids, kind), np.zeros(1, np.int64), np.array([len(ids)])
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the keys, -1 where unknown."""
+        get = self.slots.get
+        return np.fromiter((get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        new = np.arange(len(self.count), len(self.count) + len(keys))
+        self.slots.update(zip(keys.tolist(), new.tolist(), strict=True))
+        self.first, self.count = np.concatenate([self.first, len(self.flat) + first]), np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, ids])
+        return new
+
+    def joined(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of these slots one after the other, where each one's end)."""
+        count = self.count[slots]
+        ends = np.cumsum(count)
+        return self.flat[np.repeat(self.first[slots] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class _TokenIds:
     """Ids of texts, with the ids of words kept.
 
-    The pre-tokenizer never joins what a space or line feed parts, so ids of a text are the ids of its words in turn. Words are
-    told apart by 64-bit hashes; each new word is encoded once and its ids stay in one flat array.
+    The pre-tokenizer never joins what a space or line feed parts, so ids of a text are the ids of its words in turn. Nor does it
+    join a core that ends in a letter or digit with the marks after it, and letters count as small. So a word's ids are those of its core
+    and of its marks, and only new cores are encoded. Words and cores are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -63,62 +93,67 @@ class _TokenIds:
         self._forget()
 
     def _forget(self) -> None:
-        """Slot 0 holds the end id; slot i the ids of the i-th known word."""
-        self.slots: dict[int, int] = {}
-        self.cores: dict[str, bytes] = {"": b""}
-        self.flat = np.array([self.end_id], self.kind)
-        self.first, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def _encode(self, parts: set[str]) -> None:
-        """Many in one call, parted by a mark of one id that none of them holds; the others one by one."""
-        size, cache, mark = self.kind.itemsize, self.cores, self.mark
-        words = [w for w in parts if w not in cache]
-        plain = [w for w in words if MARK not in w] if len(mark) == 1 else []
-        for at in range(0, len(plain), 2048):
-            some = plain[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            cut = np.flatnonzero(ids == mark[0])
-            raw, first, last = ids.tobytes(), (np.append(0, cut + 1) * size).tolist(), (np.append(cut, len(ids)) * size).tolist()
-            cache.update(zip(some, (raw[i:j] for i, j in zip(first, last, strict=True)), strict=True))
-        for w in words:
-            if w not in cache:
-                cache[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Gives each new word a slot. A core that ends in a letter or digit, in small letters, and the marks after it are parted in any case."""
-        pairs = []
-        for word in words:
-            core = word.rstrip(TAIL)
-            if not core or "<|" in word or not core.lower()[-1].isalnum():
-                pairs.append((word, ""))
-            else:
-                pairs.append((core.lower() if core.isascii() else core, word[len(core) :]))
-        self._encode({x for pair in pairs for x in pair})
-        ids = [self.cores[core] + self.cores[tail] for core, tail in pairs]
-        count = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        self.slots.update(zip(hashes.tolist(), range(len(self.count), len(self.count) + len(ids)), strict=True))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), self.kind)])
+        self.words, self.parts = _Pieces(self.kind, [self.end_id]), _Pieces(self.kind, [])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count) of texts: many in one call, parted by a mark of one id that none of them holds; the others one by one."""
+        found, first, count, at = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
+        joint = np.array([len(self.mark) == 1 and MARK not in t for t in texts], bool)
+        groups = [np.flatnonzero(joint)[k : k + 2048] for k in range(0, int(joint.sum()), 2048)] + [np.array([k]) for k in np.flatnonzero(~joint)]
+        for group in groups:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join([texts[k] for k in group])], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(ids == self.mark[0]) if joint[group[0]] else np.zeros(0, np.int64)
+            first[group] = at + np.append(0, cut + 1)
+            count[group] = np.append(cut, len(ids)) - np.append(0, cut + 1)
+            found.append(ids)
+            at += len(ids)
+        return np.concatenate(found), first, count
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Slots for new words."""
+        cut, some = end.copy(), np.arange(len(end))
+        while len(some):
+            some = some[(cut[some] > start[some]) & TAIL_BYTE[data[cut[some] - 1]]]
+            cut[some] -= 1
+        last, before = data[cut - 1], data[np.maximum(cut - 2, 0)]
+        latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (cut - 2 >= start)  # letters of Latin-1
+        sums = lambda hit: np.append(0, np.cumsum(hit))
+        angle, high = sums(data == ord("<")), sums(data >= 0x80)
+        parted = (cut > start) & (ALNUM_BYTE[last] | latin) & (angle[end] == angle[start])  # special tokens hold "<|"
+        cut = np.where(parted, cut, end)
+        small = parted & (high[cut] == high[start])
+        low = LOWER[data]
+        core = np.where(small, span_hashes(low, start, cut)[0], span_hashes(data, start, cut)[0])
+        tailed = np.flatnonzero(cut < end)
+        tail = span_hashes(data, cut[tailed], end[tailed])[0]
+        known, index, inverse = np.unique(np.concatenate([core, tail]), return_index=True, return_inverse=True)
+        slot = self.parts.find(known)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            raw, lowered_ = data.tobytes(), low.tobytes()
+            i = index[new]
+            from_, to = np.concatenate([start, cut[tailed]])[i], np.concatenate([cut, end[tailed]])[i]
+            is_small = np.append(small, np.zeros(len(tailed), bool))[i]
+            texts = [(lowered_ if x else raw)[b:e].decode() for x, b, e in zip(is_small.tolist(), from_.tolist(), to.tolist(), strict=True)]
+            slot[new] = self.parts.add(known[new], *self._encode(texts))
+        both = np.zeros((len(core), 2), np.int64)  # slot 0 has no ids
+        both[:, 0], both[tailed, 1] = slot[inverse[: len(core)]], slot[inverse[len(core) :]]
+        ids, ends = self.parts.joined(both.ravel())
+        count = np.diff(ends[1::2], prepend=0)
+        return self.words.add(keys, ids, np.cumsum(count) - count, count)
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of each row) of a chunk of texts; each row ends with the end id."""
         words = find_words(data, offsets, BREAK)
-        if len(self.count) > CACHE_WORDS:
+        if len(self.words.count) > CACHE_WORDS:
             self._forget()
         known, index, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        slot = np.fromiter((self.slots.get(h, -1) for h in known.tolist()), np.int64, len(known))
+        slot = self.words.find(known)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            blob, at = data.tobytes(), index[new]
-            slot[new] = np.arange(len(self.count), len(self.count) + len(new))
-            self._learn(known[new], [blob[i:j].decode() for i, j in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
-        items = np.insert(slot[inverse], words.first[1:], 0)
-        count = self.count[items]
-        ends = np.cumsum(count)
-        ids = self.flat[np.repeat(self.first[items] - (ends - count), count) + np.arange(ends[-1])]
-        rows = ends[words.first[1:] + np.arange(len(offsets) - 1)]
-        return ids, np.diff(rows, prepend=0)
+            slot[new] = self._learn(data, known[new], words.start[index[new]], words.end[index[new]])
+        ids, ends = self.words.joined(np.insert(slot[inverse], words.first[1:], 0))  # slot 0 has the end id
+        return ids, np.diff(ends[words.first[1:] + np.arange(len(offsets) - 1)], prepend=0)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, source: str, doc_id: str) -> DataFrame:
