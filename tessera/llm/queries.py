@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extraction, language_id, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
+from . import bit_slices, collocations, fingerprints, html_extraction, importance, language_id, mixing, ngram_join, packing, pii, quality_rules, substring_dedup, toxicity
 from ._tables import fold_of, read_table
 
 
@@ -93,4 +93,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score"), "cross_entropy", F.col("language_rejected").alias("rejected"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_html_extraction": op3_html_extraction, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 phrases of `documents` by the score of their worst cut."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), longest=5, least=100, covered=100, most=2_000)
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of `embeddings` for every row whose id is divisible by 50."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bit_slices.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of `documents`: its weight towards `benchmark`, its score and, of the drawn quarter, its rank."""
+    found = importance.resample(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark").select("text"), runs=2, buckets=10_000, percent=25, least_words=20, salt="7:")
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_mixing": op2_mixing, "op3_html_extraction": op3_html_extraction, "op4_substring_dedup": op4_substring_dedup, "op5_toxicity": op5_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_pii": op8_pii, "op9_quality_rules": op9_quality_rules, "op10_language_id": op10_language_id, "op11_collocations": op11_collocations, "op12_exact_top_k": op12_exact_top_k, "op13_importance_resampling": op13_importance_resampling}
