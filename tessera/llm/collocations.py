@@ -15,6 +15,7 @@ again, very long texts are handled whole, and an empty table gives an empty resu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -86,8 +87,10 @@ def _bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def occurrences(shard: DataFrame, longest: int, words_too: bool, reached: np.ndarray, recent: np.ndarray) -> DataFrame:
     """(lang, k, phrase, left, right, n): sums of one scan, for words (if `words_too`) and the phrases whose subphrases the bitmaps know."""
+    sent_maps = [zlib.compress(b.tobytes(), 1) for b in (reached, recent)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached, recent = (np.frombuffer(zlib.decompress(b), U64) for b in sent_maps)
         for batch in batches:
             lists, langs = batch.column("words"), batch.column("lang")
             sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
@@ -98,8 +101,8 @@ def occurrences(shard: DataFrame, longest: int, words_too: bool, reached: np.nda
                 yield from _scan_chunk(np.asarray(lists.slice(at, stop - at).flatten()).astype(np.int64).view(U64), sizes[at:stop], langs.slice(at, stop - at), longest, words_too, reached, recent)
                 at = stop
 
-    sent = map_arrow(shard.select("lang", "words"), scan, "lang string, k int, phrase long, left long, right long, n long")
-    return sent.groupBy("lang", "k", "phrase").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.sum("n").alias("n"))
+    found = map_arrow(shard.select("lang", "words"), scan, "lang string, k int, phrase long, left long, right long, n long")
+    return found.groupBy("lang", "k", "phrase").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.sum("n").alias("n"))
 
 
 def _scan_chunk(words: np.ndarray, sizes: np.ndarray, langs: pa.Array, longest: int, words_too: bool, reached: np.ndarray, recent: np.ndarray) -> Iterator[pa.RecordBatch]:
