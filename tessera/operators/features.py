@@ -171,3 +171,22 @@ def turnover_penalty(scores: DataFrame, previous: DataFrame, penalty: float = 0.
     joined = scores.join(before, [*keys, "symbol"], "left")
     return joined.withColumn("score", F.col("score") - penalty * F.coalesce(F.abs(F.col("score") - F.col("before")), F.lit(0.0))).drop("before")
 
+
+def turnover_penalty_chained(scores: DataFrame, penalty: float = 0.1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """`scores` (keys, symbol, date, score) less a share of their change since the score that came out at the date before; symbols without one there keep theirs, null scores stay null.
+
+    A symbol's path depends on itself only: its scores of all dates are folded as one array.
+    """
+    dates = scores.select(*keys, "date").distinct().withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))  # a row for each date
+    good = F.col("score").isNotNull() & ~F.isnan("score")
+    paths = scores.where(good).join(dates, [*keys, "date"]).groupBy(*keys, "symbol").agg(F.sort_array(F.collect_list(F.struct("__k", "date", F.col("score").cast("double").alias("score")))).alias("__path"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        moved = F.when(last["__k"] == x["__k"] - 1, F.abs(x["score"] - last["score"])).otherwise(0.0)
+        return F.concat(done, F.array(F.struct(x["__k"].alias("__k"), x["date"].alias("date"), (x["score"] - penalty * moved).alias("score"))))
+
+    kind = f"array<struct<__k: int, date: {scores.schema['date'].dataType.simpleString()}, score: double>>"
+    folded = paths.withColumn("__path", F.aggregate("__path", F.expr(f"cast(array() AS {kind})"), step))
+    out = folded.select(*keys, "symbol", F.explode("__path").alias("__p")).select(*keys, "symbol", "__p.date", "__p.score")
+    return out.unionByName(scores.where(~F.coalesce(good, F.lit(False))).select(*keys, "symbol", "date", F.lit(None).cast("double").alias("score")))

@@ -13,26 +13,83 @@ def execution_price() -> Column:
     return F.coalesce("open", "close")
 
 
-def holding_growth(books: DataFrame, bars: DataFrame) -> DataFrame:
-    """(period, date, growth): value of each book per unit of its start, from the session after its date up to the next book's entry.
+def periods(books: DataFrame, bars: DataFrame) -> DataFrame:
+    """(date, period, n, until): every session with the date of the book that is held on it (null before the first), its number in that period, and the session on which the next book takes over.
 
-    A position enters at the next session's open (else close) and is valued at filled closes; uninvested weight is cash.
+    A book takes over at the session after its date; a book that is replaced before that is never held. One window over the calendar.
     """
-    dates = books.select("date").distinct().withColumn("until", F.lead("date").over(Window.orderBy("date")))  # a row for each book
-    valued = bars.withColumns({"price": F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), "entry_price": execution_price()})
-    held = books.join(dates, "date").select(F.col("date").alias("period"), "until", "symbol", "weight")
-    rows = held.join(valued, (held["symbol"] == valued["symbol"]) & (F.col("date") > F.col("period")) & (F.col("until").isNull() | (F.col("date") <= F.date_add("until", 7)))).select("period", "until", held["symbol"], "weight", "date", "price", "entry_price")
-    first = Window.partitionBy("period", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("entry", F.first("entry_price").over(first)).where(F.col("until").isNull() | (F.col("date") <= F.col("until")))
-    value = F.sum(F.col("weight") * F.coalesce(F.try_divide("price", "entry"), F.lit(1.0)))
-    return rows.groupBy("period", "date").agg((1 - F.sum("weight") + value).alias("growth"))
-
-
-def chained_equity(growth: DataFrame, start: float = 1_000_000.0) -> DataFrame:
-    """(date, equity): periods one after the other."""
-    ends = growth.groupBy("period").agg(F.max_by("growth", "date").alias("last"))
-    before = ends.select("period", F.coalesce(F.product("last").over(Window.orderBy("period").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)).alias("base"))  # a row for each period
-    return growth.join(before, "period").select("date", (F.col("growth") * F.col("base") * start).alias("equity"))
+    line = bars.select("date").distinct().withColumn("__s", F.lit(True)).join(books.select("date").distinct().withColumn("__book", F.col("date")), "date", "full_outer")
+    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # a row for each session
+    held = line.withColumn("period", F.last("__book", ignorenulls=True).over(before)).where("__s").select("date", "period")
+    of_period = held.groupBy("period").agg(F.min("date").alias("first"))
+    until = of_period.withColumn("until", F.lead("first").over(Window.orderBy("first"))).select("period", "until")  # a row for each book
+    numbered = held.withColumn("n", F.row_number().over(Window.partitionBy("period").orderBy("date")))
+    return numbered.join(until, numbered["period"].eqNullSafe(until["period"])).select("date", numbered["period"], "n", "until")
+
+
+def _held(books: DataFrame, bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(period, symbol, weight, date, n, until, ratio, at_open): each position's value per unit of its entry at every close and (by the execution price) at every open.
+
+    A position enters at the first execution price of its period and is cash until then; closes are filled.
+    """
+    filled = F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    priced = bars.withColumns({"__price": filled, "__exec": execution_price()}).select("symbol", "date", "__price", "__exec", F.coalesce("__exec", "__price").alias("__open"))
+    book = books.select(F.col("date").alias("period"), "symbol", "weight")
+    rows = priced.join(sessions, "date").join(book, ["period", "symbol"])
+    so_far = Window.partitionBy("period", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__entry", F.first("__exec", ignorenulls=True).over(so_far))
+    # What the position is worth when the next book takes over.
+    after = priced.select("symbol", F.col("date").alias("until"), F.col("__open").alias("__next"))
+    ends = rows.groupBy("period", "symbol", "weight", "until").agg(F.max_by("__entry", "date").alias("__entry"), F.max_by("__price", "date").alias("__last")).where("until IS NOT NULL").join(after, ["until", "symbol"], "left")
+    ratio = lambda p: F.coalesce(F.try_divide(p, F.col("__entry")), F.lit(1.0))
+    closes = rows.select("period", "symbol", "weight", "date", "n", ratio(F.col("__price")).alias("ratio"), F.lit(False).alias("over"))
+    return closes.unionByName(ends.select("period", "symbol", "weight", F.col("until").alias("date"), F.lit(None).cast("int").alias("n"), ratio(F.coalesce("__next", "__last")).alias("ratio"), F.lit(True).alias("over")))
+
+
+def _valued(books: DataFrame, bars: DataFrame, rate: float, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(positions of _held, growth of every book by (period, date, over)): cash is what the weights leave; where it is below 0 each session's close adds a day's interest."""
+    positions = _held(books, bars, sessions)
+    sums = positions.groupBy("period", "date", "over").agg(F.max("n").alias("n"), F.sum(F.col("weight") * F.col("ratio")).alias("__v"))
+    cash = books.groupBy(F.col("date").alias("period")).agg((1 - F.sum("weight")).alias("__cash"))
+    spans = sessions.where("period IS NOT NULL").groupBy("period").agg(F.max("n").alias("__n"))
+    # Before the next open a period has paid interest for all its sessions.
+    paid = F.pow(F.lit(1 + rate / 252), F.when(F.col("over"), F.col("__n")).otherwise(F.col("n")))
+    growth = F.col("__cash") * F.when(F.col("__cash") < 0, paid).otherwise(1.0) + F.col("__v")
+    return positions, sums.join(cash, "period").join(spans, "period").select("period", "date", "over", growth.alias("growth"))
+
+
+def holding_growth(books: DataFrame, bars: DataFrame, rate: float = 0.0) -> DataFrame:
+    """(period, date, over, growth): value of each book per unit of its start, at every close while it is held and, with `over`, at the execution prices of the session on which the next book takes over.
+
+    A position enters at the first execution price (open, else close) after its book's date; uninvested weight is cash, and `rate` is the yearly interest on cash below 0.
+    """
+    return _valued(books, bars, rate, periods(books, bars))[1]
+
+
+def net_equity(books: DataFrame, bars: DataFrame, start: float = 1_000_000.0, commission: float = 10, slippage: float = 5, impact: float = 2.5, rate: float = 0.06) -> DataFrame:
+    """(date, equity, turnover, cost): the curve of all books one after the other, net of costs and interest; turnover and cost stand at the sessions on which a book takes over.
+
+    The old book is valued at the new one's execution prices; the change from the weights that it has come to by then, both sides counted, is the
+    turnover, whose cost comes off before the new period starts. Before the first book the equity is its start. Weight space: no whole shares, pending orders or blocked buys.
+    """
+    sessions = periods(books, bars)
+    positions, growth = _valued(books, bars, rate, sessions)
+    takes = sessions.where("n = 1 AND period IS NOT NULL").select("period", F.col("date").alias("at"))
+    handed = growth.where("over").select(F.col("date").alias("at"), F.col("growth").alias("__g"))
+    old = positions.where("over").select(F.col("date").alias("at"), "symbol", (F.col("weight") * F.col("ratio")).alias("__old")).join(handed, "at").select("at", "symbol", F.try_divide("__old", "__g").alias("__old"))
+    new = books.select(F.col("date").alias("period"), "symbol", "weight").join(takes, "period").select("at", "symbol", "weight")
+    moved = old.join(new, ["at", "symbol"], "full_outer").groupBy("at").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("__old", F.lit(0.0)))).alias("turnover"))
+    steps = takes.join(moved, "at", "left").join(handed, "at", "left").withColumn("cost", cost_rate(F.coalesce("turnover", F.lit(0.0)), commission, slippage, impact))
+    kept = F.coalesce("__g", F.lit(1.0)) * (1 - F.col("cost"))
+    base = steps.withColumn("__base", F.product(kept).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))  # a row for each book
+    closes = sessions.join(growth.where("NOT over").select("period", "date", "growth"), ["period", "date"], "left").join(base.select("period", "at", "turnover", "cost", "__base"), "period", "left")
+    at = lambda c: F.when(F.col("date") == F.col("at"), F.col(c)).otherwise(0.0)
+    return closes.select("date", (F.coalesce(F.col("growth") * F.col("__base"), F.lit(1.0)) * start).alias("equity"), at("turnover").alias("turnover"), at("cost").alias("cost"))
+
+
+def chained_equity(books: DataFrame, bars: DataFrame, start: float = 1_000_000.0) -> DataFrame:
+    """(date, equity): net_equity without costs and interest."""
+    return net_equity(books, bars, start, 0, 0, 0, 0).select("date", "equity")
 
 
 def cost_rate(turnover: Column, commission: float = 10, slippage: float = 5, impact: float = 2.5) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +57,42 @@ def sector_capped(book: DataFrame, sector_cap: float, cap: float) -> DataFrame:
     return df.withColumn("weight", F.col("__cut") + F.col("__may") * give).drop("__cut", "__free", "__room", "__sroom", "__may")
 
 
-def hard_limits(book: DataFrame, cap: float, gross_cap: float, sector_cap: float) -> DataFrame:
+def hard_limits(book: DataFrame, cap: float, gross_cap: float | Column, sector_cap: float) -> DataFrame:
     """Long only, position cap, gross cap, sector caps."""
+    top = gross_cap if isinstance(gross_cap, Column) else F.lit(gross_cap)
     df = book.withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(cap), F.col("weight"))))
-    df = df.withColumn("weight", F.col("weight") * F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(gross_cap), F.sum("weight").over(_day())), F.lit(1.0))))
+    df = df.withColumn("weight", F.col("weight") * F.least(F.lit(1.0), F.coalesce(F.try_divide(top, F.sum("weight").over(_day())), F.lit(1.0))))
     return sector_capped(df, sector_cap, cap)
 
 
-def volatility_scaled(book: DataFrame, covariance: DataFrame, target: float, leverage: Column, periods: int = 252) -> DataFrame:
-    """Weights times target over portfolio volatility, at most the leverage; as they are where the volatility is unknown."""
+def volatility_scaled(book: DataFrame, covariance: DataFrame, target: float, leverage: Column, cap: float, sector_cap: float, periods: int = 252) -> DataFrame:
+    """Weights times target over portfolio volatility, at most `leverage` times; as they are where the volatility is unknown or 0. Hard limits follow, with the leverage as gross cap."""
     a, b = book.select("date", F.col("symbol").alias("a"), F.col("weight").alias("wa")), book.select("date", F.col("symbol").alias("b"), F.col("weight").alias("wb"))
-    risk = a.join(covariance, ["date", "a"]).join(b, ["date", "b"]).groupBy("date").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("wa") * F.col("wb") * F.col("cov")) * periods)).alias("vol"))
-    df = book.join(risk, "date", "left")
-    gross = F.sum("weight").over(_day())
-    scale = F.when(F.col("vol") > 0, F.least(F.lit(target) / F.col("vol"), F.try_divide(leverage, gross))).otherwise(1.0)
-    return df.withColumn("weight", F.col("weight") * scale).drop("vol")
+    risk = a.join(covariance, ["date", "a"]).join(b, ["date", "b"]).groupBy("date").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("wa") * F.col("wb") * F.col("cov")) * periods)).alias("__vol"))
+    df = book.join(risk, "date", "left").withColumn("__top", leverage)
+    scale = F.when(F.col("__vol") > 0, F.least(F.lit(target) / F.col("__vol"), F.col("__top"))).otherwise(1.0)
+    return hard_limits(df.withColumn("weight", F.col("weight") * scale), cap, F.col("__top"), sector_cap).drop("__vol", "__top")
+
+
+#: Leverage by regime.
+REGIME_LEVERAGE = {"low": 1.5, "normal": 1.0, "high": 0.7}
+
+
+def regime_leverage(caps: Mapping[str, float] = REGIME_LEVERAGE, most: float = 1.5, regime: str = "regime") -> Column:
+    """The gross cap of a regime, at most `most`; 1 for unknown ones."""
+    known = F.coalesce(*[F.when(F.col(regime) == name, cap) for name, cap in caps.items()], F.lit(1.0))
+    return F.least(known, F.lit(most))
+
+
+def target_books(top: DataFrame, covariance: DataFrame, regimes: DataFrame, *, low: float, cap: float, sector_cap: float, target: float, leverage: Mapping[str, float] = REGIME_LEVERAGE, most: float = 1.5, periods: int = 252) -> DataFrame:
+    """(date, symbol, sector, score, weight, gross_cap): the whole way from selected names (date, symbol, sector, score) to a book.
+
+    Feasible gross, weights by score, bounds, sector caps, the regime's leverage, volatility scaling, hard limits. What is left is cash and is never spread again.
+    """
+    book = score_weights(top.join(feasible_gross(top, cap, sector_cap), "date"), F.col("gross"))
+    book = sector_capped(within_bounds(book, low, cap), sector_cap, cap).drop("gross")
+    known = book.join(regimes.select("date", "regime"), "date", "left").withColumn("gross_cap", regime_leverage(leverage, most)).drop("regime")
+    return volatility_scaled(known, covariance, target, F.col("gross_cap"), cap, sector_cap, periods).select("date", "symbol", "sector", "score", "weight", "gross_cap")
 
 
 def turnover_capped(previous: DataFrame, target: DataFrame, cap: float, gross_cap: float, stub: float = 0.0025, keys: tuple[str, ...] = (), sector_cap: float | None = None) -> DataFrame:
@@ -90,6 +113,49 @@ def turnover_capped(previous: DataFrame, target: DataFrame, cap: float, gross_ca
     return out.where((F.col("weight") >= stub) | (free & (F.col("weight") > 0))).select(*keys, "symbol", "weight")
 
 
+def turnover_chained(targets: DataFrame, cap: float | str, sector_cap: float | None = None, stub: float = 0.0025, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """(keys, date, symbol, weight): books of one date after another, each a blend from the book that came out before to its target, as in turnover_capped.
+
+    `targets`: (keys, date, symbol, sector, weight, gross_cap), within their hard limits; a blend of two such books is within them too, unless the
+    gross cap came down, and then the target passes. `cap` is a number or a column. A chain is sequential, so a strategy (a row for each name and
+    date of its books) is one group; strategies run beside each other.
+    """
+    import pandas as pd
+
+    names = [*keys, "date", "symbol", "weight"]
+    kinds = {f.name: f.dataType.simpleString() for f in targets.schema.fields}
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, float] = {}
+        sector: dict[str, str] = {}
+        out = []
+        for date, rows in pdf.sort_values(["date", "symbol"]).groupby("date", sort=True):
+            new = dict(zip(rows["symbol"], rows["weight"], strict=True))
+            sector.update(zip(rows["symbol"], rows["sector"].fillna(UNKNOWN), strict=True))
+            top, most = float(rows["gross_cap"].iloc[0]), float(rows["__cap"].iloc[0])
+            both = sorted({*held, *new})
+            change = sum(abs(new.get(x, 0.0) - held.get(x, 0.0)) for x in both)
+            gross = [sum(b.values()) for b in (held, new)]
+            free = not held or most >= 1 or change <= most or (gross[0] > top + 1e-9 and gross[1] <= top + 1e-9)
+            if not free and sector_cap is not None:
+                sums: dict[str, list[float]] = {}
+                for i, book in enumerate((held, new)):
+                    for x, w in book.items():
+                        sums.setdefault(sector[x], [0.0, 0.0])[i] += w
+                free = any(a > sector_cap + 1e-9 and b <= sector_cap + 1e-9 for a, b in sums.values())
+            if free:
+                held = {x: w for x, w in new.items() if w > 1e-12}
+            else:
+                blend = {x: held.get(x, 0.0) + most / change * (new.get(x, 0.0) - held.get(x, 0.0)) for x in both}
+                held = {x: w for x, w in blend.items() if w >= stub}
+            out += [(date, x, w) for x, w in held.items()]
+        frame = pd.DataFrame(out, columns=["date", "symbol", "weight"])
+        return frame.assign(**{k: pdf[k].iloc[0] for k in keys})[names]
+
+    rows = targets.select(*keys, "date", "symbol", "sector", "weight", "gross_cap", (F.col(cap) if isinstance(cap, str) else F.lit(cap)).cast("double").alias("__cap"))
+    return rows.groupBy(*keys).applyInPandas(chain, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+
+
 def without_stopped(book: DataFrame, stopped: Column) -> DataFrame:
     """Stopped names go to 0 and the rest is scaled up to the same gross."""
     gross = F.sum("weight").over(_day())
@@ -99,10 +165,11 @@ def without_stopped(book: DataFrame, stopped: Column) -> DataFrame:
 
 def book_turnover(book: DataFrame) -> DataFrame:
     """(date, turnover): half the absolute change of weights against the book before; the first has none."""
-    dates = book.select("date").distinct()
-    grid = dates.join(F.broadcast(book.select("symbol").distinct())).join(book.select("date", "symbol", "weight"), ["date", "symbol"], "left").fillna(0.0, ["weight"])
-    change = grid.withColumn("d", F.abs(F.col("weight") - F.lag("weight").over(by_symbol())))
-    return change.groupBy("date").agg((F.sum("d") / 2).alias("turnover")).where("turnover IS NOT NULL")
+    dates = book.select("date").distinct().withColumn("next", F.lead("date").over(Window.orderBy("date"))).where("next IS NOT NULL")  # a row for each book
+    old = book.join(dates, "date").select(F.col("next").alias("date"), "symbol", F.col("weight").alias("__old"))
+    new = book.select("date", "symbol", "weight").join(dates.select(F.col("next").alias("date")), "date", "left_semi")
+    change = F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("__old", F.lit(0.0)))
+    return old.join(new, ["date", "symbol"], "full_outer").groupBy("date").agg((F.sum(change) / 2).alias("turnover"))
 
 
 def concentration(book: DataFrame) -> DataFrame:

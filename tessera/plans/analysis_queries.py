@@ -151,7 +151,12 @@ def penalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fe.turnover_penalty(df, of_the_date_before(df), keys=("date",)), "score", digits=7)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (ic_by_date, ic_statistics, quantile_spreads, decay_by_horizon, rank_turnover, correlation_of_factors, collinearity, feature_base, feature_oscillators, feature_matrix, cross_sectional_target, purged_folds, training_panel, walk_forward_scores, model_importances, validation_spreads, validation_skill, ensemble_scores, penalized_scores, feature_matrix_full)}
+def penalized_scores_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every date against what came out at the one before."""
+    return rounded(fe.turnover_penalty_chained(_two_scores(spark, sf_dir)[0], 0.3), "score", digits=6)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (ic_by_date, ic_statistics, quantile_spreads, decay_by_horizon, rank_turnover, correlation_of_factors, collinearity, feature_base, feature_oscillators, feature_matrix, cross_sectional_target, purged_folds, training_panel, walk_forward_scores, model_importances, validation_spreads, validation_skill, ensemble_scores, penalized_scores, penalized_scores_chained, feature_matrix_full)}
 
 _FWD = lambda h: f"CASE WHEN count(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN sum(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) END"
 _PCT = lambda x, keys="date": f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {keys}, {x} IS NULL ORDER BY {x}) + (count({x}) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {keys}) END"
@@ -186,4 +191,5 @@ ORACLE_SQL = {
     "validation_skill": f"{_BASE}, {_LAB}, k AS (SELECT label, {_PCT('momentum')} AS s FROM lab) SELECT count(*) AS n, round(sqrt(avg((s - label) ** 2)), 6) AS rmse, round(sqrt(avg((label - 0.5) ** 2)), 6) AS rmse_constant, round(1 - sqrt(avg((s - label) ** 2)) / sqrt(avg((label - 0.5) ** 2)), 6) AS skill FROM k WHERE label IS NOT NULL",
     "ensemble_scores": f"{_BASE}, {_SIDE('momentum', 'a', '')}, {_SIDE('volatility', 'b', _NOT_2)}, j AS (SELECT symbol, date, a.p AS pa, b.p AS pb, coalesce(a.t, false) AND coalesce(b.t, false) AS tops, coalesce(max(a.o) OVER (PARTITION BY date), false) AND coalesce(max(b.o) OVER (PARTITION BY date), false) AS act FROM a FULL JOIN b USING (symbol, date)) SELECT symbol, date, round((0.5 * coalesce(pa, 0.5) + 0.5 * coalesce(pb, 0.5)) * CASE WHEN tops AND act THEN 1.3 ELSE 1 END, 6) AS score, tops AND act AS consensus FROM j",
     "penalized_scores": f"{_BASE}, ds AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM df)) SELECT n.symbol, n.date, round(n.momentum - 0.1 * coalesce(abs(n.momentum - p.momentum), 0), 7) AS score FROM df n JOIN ds ON ds.date = n.date LEFT JOIN df p ON p.symbol = n.symbol AND p.date = ds.prev",
+    "penalized_scores_chained": f"{_BASE.replace('WITH ', 'WITH RECURSIVE ', 1)}, sk AS (SELECT symbol, date, dense_rank() OVER (ORDER BY date) AS k, momentum AS s FROM df), pc AS (SELECT symbol, date, k, s FROM sk WHERE k = 1 UNION ALL SELECT sk.symbol, sk.date, sk.k, CASE WHEN pc.s IS NULL THEN sk.s ELSE sk.s - 0.3 * abs(sk.s - pc.s) END FROM pc JOIN sk ON sk.symbol = pc.symbol AND sk.k = pc.k + 1) SELECT symbol, date, round(s, 6) AS score FROM pc",
 }
