@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +26,8 @@ def information_coefficients(df: DataFrame, factor: str, forward: str, *, keys:
 
 
 def ic_summary(ics: DataFrame, keys: Sequence[str] = (), least: int = 20) -> DataFrame:
-    """Mean, deviation, ratio, hit rate, t and count of the coefficients; null under `least` dates."""
-    s = ics.where("ic IS NOT NULL").groupBy(*keys).agg(F.count("ic").alias("n"), F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.avg((F.col("ic") > 0).cast("double")).alias("h"))
+    """Mean, deviation, ratio, hit rate, t and count of the coefficients; null under `least` dates. A coefficient that is 0 but for noise of the last digits is no hit."""
+    s = ics.where("ic IS NOT NULL").groupBy(*keys).agg(F.count("ic").alias("n"), F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.avg((F.round("ic", 12) > 0).cast("double")).alias("h"))
     enough = F.col("n") >= least
     icir = F.when(F.col("s") > 0, F.try_divide("m", "s")).otherwise(0.0)
     return s.select(*keys, *[F.when(enough, F.round(v, d)).alias(name) for name, v, d in (("mean_ic", F.col("m"), 4), ("std_ic", F.col("s"), 4), ("icir", icir, 4), ("hit_rate", F.col("h"), 4), ("t_stat", icir * F.sqrt("n"), 2))], "n")
@@ -72,28 +70,31 @@ def factor_correlations(df: DataFrame, factors: Sequence[str], every: int = 21,
     return by_day.groupBy("a", "b").agg(F.round(F.avg(F.coalesce("c", F.lit(0.0))), 3).alias("corr"))
 
 
-def variance_inflation(df: DataFrame, factors: Sequence[str]) -> DataFrame:
-    """(date, factor, vif) from the inverse of each date's correlation matrix; rows complete in all factors, at least k + 2.
+def variance_inflation(df: DataFrame, factors: Sequence[str], digits: int = 2) -> DataFrame:
+    """(date, factor, vif): 1 / (1 - R^2) of each factor on the others; rows complete in all factors, at least k + 2; infinite where the others give it whole, null where it is constant.
 
-    Spark sums the moments; only one row of k * k moments per date reaches Python.
+    Elimination on each date's correlation matrix, all dates and factors at once: what is left of a factor's own cell is 1 - R^2. A pivot of 0 is one that others give whole and is left out.
     """
     k = len(factors)
     complete = df.select("date", *factors).dropna(subset=list(factors))
-    sums = [F.sum(F.col(a)).alias(f"s{i}") for i, a in enumerate(factors)] + [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(factors) for j, b in enumerate(factors) if j >= i]
-    moments = complete.groupBy("date").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= k + 2)
-
-    def invert(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                mean = np.array([getattr(r, f"s{i}") for i in range(k)]) / r.n
-                cov = np.array([[getattr(r, f"p{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)]) / r.n - np.outer(mean, mean)
-                scale = np.sqrt(np.maximum(np.diag(cov), 1e-300))
-                vif = np.diag(np.linalg.pinv(cov / np.outer(scale, scale)))
-                out += [(r.date, f, round(float(v), 2)) for f, v in zip(factors, vif, strict=True)]
-            yield pd.DataFrame(out, columns=["date", "factor", "vif"])
-
-    return moments.mapInPandas(invert, "date date, factor string, vif double")
+    sums = [F.avg(F.col(a)).alias(f"s{i}") for i, a in enumerate(factors)] + [F.avg(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(factors) for j, b in enumerate(factors) if j >= i]
+    rows = complete.groupBy("date").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= k + 2)
+    rows = rows.select("date", *[(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)])
+    scale = lambda i, j: F.try_divide(F.col(f"c{i}_{j}"), F.sqrt(F.greatest(F.col(f"c{i}_{i}"), F.lit(0.0)) * F.greatest(F.col(f"c{j}_{j}"), F.lit(0.0))))
+    rows = rows.select("date", *[F.coalesce(scale(i, j), F.lit(0.0)).alias(f"r{i}_{j}") for i in range(k) for j in range(i, k)])
+    # One copy of the matrix for each target, which is eliminated last.
+    order = {t: [i for i in range(k) if i != t] + [t] for t in range(k)}
+    cell = lambda t, i, j: f"m{t}_{i}_{j}"
+    names = {t: [(i, j) for i in range(k) for j in range(i, k)] for t in range(k)}
+    rows = rows.select("date", *[F.col(f"r{min(order[t][i], order[t][j])}_{max(order[t][i], order[t][j])}").alias(cell(t, i, j)) for t in range(k) for i, j in names[t]])
+    for p in range(k - 1):
+        left = [(i, j) for i in range(p + 1, k) for j in range(i, k)]
+        lower = lambda t, i, j, p=p: F.when(F.col(cell(t, p, p)) > 1e-10, F.col(cell(t, i, j)) - F.col(cell(t, p, i)) * F.col(cell(t, p, j)) / F.col(cell(t, p, p))).otherwise(F.col(cell(t, i, j)))
+        rows = rows.select("date", *[lower(t, i, j).alias(cell(t, i, j)) for t in range(k) for i, j in left], *([] if p else [F.col(cell(t, k - 1, k - 1)).alias(f"own{t}") for t in range(k)]), *([f"own{t}" for t in range(k)] if p else []))
+    rest = lambda t: F.col(cell(t, k - 1, k - 1))
+    own = (lambda t: F.col(f"own{t}")) if k > 1 else rest
+    vif = lambda t: F.when(own(t) > 0, F.when(rest(t) > 1e-10, F.round(1 / rest(t), digits)).otherwise(float("inf")))
+    return rows.select("date", F.inline(F.array(*[F.struct(F.lit(f).alias("factor"), vif(t).alias("vif")) for t, f in enumerate(factors)])))
 
 
 def rolling_sharpe(returns: DataFrame, window: int = 63) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,10 +120,38 @@ def daily_totals(fills: DataFrame) -> DataFrame:
     return seen.withColumn("step", step).groupBy("day").agg(F.count_distinct("order_id").alias("orders"), F.sum("step").alias("value"))
 
 
+#: States of an order that may still be open. Fixed values.
+UNCERTAIN = ("unknown", "submitted", "partial_fill_open")
+
+
 def cooled_down(attempts: DataFrame, seconds: int = 300) -> DataFrame:
-    """Attempts with `allowed`: at least `seconds` after the symbol's last attempt."""
-    before = F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts"))
-    return attempts.withColumn("allowed", before.isNull() | (F.unix_timestamp("ts") - F.unix_timestamp(before) >= seconds))
+    """Attempts (symbol, ts, status, id) with `allowed`: not less than `seconds` after the symbol's last allowed attempt, if the order of that one may still be open.
+
+    An attempt that comes `seconds` or more after the one before it is always allowed, so a symbol falls into chains that do not
+    depend on each other; a chain is read in order from sorted partitions, of which nothing but the last allowed attempt is held.
+    Ties go by id. Rows without symbol or time are left out.
+    """
+    order = Window.partitionBy("symbol").orderBy("ts", "id")
+    rows = attempts.where("symbol IS NOT NULL AND ts IS NOT NULL").withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
+    before = F.lag("__us").over(order)
+    rows = rows.withColumn("__starts", before.isNull() | (F.col("__us") - before >= seconds * 1_000_000))
+    rows = rows.withColumns({"__chain": F.count_if("__starts").over(order), "__open": F.coalesce(F.col("status").isin(*UNCERTAIN), F.lit(False))})
+    limit = seconds * 1_000_000
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, is_open = 0, False
+        for batch in batches:
+            allowed = []
+            for us, starts, uncertain in zip(*(batch.column(c).to_pylist() for c in ("__us", "__starts", "__open")), strict=True):
+                passes = starts or not is_open or us - last >= limit
+                if passes:
+                    last, is_open = us, uncertain
+                allowed.append(passes)
+            yield batch.select(names).append_column("allowed", pa.array(allowed, pa.bool_()))
+
+    names = attempts.columns
+    dealt = rows.repartition("symbol", "__chain").sortWithinPartitions("symbol", "__chain", "__us", "id")
+    return dealt.select(*names, "__us", "__starts", "__open").mapInArrow(read, attempts.schema.add("allowed", "boolean"))
 
 
 def looks_presplit(entry: Column, current: Column, ratio: Column) -> Column:

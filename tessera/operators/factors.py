@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,15 +84,16 @@ def neutral_key(panel: DataFrame, least: int = 5) -> DataFrame:
     """`panel` with __group: the sector if it has `least` symbols, else one fallback group of all other symbols."""
     members = panel.select("symbol", "sector").distinct()
     sizes = members.where("sector IS NOT NULL").groupBy("sector").agg(F.count(F.lit(1)).alias("__size"))
-    return panel.join(F.broadcast(sizes), "sector", "left").withColumn("__group", F.when(F.col("__size") >= least, F.col("sector")).otherwise("__FALLBACK__")).drop("__size")
+    return panel.join(sizes, "sector", "left").withColumn("__group", F.when(F.col("__size") >= least, F.col("sector")).otherwise("__FALLBACK__")).drop("__size")
 
 
 def sector_neutral(panel: DataFrame, names: Sequence[str], least: int = 5) -> DataFrame:
     """Scores within sectors; small and missing sectors are pooled, and left as they are if the pool has one symbol."""
     grouped = neutral_key(panel, least)
     inside = Window.partitionBy("date", "__group")
-    symbols = F.size(F.collect_set("symbol").over(inside))
-    return grouped.withColumns({c: F.when((F.col("__group") == "__FALLBACK__") & (symbols < 2), F.col(c)).otherwise(zscore(c, inside)) for c in names}).drop("__group")
+    # Two different symbols, if the least is not the greatest.
+    alone = F.coalesce(F.min("symbol").over(inside) == F.max("symbol").over(inside), F.lit(True))
+    return grouped.withColumns({c: F.when((F.col("__group") == "__FALLBACK__") & alone, F.col(c)).otherwise(zscore(c, inside)) for c in names}).drop("__group")
 
 
 def apply_multiplier(score: Column, multiplier: Column) -> Column:
@@ -137,8 +139,15 @@ def latest(scores: DataFrame) -> DataFrame:
     return scores.join(F.broadcast(newest), "date", "left_semi")
 
 
-def membership(dates: DataFrame, universe: DataFrame) -> DataFrame:
-    """(date, symbol, eligible): membership by the latest snapshot on or before each date; the whole snapshot counts."""
+def membership(dates: DataFrame, universe: DataFrame, start: date | None = None) -> DataFrame:
+    """(date, symbol, eligible): membership by the latest snapshot on or before each date; the whole snapshot counts.
+
+    With `start`, the first day of a run, a universe whose first snapshot is later raises, instead of leaving the run without members until then.
+    """
+    if start is not None:
+        first = universe.agg(F.min("snapshot_date")).first()[0]
+        if first is None or first > start:
+            raise ValueError(f"the universe starts on {first}, after the run's first day {start}")
     stamps = universe.select(F.col("snapshot_date")).distinct()
     line = dates.select("date", F.lit(None).cast("date").alias("snap")).union(stamps.select(F.col("snapshot_date").alias("date"), F.col("snapshot_date").alias("snap")))
     asof = line.withColumn("snapshot_date", F.max("snap").over(Window.orderBy("date").rangeBetween(Window.unboundedPreceding, 0)))  # one row for each date

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -24,36 +23,58 @@ def base_features(panel: DataFrame, returns: Sequence[int] = (5, 10, 21, 63), ba
     return df.drop("__size", "__abs", "__sign", "__step")
 
 
-def _over_symbols(panel: DataFrame, columns: Sequence[str], fill: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Adds columns that follow a recursion over a symbol's rows in date order (a row for each session, so that a group is small)."""
-    kept = [f for f in panel.schema.fields if f.name not in columns]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` double" for c in columns)])
-    names = [f.name for f in kept]
-    return panel.select(*names).groupBy("symbol").applyInPandas(lambda pdf: fill(pdf.sort_values("date"))[[*names, *columns]], schema)
+def recursive_means(panel: DataFrame, means: Mapping[str, tuple[str, float]], block: int = 64) -> DataFrame:
+    """`panel` with recursive means y += a * (x - y) over each symbol's dates, by name: (column, a).
 
+    The first value starts a mean; missing values keep it and lower its weight against the next value, by 1 - a for each row.
+    A row's step is y -> c y + d. Within a block of rows, steps combine by running products and sums; blocks are chained by one
+    array for each symbol with two numbers a block. Null before the first value.
+    """
+    order = by_symbol()
+    df = panel.withColumn("__i", F.row_number().over(order) - 1)
+    df = df.withColumn("__block", F.floor(F.col("__i") / block))
+    seen = {name: F.last(F.when(F.col(x).isNotNull(), F.col("__i")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)) for name, (x, _) in means.items()}
+    df = df.withColumns({f"__at_{name}": c for name, c in seen.items()})
+    steps = {}
+    for name, (x, a) in means.items():
+        there, first = F.col(x).isNotNull(), F.col(f"__at_{name}").isNull()
+        old = F.pow(F.lit(1 - a), F.col("__i") - F.col(f"__at_{name}"))
+        steps[f"__c_{name}"] = F.when(there & ~first, old / (old + a)).otherwise(1.0)
+        steps[f"__d_{name}"] = F.when(there, F.when(first, F.col(x)).otherwise(a * F.col(x) / (old + a))).otherwise(0.0)
+    inside = Window.partitionBy("symbol", "__block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns(steps).withColumns({f"__p_{name}": F.product(F.col(f"__c_{name}")).over(inside) for name in means})
+    df = df.withColumns({f"__s_{name}": F.col(f"__p_{name}") * F.sum(F.col(f"__d_{name}") / F.col(f"__p_{name}")).over(inside) for name in means})
+    ends = df.groupBy("symbol", "__block").agg(*[F.max_by(f"__{k}_{name}", "date").alias(f"__{k}_{name}") for name in means for k in "ps"])
+    chain = ends.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("__block", *[f"__{k}_{name}" for name in means for k in "ps"]))).alias("__chain"))
+    fields = ", ".join(["__block: bigint", *[f"__y_{name}: double" for name in means]])
+
+    def follow(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        return F.concat(done, F.array(F.struct((x["__block"] + 1).alias("__block"), *[(x[f"__p_{name}"] * last[f"__y_{name}"] + x[f"__s_{name}"]).alias(f"__y_{name}") for name in means])))
 
-def wilder_rsi(panel: DataFrame, n: int = 14) -> DataFrame:
-    """`panel` with `rsi`: exponentially weighted gains and losses with 1 / n, from the n-th change on."""
+    start = F.array(F.struct(F.lit(0).cast("long").alias("__block"), *[F.lit(0.0).alias(f"__y_{name}") for name in means])).cast(f"array<struct<{fields}>>")
+    carried = chain.select("symbol", F.inline(F.aggregate("__chain", start, follow)))
+    whole = df.join(carried, ["symbol", "__block"])
+    known = {name: F.col(f"__at_{name}").isNotNull() | F.col(x).isNotNull() for name, (x, _) in means.items()}
+    return whole.select(*[c for c in panel.columns if c not in means], *[F.when(known[name], F.col(f"__s_{name}") + F.col(f"__p_{name}") * F.col(f"__y_{name}")).alias(name) for name in means])
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        step = pdf["close"].astype(float).diff()
-        gain, loss = (x.ewm(alpha=1 / n, min_periods=n, adjust=False).mean() for x in (step.clip(lower=0), -step.clip(upper=0)))
-        rsi = (100 - 100 / (1 + gain / loss.where(loss != 0))).where(loss != 0, 100.0)
-        return pdf.assign(rsi=rsi.where(step.notna() & gain.notna()))
 
-    return _over_symbols(panel, ["rsi"], fill)
+def wilder_rsi(panel: DataFrame, n: int = 14) -> DataFrame:
+    """`panel` with `rsi`: exponentially weighted gains and losses with 1 / n, from the n-th change on; 100 without losses."""
+    step = F.col("close") - F.lag("close").over(by_symbol())
+    df = panel.drop("rsi").withColumn("__step", step).withColumns({"__gain": F.greatest(F.col("__step"), F.lit(0.0)), "__loss": F.greatest(-F.col("__step"), F.lit(0.0))})
+    df = df.withColumns({c: F.when(F.col("__step").isNotNull(), F.col(c)) for c in ("__gain", "__loss")}).withColumn("__n", F.count("__step").over(by_symbol()))
+    df = recursive_means(df, {"__g": ("__gain", 1 / n), "__l": ("__loss", 1 / n)})
+    rsi = F.when(F.col("__l") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("__g", "__l")))
+    return df.withColumn("rsi", F.when(F.col("__step").isNotNull() & (F.col("__n") >= n), rsi)).drop("__step", "__gain", "__loss", "__n", "__g", "__l")
 
 
 def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """`panel` with macd, macd_signal and macd_histogram from exponentially weighted means of the close."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean = lambda x, span: x.ewm(span=span, adjust=False).mean()
-        close = pdf["close"].astype(float)
-        line = mean(close, fast) - mean(close, slow)
-        return pdf.assign(macd=line, macd_signal=mean(line, signal), macd_histogram=line - mean(line, signal))
-
-    return _over_symbols(panel, ["macd", "macd_signal", "macd_histogram"], fill)
+    names = ("macd", "macd_signal", "macd_histogram")
+    df = recursive_means(panel.drop(*names), {"__fast": ("close", 2 / (fast + 1)), "__slow": ("close", 2 / (slow + 1))})
+    df = recursive_means(df.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow"), {"macd_signal": ("macd", 2 / (signal + 1))})
+    return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
 def feature_table(df: DataFrame, names: Sequence[str], eligible: str | None = None) -> DataFrame:

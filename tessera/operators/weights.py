@@ -184,12 +184,13 @@ def sector_weights(book: DataFrame, cap: float) -> DataFrame:
 def moments(returns: DataFrame, books: DataFrame, window: int) -> DataFrame:
     """(book_date, date, symbol, ret, age): the last `window` sessions' returns of each book's names; age 0 is the newest.
 
-    Sessions are numbered once, so that a book finds its window by an equi-range on numbers of a small table.
+    Sessions are numbered once; a book's window is a row for each number, which meets the sessions by equality.
     """
     sessions = returns.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")))  # a row for each session
     at = books.select(F.col("date").alias("book_date"), "symbol")
-    marks = sessions.select(F.col("date").alias("book_date"), F.col("i").alias("at"))
-    span = marks.join(books.select(F.col("date").alias("book_date")).distinct(), "book_date").join(sessions, (F.col("i") <= F.col("at")) & (F.col("i") > F.col("at") - window)).select("book_date", "date", (F.col("at") - F.col("i")).alias("age"))
+    marks = sessions.join(books.select("date").distinct(), "date").select(F.col("date").alias("book_date"), F.col("i").alias("at"))
+    numbers = marks.select("book_date", "at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - window + 1), F.col("at"))).alias("i"))
+    span = numbers.join(sessions, "i").select("book_date", "date", (F.col("at") - F.col("i")).alias("age"))
     return at.join(span, "book_date").join(returns.select("symbol", "date", "ret"), ["symbol", "date"], "left")
 
 
@@ -205,7 +206,7 @@ def _complete(samples: DataFrame) -> DataFrame:
 def covariance(samples: DataFrame, method: str = "sample", decay: float = 0.06) -> DataFrame:
     """(date, a, b, cov) of each book from the rows of moments().
 
-    sample: pairwise; shrunk: complete sessions, shrunk to the mean variance by the Ledoit-Wolf intensity; ewm: decaying weights, bias corrected.
+    sample: pairwise; shrunk: complete sessions, shrunk to the mean variance by the Ledoit-Wolf intensity (with fewer than two sessions the variances alone); ewm: decaying weights, bias corrected.
     """
     df = samples
     if method != "sample":
@@ -228,7 +229,12 @@ def covariance(samples: DataFrame, method: str = "sample", decay: float = 0.06)
     delta = F.sum(F.pow(F.col("s") - goal, 2)).over(day) / F.col("n")
     phi = F.sum(F.col("q") - F.col("s") * F.col("s")).over(day) / F.col("n")
     k = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(phi, delta * F.col("t")), F.lit(1.0))))
-    return s.withColumn("k", k).select("date", "a", "b", (F.col("k") * goal + (1 - F.col("k")) * F.col("s")).alias("cov"))
+    shrunk = s.withColumn("k", k).where("t >= 2").select("date", "a", "b", (F.col("k") * goal + (1 - F.col("k")) * F.col("s")).alias("cov"))
+    # Books with fewer than two such sessions: each name's own variance, 0 where it has none.
+    enough = df.groupBy("book_date").agg(F.count_distinct("date").alias("__t")).where("__t >= 2").select("book_date")
+    own = samples.join(enough, "book_date", "left_anti").groupBy("book_date", "symbol").agg(F.coalesce(F.var_pop("ret"), F.lit(0.0)).alias("v"))
+    both = own.select("book_date", F.col("symbol").alias("a"), "v").join(own.select("book_date", F.col("symbol").alias("b")), "book_date")
+    return shrunk.unionByName(both.select(F.col("book_date").alias("date"), "a", "b", F.when(F.col("a") == F.col("b"), F.col("v")).otherwise(0.0).alias("cov")))
 
 
 def book_returns(samples: DataFrame, books: DataFrame) -> DataFrame:

@@ -86,6 +86,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_matrix_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 23 base features with ranks and missing flags."""
     slow = fe.macd(fe.wilder_rsi(bars(spark, sf_dir).select("symbol", "date", "close"), 6), 3, 6, 4).drop("close")
+    slow = rounded(slow, *OSCILLATORS, digits=5)
     return _matrix(_base_features(spark, sf_dir).join(slow, ["symbol", "date"]), [*ROLLING, *FACTOR_FEATURES, *OSCILLATORS])
 
 
@@ -162,9 +163,45 @@ _FWD = lambda h: f"CASE WHEN count(ret) OVER (PARTITION BY symbol ORDER BY date
 _PCT = lambda x, keys="date": f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {keys}, {x} IS NULL ORDER BY {x}) + (count({x}) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {keys}) END"
 _BASE = f"WITH {sql_bars()}, {sql_factors(WEEKLY)}, df AS (SELECT symbol, sector, date, close, ret, {', '.join(f'round({c}, 6) AS {c}' for c in NAMES)}, {_FWD(4)} AS fwd FROM fac)"
 _RK = f"both_ AS (SELECT date, momentum AS f, fwd AS r FROM df WHERE momentum IS NOT NULL AND fwd IS NOT NULL), rk AS (SELECT date, f, r, {_PCT('f')} AS pf, {_PCT('r')} AS pr FROM both_), ics AS (SELECT date, CASE WHEN count(*) >= 10 THEN corr(pf, pr) END AS ic, CASE WHEN count(*) >= 10 THEN corr(f, r) END AS pic FROM rk GROUP BY date)"
-_SUM = "CASE WHEN count(ic) >= 20 THEN round(avg(ic), 4) END AS mean_ic, CASE WHEN count(ic) >= 20 THEN round(stddev_samp(ic), 4) END AS std_ic, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / stddev_samp(ic), 4) END AS icir, CASE WHEN count(ic) >= 20 THEN round(avg((ic > 0)::INT), 4) END AS hit_rate, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 2) END AS t_stat, count(ic) AS n"
+_SUM = "CASE WHEN count(ic) >= 20 THEN round(avg(ic), 4) END AS mean_ic, CASE WHEN count(ic) >= 20 THEN round(stddev_samp(ic), 4) END AS std_ic, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / stddev_samp(ic), 4) END AS icir, CASE WHEN count(ic) >= 20 THEN round(avg((round(ic, 12) > 0)::INT), 4) END AS hit_rate, CASE WHEN count(ic) >= 20 THEN round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 2) END AS t_stat, count(ic) AS n"
 _EDGES = "e AS (SELECT date, quantile_cont(f, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM both_ GROUP BY date HAVING count(*) >= 10 AND len(list_distinct(quantile_cont(f, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) = 6)"
 _LONGF = " UNION ALL ".join(f"SELECT symbol, date, '{c}' AS name, {c} AS v FROM s" for c in NAMES)
+
+
+def _determinant(cells: list[list[str]]) -> str:
+    """The determinant of a matrix of SQL expressions, by cofactors."""
+    if len(cells) == 1:
+        return cells[0][0]
+    terms = [f"{'-' if j % 2 else '+'} {x} * ({_determinant([[*row[:j], *row[j + 1 :]] for row in cells[1:]])})" for j, x in enumerate(cells[0])]
+    return " ".join(terms)
+
+
+def _collinearity() -> str:
+    k = range(len(NAMES))
+    pairs = ", ".join(f"corr({NAMES[i]}, {NAMES[j]}) AS r{i}{j}" for i in k for j in k if i < j)
+    cells = [[("1" if i == j else f"r{min(i, j)}{max(i, j)}") for j in k] for i in k]
+    minors = [_determinant([[cells[i][j] for j in k if j != t] for i in k if i != t]) for t in k]
+    rows = " UNION ALL ".join(f"SELECT date, '{f}' AS factor, round(({m}) / ({_determinant(cells)}), 2) AS vif FROM m" for f, m in zip(NAMES, minors, strict=True))
+    return f"m AS (SELECT date, {pairs} FROM df WHERE {' AND '.join(f'{f} IS NOT NULL' for f in NAMES)} GROUP BY date HAVING count(*) >= {len(NAMES) + 2}) {rows}"
+
+
+def _mean(y: str, gap: str, x: str, a: float) -> str:
+    """The next value of a recursive mean y, `gap` rows after its last value."""
+    return f"CASE WHEN {x} IS NULL THEN {y} WHEN {y} IS NULL THEN {x} ELSE (({1 - a!r}::DOUBLE ** ({gap} + 1)) * {y} + {a!r}::DOUBLE * {x}) / (({1 - a!r}::DOUBLE ** ({gap} + 1)) + {a!r}::DOUBLE) END"
+
+
+def _oscillators(n: int = 6, fast: int = 3, slow: int = 6, signal: int = 4) -> str:
+    """CTEs up to `osc`: RSI and MACD by recursion over each symbol's rows."""
+    aw, af, al, as_ = 1 / n, 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
+    fa_, sl = _mean("f", "gc", "x.close", af), _mean("s", "gc", "x.close", al)
+    return f"""x AS (SELECT symbol, date, close, close - lag(close) OVER w AS d, count(close) OVER w AS nc, row_number() OVER w AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+xd AS (SELECT *, count(d) OVER (PARTITION BY symbol ORDER BY k) AS nd, CASE WHEN d > 0 THEN d WHEN d IS NOT NULL THEN 0 END AS up, CASE WHEN d < 0 THEN -d WHEN d IS NOT NULL THEN 0 END AS dn FROM x),
+rec AS (SELECT symbol, date, k, d, nd, up AS g, dn AS l, 0 AS gd, close AS f, close AS s, 0 AS gc, (close - close)::DOUBLE AS m FROM xd WHERE k = 1
+  UNION ALL SELECT symbol, date, k, d, nd, g, l, gd, f, s, gc, {_mean("m", "0", "(f - s)", as_)} FROM (
+    SELECT x.symbol, x.date, x.k, x.d, x.nd, {_mean("g", "gd", "x.up", aw)} AS g, {_mean("l", "gd", "x.dn", aw)} AS l, CASE WHEN x.d IS NULL THEN gd + 1 ELSE 0 END AS gd, {fa_} AS f, {sl} AS s, CASE WHEN x.close IS NULL THEN gc + 1 ELSE 0 END AS gc, m FROM rec JOIN xd x ON x.symbol = rec.symbol AND x.k = rec.k + 1)),
+osc AS (SELECT symbol, date, CASE WHEN d IS NOT NULL AND nd >= {n} THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS rsi, f - s AS macd, m AS macd_signal, f - s - m AS macd_histogram FROM rec)"""
+
+
 _FEAT = f"""x AS (SELECT symbol, date, close, ret, close - lag(close) OVER w AS d, {', '.join(f'close / lag(close, {n}) OVER w - 1 AS ret_{n}' for n in WINDOWS)} FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 y AS (SELECT *, abs(d) AS ad, abs(ret) AS ar, sign(ret) AS sg FROM x),
 feat AS (SELECT symbol, date, {', '.join(f'round(ret_{n}, 5) AS ret_{n}, round(({sql_full("ret", n, "stddev_samp")}) * sqrt(252), 5) AS vol_{n}' for n in WINDOWS)},
@@ -183,6 +220,9 @@ ORACLE_SQL = {
     "rank_turnover": f"{_BASE}, p AS (SELECT symbol, date, {_PCT('momentum')} AS p FROM df), d AS (SELECT date, abs(p - lag(p) OVER (PARTITION BY symbol ORDER BY date)) AS d FROM p) SELECT date, round(avg(d), 6) AS turnover FROM d GROUP BY date",
     "correlation_of_factors": f"{_BASE}, ds AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM df)) WHERE k % 8 = 0), s AS (SELECT * FROM df WHERE date IN (SELECT date FROM ds) AND momentum IS NOT NULL), l AS ({_LONGF}), p AS (SELECT symbol, date, name, {_PCT('v', 'date, name')} AS p FROM l), c AS (SELECT x.name AS a, y.name AS b, x.date, CASE WHEN stddev_pop(x.p) > 0 AND stddev_pop(y.p) > 0 THEN corr(x.p, y.p) END AS c FROM p x JOIN p y USING (symbol, date) GROUP BY 1, 2, 3 HAVING count(*) >= 10) SELECT a, b, round(avg(coalesce(c, 0)), 3) AS corr FROM c GROUP BY 1, 2",
     "feature_base": f"WITH {sql_bars()}, {_FEAT} SELECT * FROM feat",
+    "collinearity": f"{_BASE}, {_collinearity()}",
+    "feature_oscillators": f"WITH RECURSIVE {sql_bars('month')}, {_oscillators()} SELECT symbol, date, {', '.join(f'round({c}, 5) AS {c}' for c in OSCILLATORS)} FROM osc",
+    "feature_matrix_full": f"WITH RECURSIVE {sql_bars()}, {sql_factors(WEEKLY)}, {_oscillators()}, feat0 AS (WITH {_FEAT} SELECT * FROM feat), fx AS (SELECT feat0.*, {', '.join(f'round(fac.{c}, 5) AS {c}' for c in FACTOR_FEATURES)}, {', '.join(f'round(osc.{c}, 5) AS {c}' for c in OSCILLATORS)} FROM feat0 JOIN fac USING (symbol, date) JOIN osc USING (symbol, date)) SELECT symbol, date, {', '.join(f'coalesce({c}, 0) AS {c}, round(coalesce({_PCT(c)}, 0), 6) AS {c}_rank, ({c} IS NULL)::INT AS {c}_missing, ({c} IS NULL)::INT AS {c}_rank_missing' for c in [*ROLLING, *FACTOR_FEATURES, *OSCILLATORS])} FROM fx",
     "feature_matrix": f"WITH {sql_bars()}, {sql_factors(WEEKLY)}, {_FEAT}, fx AS (SELECT feat.*, {', '.join(f'round(fac.{c}, 5) AS {c}' for c in FACTOR_FEATURES)} FROM feat JOIN fac USING (symbol, date)) SELECT symbol, date, {', '.join(f'coalesce({c}, 0) AS {c}, round(coalesce({_PCT(c)}, 0), 6) AS {c}_rank, ({c} IS NULL)::INT AS {c}_missing, ({c} IS NULL)::INT AS {c}_rank_missing' for c in [*ROLLING, *FACTOR_FEATURES])} FROM fx",
     "cross_sectional_target": f"WITH {sql_bars('month')}, v AS (SELECT * FROM (VALUES {_EV}) v(symbol, date, e)), r1 AS (SELECT symbol, date, ret, e, count(e) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS gone FROM rets LEFT JOIN v USING (symbol, date)), r2 AS (SELECT symbol, date, CASE WHEN gone THEN 0 ELSE coalesce(e, ret) END AS r FROM r1), r3 AS (SELECT symbol, date, round((1 + lead(r, 1) OVER w) * (1 + lead(r, 2) OVER w) * (1 + lead(r, 3) OVER w) - 1, 6) AS fwd_ret FROM r2 WINDOW w AS (PARTITION BY symbol ORDER BY date)), r4 AS (SELECT *, {_PCT('fwd_ret')} AS label FROM r3) SELECT symbol, date, fwd_ret, round(label, 6) AS label, least(floor(label * 10), 9)::BIGINT AS grade FROM r4",
     "purged_folds": f"WITH {sql_bars()}, {_SES} SELECT * FROM folds",

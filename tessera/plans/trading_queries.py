@@ -98,9 +98,17 @@ def trading_day_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ex.daily_totals(_notionals(spark, sf_dir)), "value", digits=2)
 
 
+#: Events as attempts at stop orders: the state that an order was left in.
+STATUS = {"error": "unknown", "purchase": "submitted", "click": "partial_fill_open", "view": "filled", "signup": "rejected"}
+
+
+def _attempts(events: DataFrame) -> DataFrame:
+    status = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in STATUS.items()])
+    return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("symbol"), "ts", status.alias("status"))
+
+
 def retry_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = src.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("symbol"), "ts")
-    return ex.cooled_down(rows, 3600).select("id", "allowed")
+    return ex.cooled_down(_attempts(src.read(spark, sf_dir, "events")), 3600).select("id", "allowed")
 
 
 def account_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +185,14 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts that pass a cooldown of an hour for their symbol, from keyed state."""
-    return _stream(spark, sf_dir, lambda s: rules.first_attempts(s.select("ts", F.col("user_id").alias("symbol")), 3600, late="60 days"), mode="append")
+    return _stream(spark, sf_dir, lambda s: rules.first_attempts(_attempts(s), 3600, late="60 days"), mode="append")
+
+
+def stream_order_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day totals from what each event adds to its order, from keyed state."""
+    notionals = lambda s: s.select("ts", F.col("user_id").alias("order_id"), F.round("value", 2).alias("notional"))
+    added = _stream(spark, sf_dir, lambda s: rules.order_increases(notionals(s), late="60 days"), mode="append")
+    return rounded(added.groupBy("day").agg(F.count_distinct("order_id").alias("orders"), F.sum("increase").alias("value")), "value", digits=2)
 
 
 def weights_current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +212,15 @@ def rebalance_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ex.with_equity(dates, history, F.lit(123.0)), "equity", digits=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (orders_rebalance, orders_checked, positions_drift, drift_summary, orders_sliced, fill_slippage, rebalance_completion, position_profit, fills_by_day, fills_assigned, trading_day_totals, retry_cooldown, account_history, splits_unresolved, splits_corrected, split_credits, split_equity, order_intents, stream_day_totals, stream_loss_flags, stream_order_totals, stream_bars, stream_cooldown, weights_current, account_equity, rebalance_equity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (orders_rebalance, orders_checked, positions_drift, drift_summary, orders_sliced, fill_slippage, rebalance_completion, position_profit, fills_by_day, fills_assigned, trading_day_totals, retry_cooldown, account_history, splits_unresolved, splits_corrected, split_credits, split_equity, order_intents, stream_day_totals, stream_loss_flags, stream_order_totals, stream_bars, stream_cooldown, stream_order_increases, weights_current, account_equity, rebalance_equity)}
 
 _FILLS = "WITH fills AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey::VARCHAR AS symbol, l_shipdate AS ts, l_shipdate::DATE AS day, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity, round(l_extendedprice / l_quantity + 1e-9, 4) AS price, l_discount, l_tax FROM lineitem)"
 _POS = f"{_FILLS}, pos AS (SELECT symbol, sum(quantity) AS held, round(sum(quantity * price) / sum(quantity), 2) AS entry, max_by(price, (ts, id)) AS price, min(day) AS entry_date FROM fills WHERE side = 'buy' GROUP BY 1), tg AS (SELECT symbol, round(sum(quantity) / sum(sum(quantity)) OVER (), 8) AS weight FROM fills WHERE side = 'sell' GROUP BY 1)"
 _DRIFT = f"{_POS}, dr AS (SELECT symbol, coalesce(weight, 0) AS target, coalesce(held * price / 2e9, 0) AS actual, coalesce(held * price / 2e9, 0) - coalesce(weight, 0) AS drift FROM tg FULL JOIN pos USING (symbol)), d6 AS (SELECT symbol::BIGINT % 10 AS account, row_number() OVER (PARTITION BY symbol::BIGINT % 10 ORDER BY abs(drift) DESC, symbol)::INT AS place, symbol, target, round(actual, 6) AS actual, round(drift, 6) AS drift, CASE WHEN abs(drift) >= 0.002 THEN 'alert' WHEN abs(drift) >= 0.001 THEN 'warn' ELSE 'ok' END AS level FROM dr)"
 _NY = "timezone('America/New_York', timezone('UTC', {}))::DATE"
+_DAY_TOTALS = f"SELECT day, count(*) AS orders, round(sum(greatest(v, 0)), 2) AS value FROM (SELECT {_NY.format('ts')} AS day, user_id, max(round(value, 2)) AS v FROM events GROUP BY 1, 2) GROUP BY 1"
+_STATES = " ".join(f"WHEN event_type = '{k}' THEN {v in ex.UNCERTAIN}" for k, v in STATUS.items())
+_COOL = f"WITH RECURSIVE ca AS (SELECT event_id AS id, user_id, ts, epoch_us(ts) AS us, CASE {_STATES} ELSE false END AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), cf AS (SELECT id, user_id, ts, k, us AS last, u AS held, true AS allowed FROM ca WHERE k = 1 UNION ALL SELECT id, user_id, ts, k, CASE WHEN ok THEN us ELSE last END, CASE WHEN ok THEN u ELSE held END, ok FROM (SELECT ca.*, last, held, NOT held OR us - last >= 3600000000 AS ok FROM cf JOIN ca ON ca.user_id = cf.user_id AND ca.k = cf.k + 1))"
 ORACLE_SQL = {
     "orders_rebalance": f"{_POS}, o AS (SELECT symbol, (floor(coalesce(weight, 0) * 5e7 / price) - held)::BIGINT AS n, price FROM pos LEFT JOIN tg USING (symbol) WHERE price > 0) SELECT symbol::BIGINT % 10 AS account, symbol, CASE WHEN n > 0 THEN 'buy' ELSE 'sell' END AS side, abs(n) AS quantity, round(price * CASE WHEN n > 0 THEN 1.001 ELSE 0.999 END, 3) AS limit_price, row_number() OVER (PARTITION BY symbol::BIGINT % 10 ORDER BY n > 0, symbol)::INT AS place FROM o WHERE n <> 0",
     "orders_checked": f"{_POS}, adv AS (SELECT symbol, sum(quantity) AS adv FROM fills GROUP BY 1), f AS (SELECT fills.*, coalesce(held, 0) AS held, adv, coalesce(sum(quantity * fills.price) OVER (PARTITION BY day ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled FROM fills LEFT JOIN pos USING (symbol) JOIN adv USING (symbol)) SELECT id, CASE WHEN quantity <= 0 THEN 'bad_number' WHEN price <= 0 THEN 'price' WHEN price < 950 THEN 'min_price' WHEN quantity * price > 90000 THEN 'order_value' WHEN quantity > 45 THEN 'order_shares' WHEN filled + quantity * price > 300000 THEN 'daily_value' WHEN NOT (side = 'sell' AND held > 0) AND (held + CASE WHEN side = 'buy' THEN quantity ELSE -quantity END) * price / 2e7 > 0.1 THEN 'concentration' WHEN adv <= 0 THEN 'adv_invalid' WHEN quantity / adv > 0.02 THEN 'adv_share' END AS reason FROM f",
@@ -214,8 +232,10 @@ ORACLE_SQL = {
     "position_profit": f"{_POS}, c AS (SELECT *, CASE WHEN coalesce(symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND entry / price > 2.9 / 3, false) THEN 2.9 ELSE 1 END AS r FROM pos), k AS (SELECT symbol, price, held * r AS held, entry / r AS entry FROM c) SELECT symbol, round(held * price, 3) AS value, round(held * price - held * entry, 3) AS profit, round((held * price - held * entry) / (held * entry) * 100, 3) AS percent FROM k",
     "fills_by_day": f"{_FILLS} SELECT {_NY.format('ts')} AS day, count(*)::INT AS n, sum(quantity) AS filled FROM fills WHERE quantity > 5 GROUP BY 1",
     "fills_assigned": "SELECT id, rebalance FROM (SELECT event_id AS id, event_id % 7 = 0 AS s, last_value(CASE WHEN event_id % 7 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rebalance FROM events) WHERE NOT s",
-    "trading_day_totals": f"SELECT day, count(*) AS orders, round(sum(greatest(v, 0)), 2) AS value FROM (SELECT {_NY.format('ts')} AS day, user_id, max(round(value, 2)) AS v FROM events GROUP BY 1, 2) GROUP BY 1",
-    "retry_cooldown": "SELECT event_id AS id, coalesce(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) >= 3600, true) AS allowed FROM events",
+    "trading_day_totals": _DAY_TOTALS,
+    "retry_cooldown": f"{_COOL} SELECT id, allowed FROM cf",
+    "stream_cooldown": f"{_COOL} SELECT user_id AS symbol, ts::TIMESTAMP AS ts, id FROM cf WHERE allowed",
+    "stream_order_increases": _DAY_TOTALS,
     "account_history": f"SELECT day, round(e, 2) AS equity, round(e - lag(e) OVER (ORDER BY day), 2) AS profit FROM (SELECT {_NY.format('ts')} AS day, sum(value) AS e FROM events GROUP BY 1)",
     "splits_unresolved": f"{_POS} SELECT symbol, entry, price FROM pos WHERE symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND (NOT coalesce(entry > 0 AND price > 0, false) OR entry / price > 2.9 / 3)",
     "splits_corrected": f"{_POS}, c AS (SELECT *, coalesce(symbol::BIGINT % 5 = 0 AND entry_date < DATE '1997-01-01' AND entry / price > 2.9 / 3, false) AS corrected FROM pos) SELECT symbol, round(CASE WHEN corrected THEN held * 2.9 ELSE held END, 3) AS held, round(CASE WHEN corrected THEN entry / 2.9 ELSE entry END, 3) AS entry, corrected FROM c",

@@ -276,7 +276,7 @@ _PLAIN = f"{_TOP}, gross AS (SELECT DISTINCT date, 1.0 AS gross FROM top), {_BYS
 _SAMPLES = "r6 AS (SELECT symbol, date, round(ret, 6) AS ret FROM rets), ses AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM r6)), span AS (SELECT m.date AS book_date, s.date, m.i - s.i AS age FROM (SELECT * FROM ses WHERE date IN (SELECT date FROM bk)) m JOIN ses s ON s.i <= m.i AND s.i > m.i - 26), samp AS (SELECT book_date, span.date, bk.symbol, r6.ret, age FROM span JOIN bk ON bk.date = book_date LEFT JOIN r6 ON r6.symbol = bk.symbol AND r6.date = span.date)"
 _SAMP = f"{_BOOK}, bk AS (SELECT * FROM book), {_SAMPLES}"
 _WHOLE = "sess AS (SELECT book_date, date, count(ret) = count(*) AS full_, count(ret) > 0 AS some_ FROM samp GROUP BY 1, 2), nb AS (SELECT book_date, count(*) FILTER (WHERE full_) AS k FROM sess GROUP BY 1), mn AS (SELECT book_date, symbol, coalesce(avg(ret), 0) AS mu FROM samp GROUP BY 1, 2), whole AS (SELECT s.book_date, s.date, s.symbol, CASE WHEN k < 2 THEN coalesce(ret, mu) ELSE ret END AS ret, age FROM samp s JOIN sess USING (book_date, date) JOIN nb USING (book_date) JOIN mn USING (book_date, symbol) WHERE full_ OR (k < 2 AND some_)), pr AS (SELECT x.book_date AS date, x.symbol AS a, y.symbol AS b, x.ret AS x, y.ret AS y, x.age FROM whole x JOIN whole y ON x.book_date = y.book_date AND x.date = y.date)"
-_SHRUNK = "c AS (SELECT date, a, b, x - avg(x) OVER v AS x, y - avg(y) OVER v AS y FROM pr WINDOW v AS (PARTITION BY date, a, b)), s AS (SELECT date, a, b, count(*) AS t, avg(x * y) AS s, avg((x * y) ** 2) AS q FROM c GROUP BY 1, 2, 3), m AS (SELECT *, sqrt(count(*) OVER (PARTITION BY date)) AS n, sum(CASE WHEN a = b THEN s END) OVER (PARTITION BY date) / sqrt(count(*) OVER (PARTITION BY date)) AS mu FROM s), g AS (SELECT *, CASE WHEN a = b THEN mu ELSE 0 END AS goal FROM m), d AS (SELECT *, sum((s - goal) ** 2) OVER (PARTITION BY date) / n AS delta, sum(q - s * s) OVER (PARTITION BY date) / n AS phi FROM g), k AS (SELECT *, greatest(0, least(1, coalesce(phi / nullif(delta * t, 0), 1))) AS k FROM d), shr AS (SELECT date, a, b, k * goal + (1 - k) * s AS cov FROM k)"
+_SHRUNK = "c AS (SELECT date, a, b, x - avg(x) OVER v AS x, y - avg(y) OVER v AS y FROM pr WINDOW v AS (PARTITION BY date, a, b)), s AS (SELECT date, a, b, count(*) AS t, avg(x * y) AS s, avg((x * y) ** 2) AS q FROM c GROUP BY 1, 2, 3), m AS (SELECT *, sqrt(count(*) OVER (PARTITION BY date)) AS n, sum(CASE WHEN a = b THEN s END) OVER (PARTITION BY date) / sqrt(count(*) OVER (PARTITION BY date)) AS mu FROM s), g AS (SELECT *, CASE WHEN a = b THEN mu ELSE 0 END AS goal FROM m), d AS (SELECT *, sum((s - goal) ** 2) OVER (PARTITION BY date) / n AS delta, sum(q - s * s) OVER (PARTITION BY date) / n AS phi FROM g), k AS (SELECT *, greatest(0, least(1, coalesce(phi / nullif(delta * t, 0), 1))) AS k FROM d), shr AS (SELECT date, a, b, k * goal + (1 - k) * s AS cov FROM k WHERE t >= 2 UNION ALL SELECT x.book_date, x.symbol, y.symbol, CASE WHEN x.symbol = y.symbol THEN x.v ELSE 0 END FROM (SELECT book_date, symbol, coalesce(var_pop(ret), 0) AS v FROM samp GROUP BY 1, 2) x JOIN (SELECT DISTINCT book_date, symbol FROM samp) y ON x.book_date = y.book_date WHERE x.book_date NOT IN (SELECT book_date FROM whole GROUP BY 1 HAVING count(DISTINCT date) >= 2))"
 _COV = "cov AS (SELECT x.book_date AS date, x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) AS cov FROM samp x JOIN samp y ON x.book_date = y.book_date AND x.date = y.date WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2, 3)"
 _CURVE = "bench AS (SELECT date_trunc('week', l_shipdate)::DATE AS date, round(sum(l_extendedprice) / sum(l_quantity) + 1e-9, 6) AS bench FROM lineitem GROUP BY 1), curve AS (SELECT symbol AS run, f.date, equity, bench FROM (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS equity FROM bars) f JOIN bench USING (date) WHERE equity IS NOT NULL)"
 

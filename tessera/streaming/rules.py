@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.execution import UNCERTAIN
+
 #: Trading days start at midnight in New York; a stream keyed by that date survives changes of the clock.
 NEW_YORK = "America/New_York"
 
@@ -51,23 +53,52 @@ def bars(ticks: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFr
 
 
 def first_attempts(attempts: DataFrame, seconds: int = 300, late: str = "1 hour") -> DataFrame:
-    """(symbol, ts): attempts at stop orders that pass the cooldown, at least `seconds` after the symbol's last that passed.
+    """(symbol, ts, id): attempts (symbol, ts, status, id) at stop orders that are allowed, as in operators.execution.cooled_down.
 
-    The state of a symbol is its last passed attempt. Attempts older than that, which came late, do not pass. Append mode only.
+    The state of a symbol is its last allowed attempt and whether its order may still be open. Attempts older than that, which came late, are not allowed. Append mode only.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, is_open = state.get if state.exists else (None, False)
         passed = []
-        for at in sorted(x for b in batches for x in b["us"].tolist()):
-            if last is None or at - last >= seconds * 1_000_000:
-                passed.append(at)
-                last = at
+        for at, i, uncertain in sorted(x for b in batches for x in zip(b["us"].tolist(), b["id"].tolist(), b["open"].tolist(), strict=True)):
+            if last is None or (at >= last and (not is_open or at - last >= seconds * 1_000_000)):
+                passed.append((at, i))
+                last, is_open = at, uncertain
         if passed:
-            state.update((last,))
-        yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(passed), dtype=object), "us": pd.Series(passed, dtype="int64")})
+            state.update((last, is_open))
+        yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(passed), dtype=object), "us": pd.Series([x for x, _ in passed], dtype="int64"), "id": pd.Series([i for _, i in passed], dtype="int64")})
 
     rows = _timed(attempts, late).where("symbol IS NOT NULL AND ts IS NOT NULL")
-    kept = rows.select(F.col("symbol").cast("string").alias("symbol"), F.unix_micros("ts").alias("us"))
-    out = kept.groupBy("symbol").applyInPandasWithState(run, "symbol string, us long", "last long", "append", GroupStateTimeout.NoTimeout)
-    return out.select(F.col("symbol").cast(attempts.schema["symbol"].dataType).alias("symbol"), F.timestamp_micros("us").alias("ts"))
+    uncertain = F.coalesce(F.col("status").isin(*UNCERTAIN), F.lit(False))
+    kept = rows.select(F.col("symbol").cast("string").alias("symbol"), F.unix_micros("ts").alias("us"), F.col("id").cast("long").alias("id"), uncertain.alias("open"))
+    out = kept.groupBy("symbol").applyInPandasWithState(run, "symbol string, us long, id long", "last long, open boolean", "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.col("symbol").cast(attempts.schema["symbol"].dataType).alias("symbol"), F.timestamp_micros("us").alias("ts"), "id")
+
+
+def order_increases(fills: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(day, order_id, increase): by how much each fill (ts, order_id, notional), whose notional is cumulative, raises its order's highest of the New York day.
+
+    Repeated and smaller notionals raise nothing and come out only as the order's first row of a day, with 0. The state of an order and day is its highest; it goes
+    when the watermark has passed the day, after which rows of that day are dropped. Append mode only; the sum of a day is that of operators.execution.daily_totals.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, (top,) = state.exists, state.get if state.exists else (0.0,)
+        out, end = [], 0
+        for b in batches:
+            out.append(max([top, *b["notional"].tolist()]) - top)
+            top, end = top + out[-1], int(b["day_end"].max())
+        state.update((top,))
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        increase = sum(out)
+        if increase > 0 or not known:
+            yield pd.DataFrame({"day": [key[0]], "order_id": pd.Series([key[1]], dtype=object), "increase": [float(increase)]})
+
+    rows = _day(fills, late).where("order_id IS NOT NULL AND ts IS NOT NULL AND notional IS NOT NULL")
+    kept = rows.select(F.to_date("local").alias("day"), F.col("order_id").cast("string").alias("order_id"), F.col("notional").cast("double").alias("notional"), F.unix_millis(F.date_trunc("day", "local") + F.expr("INTERVAL 1 DAY")).alias("day_end"), "local")
+    out = kept.groupBy("day", "order_id").applyInPandasWithState(run, "day date, order_id string, increase double", "top double", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("day", F.col("order_id").cast(fills.schema["order_id"].dataType).alias("order_id"), "increase")
