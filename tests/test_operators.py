@@ -109,7 +109,7 @@ def test_entry_at_next_open(spark):
     rows = [("A", D(2024, 1, i + 1), o, 100.0) for i, o in enumerate((90.0, 50.0, 60.0, 70.0))]
     bars = spark.createDataFrame(rows, "symbol string, date date, open double, close double")
     book = spark.createDataFrame([(D(2024, 1, 1), "A", 1.0)], "date date, symbol string, weight double")
-    assert [r["growth"] for r in pe.holding_growth(book, bars).orderBy("date").collect()] == [2.0, 2.0, 2.0]
+    assert [r["growth"] for r in pe.holding_growth(book, bars).where("NOT over").orderBy("date").collect()] == [2.0, 2.0, 2.0]
 
 
 def test_delisting_payoff(spark):
@@ -253,3 +253,184 @@ def test_drifted_turnover_follows_prices(spark):
     got = pe.drifted_turnover(spark.createDataFrame(rows, "date date, symbol string, weight double"), spark.createDataFrame(prices, "date date, symbol string, price double")).collect()
     # The first book grows from 1 to 1.5: A is 1.0 of it, B 0.3, cash 0.2.
     assert len(got) == 1 and got[0]["turnover"] == pytest.approx((abs(0.5 - 1 / 1.5) + 0.3 / 1.5) / 2)
+
+
+def bars_of(spark, rows):
+    """(symbol, day of January 2024, open, close)."""
+    return spark.createDataFrame([(s, D(2024, 1, d), o, c) for s, d, o, c in rows], "symbol string, date date, open double, close double")
+
+
+def books_of(spark, rows):
+    return spark.createDataFrame([(D(2024, 1, d), s, w) for d, s, w in rows], "date date, symbol string, weight double")
+
+
+def test_a_position_is_carried_to_the_next_execution(spark):
+    closes = {1: 10.0, 2: 10.0, 3: 10.0, 4: 20.0, 5: 20.0}
+    bars = bars_of(spark, [("A", d, c, c) for d, c in closes.items()])
+    got = pe.chained_equity(books_of(spark, [(1, "A", 1.0), (3, "A", 1.0)]), bars, 100.0).orderBy("date")
+    assert [r["equity"] for r in got.collect()] == [100.0, 100.0, 100.0, 200.0, 200.0]
+
+
+def loop_equity(books, bars, start, rates, rate):
+    """Session after session: the book of an earlier date takes over at this session's execution prices."""
+    days = sorted({d for _, d, _, _ in bars})
+    open_, close = {(s, d): (o if o is not None else c) for s, d, o, c in bars}, {}
+    for s in {s for s, *_ in bars}:
+        last = None
+        for d in days:
+            last = next((c for x, y, _, c in bars if (x, y) == (s, d) and c is not None), last)
+            close[s, d] = last
+    cash, held, waiting, value, out = start, {}, {}, start, []
+    for i, d in enumerate(days):
+        due = [b for b in books if (days[i - 1] if i else -1) <= b < d]
+        turnover = cost = 0.0
+        if due:
+            book = books[max(due)]
+            worth = {s: q * (open_.get((s, d)) or close[s, d]) for s, q in held.items()} | {s: v for s, v in waiting.items()}
+            value = cash + sum(worth.values())
+            turnover = sum(abs(book.get(s, 0.0) - worth.get(s, 0.0) / value) for s in {*book, *worth})
+            cost = turnover * (rates[0] + rates[1]) / 1e4 + turnover**1.5 * rates[2] / 1e4
+            value *= 1 - cost
+            cash, held, waiting = value * (1 - sum(book.values())), {}, {s: value * w for s, w in book.items()}
+        for s in [s for s in waiting if open_.get((s, d)) is not None]:
+            held[s] = waiting.pop(s) / open_[s, d]
+        if cash < 0:
+            cash *= 1 + rate / 252
+        out.append((D(2024, 1, d), cash + sum(q * close[s, d] for s, q in held.items()) + sum(waiting.values()), turnover, cost))
+    return out
+
+
+@pytest.mark.parametrize(("rates", "rate", "factor"), [((0, 0, 0), 0.0, 1.0), ((10, 5, 2.5), 0.06, 1.0), ((100, 50, 2.5), 0.3, 1.6)])
+def test_net_equity_equals_a_loop(spark, rates, rate, factor):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for s in "ABC":
+        price = 10.0
+        for d in range(1, 25):
+            o, price = price * r.uniform(0.9, 1.1), price * r.uniform(0.9, 1.15)
+            rows.append((s, d, None if r.random() < 0.2 else o, None if r.random() < 0.1 and d > 1 else price))
+    books = {2: {"A": 0.5, "B": 0.4}, 7: {"A": 0.3, "C": 0.7}, 8: {"B": 0.2}, 15: {"A": 0.9, "B": 0.1}, 24: {"C": 1.0}}
+    books = {d: {s: w * factor for s, w in b.items()} for d, b in books.items()}
+    got = pe.net_equity(books_of(spark, [(d, s, w) for d, b in books.items() for s, w in b.items()]), bars_of(spark, rows), 1000.0, *rates, rate).orderBy("date").collect()
+    want = loop_equity(books, rows, 1000.0, rates, rate)
+    assert [r["date"] for r in got] == [w[0] for w in want]
+    for r_, w in zip(got, want, strict=True):
+        assert tuple(r_)[1:] == pytest.approx(w[1:], rel=1e-9)
+    if rates[0]:
+        assert got[-1]["equity"] < pe.chained_equity(books_of(spark, [(d, s, w) for d, b in books.items() for s, w in b.items()]), bars_of(spark, rows), 1000.0).orderBy("date").collect()[-1]["equity"]
+
+
+def scaled(spark, weights, variance, leverage, cap=1.0, sector_cap=1.0, sectors=None, periods=252):
+    book = books(spark, [(s, (sectors or {}).get(s, s), w) for s, w in weights.items()])
+    cov = spark.createDataFrame([(D(2024, 1, 1), a, b, variance if a == b else 0.0) for a in weights for b in weights], "date date, a string, b string, cov double")
+    return {r["symbol"]: r["weight"] for r in we.volatility_scaled(book, cov, 0.15, F.lit(leverage), cap, sector_cap, periods).collect()}
+
+
+def test_leverage_bounds_the_scale_and_limits_follow(spark):
+    assert scaled(spark, {"A": 0.4, "B": 0.2}, 1e-8, 1.0) == pytest.approx({"A": 0.4, "B": 0.2})
+    assert sum(scaled(spark, {"A": 0.5, "B": 0.5}, 0.10, 0.7).values()) <= 1.0
+    low = scaled(spark, dict.fromkeys("ABCDE", 0.2), 0.0001 / 252, 1.5, cap=0.4)
+    assert sum(low.values()) == pytest.approx(1.5)
+    levered = scaled(spark, {"A": 0.2} | dict.fromkeys("BCDEFGHI", 0.1), 0.0001 / 252, 1.5, cap=0.2)
+    assert max(levered.values()) == pytest.approx(0.2) and levered["B"] == pytest.approx(0.15)
+    capped = scaled(spark, dict.fromkeys("ABCDE", 0.2), 0.0001 / 252, 1.5, cap=0.4, sector_cap=0.35, sectors={"A": "T", "B": "T"})
+    assert capped["A"] + capped["B"] <= 0.35 + 1e-9
+    assert sum(scaled(spark, {"A": 0.5, "B": 0.5}, 0.0001 / 252, 0.7).values()) == pytest.approx(0.7)
+    # Without a volatility the limits alone hold.
+    assert sum(scaled(spark, {"A": 0.5, "B": 0.5}, 0.0, 0.7).values()) == pytest.approx(0.7)
+
+
+def test_regime_leverage(spark):
+    rows = spark.createDataFrame([("low",), ("normal",), ("high",), (None,)], "regime string")
+    assert [r[0] for r in rows.select(we.regime_leverage(most=1.2)).collect()] == [1.2, 1.0, 0.7, 1.0]
+
+
+def test_chained_turnover_equals_a_loop(spark):
+    import random
+
+    r = random.Random(9)
+    names, sector = "ABCDEFGH", dict(zip("ABCDEFGH", "SSTTUUVV", strict=True))
+    targets, rows = [], []
+    for d in range(89):
+        some = r.sample(names, 4)
+        w = [r.random() for _ in some]
+        gross = 0.7 if d % 11 == 5 else 1.0
+        book = {s: x / sum(w) * gross for s, x in zip(some, w, strict=True)}
+        targets.append((book, gross))
+        rows += [(k, D(2024, 1, 1) + dt.timedelta(d), s, sector[s], x, gross) for k in ("a", "b") for s, x in book.items()]
+    got = we.turnover_chained(spark.createDataFrame(rows, "strategy string, date date, symbol string, sector string, weight double, gross_cap double"), 0.4, 0.6).collect()
+    held, want = {}, {}
+    for d, (new, top) in enumerate(targets):
+        l1 = sum(abs(new.get(s, 0) - held.get(s, 0)) for s in names)
+        side = lambda book, x: sum(w for s, w in book.items() if sector[s] == x)
+        relief = any(side(held, x) > 0.6 + 1e-9 and side(new, x) <= 0.6 + 1e-9 for x in "STUV")  # noqa: B023
+        if not held or l1 <= 0.4 or relief or (sum(held.values()) > top + 1e-9 >= sum(new.values())):
+            held = dict(new)
+        else:
+            held = {s: w for s in names if (w := held.get(s, 0) + 0.4 / l1 * (new.get(s, 0) - held.get(s, 0))) >= 0.0025}
+        want |= {("a", D(2024, 1, 1) + dt.timedelta(d), s): w for s, w in held.items()}
+    assert {(g["strategy"], g["date"], g["symbol"]): g["weight"] for g in got if g["strategy"] == "a"} == pytest.approx(want)
+    assert sum(g["strategy"] == "b" for g in got) == len(want)
+
+
+def test_chained_penalty_equals_a_loop(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(s, D(2024, 1, d), None if r.random() < 0.1 else r.random()) for s in "ABC" for d in range(1, 29) if r.random() < 0.8]
+    got = {(g["symbol"], g["date"]): g["score"] for g in fe.turnover_penalty_chained(spark.createDataFrame(rows, "symbol string, date date, score double"), 0.3).collect()}
+    before, want = {}, {}
+    for d in sorted({d for _, d, _ in rows}):
+        now = {s: v for s, e, v in rows if e == d and v is not None}
+        before = {s: v - 0.3 * abs(v - before[s]) if s in before else v for s, v in now.items()}
+        want |= {(s, d): before.get(s) for s, e, _ in rows if e == d}
+    assert got == pytest.approx(want)
+
+
+def test_cooldown_counts_from_the_last_allowed_attempt(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(i, "A", at(s), "submitted") for i, s in enumerate((0, 200, 400, 600))] + [(10, "B", at(0), "rejected"), (11, "B", at(1), "unknown"), (12, "B", at(2), "filled"), (13, None, at(0), None), (14, "C", at(5), None), (15, "C", at(5), "unknown"), (16, "C", at(6), None)]
+    df = spark.createDataFrame(rows, "id long, symbol string, ts timestamp, status string")
+    got = {r["id"]: r["allowed"] for r in ex.cooled_down(df, 300).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 10: True, 11: True, 12: False, 14: True, 15: True, 16: False}
+    assert ex.cooled_down(df.limit(0), 300).count() == 0
+
+
+def test_recursive_means_match_pandas(spark):
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(0)
+    x = r.normal(size=300)
+    x[r.random(300) < 0.2] = np.nan
+    x[:3] = np.nan
+    rows = [("A", D(2024, 1, 1) + dt.timedelta(i), None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [("B", D(2024, 1, 1), 2.0), ("C", D(2024, 1, 1), None)]
+    df = fe.recursive_means(spark.createDataFrame(rows, "symbol string, date date, x double"), {"slow": ("x", 0.03), "fast": ("x", 0.7)}, block=16)
+    got = df.where("symbol = 'A'").orderBy("date").toPandas()
+    for name, a in (("slow", 0.03), ("fast", 0.7)):
+        assert np.allclose(got[name].astype(float), pd.Series(x).ewm(alpha=a, adjust=False).mean(), equal_nan=True)
+    assert {r["symbol"]: r["fast"] for r in df.where("symbol <> 'A'").collect()} == {"B": 2.0, "C": None}
+
+
+def test_collinearity_of_whole_and_constant_factors(spark):
+    from tessera.operators import analysis as an
+
+    rows = [(D(2024, 1, 1), float(i), 2.0 * i + 1, float(i * i % 7), 3.0) for i in range(12)]
+    got = {r["factor"]: r["vif"] for r in an.variance_inflation(spark.createDataFrame(rows, "date date, a double, b double, c double, d double"), "abcd").collect()}
+    assert got["a"] == got["b"] == float("inf") and got["c"] > 1 and got["d"] is None
+
+
+def test_shrinkage_below_two_sessions_gives_variances(spark):
+    rows = [(D(2024, 1, 9), D(2024, 1, 8), "A", 0.1, 1), (D(2024, 1, 9), D(2024, 1, 8), "B", None, 1), (D(2024, 1, 9), D(2024, 1, 9), "A", None, 0), (D(2024, 1, 9), D(2024, 1, 9), "B", None, 0)]
+    got = {(r["a"], r["b"]): r["cov"] for r in we.covariance(spark.createDataFrame(rows, "book_date date, date date, symbol string, ret double, age int"), "shrunk").collect()}
+    assert got == {("A", "A"): 0.0, ("A", "B"): 0.0, ("B", "A"): 0.0, ("B", "B"): 0.0}
+
+
+def test_a_universe_that_starts_late_raises(spark):
+    u = spark.createDataFrame([(D(2025, 1, 1), "A", True)], "snapshot_date date, symbol string, is_member boolean")
+    days = spark.createDataFrame([(D(2025, 1, 15),)], "date date")
+    assert fa.membership(days, u, start=D(2025, 1, 1)).count() == 1
+    with pytest.raises(ValueError, match="starts on 2025-01-01"):
+        fa.membership(days, u, start=D(2024, 12, 31))
