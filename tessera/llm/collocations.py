@@ -5,9 +5,10 @@ on; a longer phrase becomes active with the scan after both its subphrases (all
 have reached the threshold, and is counted for one full cycle, so that each shard is seen once. Lengths overlap: long
 phrases of frequent words are counted while rare words still are.
 
-Which phrases are active is never listed: an occurrence is sent on if two bitmaps of fixed size say that its subphrases may
-have reached the threshold (and one of them within the last cycle), and an exact join after the sums decides. Bitmaps that fill up let
-more through, and change no result.
+Which phrases are active is never listed. An array of fixed size has, for each cell of hashes, the turn from which on a phrase in it
+has reached the threshold; the later turn of a phrase's two subphrases is its start, and its cycle ends `shards` turns later.
+Phrases that share a cell start too early, or are counted in vain, but always for one whole cycle, so every count is exact at any size of the
+corpus. Counts travel and stay as arrays, a row for each bucket of hashes.
 
 Everything is for each language; a null one is `und`. Null and empty texts have no words, pieces never cross rows, rows that are repeated count
 again, very long texts are handled whole, and an empty table gives an empty result. Other columns are not read. Words are told apart by 64 bits.
@@ -22,11 +23,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import map_arrow, small_side, written
+from ._tables import forget, map_arrow, small_side, written
 from ._words import LOWER, chunks, find_words, mix, ragged, signed
 
 U64 = np.uint64
@@ -35,8 +35,10 @@ PIECE = np.zeros(256, bool)
 PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 WORD_END = PIECE.copy()
 WORD_END[[0x20, 0x09]] = True
-#: Bits of the bitmaps of frequent phrases: 4 MB each, at any size of the corpus.
-BITS = 25
+#: Cells of hashes, as bits: an array of 16 MB, at any size of the corpus.
+BITS = 24
+#: Bytes of counts that meet in one bucket, about.
+BUCKET_BYTES = 32 << 20
 ODD = U64(0x9FB21C651E98DF25)
 #: Words of a shard that are handled at once.
 CHUNK_WORDS = 1 << 20
@@ -80,95 +82,156 @@ def encoded(docs: DataFrame, shards: int) -> DataFrame:
     return written(map_arrow(some, encode, "shard int, lang string, n long, words array<long>, spelled array<string>"), "encoded", by=("shard",))
 
 
-def _bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> U64(65 - (64 * len(bitmap)).bit_length())
-    return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) != 0
+def _cells(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return cells[(hashes >> U64(65 - len(cells).bit_length())).astype(np.int64)]
 
 
-def occurrences(shard: DataFrame, longest: int, words_too: bool, reached: np.ndarray, recent: np.ndarray) -> DataFrame:
-    """(lang, k, phrase, left, right, n): sums of one scan, for words (if `words_too`) and the phrases whose subphrases the bitmaps know."""
-    sent_maps = [zlib.compress(b.tobytes(), 1) for b in (reached, recent)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, recent = (np.frombuffer(zlib.decompress(b), U64) for b in sent_maps)
-        for batch in batches:
-            lists, langs = batch.column("words"), batch.column("lang")
-            sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-            ends = np.cumsum(sizes)
-            at = 0
-            while at < batch.num_rows:
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_WORDS, "right")))
-                yield from _scan_chunk(np.asarray(lists.slice(at, stop - at).flatten()).astype(np.int64).view(U64), sizes[at:stop], langs.slice(at, stop - at), longest, words_too, reached, recent)
-                at = stop
-
-    found = map_arrow(shard.select("lang", "words"), scan, "lang string, k int, phrase long, left long, right long, n long")
-    return found.groupBy("lang", "k", "phrase").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.sum("n").alias("n"))
-
-
-def _scan_chunk(words: np.ndarray, sizes: np.ndarray, langs: pa.Array, longest: int, words_too: bool, reached: np.ndarray, recent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _grams(words: np.ndarray, sizes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, places of the phrases of k words, all hashes of that length, all of length k - 1) of rows of codes, `sizes` each."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     inside, phrase, before = words != 0, words, words
     for k in range(1, longest + 1):
         n = len(words) - k + 1
         if n <= 0:
-            break
+            return
         if k > 1:
             inside = inside[:-1] & (words[k - 1 :] != 0) & (row[k - 1 :] == row[:n])
             before, phrase = phrase, mix(phrase[:-1] * ODD ^ words[k - 1 :])
-        at = np.flatnonzero(inside)
-        if k > 1:
-            at = at[_bit(reached, before[at])]
-            at = at[_bit(reached, before[at + 1])]
-            at = at[_bit(recent, before[at]) | _bit(recent, before[at + 1])]
-        if not len(at) or (k == 1 and not words_too):
-            continue
-        found, first, counts = np.unique(phrase[at], return_index=True, return_counts=True)
-        first = at[first]
-        sides = [signed(before[first + j]) if k > 1 else np.zeros(len(found), np.int64) for j in (0, 1)]
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[first])), pa.array(np.full(len(found), k, np.int32)), pa.array(signed(found)), *map(pa.array, sides), pa.array(counts.astype(np.int64))], names=["lang", "k", "phrase", "left", "right", "n"])
-
-
-def _bitmaps(counts: DataFrame, since: int, longest: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
-    """(bitmap of all phrases that have reached the threshold, of those since a step, (last such step, phrases) for each length); at most 2**BITS / 64 rows reach the driver."""
-    some = counts.where("reached IS NOT NULL").withColumn("__p", F.shiftrightunsigned("phrase", 64 - BITS))
-    bit, new, of = F.expr("shiftleft(1L, int(__p & 63))"), F.col("reached") >= since, lambda k: F.col("k") == k
-    ends = [x for k in range(1, longest + 1) for x in (F.max(F.when(of(k), F.col("reached"))).alias(f"t{k}"), F.count_if(of(k)).alias(f"n{k}"))]
-    rows = some.groupBy(F.shiftright("__p", 6).alias("w")).agg(F.bit_or(bit).alias("all"), F.coalesce(F.bit_or(F.when(new, bit)), F.lit(0).cast("long")).alias("new"), *ends).toArrow()
-    maps = []
-    for name in ("all", "new"):
-        bitmap = np.zeros(1 << (BITS - 6), np.int64)
-        bitmap[np.asarray(rows.column("w")).astype(np.int64)] = np.asarray(rows.column(name))
-        maps.append(bitmap.view(U64))
-    return maps[0], maps[1], {k: (t, pc.sum(rows.column(f"n{k}")).as_py()) for k in range(1, longest + 1) if (t := pc.max(rows.column(f"t{k}")).as_py()) is not None}
+        yield k, np.flatnonzero(inside), phrase, before
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(codes, codes in each row, languages of the rows), a bounded number of codes at a time."""
+    for batch in batches:
+        lists, langs = batch.column("words"), batch.column("lang")
+        sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_WORDS, "right")))
+            yield np.asarray(lists.slice(at, stop - at).flatten()).astype(np.int64).view(U64), sizes[at:stop], langs.slice(at, stop - at)
+            at = stop
+
+
+#: A row of counts: phrases of one bucket, their lengths, starts, counts and the turns at which they reached the threshold; and what reached it in this turn.
+COUNTS = "bucket int, phrase binary, k binary, start binary, n binary, reached binary, fresh array<long>"
+
+
+def _scan(shard: DataFrame, longest: int, turn: int, shards: int, since: np.ndarray, buckets: int) -> DataFrame:
+    """Counts of one scan: of words in the first cycle, and of the phrases whose cycle it is."""
+    sent = zlib.compress(since.tobytes(), 1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.frombuffer(zlib.decompress(sent), np.uint8)
+        for words, sizes, _ in _lists(batches):
+            for k, at, phrase, before in _grams(words, sizes, longest):
+                if k == 1:
+                    if turn >= shards:
+                        continue
+                    start = np.zeros(len(at), np.uint8)
+                else:
+                    left = _cells(before[at], cells)
+                    at, left = at[left > 0], left[left > 0]
+                    right = _cells(before[at + 1], cells)
+                    start = np.maximum(left, right)
+                    go = (right > 0) & (start.astype(np.int64) + shards > turn)
+                    at, start = at[go], start[go]
+                if not len(at):
+                    continue
+                found, first, counts = np.unique(phrase[at], return_index=True, return_counts=True)
+                start = start[first]
+                bucket = ((found >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+                used, begin = np.unique(bucket, return_index=True)
+                ends = np.append(begin[1:], len(bucket))
+                parts = [[x[i:j].tobytes() for i, j in zip(begin, ends, strict=True)] for x in (found, np.full(len(found), k, np.uint8), start, counts.astype(np.int64), np.zeros(len(found), np.uint8))]
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(x, pa.binary()) for x in parts], pa.nulls(len(used), pa.list_(pa.int64()))], names=["bucket", "phrase", "k", "start", "n", "reached", "fresh"])
+
+    return map_arrow(shard.select("lang", "words"), scan, COUNTS)
+
+
+def _merged(counts: DataFrame, least: int, turn: int, shards: int, longest: int) -> DataFrame:
+    """Counts of one bucket as one row. What has had its cycle and is rare goes."""
+    bits, kinds = BITS, {"phrase": U64, "k": np.uint8, "start": np.uint8, "n": np.int64, "reached": np.uint8}
+
+    def meet(table: pa.Table) -> pa.Table:
+        got = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items()}
+        order = np.argsort(got["phrase"], kind="stable")
+        got = {c: x[order] for c, x in got.items()}
+        first = np.flatnonzero(np.concatenate([[True], got["phrase"][1:] != got["phrase"][:-1]])) if len(order) else np.zeros(0, np.int64)
+        out = {c: got[c][first] for c in ("phrase", "k", "start")}
+        out["n"] = np.add.reduceat(got["n"], first) if len(first) else got["n"]
+        out["reached"] = np.maximum.reduceat(got["reached"], first) if len(first) else got["reached"]
+        new = (out["n"] >= least) & (out["reached"] == 0)
+        fresh = new & (out["k"] < longest)
+        places = (out["phrase"][fresh] >> U64(64 - bits)).astype(np.int64) + (out["k"][fresh].astype(np.int64) << bits)
+        out["reached"] = np.where(new, np.uint8(turn + 1), out["reached"])
+        keep = (out["reached"] > 0) | (out["start"].astype(np.int64) + shards > turn + 1)
+        return pa.table([pa.array([table.column("bucket")[0].as_py()], pa.int32()), *[pa.array([out[c][keep].astype(kind).tobytes()], pa.binary()) for c, kind in kinds.items()], pa.array([places], pa.list_(pa.int64()))], names=["bucket", *kinds, "fresh"])
+
+    return counts.groupBy("bucket").applyInArrow(meet, COUNTS)
 
 
 def frequent_phrases(table: DataFrame, longest: int = 5, least: int = 100, shards: int = 4) -> DataFrame:
     """(lang, k, phrase, left, right, n) of every phrase of 1 to `longest` words that occurs `least` times or more in its language, from a table of encoded().
 
-    Each turn scans one shard, adds its sums to the table of phrases that are being counted or frequent, and writes it.
+    Each turn scans one shard, adds its counts to those of the phrases that are being counted or frequent, and writes them.
     """
+    if longest * shards + shards > 255:
+        raise ValueError("turns are counted in one byte")
     spark = table.sparkSession
-    counts = spark.createDataFrame([], "lang string, k int, phrase long, left long, right long, start int, n long, reached int")
-    reached = recent = np.zeros(1 << (BITS - 6), U64)
-    last: dict[int, tuple[int, int]] = {}
-    turn = 0
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 40 // BUCKET_BYTES)
+    since, last, turn, counts = np.zeros(1 << BITS, np.uint8), {}, 0, None
     while True:
         # A length is counted while one less has reached the threshold within a cycle.
-        lengths = [k for k in range(2, longest + 1) if k - 1 in last and turn < last[k - 1][0] + shards]
+        lengths = [k for k in range(2, longest + 1) if k - 1 in last and turn < last[k - 1] + shards]
         if turn >= shards and not lengths:
-            return counts.where("reached IS NOT NULL").select("lang", "k", "phrase", "left", "right", "n")
-        got = occurrences(table.where(F.col("shard") == turn % shards), max([1, *lengths]), turn < shards, reached, recent)
-        known = counts.where("reached IS NOT NULL").select("lang", (F.col("k") + 1).alias("k"), "phrase", "reached")
-        sides = [small_side(known.select("lang", "k", F.col("phrase").alias(name), F.col("reached").alias(f"{name}_at")), rows=sum(n for _, n in last.values())) for name in ("left", "right")]
-        longer = got.where("k > 1").join(sides[0], ["lang", "k", "left"]).join(sides[1], ["lang", "k", "right"]).withColumn("start", F.greatest("left_at", "right_at"))
-        names = ["lang", "k", "phrase", "left", "right", "start", "n"]
-        new = got.where("k = 1").withColumn("start", F.lit(0)).select(*names).unionByName(longer.where(F.col("start") + shards > turn).select(*names))
-        summed = counts.unionByName(new.withColumn("reached", F.lit(None).cast("int"))).groupBy("lang", "k", "phrase").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.min("start").alias("start"), F.sum("n").alias("n"), F.min("reached").alias("reached"))
-        summed = summed.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, turn + 1)))
+            break
+        got = _scan(table.where(F.col("shard") == turn % shards), max([1, *lengths]), turn, shards, since, buckets)
+        before = counts
+        counts = written(_merged(got if before is None else before.drop("fresh").withColumn("fresh", F.lit(None).cast("array<long>")).unionByName(got), least, turn, shards, longest), "counts")
+        if before is not None:
+            forget(before)
         turn += 1
-        # What has had its cycle and is rare goes.
-        counts = written(summed.where(F.col("reached").isNotNull() | (F.col("start") + shards > turn)), "counts")
-        reached, recent, last = _bitmaps(counts, turn - shards + 1, longest)
+        place = F.expr(f"place & {(1 << BITS) - 1}")
+        words = counts.select(F.explode("fresh").alias("place")).groupBy(F.shiftright("place", BITS).alias("k"), F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")).toArrow()
+        bits = np.unpackbits(np.asarray(words.column("bits")).astype(np.int64).view(np.uint8), bitorder="little").reshape(-1, 64)
+        rows, digit = np.nonzero(bits)
+        cells = np.asarray(words.column("w")).astype(np.int64)[rows] * 64 + digit
+        since[cells[since[cells] == 0]] = turn
+        last |= dict.fromkeys(map(int, np.unique(np.asarray(words.column("k")))), turn)
+    return _with_sides(table, counts, longest)
+
+
+def _with_sides(table: DataFrame, counts: DataFrame, longest: int) -> DataFrame:
+    """Every frequent phrase with its language and its two subphrases, which one more scan of all shards finds."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                some = np.frombuffer(r["reached"], np.uint8) > 0
+                columns = [signed(np.frombuffer(r["phrase"], U64)[some]), np.frombuffer(r["k"], np.uint8)[some].astype(np.int32), np.frombuffer(r["n"], np.int64)[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["phrase", "k", "n"])
+
+    frequent = written(map_arrow(counts.select("phrase", "k", "n", "reached"), listed, "phrase long, k int, n long"), "frequent")
+    words = frequent.groupBy(F.shiftrightunsigned("phrase", 64 - BITS + 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(phrase, {64 - BITS}) & 63))")).alias("bits")).toArrow()
+    there = np.zeros(1 << (BITS - 6), np.int64)
+    there[np.asarray(words.column("w")).astype(np.int64)] = np.asarray(words.column("bits"))
+    sent = zlib.compress(there.tobytes(), 1)
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.unpackbits(np.frombuffer(zlib.decompress(sent), np.uint8), bitorder="little")
+        for codes, sizes, langs in _lists(batches):
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            for k, at, phrase, before in _grams(codes, sizes, longest):
+                at = at[_cells(phrase[at], cells) > 0]
+                found, first = np.unique(phrase[at], return_index=True)
+                first = at[first]
+                left, right = (signed(before[first + j]) if k > 1 else np.zeros(len(found), np.int64) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[first])), pa.array(np.full(len(found), k, np.int32)), pa.array(signed(found)), pa.array(left), pa.array(right)], names=["lang", "k", "phrase", "left", "right"])
+
+    seen = map_arrow(table.where("shard >= 0").select("lang", "words"), sides, "lang string, k int, phrase long, left long, right long")
+    one = seen.groupBy("k", "phrase").agg(*[F.first(c).alias(c) for c in ("lang", "left", "right")])
+    return written(one.join(small_side(frequent), ["k", "phrase"]).select("lang", "k", "phrase", "left", "right", "n"), "phrases")
 
 
 def with_parts(phrases: DataFrame, table: DataFrame, longest: int = 5) -> DataFrame:

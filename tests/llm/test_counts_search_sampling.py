@@ -70,8 +70,8 @@ def test_collocations_equal_loops(docs, nothing, longest, least, covered, most,
     assert collocations.collocations(nothing, longest, least, covered, most, shards).count() == 0
 
 
-def test_full_bitmaps_change_no_result(docs, monkeypatch):
-    monkeypatch.setattr(collocations, "BITS", 6)
+def test_shared_cells_change_no_result(docs, monkeypatch):
+    monkeypatch.setattr(collocations, "BITS", 8)
     assert sorted(map(tuple, collocations.collocations(docs, 5, 5).collect())) == loops(docs.collect(), 5, 5, 100, 2000)
 
 
