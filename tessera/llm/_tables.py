@@ -13,10 +13,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._words import chunks
+
 #: Rows of a (long key, small payload) table up to which a broadcast is allowed.
 BROADCAST_ROWS = 1_000_000
 
@@ -91,6 +94,28 @@ def in_one_task(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition(1).sortWithinPartitions(*order)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The texts of the labelled documents with the `most` smallest hashes of their ids, in one task, in the order of the hash.
+
+    docs: (id, text), labels: (id, label), one row an id. The rows follow from ids alone, not from partitions or the order of tasks.
+    """
+    some = labels.withColumn("__h", F.xxhash64("id")).orderBy("__h", "id").limit(most)
+    return in_one_task(docs.join(F.broadcast(some), "id").select("__h", "id", "label", "text"), "__h", "id", "text")
+
+
+def first_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """chunks() of the first rows whose texts have no more than `most` bytes together; the first row always."""
+    left = most
+    for batch, data, offsets in chunks(batches, column):
+        n = int(np.searchsorted(offsets, left, "right")) - 1
+        n = max(n, 1) if left == most else n
+        if n:
+            yield batch.slice(0, n), data[: offsets[n]].copy(), offsets[: n + 1].copy()
+        left -= int(offsets[min(n + 1, len(offsets) - 1)])
+        if n < batch.num_rows or left <= 0:
+            return
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package at hand in the tasks."""
     ship_package(df.sparkSession)

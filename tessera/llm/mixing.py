@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import in_one_task, map_arrow, written
+from ._tables import first_bytes, labelled_sample, map_arrow, written
 from ._words import U64, chunks, distinct_by_row, find_words, lowered
 
 WIDTH = 1 << 14  # hashed words
@@ -62,18 +62,16 @@ def _posteriors(model: DomainModel, data: np.ndarray, offsets: np.ndarray) -> np
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, *, max_labels: int = 6000, steps: int = 300, text: str = "text", doc_id: str = "doc_id", domain: str = "domain") -> DomainModel | None:
-    """Trains on at most about `max_labels` labelled documents; None without labels."""
-    one = labels.where(F.col(doc_id).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(doc_id).alias("__tessera_id")).agg(F.min(F.col(domain).cast("string")).alias("__d"))
-    share = min(1.0, max_labels / max(1, one.count()))
-    some = one.where(F.pmod(F.xxhash64("__tessera_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_labels)
-    picked = docs.select(F.col(doc_id).alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).join(F.broadcast(some), "__tessera_id").select("__tessera_id", "__d", "__tessera_text")
+def fit_domains(docs: DataFrame, labels: DataFrame, *, max_labels: int = 6000, max_bytes: int = 64 << 20, steps: int = 300, text: str = "text", doc_id: str = "doc_id", domain: str = "domain") -> DomainModel | None:
+    """Trains on at most `max_labels` labelled documents, those with the smallest hashes of ids, and of these on the first `max_bytes` of text; None without labels."""
+    one = labels.where(F.col(doc_id).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.min(F.col(domain).cast("string")).alias("label"))
+    picked = labelled_sample(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), one, max_labels)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, rows, base = [], [], 0
-        for batch, data, offsets in chunks(batches, "__tessera_text"):
+        for batch, data, offsets in first_bytes(batches, "text", max_bytes):
             row, bucket, weight, measures = _measure(data, offsets)
-            names += batch.column("__d").to_pylist()
+            names += batch.column("label").to_pylist()
             rows.append((row + base, bucket, weight, measures))
             base += batch.num_rows
         if not base:
@@ -97,7 +95,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, max_labels: int = 6000, s
                 value -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(domains)]), pa.array([theta.tobytes()]), pa.array([phi.tobytes()])], ["domains", "words", "measures"])
 
-    got = map_arrow(in_one_task(picked, "__tessera_id", "__tessera_text"), fit, "domains string, words binary, measures binary").collect()
+    got = map_arrow(picked, fit, "domains string, words binary, measures binary").collect()
     if not got:
         return None
     domains = tuple(json.loads(got[0]["domains"]))
@@ -119,13 +117,24 @@ def domain_posteriors(docs: DataFrame, model: DomainModel | None, text: str = "t
     return map_arrow(docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")), run, schema)
 
 
+#: Steps that a row's rate is computed from at once; then the rates are written.
+STEPS = 8
+
+
 def _rate(errors: list[list[float]], pull: float, most: float = math.inf) -> Column:
-    """The rate after steps with these errors, from 1, each projected on [0, most]."""
+    """The rate after steps with these errors, from `__rate`, each projected on [0, most]."""
     if not errors:
-        return F.lit(1.0)
+        return F.col("__rate")
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in errors])
     dot = lambda e: F.aggregate(F.zip_with(e, F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, e: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(e) - pull * (r - 1.0))))
+    return F.aggregate(steps, F.col("__rate"), lambda r, e: F.least(F.lit(most), F.greatest(F.lit(0.0), r - dot(e) - pull * (r - 1.0))))
+
+
+def _so_far(posteriors: DataFrame, errors: list[list[float]], pull: float, most: float = math.inf) -> tuple[DataFrame, list[list[float]]]:
+    """(`posteriors` with the rates of STEPS steps written, the steps since), so that no row folds all steps again and again."""
+    if len(errors) < STEPS:
+        return posteriors, errors
+    return written(posteriors.withColumn("__rate", _rate(errors, pull, most)), "rates"), []
 
 
 def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[str, float], *, pull: float = 1e-4, max_steps: int = 40, tolerance: float = 2e-4) -> tuple[DataFrame, list[float]]:
@@ -140,13 +149,14 @@ def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[
     goal = goal / goal.sum() if goal.sum() else np.full(k, 1 / k)
     errors: list[list[float]] = []
     shares, last, damp = [], math.inf, 1.0
+    posteriors = posteriors.withColumn("__rate", F.lit(1.0))
     for step in range(max_steps + 1):
         rated = posteriors.select(F.col("n_tokens").alias("t"), _rate(errors, pull).alias("r"), *[F.get("posterior", F.lit(i)).alias(f"p{i}") for i in range(k)])
         moves = F.when(F.col("r") > 0, F.col("t")).otherwise(0)
         gram = [F.sum(moves * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]
         sums = rated.agg(F.sum("t").alias("total"), *[F.sum(F.col("t") * F.col("r") * F.col(f"p{i}")).alias(f"s{i}") for i in range(k)], *gram).first()
         if not sums["total"]:
-            return posteriors.withColumn("rate", F.lit(1.0)), list(goal)
+            return posteriors.withColumnRenamed("__rate", "rate"), list(goal)
         share = np.array([sums[f"s{i}"] for i in range(k)]) / sums["total"]
         shares, miss = share.tolist(), share - goal
         if np.abs(miss).max() < tolerance or step == max_steps:
@@ -154,8 +164,8 @@ def fit_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[
         norm = float(np.linalg.norm(miss))
         damp, last = (damp / 2, last) if norm > last else (min(1.0, damp * 1.5), norm)
         g = np.array([[sums[f"g{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) / sums["total"]
-        errors.append((damp * np.linalg.solve(g + 1e-6 * np.eye(k), miss)).tolist())
-    return posteriors.withColumn("rate", _rate(errors, pull)), shares
+        posteriors, errors = _so_far(posteriors, [*errors, (damp * np.linalg.solve(g + 1e-6 * np.eye(k), miss)).tolist()], pull)
+    return posteriors.withColumn("rate", _rate(errors, pull)).drop("__rate"), shares
 
 
 def fit_keep_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Mapping[str, float], *, whole: str, max_steps: int = 60, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
@@ -169,11 +179,12 @@ def fit_keep_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Map
     goal = goal / goal.sum() if goal.sum() else np.full(k, 1 / k)
     errors: list[list[float]] = []
     own, shares = None, goal.tolist()
+    posteriors = posteriors.withColumn("__rate", F.lit(1.0))
     for step in range(max_steps + 1):
         r = _rate(errors, 0.0, 1.0)
         sums = posteriors.select(F.col("n_tokens").alias("t"), r.alias("r"), "posterior").agg(F.sum("t").alias("total"), *[F.sum(F.col("t") * F.col("r") * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
         if not sums["total"]:
-            return posteriors.withColumn("rate", F.lit(1.0)), shares
+            return posteriors.withColumnRenamed("__rate", "rate"), shares
         mass = np.array([sums[f"s{i}"] for i in range(k)]) / sums["total"]
         kept = mass.sum()
         own = np.maximum(mass, 1e-4) if own is None else own
@@ -182,8 +193,8 @@ def fit_keep_rates(posteriors: DataFrame, domains: tuple[str, ...], targets: Map
         error = np.array([min(0.0, e) if d == whole else e for d, e in zip(domains, mass - goal * kept, strict=True)])
         if np.maximum(error, 0).max() < tolerance * kept and (step == 0 or np.abs(error).max() < tolerance * kept) or step == max_steps:
             break
-        errors.append((error / own).tolist())
-    return posteriors.withColumn("rate", _rate(errors, 0.0, 1.0)), shares
+        posteriors, errors = _so_far(posteriors, [*errors, (error / own).tolist()], 0.0, 1.0)
+    return posteriors.withColumn("rate", _rate(errors, 0.0, 1.0)).drop("__rate"), shares
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, whole: str | None = None, text: str = "text", doc_id: str = "doc_id", domain: str = "domain") -> tuple[DataFrame, tuple[str, ...], list[float]]:

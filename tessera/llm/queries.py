@@ -22,10 +22,10 @@ TARGETS = {"good": 0.9, "poor": 0.09, "toxic": 0.01}
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each row of `documents`: tokens, domain posteriors and the rate that mixes to TARGETS."""
+    """One row for each row of `documents`: tokens, domain posteriors, the rate that mixes to TARGETS, and (alike in all rows) the shares that the rates reach."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rated, domains, _ = mixing.mix(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), TARGETS)
-    return rated.select("doc_id", "source", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
+    rated, domains, shares = mixing.mix(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), TARGETS)
+    return rated.select("doc_id", "source", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate", *[F.lit(float(x)).alias(f"share_{d}") for d, x in zip(domains, shares, strict=True)])
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,18 @@ words and word beginnings; the document's score is the noisy-or of its sentences
 1 - prod(1 - p). Only document labels are given; their likelihood trains the sentence model,
 which then also names the offending sentences.
 
-Training uses a bounded sample of labelled rows (`max_labels`, drawn by a hash of the id);
-scoring reads every text whole. Cases: a null or empty text scores the bias-free minimum 0;
+Training uses a bounded sample of labelled rows: the `max_labels` smallest hashes of ids, and of these, in that order, as many texts as have
+`max_bytes` together. So the sample follows from the ids alone. Scoring reads every text whole. A missed toxic document is taken to cost
+`miss_cost` flagged clean ones, which raises the odds of every sentence by that factor after the fit (by less
+of it where there are few toxic rows: by its power n / (n + 50)). Cases: a null or empty text scores the bias-free minimum 0;
 rows with a null label or id do not train; an empty or one-sided label table gives score 0 to
-all; equal texts score alike; further columns are carried along, unless a new column has their
+all; an empty table of documents gives no rows; equal texts score alike; further columns are carried along, unless a new column has their
 name. Sentences end at ``.``, ``!``, ``?`` or a line feed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import in_one_task, map_arrow
+from ._tables import first_bytes, labelled_sample, map_arrow
 from ._words import NO_LETTER, U64, Words, chunks, distinct_by_row, find, find_words, lowered, mix, prefix_hash
 
 #: Lengths in bytes of the word beginnings that are features beside whole words.
@@ -57,7 +60,7 @@ def _sentences(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], min_docs: int, steps: int) -> ToxicityModel | None:
+def _fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], min_docs: int, steps: int, miss_cost: float) -> ToxicityModel | None:
     """rows: (labels, bytes, offsets) of chunks. Picks features that speak for the label, then fits the noisy-or likelihood."""
     label = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0)
     positive, negative = label.sum(), (1 - label).sum()
@@ -76,7 +79,7 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], min_docs: int, s
     a, b = (pos + 0.5) / (positive + 1), (neg + 0.5) / (negative + 1)
     pooled = (pos + neg + 1) / (positive + negative + 2)
     gain = 2 * (pos * np.log(a / pooled) + neg * np.log(b / pooled))
-    keep = (pos >= min_docs) & (np.log(a / b) >= 1.5) & (gain >= 20)
+    keep = (pos >= min_docs) & (np.log(a / b) >= 2.0) & (gain >= 10)
     features = hashes[keep]
     # Sparse sentences: only those with a feature are kept apart, the others count.
     cells, doc_of, plain, base = [], [], [], 0
@@ -112,24 +115,20 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], min_docs: int, s
         grad = np.append(np.bincount(cell_f, dz[cell_s], len(features)) + 1e-5 * theta[:-1], dz.sum() - (p0 * plain_n * slope).sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return ToxicityModel(features, theta[:-1], float(theta[-1]))
+    return ToxicityModel(features, theta[:-1], float(theta[-1] + math.log(miss_cost) * positive / (positive + 50)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labels: int = 8000, min_docs: int = 5, steps: int = 300, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> ToxicityModel | None:
-    """Trains on at most about `max_labels` labelled rows; None if they do not hold both labels."""
-    one = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__tessera_id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("__y"))
-    share = max_labels / max(1, one.count())
-    # Bounded by max_labels, so the broadcast is.
-    some = one.where(F.pmod(F.xxhash64("__tessera_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).limit(max_labels)
-    picked = docs.select(F.col(doc_id).alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).join(F.broadcast(some), "__tessera_id").select("__tessera_id", "__y", "__tessera_text")
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labels: int = 8000, max_bytes: int = 64 << 20, miss_cost: float = 4.0, min_docs: int = 3, steps: int = 300, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> ToxicityModel | None:
+    """Trains on at most `max_labels` labelled rows and `max_bytes` of text; None if they do not hold both labels."""
+    one = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
+    picked = labelled_sample(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), one, max_labels)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.asarray(b.column("__y").to_numpy(zero_copy_only=False), float), data.copy(), offsets.copy()) for b, data, offsets in chunks(batches, "__tessera_text")]
-        model = _fit(rows, min_docs, steps)
+        model = _fit([(np.asarray(b.column("label").to_numpy(zero_copy_only=False), float), data, offsets) for b, data, offsets in first_bytes(batches, "text", max_bytes)], min_docs, steps, miss_cost)
         if model is not None:
             yield pa.RecordBatch.from_arrays([pa.array([model.features.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], ["features", "weights", "bias"])
 
-    got = map_arrow(in_one_task(picked, "__tessera_id", "__tessera_text"), fit, "features binary, weights binary, bias double").collect()
+    got = map_arrow(picked, fit, "features binary, weights binary, bias double").collect()
     return ToxicityModel(np.frombuffer(bytes(got[0][0]), U64), np.frombuffer(bytes(got[0][1])), got[0][2]) if got else None
 
 

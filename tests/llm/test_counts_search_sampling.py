@@ -8,9 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import bit_slices, collocations, importance
+from tessera.llm import bit_slices, collocations, importance, mixing, toxicity
+from tessera.llm._tables import first_bytes
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, score double, rank string"
 
@@ -139,3 +142,31 @@ def test_resampling_equals_loops(spark, docs, nothing, runs, percent, least_word
     assert importance.resample(nothing, target).count() == 0
     assert importance.resample(docs, nothing).count() == len(rows)
     assert set(importance.resample(docs, nothing).columns) == {"doc_id", "n_words", "n_features", "weight", "score", "rank"}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["good", "plain", "words", "here", "x", "y"]) for _ in range(30)) + (" awful nasty." if i % 4 == 0 else "."), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores, posteriors = [], []
+    for n in (1, 5):
+        dealt = df.orderBy(F.rand(n)).repartition(n)
+        model = toxicity.fit_toxicity(dealt.select("doc_id", "text"), dealt.select("doc_id", "toxic"), max_labels=100)
+        scores.append(sorted(map(tuple, toxicity.score_toxicity(dealt.select("doc_id", "text"), model).collect())))
+        domains = mixing.fit_domains(dealt.select("doc_id", "text"), dealt.select("doc_id", F.when(F.col("toxic") == 1, "a").otherwise("b").alias("domain")), max_labels=100, max_bytes=5_000)
+        posteriors.append((domains.words.tolist(), domains.measures.tolist()))
+    assert scores[0] == scores[1] and posteriors[0] == posteriors[1]
+    assert sum(p >= 0.5 for _, p in scores[0]) == 100
+
+
+def test_first_bytes_stop_at_the_budget():
+    batches = [pa.RecordBatch.from_pydict({"text": ["aaaa", None, "bbb", "cc"]}), pa.RecordBatch.from_pydict({"text": ["d" * 50, "e"]})]
+    seen = lambda most: [x for b, _, _ in first_bytes(iter(batches), "text", most) for x in b.column("text").to_pylist()]
+    assert seen(100) == ["aaaa", None, "bbb", "cc", "d" * 50, "e"]
+    assert seen(9) == ["aaaa", None, "bbb", "cc"] and seen(8) == ["aaaa", None, "bbb"] and seen(20) == ["aaaa", None, "bbb", "cc"] and seen(1) == ["aaaa"]
+
+
+def test_targets_out_of_reach_show_in_the_shares(spark):
+    df = spark.createDataFrame([(i, f"word{i} " * 10, [0.9, 0.1]) for i in range(20)], "doc_id long, text string, posterior array<double>").withColumn("n_tokens", F.lit(10).cast("long"))
+    rated, shares = mixing.fit_rates(df, ("a", "b"), {"a": 0.1, "b": 0.9}, max_steps=20)
+    assert shares[1] < 0.5 and rated.columns == [*df.columns, "rate"] and rated.where("rate < 0 OR rate IS NULL").count() == 0
