@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import forget, map_arrow, small_side, written
-from ._words import LOWER, chunks, find_words, mix, ragged, signed
+from ._tables import forget, map_arrow, written
+from ._words import LOWER, chunks, find, find_words, mix, ragged, signed
 
 U64 = np.uint64
 #: Bytes that end a piece, and those that end a word (the same, and space and tab).
@@ -44,14 +44,28 @@ ODD = U64(0x9FB21C651E98DF25)
 CHUNK_WORDS = 1 << 20
 
 
+class _Sent:
+    """Hashes that a task has sent already; it forgets them when there are too many, which repeats some."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.seen, self.most = np.zeros(0, U64), most
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of these distinct hashes have not been sent; now they have."""
+        new = find(self.seen, hashes) < 0
+        if new.any():
+            self.seen = np.union1d(self.seen if len(self.seen) < self.most else self.seen[:0], hashes[new])
+        return new
+
+
 def encoded(docs: DataFrame, shards: int) -> DataFrame:
-    """Written table of (shard, lang, n, words, spelled): rows of a shard have their number of words and the words' codes, 0 between pieces; rows of shard -1 spell the codes of a chunk.
+    """Written table of (shard, lang, n, words, spelled): rows of a shard have their number of words and the words' codes, 0 between pieces; rows of shard -1 spell the codes that a task meets first.
 
     A code is a hash of word and language.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, spelling = ["shard", "lang", "n", "words", "spelled"], pa.list_(pa.string())
+        names, spelling, sent = ["shard", "lang", "n", "words", "spelled"], pa.list_(pa.string()), _Sent()
         for part, data, offsets in chunks(batches, "text"):
             data = LOWER[data]
             words = find_words(data, offsets, WORD_END)
@@ -67,9 +81,10 @@ def encoded(docs: DataFrame, shards: int) -> DataFrame:
             line[np.arange(n) + np.cumsum(cut)] = code
             size = np.diff(words.first).astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("lang"), pa.array(size), ragged(signed(line), size + np.bincount(words.row[cut], minlength=part.num_rows)), pa.nulls(part.num_rows, spelling)], names=names)
-            if not n:
+            hashes, one = np.unique(code, return_index=True)
+            one = one[sent.new(hashes)]
+            if not len(one):
                 continue
-            _, one = np.unique(code, return_index=True)
             of = lang[words.row[one]]
             order = one[np.argsort(of, kind="stable")]
             spelled = [bytes(data[a:b]).decode() for a, b in zip(words.start[order].tolist(), words.end[order].tolist(), strict=True)]
@@ -112,6 +127,20 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             at = stop
 
 
+def _buckets(table: DataFrame) -> int:
+    """Buckets of hashes: as many as partitions, and more where the words of the corpus are many."""
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * 40 // BUCKET_BYTES)
+
+
+def _dealt(hashes: np.ndarray, buckets: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket of the sorted hashes, with the bytes of its part of the columns."""
+    bucket = ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    used, begin = np.unique(bucket, return_index=True)
+    ends = np.append(begin[1:], len(bucket))
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array([x[i:j].tobytes() for i, j in zip(begin, ends, strict=True)], pa.binary()) for x in columns.values()]], names=["bucket", *columns])
+
+
 #: A row of counts: phrases of one bucket, their lengths, starts, counts and the turns at which they reached the threshold; and what reached it in this turn.
 COUNTS = "bucket int, phrase binary, k binary, start binary, n binary, reached binary, fresh array<long>"
 
@@ -139,11 +168,8 @@ def _scan(shard: DataFrame, longest: int, turn: int, shards: int, since: np.ndar
                     continue
                 found, first, counts = np.unique(phrase[at], return_index=True, return_counts=True)
                 start = start[first]
-                bucket = ((found >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-                used, begin = np.unique(bucket, return_index=True)
-                ends = np.append(begin[1:], len(bucket))
-                parts = [[x[i:j].tobytes() for i, j in zip(begin, ends, strict=True)] for x in (found, np.full(len(found), k, np.uint8), start, counts.astype(np.int64), np.zeros(len(found), np.uint8))]
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(x, pa.binary()) for x in parts], pa.nulls(len(used), pa.list_(pa.int64()))], names=["bucket", "phrase", "k", "start", "n", "reached", "fresh"])
+                part = _dealt(found, buckets, {"phrase": found, "k": np.full(len(found), k, np.uint8), "start": start, "n": counts.astype(np.int64), "reached": np.zeros(len(found), np.uint8)})
+                yield part.append_column("fresh", pa.nulls(part.num_rows, pa.list_(pa.int64())))
 
     return map_arrow(shard.select("lang", "words"), scan, COUNTS)
 
@@ -171,15 +197,13 @@ def _merged(counts: DataFrame, least: int, turn: int, shards: int, longest: int)
 
 
 def frequent_phrases(table: DataFrame, longest: int = 5, least: int = 100, shards: int = 4) -> DataFrame:
-    """(lang, k, phrase, left, right, n) of every phrase of 1 to `longest` words that occurs `least` times or more in its language, from a table of encoded().
+    """(k, phrase, left, right, n) of every phrase of 1 to `longest` words that occurs `least` times or more in its language, from a table of encoded().
 
     Each turn scans one shard, adds its counts to those of the phrases that are being counted or frequent, and writes them.
     """
     if longest * shards + shards > 255:
         raise ValueError("turns are counted in one byte")
-    spark = table.sparkSession
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 40 // BUCKET_BYTES)
+    buckets = _buckets(table)
     since, last, turn, counts = np.zeros(1 << BITS, np.uint8), {}, 0, None
     while True:
         # A length is counted while one less has reached the threshold within a cycle.
@@ -203,46 +227,57 @@ def frequent_phrases(table: DataFrame, longest: int = 5, least: int = 100, shard
 
 
 def _with_sides(table: DataFrame, counts: DataFrame, longest: int) -> DataFrame:
-    """Every frequent phrase with its language and its two subphrases, which one more scan of all shards finds."""
+    """(k, phrase, left, right, n) of every frequent phrase: one more scan of all shards finds the subphrases, and meets the counts bucket by bucket."""
+    bits, kinds = BITS, {"phrase": U64, "k": np.uint8, "left": U64, "right": U64}
+    n_buckets = _buckets(table)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                some = np.frombuffer(r["reached"], np.uint8) > 0
-                columns = [signed(np.frombuffer(r["phrase"], U64)[some]), np.frombuffer(r["k"], np.uint8)[some].astype(np.int32), np.frombuffer(r["n"], np.int64)[some]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["phrase", "k", "n"])
-
-    frequent = written(map_arrow(counts.select("phrase", "k", "n", "reached"), listed, "phrase long, k int, n long"), "frequent")
-    words = frequent.groupBy(F.shiftrightunsigned("phrase", 64 - BITS + 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(phrase, {64 - BITS}) & 63))")).alias("bits")).toArrow()
-    there = np.zeros(1 << (BITS - 6), np.int64)
+            for phrase, reached in zip(batch.column("phrase").to_pylist(), batch.column("reached").to_pylist(), strict=True):
+                cell = (np.frombuffer(phrase, U64)[np.frombuffer(reached, np.uint8) > 0] >> U64(64 - bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell)], names=["cell"])
+
+    words = map_arrow(counts.select("phrase", "reached"), places, "cell long").groupBy(F.shiftright("cell", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(cell & 63))")).alias("bits")).toArrow()
+    there = np.zeros(1 << (bits - 6), np.int64)
     there[np.asarray(words.column("w")).astype(np.int64)] = np.asarray(words.column("bits"))
-    sent = zlib.compress(there.tobytes(), 1)
+    held = zlib.compress(there.tobytes(), 1)
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.unpackbits(np.frombuffer(zlib.decompress(sent), np.uint8), bitorder="little")
-        for codes, sizes, langs in _lists(batches):
-            row = np.repeat(np.arange(len(sizes)), sizes)
+        cells, sent = np.unpackbits(np.frombuffer(zlib.decompress(held), np.uint8), bitorder="little"), _Sent()
+        for codes, sizes, _ in _lists(batches):
             for k, at, phrase, before in _grams(codes, sizes, longest):
                 at = at[_cells(phrase[at], cells) > 0]
                 found, first = np.unique(phrase[at], return_index=True)
-                first = at[first]
-                left, right = (signed(before[first + j]) if k > 1 else np.zeros(len(found), np.int64) for j in (0, 1))
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[first])), pa.array(np.full(len(found), k, np.int32)), pa.array(signed(found)), pa.array(left), pa.array(right)], names=["lang", "k", "phrase", "left", "right"])
-
-    seen = map_arrow(table.where("shard >= 0").select("lang", "words"), sides, "lang string, k int, phrase long, left long, right long")
-    one = seen.groupBy("k", "phrase").agg(*[F.first(c).alias(c) for c in ("lang", "left", "right")])
-    return written(one.join(small_side(frequent), ["k", "phrase"]).select("lang", "k", "phrase", "left", "right", "n"), "phrases")
+                new = sent.new(found)
+                found, first = found[new], at[first[new]]
+                if len(found):
+                    left, right = (before[first + j] if k > 1 else found for j in (0, 1))
+                    yield _dealt(found, n_buckets, {"phrase": found, "k": np.full(len(found), k, np.uint8), "left": left, "right": right})
+
+    def meet(known: pa.Table, seen: pa.Table) -> pa.Table:
+        got = {c: np.frombuffer(b"".join(seen.column(c).to_pylist()), kind) for c, kind in kinds.items()}
+        _, one = np.unique(got["phrase"], return_index=True)
+        phrase, n, reached = (np.frombuffer(b"".join(known.column(c).to_pylist()), kind) for c, kind in (("phrase", U64), ("n", np.int64), ("reached", np.uint8)))
+        frequent = reached > 0
+        at = find(got["phrase"][one], phrase[frequent])
+        one = one[at[at >= 0]]
+        columns = [got["k"][one].astype(np.int32), *[signed(got[c][one]) for c in ("phrase", "left", "right")], n[frequent][at >= 0]]
+        return pa.table([pa.array(c) for c in columns], names=["k", "phrase", "left", "right", "n"])
+
+    seen = map_arrow(table.where("shard >= 0").select("lang", "words"), sides, "bucket int, phrase binary, k binary, left binary, right binary")
+    both = counts.select("bucket", "phrase", "n", "reached").groupBy("bucket").cogroup(seen.groupBy("bucket"))
+    return written(both.applyInArrow(meet, "k int, phrase long, left long, right long, n long"), "phrases")
 
 
 def with_parts(phrases: DataFrame, table: DataFrame, longest: int = 5) -> DataFrame:
     """(lang, k, phrase, left, right, n, text, heads, tails): the spelled phrase and the counts of its first and of its last 1 to k words."""
-    spelled = table.where("shard = -1").select("lang", F.explode(F.arrays_zip("words", "spelled")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.min("w.spelled").alias("text"))
-    words = phrases.where("k = 1").join(spelled, ["lang", "phrase"])
+    spelled = table.where("shard = -1").select("lang", F.explode(F.arrays_zip("words", "spelled")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.spelled").alias("text"))
+    words = phrases.where("k = 1").join(spelled, "phrase").groupBy(*phrases.columns).agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
     levels = [written(words.withColumns({"heads": F.array("n"), "tails": F.array("n")}), "phrases-1")]
     for k in range(2, longest + 1):
         a = levels[-1].select("lang", F.col("phrase").alias("left"), F.col("text").alias("__a"), "heads")
-        b = levels[-1].select("lang", F.col("phrase").alias("right"), F.substring_index("text", " ", -1).alias("__b"), "tails")
-        rows = phrases.where(F.col("k") == k).join(a, ["lang", "left"]).join(b, ["lang", "right"])
+        b = levels[-1].select(F.col("phrase").alias("right"), F.substring_index("text", " ", -1).alias("__b"), "tails")
+        rows = phrases.where(F.col("k") == k).join(a, "left").join(b, "right")
         grown = {"text": F.concat_ws(" ", "__a", "__b"), "heads": F.concat("heads", F.array("n")), "tails": F.concat("tails", F.array("n"))}
         levels.append(written(rows.withColumns(grown).select(*levels[0].columns), f"phrases-{k}"))
     return reduce(DataFrame.unionByName, levels)
