@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import by_symbol, change, full, rank_share, ratio
+from .trees import fit_forests, predict_forests
 
 
 def base_features(panel: DataFrame, returns: Sequence[int] = (5, 10, 21, 63), band: int = 20, atr: int = 14, bias: int = 21, long: int = 63) -> DataFrame:
@@ -127,26 +126,19 @@ def training_rows(features: DataFrame, splits: DataFrame, stride: int = 21) -> D
     return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("rebalance_date", "date"))).where("__n >= 2").drop("__n")
 
 
-def walk_forward(features: DataFrame, splits: DataFrame, names: Sequence[str], dates: Sequence, *, stride: int = 21, least: int = 100, trees: int = 20, seed: int = 42) -> tuple[DataFrame | None, DataFrame | None]:
-    """(scores, importances) of one gradient-boosted model for each rebalance date; dates with too few rows are left out.
+def walk_forward(features: DataFrame, splits: DataFrame, names: Sequence[str], *, stride: int = 21, least: int = 100, trees: int = 20, depth: int = 5, rate: float = 0.05, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(scores, importances) of one boosted model for each rebalance date, all of them fitted at once; dates with fewer than `least` rows or three training dates are left out.
 
-    The loop is over models. Each is fitted by Spark on all executors.
+    The cross-section of each date is scored by its own model.
     """
-    rows = training_rows(features, splits, stride).where("split = 'train'").cache()
-    assembler = VectorAssembler(inputCols=list(names), outputCol="__x", handleInvalid="keep")
-    scores = importances = None
-    for d in dates:
-        part = rows.where(F.col("rebalance_date") == F.lit(d))
-        if part.count() < least:
-            continue
-        model = GBTRegressor(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, seed=seed).fit(assembler.transform(part))
-        today = features.where(F.col("date") == F.lit(d))
-        out = model.transform(assembler.transform(today)).select("symbol", "date", F.col("prediction").alias("margin"), "label", "fwd_ret")
-        weight = features.sparkSession.createDataFrame([(d, n, float(w)) for n, w in zip(names, model.featureImportances.toArray(), strict=True)], "date date, feature string, importance double")
-        scores = out if scores is None else scores.unionByName(out)
-        importances = weight if importances is None else importances.unionByName(weight)
-    rows.unpersist()
-    return (None if scores is None else scores.withColumn("score", rank_share("margin"))), importances
+    spark = features.sparkSession
+    rows = training_rows(features, splits, stride).where("split = 'train'").select("rebalance_date", "date", "symbol", "label", *names)
+    forests, cuts = fit_forests(rows, names, key="rebalance_date", trees=trees, depth=depth, rate=rate, share=share, least=least)
+    today = features.withColumn("rebalance_date", F.col("date")).join(F.broadcast(splits.select("rebalance_date").distinct()), "rebalance_date", "left_semi")  # a row for each rebalance date
+    scored = predict_forests(today.select("rebalance_date", "symbol", "date", "label", "fwd_ret", *names), forests, cuts, names, key="rebalance_date", trees=trees, depth=depth)
+    gains = [(d, n, float(f.gain[f.feature == i].sum())) for d, f in forests.items() for i, n in enumerate(names)]
+    importances = spark.createDataFrame(gains, "date date, feature string, importance double")
+    return scored.select("symbol", "date", "margin", "label", "fwd_ret", rank_share("margin").alias("score")), importances
 
 
 def top_importances(importances: DataFrame, n: int = 20) -> DataFrame:

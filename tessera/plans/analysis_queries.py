@@ -114,17 +114,16 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("rebalance_date", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("dates"), F.round(F.avg("label"), 6).alias("label"))
 
 
+def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fe.walk_forward(src.stored(_features(spark, sf_dir), "features"), purged_folds(spark, sf_dir), NAMES, stride=4)
+
+
 def walk_forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    splits = purged_folds(spark, sf_dir)
-    dates = sorted(r[0] for r in splits.select("rebalance_date").distinct().collect())
-    scores, _ = fe.walk_forward(_features(spark, sf_dir), splits, NAMES, dates, stride=4)
-    return scores
+    return _models(spark, sf_dir)[0]
 
 
 def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    splits = purged_folds(spark, sf_dir)
-    dates = sorted(r[0] for r in splits.select("rebalance_date").distinct().collect())
-    return fe.top_importances(fe.walk_forward(_features(spark, sf_dir), splits, NAMES, dates, stride=4)[1])
+    return fe.top_importances(_models(spark, sf_dir)[1])
 
 
 def validation_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,3 +138,8 @@ def write_result(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str,
     """Writes a result table (parquet or json lines, in folders by some columns) and gives it as it was written."""
     df.write.partitionBy(*by).mode(mode).format(kind).save(path)
     return df.sparkSession.read.schema(df.schema).format(kind).load(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that is read several times, written once to the shared folder."""
+    return write_result(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")

@@ -434,3 +434,81 @@ def test_a_universe_that_starts_late_raises(spark):
     assert fa.membership(days, u, start=D(2025, 1, 1)).count() == 1
     with pytest.raises(ValueError, match="starts on 2025-01-01"):
         fa.membership(days, u, start=D(2024, 12, 31))
+
+
+def plain_trees(rows, ident, trees, depth, rate, share, bins):
+    """Boosted trees of one group, node by node over lists of rows: (x, y) -> (cuts, predict, importances)."""
+    import numpy as np
+    from tessera.operators import trees as tr
+
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    n, k = x.shape
+    cuts = []
+    for f in range(k):
+        ordered = sorted(x[:, f])
+        cuts.append(sorted({ordered[p - 1] for p in range(1, n) if p * bins // n > (p - 1) * bins // n}))
+    binned = lambda v: np.array([[sum(c < a for c in cuts[f]) for f, a in enumerate(r)] for r in v])
+    b, whole = binned(x), lambda v: float(np.rint(v * 2**32))
+    start = sum(map(whole, y)) / n / 2**32
+    forest, gains, value = [], [0.0] * k, np.full(n, start)
+    for t in range(trees):
+        kept = np.flatnonzero(tr.in_sample(np.array(ident, np.int64), t, share))
+        rest = {i: whole(y[i] - value[i]) / 2**32 for i in kept}
+
+        def grow(node, level, mean):
+            best = None
+            for f in range(k):
+                for c in range(bins):
+                    left, right = [i for i in node if b[i, f] <= c], [i for i in node if b[i, f] > c]
+                    if left and right:
+                        sl, sr = sum(rest[i] for i in left), sum(rest[i] for i in right)
+                        gain = sl**2 / len(left) + sr**2 / len(right)
+                        if best is None or gain > best[0] + 1e-12:
+                            best = (gain, f, c, left, right, sl / len(left), sr / len(right))
+            total = sum(rest[i] for i in node)
+            if level == depth:
+                return rate * mean
+            if best is None or best[0] - (total**2 / len(node) if node else 0) <= 1e-9:
+                mean = total / len(node) if node else 0.0
+                return grow(node, level + 1, mean) if level + 1 < depth else rate * mean
+            gains[best[1]] += best[0] - total**2 / len(node)
+            return (best[1], best[2], grow(best[3], level + 1, best[5]), grow(best[4], level + 1, best[6]))
+
+        forest.append(grow(list(kept), 0, 0.0))
+
+        def walk(tree, row):
+            while isinstance(tree, tuple):
+                tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+            return tree
+
+        value = value + np.array([walk(forest[-1], r) for r in b])
+    return lambda v: [start + sum(walk(t, r) for t in forest) for r in binned(v)], gains
+
+
+def test_forests_equal_plain_trees(spark):
+    import numpy as np
+    from tessera.operators import trees as tr
+
+    r = np.random.default_rng(5)
+    rows = []
+    for key in (1, 2):
+        for i in range(150):
+            x = [float(np.round(r.normal(), 1)), float(r.normal()), float(r.integers(0, 3))]
+            rows.append((key, i, D(2024, 1, 1 + i % 5), *x, float(np.tanh(x[0]) + (x[2] > 1) * x[1] + r.normal(0, 0.1))))
+    rows += [(3, i, D(2024, 1, 1 + i % 5), 0.0, 0.0, 0.0, 1.0) for i in range(20)] + [(1, 999, D(2024, 1, 1), None, None, None, None)]
+    names, options = ["a", "b", "c"], {"trees": 4, "depth": 3}
+    df = spark.createDataFrame(rows, "key int, i int, date date, a double, b double, c double, label double")
+    forests, cuts = tr.fit_forests(df.repartition(3), names, key="key", ident=("key", "i"), rate=0.3, share=0.7, bins=8, **options)
+    assert set(forests) == {1, 2}
+    got = {(g["key"], g["i"]): g["margin"] for g in tr.predict_forests(df, forests, cuts, names, key="key", **options).collect()}
+    ident = {(g["key"], g["i"]): g["h"] for g in df.select("key", "i", F.xxhash64("key", "i").alias("h")).collect()}
+    for key in (1, 2):
+        mine = [x for x in rows if x[0] == key and x[6] is not None]
+        predict, gains = plain_trees([(x[3:6], x[6]) for x in mine], [ident[key, x[1]] for x in mine], 4, 3, 0.3, 0.7, 8)
+        assert [got[key, x[1]] for x in mine] == pytest.approx(predict([x[3:6] for x in mine]), abs=1e-7)
+        assert [forests[key].gain[forests[key].feature == f].sum() for f in range(3)] == pytest.approx(gains, rel=1e-6)
+        error = np.mean([(got[key, x[1]] - x[6]) ** 2 for x in mine]) / np.var([x[6] for x in mine])
+        assert error < 0.4
+    # Blocks of other sizes and partitions give the same trees to the last bit.
+    again, _ = tr.fit_forests(df.repartition(1), names, key="key", ident=("key", "i"), rate=0.3, share=0.7, bins=8, **options)
+    assert all(again[k].packed() == forests[k].packed() for k in forests)
