@@ -60,6 +60,17 @@ def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROW
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def join_skewed(rows: DataFrame, groups: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """`rows` joined with a written table of one row for each key, with the number of rows that the key has.
+
+    Keys with more than an eighth of a partition's share of all rows, of which there can be no more than 8 a partition, are broadcast, so no task gets all rows of one.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = (groups.agg(F.sum(count)).first()[0] or 0) // (8 * parts)
+    large, rest = F.broadcast(groups.where(F.col(count) > many)), groups.where(F.col(count) <= many)
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(rest, key))
+
+
 def small_lists(df: DataFrame, lists: str, most: int = 64 << 20) -> DataFrame:
     """As small_side, for a written table with a column of lists of longs: the bytes of all lists count."""
     size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(lists)).alias("items")).first()

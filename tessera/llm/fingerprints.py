@@ -25,7 +25,6 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,7 +109,7 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint")
 def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
     """`docs` with `next_text`: the text of the row after in descending order of the id (for the last: of the first).
 
-    Rows are dealt to ranges of the id (by approximate quantiles; their number follows from the bytes of text) and sorted
+    Rows are dealt to ranges of the id (by approximate quantiles in two levels; their number follows from the bytes of text) and sorted
     there, which is the only shuffle of texts. The first row of each range is handed to the range before it, by a join on the
     ranges. Rows of one id follow in the order of their texts; null ids come last, null texts are empty.
     """
@@ -119,17 +118,25 @@ def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", blocks
     if blocks is None:
         blocks = max(2 * parts, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // RANGE_BYTES)
     key, block = F.col(order).cast("double"), F.col("__tessera_block")
-    cuts = docs.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks)).alias("p")).first()["p"] or []
-    ranges = Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="__tessera_key", outputCol="__tessera_block", handleInvalid="keep") if cuts else None
-    dealt = docs.withColumn("__tessera_key", key)
-    dealt = ranges.transform(dealt) if ranges else dealt.withColumn("__tessera_block", F.lit(0.0))
-    dealt = dealt.withColumn("__tessera_block", F.when(F.col("__tessera_key").isNull(), -1).otherwise(block).cast("int")).drop("__tessera_key")
-    # The first row of each range: its largest id, then the least of the texts with that id. A few bytes a range.
+    # Two levels of cuts, each of about the square root of the number of ranges: the upper ones are one short array, the lower ones a row for each upper range.
+    wide = max(1, round(blocks**0.5))
+    cuts_at = lambda n: F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))
+    place = lambda cuts: F.size(F.filter(F.array_distinct(cuts), lambda c: c <= key))
+    none = F.expr("cast(array() AS array<double>)")
+    upper = docs.agg(cuts_at(wide).alias("p")).first()["p"] or []
+    dealt = docs.withColumn("__tessera_upper", place(F.array(*[F.lit(float(x)) for x in sorted(set(upper))]) if upper else none))
+    lower = dealt.groupBy("__tessera_upper").agg(F.coalesce(cuts_at(-(-blocks // wide)), none).alias("__tessera_cuts"))
+    dealt = dealt.join(F.broadcast(lower), "__tessera_upper")  # `wide` rows of `wide` numbers
+    numbered = F.col("__tessera_upper").cast("long") * (1 << 20) + place(F.col("__tessera_cuts"))
+    dealt = dealt.withColumn("__tessera_block", F.when(key.isNull(), -1).otherwise(numbered)).drop("__tessera_upper", "__tessera_cuts")
+    # The first row of each range: its largest id, then the least of the texts with that id.
     top = dealt.groupBy(block.alias("__c")).agg(F.max(order).alias("__top"))
-    heads = dealt.select("__tessera_block", F.col(order).alias("__own"), F.col(text).alias("__head")).join(F.broadcast(top), F.expr("__tessera_block = __c AND __own <=> __top"), "left_semi")
+    heads = dealt.select("__tessera_block", F.col(order).alias("__own"), F.col(text).alias("__head")).join(top, F.expr("__tessera_block = __c AND __own <=> __top"), "left_semi")
     heads = heads.groupBy("__tessera_block").agg(F.min("__head").alias("__head"))
-    lowest_first = Window.orderBy("__tessera_block")  # a row for each range
-    after = heads.select("__tessera_block", F.coalesce(F.lag("__head").over(lowest_first), F.last("__head").over(lowest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__tessera_after"))
+    # Which range comes after which: numbers only. The texts follow by a join.
+    line = Window.orderBy("__tessera_block")  # a row for each range
+    chain = top.select(F.col("__c").alias("__tessera_block")).withColumn("__to", F.coalesce(F.lag("__tessera_block").over(line), F.last("__tessera_block").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    after = chain.join(heads.select(F.col("__tessera_block").alias("__to"), F.col("__head").alias("__tessera_after")), "__to").select("__tessera_block", "__tessera_after")
     if blocks > 2 * parts:
         dealt = dealt.repartition(blocks // 2, block)
     inside = dealt.withColumn("next_text", F.lead(text).over(Window.partitionBy("__tessera_block").orderBy(F.col(order).desc_nulls_last(), F.col(text))))

@@ -39,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._tables import BROADCAST_ROWS, map_arrow, small_side, written
+from ._tables import BROADCAST_ROWS, join_skewed, map_arrow, small_side, written
 from ._words import U64, Words, chunks, distinct_by_row, find, find_words, mix, ragged, signed, windows
 
 REACH = 0.4  # share of a set in its extended prefix
 BUCKET_BYTES = 32 << 20  # of prefixes that meet in one group, at most about
+#: Entries of one signature and band that meet in one key of the last comparison.
+CELL = 1_000
 
 
 def _tokens(words: Words, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,18 +279,27 @@ def similarity_classes(docs: DataFrame, *, k: int = 5, percent: int = 75, freque
         who = F.struct(*fields)
         # First the set with most room, which has the fewest tokens that the others lack; then others by a hash.
         pivot = F.max_by(who, F.struct(F.col("most") / F.col("n"), "doc_id")) if step == 0 else F.min_by(who, F.xxhash64("doc_id", F.lit(step)))
-        split = held.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p")).where("lo <> hi")
+        split = held.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("__rows"), pivot.alias("p")).where("lo <> hi")
+        split = written(split.select("signature", "__rows", "p"), "split")
         if step < star_rounds:
             # Two comparisons for each document whose component the pivot lacks: with the first and the last it meets.
-            named = held.join(split.select("signature", "p"), "signature").where("p.component <> component").where(enough(lambda c: c, lambda c: f"p.{c}")).select("doc_id", F.col("p.doc_id").alias("p"))
+            named = join_skewed(held, split, "signature", "__rows").where("p.component <> component").where(enough(lambda c: c, lambda c: f"p.{c}")).select("doc_id", F.col("p.doc_id").alias("p"))
             pairs = named.groupBy("doc_id").agg(F.array(F.min("p"), F.max("p")).alias("ps")).select("doc_id", F.explode("ps").alias("p"))
             pairs = pairs.select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
         else:
             # The rest in full: pairs of documents of different components that share a bucket, each looking only into bands of sizes it can link with.
-            some = held.join(split.select("signature"), "signature", "left_semi")
+            some = written(join_skewed(held, split.drop("p"), "signature", "__rows"), "open")
             left = some.select("signature", F.explode(F.sequence(band(F.ceil(F.col("n") * percent / 100)), band(F.greatest("most", F.ceil(F.col("n") * percent / 100))))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in fields])
             right = some.select("signature", band(F.col("n")).alias("band"), *[F.col(c).alias(f"{c}_b") for c in fields])
-            met_ = left.join(right, ["signature", "band"]).where("doc_id_a < doc_id_b AND component_a <> component_b").where(enough(lambda c: f"{c}_a", lambda c: f"{c}_b"))
+            # Large cells fall into squares of about CELL by CELL entries, each of which is a key of its own.
+            large = right.groupBy("signature", "band").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > CELL)
+            squares = small_side(written(large.select("signature", "band", F.ceil(F.col("__c") / CELL).alias("__k")), "squares"))
+
+            def dealt(df: DataFrame, side: str, own: str, other: str) -> DataFrame:
+                k = F.coalesce("__k", F.lit(1))
+                return df.join(squares, ["signature", "band"], "left").withColumns({own: F.pmod(F.xxhash64(f"doc_id_{side}"), k), other: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))}).drop("__k")
+
+            met_ = dealt(left, "a", "__i", "__j").join(dealt(right, "b", "__j", "__i"), ["signature", "band", "__i", "__j"]).where("doc_id_a < doc_id_b AND component_a <> component_b").where(enough(lambda c: f"{c}_a", lambda c: f"{c}_b"))
             pairs = met_.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
         links.append(written(_linked(pairs, sets, sketches, percent), "links"))
         edges = links[0]

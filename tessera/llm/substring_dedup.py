@@ -8,7 +8,7 @@
    that has a window decides. Within a task's chunk only the least id's window is sent, the others are
    settled at once; and windows around an anchor of more than `hot` documents are dealt to buckets one by one, not by their
    anchor. So a passage that very many documents share does not pile up in a bucket. Windows are equal if two
-   independent 64-bit hashes of their words agree.
+   64-bit hashes agree that are built in two ways from the 64-bit hashes of their words.
 3. Maximal repeats: agreeing windows next to each other merge into intervals of at least `window`
    words; these are removed from all documents but the one with the least id.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import map_arrow, small_lists, written
+from ._tables import join_skewed, map_arrow, small_lists, written
 from ._words import U64, Words, chunks, distinct_by_row, find_words, signed, windows
 
 #: Bytes of windows that meet in one bucket, about.
@@ -154,8 +154,9 @@ def dedup_substrings(docs: DataFrame, *, window: int = 50, hot: int = 256, text:
     plain = docs.select(F.col(doc_id).cast("long").alias("__tessera_id"), F.coalesce(F.col(text), F.lit("")).alias("__tessera_text")).where(F.col("__tessera_id").isNotNull())
     plain = plain.withColumn("__tessera_rid", F.xxhash64("__tessera_id", "__tessera_text"))
     seeds = written(_seeds(plain, window), "seeds")
-    met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("anchor", (F.col("n") > hot).alias("hot"))
-    shared = written(seeds.join(met, "anchor").groupBy(F.col("doc_id").alias("__tessera_id"), F.col("rid").alias("__tessera_rid")).agg(F.collect_set("anchor").alias("__anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("__hot")), "shared-anchors")
+    met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    met = written(met.select("anchor", "n", (F.col("n") > hot).alias("hot")), "met")
+    shared = written(join_skewed(seeds, met, "anchor").groupBy(F.col("doc_id").alias("__tessera_id"), F.col("rid").alias("__tessera_rid")).agg(F.collect_set("anchor").alias("__anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("__hot")), "shared-anchors")
     with_anchors = plain.join(small_lists(shared, "__anchors"), ["__tessera_id", "__tessera_rid"]).select("__tessera_id", "__tessera_rid", "__tessera_text", "__anchors", "__hot")
     # An anchor stands for at most window - k + 1 windows of 40 bytes.
     sent = (shared.agg(F.sum(F.size("__anchors"))).first()[0] or 0) * (window - window // 2 + 1) * 40

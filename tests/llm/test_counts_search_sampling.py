@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bit_slices, collocations, importance, mixing, toxicity
+from tessera.llm import bit_slices, collocations, fingerprints, importance, mixing, ngram_join, toxicity
 from tessera.llm._tables import first_bytes
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, score double, rank string"
@@ -170,3 +170,27 @@ def test_targets_out_of_reach_show_in_the_shares(spark):
     df = spark.createDataFrame([(i, f"word{i} " * 10, [0.9, 0.1]) for i in range(20)], "doc_id long, text string, posterior array<double>").withColumn("n_tokens", F.lit(10).cast("long"))
     rated, shares = mixing.fit_rates(df, ("a", "b"), {"a": 0.1, "b": 0.9}, max_steps=20)
     assert shares[1] < 0.5 and rated.columns == [*df.columns, "rate"] and rated.where("rate < 0 OR rate IS NULL").count() == 0
+
+
+def test_large_cells_fall_into_squares(spark, monkeypatch):
+    """Documents of one template that do not link, and some that do: the same classes whatever the size of a square."""
+    r = random.Random(3)
+    template = [f"t{i}" for i in range(40)]
+    rows = [(i, " ".join([*template, *(f"w{r.randrange(10**9)}" for _ in range(45))])) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " more words") for i in range(0, 150, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for cell in (7, 1_000):
+        monkeypatch.setattr(ngram_join, "CELL", cell)
+        got.append(sorted(map(tuple, ngram_join.similarity_classes(df, k=5, percent=75, frequent=8).select("doc_id", "component_id").collect())))
+    assert got[0] == got[1] and dict(got[0]) == {i: i % 1000 for i, _ in rows}
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 400])
+def test_next_texts_in_any_number_of_ranges(spark, blocks):
+    r = random.Random(blocks)
+    rows = [(r.randrange(-300, 900), f"text {i % 50}") for i in range(300)] + [(None, "no id"), (None, "another"), (5, None)]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), blocks=blocks).collect()
+    line = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = Counter((i, t, line[(k + 1) % len(line)][1]) for k, (i, t) in enumerate(line))
+    assert Counter(map(tuple, got)) == want
