@@ -271,8 +271,8 @@ def _with_sides(table: DataFrame, counts: DataFrame, longest: int) -> DataFrame:
 
 def with_parts(phrases: DataFrame, table: DataFrame, longest: int = 5) -> DataFrame:
     """(lang, k, phrase, left, right, n, text, heads, tails): the spelled phrase and the counts of its first and of its last 1 to k words."""
-    spelled = table.where("shard = -1").select("lang", F.explode(F.arrays_zip("words", "spelled")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.spelled").alias("text"))
-    words = phrases.where("k = 1").join(spelled, "phrase").groupBy(*phrases.columns).agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
+    spelled = table.where("shard = -1").select("lang", F.explode(F.arrays_zip("words", "spelled")).alias("w")).groupBy(F.col("w.words").alias("phrase")).agg(F.min("lang").alias("lang"), F.min("w.spelled").alias("text"))
+    words = phrases.where("k = 1").join(spelled, "phrase")
     levels = [written(words.withColumns({"heads": F.array("n"), "tails": F.array("n")}), "phrases-1")]
     for k in range(2, longest + 1):
         a = levels[-1].select("lang", F.col("phrase").alias("left"), F.col("text").alias("__a"), "heads")
