@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,35 +28,95 @@ def periods(books: DataFrame, bars: DataFrame) -> DataFrame:
     return numbered.join(until, numbered["period"].eqNullSafe(until["period"])).select("date", numbered["period"], "n", "until")
 
 
-def _held(books: DataFrame, bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(period, symbol, weight, date, n, until, ratio, at_open): each position's value per unit of its entry at every close and (by the execution price) at every open.
+def _priced(bars: DataFrame) -> DataFrame:
+    """(symbol, date, __price, __exec, __open): the filled close, the execution price, and what a position is worth at the open."""
+    filled = F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    return bars.withColumns({"__price": filled, "__exec": execution_price()}).select("symbol", "date", "__price", "__exec", F.coalesce("__exec", "__price").alias("__open"))
+
 
-    A position enters at the first execution price of its period and is cash until then; closes are filled.
+def stopped_books(books: DataFrame, bars: DataFrame, loss: float = 0.15) -> DataFrame:
+    """(date, symbol, weight, exit): the books as stops leave them.
+
+    A position whose filled close is more than `loss` below the price at which its spell began is sold at the next execution price, the `exit`. A name whose stop
+    is open when a book takes over, or was executed at the session before, is not bought back by that book: its weight is 0. An entry price lasts through all books that hold the name.
+    Names do not depend on each other; a group is one name's sessions.
     """
-    filled = F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    priced = bars.withColumns({"__price": filled, "__exec": execution_price()}).select("symbol", "date", "__price", "__exec", F.coalesce("__exec", "__price").alias("__open"))
+    sessions = periods(books, bars)
     book = books.select(F.col("date").alias("period"), "symbol", "weight")
+    rows = _priced(bars).join(sessions.where("period IS NOT NULL"), "date").join(books.select("symbol").distinct(), "symbol", "left_semi").join(book, ["period", "symbol"], "left")
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, held, entry, open_stop, sold_before = [], False, None, False, False
+        for r in pdf.sort_values("date").itertuples():
+            price, sold = (None if pd.isna(r.exec_) else r.exec_), False
+            if r.n == 1:
+                weight = 0.0 if pd.isna(r.weight) or open_stop or sold_before else r.weight
+                held, entry = weight > 0, entry if held and weight > 0 else None
+                open_stop = False
+                if not pd.isna(r.weight):
+                    out.append([r.period, r.symbol, weight, None])
+            elif open_stop and price is not None:
+                out[-1][3] = r.date
+                held, entry, open_stop, sold = False, None, False, True
+            if held and entry is None:
+                entry = price
+            if held and entry is not None and not pd.isna(r.close_) and r.close_ / entry - 1 < -loss:
+                open_stop = True
+            sold_before = sold
+        return pd.DataFrame(out, columns=["date", "symbol", "weight", "exit"])
+
+    plain = rows.select("symbol", "date", "period", "n", F.col("weight").cast("double").alias("weight"), F.col("__exec").alias("exec_"), F.col("__price").alias("close_"))
+    kind = books.schema["symbol"].dataType.simpleString()
+    return plain.groupBy("symbol").applyInPandas(follow, f"date date, symbol {kind}, weight double, exit date")
+
+
+def _held(books: DataFrame, bars: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(period, symbol, weight, date, live, sold, ratio, at_open) at every session, and (period, symbol, weight, date, live, ratio) when the next book takes over: positions per unit of their entry.
+
+    A position enters at the first execution price of its period and is cash until then; closes are filled; from the session of an `exit` on it is not live.
+    """
+    priced = _priced(bars)
+    book = books.select(F.col("date").alias("period"), "symbol", "weight", "exit")
     rows = priced.join(sessions, "date").join(book, ["period", "symbol"])
     so_far = Window.partitionBy("period", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__entry", F.first("__exec", ignorenulls=True).over(so_far))
+    rows = rows.withColumn("__entry", F.first("__exec", ignorenulls=True).over(so_far)).withColumns({"live": F.coalesce(F.col("date") < F.col("exit"), F.lit(True)), "sold": F.coalesce(F.col("date") == F.col("exit"), F.lit(False))})
+    ratio = lambda p: F.coalesce(F.try_divide(p, F.col("__entry")), F.lit(1.0))
     # What the position is worth when the next book takes over.
     after = priced.select("symbol", F.col("date").alias("until"), F.col("__open").alias("__next"))
-    ends = rows.groupBy("period", "symbol", "weight", "until").agg(F.max_by("__entry", "date").alias("__entry"), F.max_by("__price", "date").alias("__last")).where("until IS NOT NULL").join(after, ["until", "symbol"], "left")
-    ratio = lambda p: F.coalesce(F.try_divide(p, F.col("__entry")), F.lit(1.0))
-    closes = rows.select("period", "symbol", "weight", "date", "n", ratio(F.col("__price")).alias("ratio"), F.lit(False).alias("over"))
-    return closes.unionByName(ends.select("period", "symbol", "weight", F.col("until").alias("date"), F.lit(None).cast("int").alias("n"), ratio(F.coalesce("__next", "__last")).alias("ratio"), F.lit(True).alias("over")))
+    ends = rows.groupBy("period", "symbol", "weight", "until").agg(F.max_by("__entry", "date").alias("__entry"), F.max_by("__price", "date").alias("__last"), F.bool_and("live").alias("live")).where("until IS NOT NULL").join(after, ["until", "symbol"], "left")
+    return rows.select("period", "symbol", "weight", "date", "live", "sold", ratio(F.col("__price")).alias("ratio"), ratio(F.col("__open")).alias("at_open")), ends.select("period", "symbol", "weight", F.col("until").alias("date"), "live", ratio(F.coalesce("__next", "__last")).alias("ratio"))
+
+
+def _valued(books: DataFrame, bars: DataFrame, rate: float, sessions: DataFrame, costs: tuple[float, float, float] = (0, 0, 0)) -> tuple[DataFrame, DataFrame]:
+    """(positions when the next book takes over, growth of every book by (period, date, over)).
+
+    Cash is what the weights leave and what stops bring in, less their cost; where it is below 0 each session's close adds a day's interest. A period's
+    cash is followed through an array of its sessions.
+    """
+    positions, ends = _held(books, bars, sessions)
+    worth = lambda test, c: F.coalesce(F.sum(F.when(test, F.col("weight") * F.col(c))), F.lit(0.0))
+    sums = positions.groupBy("period", "date").agg(worth(F.col("live"), "ratio").alias("held"), worth(F.col("live") | F.col("sold"), "at_open").alias("opened"), worth(F.col("sold"), "at_open").alias("sold"))
+    whole = sessions.where("period IS NOT NULL").join(sums, ["period", "date"], "left").fillna(0.0, ["held", "opened", "sold"])
+    paths = whole.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("n", "date", "held", "opened", "sold"))).alias("path"))
+    cash = books.groupBy(F.col("date").alias("period")).agg((1 - F.sum("weight")).alias("cash"))
+
+    def follow(done: Column, x: Column) -> Column:
+        before = F.element_at(done, -1)["cash"]
+        value = before + x["opened"]
+        now = before + x["sold"] - F.coalesce(cost_rate(F.try_divide(x["sold"], value), *costs), F.lit(0.0)) * value
+        return F.concat(done, F.array(F.struct(x["date"].alias("date"), x["held"].alias("held"), F.when(now < 0, now * (1 + rate / 252)).otherwise(now).alias("cash"))))
+
+    start = F.array(F.struct(F.lit(None).cast("date").alias("date"), F.lit(0.0).alias("held"), F.col("cash")))
+    paths = paths.join(cash, "period").withColumn("path", F.aggregate("path", start, follow))
+    closes = paths.select("period", F.inline("path")).where("date IS NOT NULL").select("period", "date", F.lit(False).alias("over"), (F.col("held") + F.col("cash")).alias("growth"))
+    rest = ends.groupBy("period", "date").agg(worth(F.col("live"), "ratio").alias("__v"))
+    untils = sessions.where("until IS NOT NULL").select("period", F.col("until").alias("date")).distinct()
+    over = untils.join(rest, ["period", "date"], "left").join(paths.select("period", F.element_at("path", -1)["cash"].alias("cash")), "period")
+    return ends, closes.unionByName(over.select("period", "date", F.lit(True).alias("over"), (F.coalesce("__v", F.lit(0.0)) + F.col("cash")).alias("growth")))
 
 
-def _valued(books: DataFrame, bars: DataFrame, rate: float, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(positions of _held, growth of every book by (period, date, over)): cash is what the weights leave; where it is below 0 each session's close adds a day's interest."""
-    positions = _held(books, bars, sessions)
-    sums = positions.groupBy("period", "date", "over").agg(F.max("n").alias("n"), F.sum(F.col("weight") * F.col("ratio")).alias("__v"))
-    cash = books.groupBy(F.col("date").alias("period")).agg((1 - F.sum("weight")).alias("__cash"))
-    spans = sessions.where("period IS NOT NULL").groupBy("period").agg(F.max("n").alias("__n"))
-    # Before the next open a period has paid interest for all its sessions.
-    paid = F.pow(F.lit(1 + rate / 252), F.when(F.col("over"), F.col("__n")).otherwise(F.col("n")))
-    growth = F.col("__cash") * F.when(F.col("__cash") < 0, paid).otherwise(1.0) + F.col("__v")
-    return positions, sums.join(cash, "period").join(spans, "period").select("period", "date", "over", growth.alias("growth"))
+def _with_exits(books: DataFrame) -> DataFrame:
+    return books if "exit" in books.columns else books.withColumn("exit", F.lit(None).cast("date"))
 
 
 def holding_growth(books: DataFrame, bars: DataFrame, rate: float = 0.0) -> DataFrame:
@@ -63,20 +124,22 @@ def holding_growth(books: DataFrame, bars: DataFrame, rate: float = 0.0) -> Data
 
     A position enters at the first execution price (open, else close) after its book's date; uninvested weight is cash, and `rate` is the yearly interest on cash below 0.
     """
-    return _valued(books, bars, rate, periods(books, bars))[1]
+    return _valued(_with_exits(books), bars, rate, periods(books, bars))[1]
 
 
 def net_equity(books: DataFrame, bars: DataFrame, start: float = 1_000_000.0, commission: float = 10, slippage: float = 5, impact: float = 2.5, rate: float = 0.06) -> DataFrame:
     """(date, equity, turnover, cost): the curve of all books one after the other, net of costs and interest; turnover and cost stand at the sessions on which a book takes over.
 
     The old book is valued at the new one's execution prices; the change from the weights that it has come to by then, both sides counted, is the
-    turnover, whose cost comes off before the new period starts. Before the first book the equity is its start. Weight space: no whole shares, pending orders or blocked buys.
+    turnover, whose cost comes off before the new period starts. Books of stopped_books() sell at their exits, at a cost, and hold the cash until the next book.
+    Before the first book the equity is its start. Weight space: no whole shares, pending orders or blocked buys.
     """
+    books = _with_exits(books)
     sessions = periods(books, bars)
-    positions, growth = _valued(books, bars, rate, sessions)
+    ends, growth = _valued(books, bars, rate, sessions, (commission, slippage, impact))
     takes = sessions.where("n = 1 AND period IS NOT NULL").select("period", F.col("date").alias("at"))
     handed = growth.where("over").select(F.col("date").alias("at"), F.col("growth").alias("__g"))
-    old = positions.where("over").select(F.col("date").alias("at"), "symbol", (F.col("weight") * F.col("ratio")).alias("__old")).join(handed, "at").select("at", "symbol", F.try_divide("__old", "__g").alias("__old"))
+    old = ends.where("live").select(F.col("date").alias("at"), "symbol", (F.col("weight") * F.col("ratio")).alias("__old")).join(handed, "at").select("at", "symbol", F.try_divide("__old", "__g").alias("__old"))
     new = books.select(F.col("date").alias("period"), "symbol", "weight").join(takes, "period").select("at", "symbol", "weight")
     moved = old.join(new, ["at", "symbol"], "full_outer").groupBy("at").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("__old", F.lit(0.0)))).alias("turnover"))
     steps = takes.join(moved, "at", "left").join(handed, "at", "left").withColumn("cost", cost_rate(F.coalesce("turnover", F.lit(0.0)), commission, slippage, impact))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +19,11 @@ CAPITAL = 1_000_000.0
 DRAWDOWN_LIMIT = 0.15
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """A small table that a query reads several times, written once."""
-    return src.write_result(df, f"{src.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
-
-
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top twelve of every fourth week."""
     scored = rounded(fa.composite(fa.price_factors(bars(spark, sf_dir), WEEKLY)), "score", digits=5)
     some = scored.where(F.pmod(F.floor(F.datediff("date", F.lit("1995-01-02")) / 7), F.lit(4)) == 0)
-    return _stored(fa.top_by_score(some, 12).select("date", "symbol", "sector", "score"), "top")
+    return src.stored(fa.top_by_score(some, 12).select("date", "symbol", "sector", "score"), "top")
 
 
 def _plain_book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +34,7 @@ def _plain_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(rounded(_plain_book(spark, sf_dir), "weight"), "book")
+    return src.stored(rounded(_plain_book(spark, sf_dir), "weight"), "book")
 
 
 def weights_gross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +68,7 @@ def weights_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weights_turnover_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every book against the one before; books that bring a sector back under its cap pass."""
-    book = _stored(rounded(we.score_weights(_top(spark, sf_dir), F.lit(1.0)).select("date", "symbol", "sector", "weight"), "weight", digits=5), "book")
+    book = src.stored(rounded(we.score_weights(_top(spark, sf_dir), F.lit(1.0)).select("date", "symbol", "sector", "weight"), "weight", digits=5), "book")
     old = of_the_date_before(book)
     new = book.join(old.select("date").distinct(), "date", "left_semi")
     return rounded(we.turnover_capped(old, new, 0.4, 1.0, keys=("date",), sector_cap=0.6), "weight", digits=5)
@@ -92,7 +85,7 @@ def weights_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _samples(spark: SparkSession, sf_dir: str, book: DataFrame | None = None) -> DataFrame:
     book = (_book(spark, sf_dir) if book is None else book).select("date", "symbol", "weight")
     returns = rounded(fa.with_returns(bars(spark, sf_dir)).select("symbol", "date", "ret"), "ret")
-    return _stored(we.moments(returns, book, 26), "samples")
+    return src.stored(we.moments(returns, book, 26), "samples")
 
 
 def covariance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +111,7 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _top(spark, sf_dir)
     cov = we.covariance(_samples(spark, sf_dir, top.withColumn("weight", F.lit(1.0))), "shrunk")
     regimes = we.regime(fa.with_returns(src.benchmark_bars(spark, sf_dir)), 8, 0.3, 0.6, 52)
-    return _stored(rounded(we.target_books(top, cov, regimes, low=LOW, cap=CAP, sector_cap=SECTOR_CAP, target=0.4, periods=52), "weight", digits=7), "targets")
+    return src.stored(rounded(we.target_books(top, cov, regimes, low=LOW, cap=CAP, sector_cap=SECTOR_CAP, target=0.4, periods=52), "weight", digits=7), "targets")
 
 
 def weights_final(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +230,13 @@ def net_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pe.net_equity(book, _opened(spark, sf_dir)), "equity", "turnover", "cost", digits=6).withColumn("equity", F.round("equity", 2))
 
 
+def net_equity_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books' curve with stops at a loss of a tenth."""
+    book, panel = _book(spark, sf_dir), src.stored(_opened(spark, sf_dir), "panel")
+    stopped = src.stored(pe.stopped_books(book, panel, 0.1), "stopped")
+    return rounded(pe.net_equity(stopped, panel), "equity", "turnover", "cost", digits=6).withColumn("equity", F.round("equity", 2))
+
+
 def drifted_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = bars(spark, sf_dir).select("date", "symbol", qu.forward_filled("close").alias("price"))
     return rounded(pe.drifted_turnover(_book(spark, sf_dir), prices), "turnover")
@@ -250,7 +250,7 @@ def rebalance_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select("date", pe.cost_rate(F.col("turnover")).alias("cost"), pe.margin_interest(1 - 1.25 * F.col("gross")).alias("interest")), "cost", "interest", digits=8)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (weights_gross, weights_by_score, weights_bounded, weights_sector_capped, weights_hard_limits, weights_stopped, weights_turnover, weights_turnover_capped, weights_concentration, weights_sectors, covariance_sample, covariance_shrunk, covariance_decayed, weights_volatility_scaled, weights_final, weights_turnover_chained, book_risk, exposures, market_regime, performance_by_run, performance_windows, monthly_returns, return_risk, account_summary, weekly_curve, sharpe_rolling, stop_losses, delisting_payoff, holding_growth, portfolio_equity, net_equity, rebalance_costs, drifted_turnover, drawdown_breaches, rebalance_activity, portfolio_table, portfolio_header, factor_breakdown)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (weights_gross, weights_by_score, weights_bounded, weights_sector_capped, weights_hard_limits, weights_stopped, weights_turnover, weights_turnover_capped, weights_concentration, weights_sectors, covariance_sample, covariance_shrunk, covariance_decayed, weights_volatility_scaled, weights_final, weights_turnover_chained, book_risk, exposures, market_regime, performance_by_run, performance_windows, monthly_returns, return_risk, account_summary, weekly_curve, sharpe_rolling, stop_losses, delisting_payoff, holding_growth, portfolio_equity, net_equity, net_equity_stopped, rebalance_costs, drifted_turnover, drawdown_breaches, rebalance_activity, portfolio_table, portfolio_header, factor_breakdown)}
 
 _TOP = f"WITH {sql_bars()}, {sql_factors(WEEKLY)}, {sql_composite('fac', fa.WEIGHTS)}, t0 AS (SELECT date, symbol, sector, round(score, 5) AS score FROM comp WHERE score IS NOT NULL AND ((date - DATE '1995-01-02') // 7) % 4 = 0), top AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS k FROM t0) WHERE k <= 12)"
 

@@ -271,35 +271,84 @@ def test_a_position_is_carried_to_the_next_execution(spark):
     assert [r["equity"] for r in got.collect()] == [100.0, 100.0, 100.0, 200.0, 200.0]
 
 
-def loop_equity(books, bars, start, rates, rate):
-    """Session after session: the book of an earlier date takes over at this session's execution prices."""
+def loop_equity(books, bars, start, rates, rate, loss=None):
+    """Session after session: the book of an earlier date takes over at this session's execution prices; stops sell at the next one."""
     days = sorted({d for _, d, _, _ in bars})
+    names = sorted({s for s, *_ in bars})
     open_, close = {(s, d): (o if o is not None else c) for s, d, o, c in bars}, {}
-    for s in {s for s, *_ in bars}:
+    for s in names:
         last = None
         for d in days:
             last = next((c for x, y, _, c in bars if (x, y) == (s, d) and c is not None), last)
             close[s, d] = last
-    cash, held, waiting, value, out = start, {}, {}, start, []
+    cost_of = lambda t: t * (rates[0] + rates[1]) / 1e4 + t**1.5 * rates[2] / 1e4
+    cash, held, waiting, out = start, {}, {}, []
+    entry, stops, sold_before = {}, set(), set()
     for i, d in enumerate(days):
         due = [b for b in books if (days[i - 1] if i else -1) <= b < d]
         turnover = cost = 0.0
+        mark = lambda s: open_.get((s, d)) or close[s, d]  # noqa: E731, B023
+        sold = set()
         if due:
-            book = books[max(due)]
-            worth = {s: q * (open_.get((s, d)) or close[s, d]) for s, q in held.items()} | {s: v for s, v in waiting.items()}
+            book = {s: 0.0 if s in stops | sold_before else w for s, w in books[max(due)].items()}
+            worth = {s: q * mark(s) for s, q in held.items()} | waiting
             value = cash + sum(worth.values())
             turnover = sum(abs(book.get(s, 0.0) - worth.get(s, 0.0) / value) for s in {*book, *worth})
-            cost = turnover * (rates[0] + rates[1]) / 1e4 + turnover**1.5 * rates[2] / 1e4
+            cost = cost_of(turnover)
             value *= 1 - cost
-            cash, held, waiting = value * (1 - sum(book.values())), {}, {s: value * w for s, w in book.items()}
+            entry = {s: p for s, p in entry.items() if book.get(s, 0.0) > 0 and s not in stops}
+            cash, held, stops = value * (1 - sum(book.values())), {}, set()
+            waiting = {s: value * w for s, w in book.items() if w > 0}
+        else:
+            sold = {s for s in stops if open_.get((s, d)) is not None}
+            value, gone = cash + sum(q * mark(s) for s, q in held.items()) + sum(waiting.values()), sum(held[s] * mark(s) for s in sold)
+            cash += gone - (cost_of(gone / value) * value if sold else 0.0)
+            for s in sold:
+                del held[s], entry[s]
+            stops -= sold
         for s in [s for s in waiting if open_.get((s, d)) is not None]:
             held[s] = waiting.pop(s) / open_[s, d]
+            entry.setdefault(s, open_[s, d])
+        if loss is not None:
+            stops |= {s for s in held if close[s, d] / entry[s] - 1 < -loss}
         if cash < 0:
             cash *= 1 + rate / 252
+        sold_before = sold
         out.append((D(2024, 1, d), cash + sum(q * close[s, d] for s, q in held.items()) + sum(waiting.values()), turnover, cost))
     return out
 
 
+@pytest.mark.parametrize(("loss", "factor"), [(0.03, 1.0), (0.08, 1.5), (5.0, 1.0)])
+def test_stops_act_on_the_books(spark, loss, factor):
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for s in "ABCD":
+        price = 10.0
+        for d in range(1, 31):
+            o, price = price * r.uniform(0.93, 1.07), price * r.uniform(0.92, 1.08)
+            rows.append((s, d, None if r.random() < 0.2 else o, price))
+    books = {2: {"A": 0.3, "B": 0.3, "C": 0.4}, 8: {"A": 0.5, "B": 0.2, "D": 0.3}, 9: {"A": 0.4, "C": 0.6}, 14: {"A": 0.25, "B": 0.25, "C": 0.25, "D": 0.25}, 21: {"B": 0.5, "D": 0.5}}
+    books = {d: {s: w * factor for s, w in b.items()} for d, b in books.items()}
+    bars = bars_of(spark, rows)
+    stopped = pe.stopped_books(books_of(spark, [(d, s, w) for d, b in books.items() for s, w in b.items()]), bars, loss).cache()
+    got = pe.net_equity(stopped, bars, 1000.0).orderBy("date").collect()
+    for g, w in zip(got, loop_equity(books, rows, 1000.0, (10, 5, 2.5), 0.06, loss), strict=True):
+        assert tuple(g)[1:] == pytest.approx(w[1:], rel=1e-9)
+    assert (stopped.where("exit IS NOT NULL").count() > 0) == (loss < 1)
+
+
+def test_a_stopped_name_is_not_bought_back_in_the_same_cycle(spark):
+    """Stopped at the close on which the next book is made, or sold at that session's open: the book after that takes it again."""
+    closes = {1: 10.0, 2: 10.0, 3: 10.0, 4: 8.0, 5: 8.0, 6: 8.0, 7: 6.0, 8: 6.0, 9: 6.0, 10: 6.0, 11: 6.0}
+    bars = bars_of(spark, [("A", d, c, c) for d, c in closes.items()])
+    books = {1: 1.0, 4: 1.0, 5: 1.0, 8: 1.0, 9: 1.0}
+    got = pe.stopped_books(books_of(spark, [(d, "A", w) for d, w in books.items()]), bars, 0.15)
+    # 8 is made on the session on which the stop of 7 is executed.
+    assert {r["date"].day: (r["weight"], r["exit"] and r["exit"].day) for r in got.collect()} == {1: (1.0, None), 4: (0.0, None), 5: (1.0, 8), 8: (0.0, None), 9: (1.0, None)}
+
+
 @pytest.mark.parametrize(("rates", "rate", "factor"), [((0, 0, 0), 0.0, 1.0), ((10, 5, 2.5), 0.06, 1.0), ((100, 50, 2.5), 0.3, 1.6)])
 def test_net_equity_equals_a_loop(spark, rates, rate, factor):
     import random
