@@ -318,7 +318,7 @@ def loop_equity(books, bars, start, rates, rate, loss=None):
     return out
 
 
-@pytest.mark.parametrize(("loss", "factor"), [(0.03, 1.0), (0.08, 1.5), (5.0, 1.0)])
+@pytest.mark.parametrize(("loss", "factor"), [(0.03, 1.0), (0.05, 1.5), (5.0, 1.0)])
 def test_stops_act_on_the_books(spark, loss, factor):
     import random
 
