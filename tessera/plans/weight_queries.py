@@ -213,7 +213,7 @@ def delisting_payoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars that open at the close before."""
-    return bars(spark, sf_dir).withColumn("open", F.lag("close").over(Window.partitionBy("symbol").orderBy("date")))
+    return src.stored(bars(spark, sf_dir).withColumn("open", F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))), "panel")
 
 
 def portfolio_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +232,7 @@ def net_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def net_equity_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The books' curve with stops at a loss of a tenth."""
-    book, panel = _book(spark, sf_dir), src.stored(_opened(spark, sf_dir), "panel")
+    book, panel = _book(spark, sf_dir), _opened(spark, sf_dir)
     stopped = src.stored(pe.stopped_books(book, panel, 0.1), "stopped")
     return rounded(pe.net_equity(stopped, panel), "equity", "turnover", "cost", digits=6).withColumn("equity", F.round("equity", 2))
 
