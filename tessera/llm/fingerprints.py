@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import map_arrow
+from ._tables import BROADCAST_ROWS, map_arrow
 from ._words import CHUNK_BYTES, SPACE, U64, find_words, mix, text_bytes, windows
 
 EQUAL_LANES, LIKE_LANES, RUN = 8, 128, 3
@@ -129,9 +129,10 @@ def with_next(docs: DataFrame, order: str = "doc_id", text: str = "text", blocks
     dealt = dealt.join(F.broadcast(lower), "__tessera_upper")  # `wide` rows of `wide` numbers
     numbered = F.col("__tessera_upper").cast("long") * (1 << 20) + place(F.col("__tessera_cuts"))
     dealt = dealt.withColumn("__tessera_block", F.when(key.isNull(), -1).otherwise(numbered)).drop("__tessera_upper", "__tessera_cuts")
-    # The first row of each range: its largest id, then the least of the texts with that id.
+    # The first row of each range: its largest id, then the least of the texts with that id. A few bytes for each of about `blocks` ranges.
     top = dealt.groupBy(block.alias("__c")).agg(F.max(order).alias("__top"))
-    heads = dealt.select("__tessera_block", F.col(order).alias("__own"), F.col(text).alias("__head")).join(top, F.expr("__tessera_block = __c AND __own <=> __top"), "left_semi")
+    known = F.broadcast(top) if blocks <= BROADCAST_ROWS else top
+    heads = dealt.select("__tessera_block", F.col(order).alias("__own"), F.col(text).alias("__head")).join(known, F.expr("__tessera_block = __c AND __own <=> __top"), "left_semi")
     heads = heads.groupBy("__tessera_block").agg(F.min("__head").alias("__head"))
     # Which range comes after which: numbers only. The texts follow by a join.
     line = Window.orderBy("__tessera_block")  # a row for each range
