@@ -5,10 +5,10 @@ on; a longer phrase becomes active with the scan after both its subphrases (all
 have reached the threshold, and is counted for one full cycle, so that each shard is seen once. Lengths overlap: long
 phrases of frequent words are counted while rare words still are.
 
-Which phrases are active is never listed. An array of fixed size has, for each cell of hashes, the turn from which on a phrase in it
+Which phrases are active is never listed. An array of fixed size has, for each length and cell of hashes, the turn from which on a phrase in it
 has reached the threshold; the later turn of a phrase's two subphrases is its start, and its cycle ends `shards` turns later.
 Phrases that share a cell start too early, or are counted in vain, but always for one whole cycle, so every count is exact at any size of the
-corpus. Counts travel and stay as arrays, a row for each bucket of hashes.
+corpus. Lengths have cells of their own: a scan looks at phrases of k words only from the turn at which one of k - 1 words reached the threshold. Counts travel and stay as arrays, a row for each bucket of hashes.
 
 Everything is for each language; a null one is `und`. Null and empty texts have no words, pieces never cross rows, rows that are repeated count
 again, very long texts are handled whole, and an empty table gives an empty result. Other columns are not read. Words are told apart by 64 bits.
@@ -35,7 +35,7 @@ PIECE = np.zeros(256, bool)
 PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 WORD_END = PIECE.copy()
 WORD_END[[0x20, 0x09]] = True
-#: Cells of hashes, as bits: an array of 16 MB, at any size of the corpus.
+#: Cells of hashes of all lengths together, as bits: an array of 16 MB, at any size of the corpus.
 BITS = 24
 #: Bytes of counts that meet in one bucket, about.
 BUCKET_BYTES = 32 << 20
@@ -147,10 +147,10 @@ COUNTS = "bucket int, phrase binary, k binary, start binary, n binary, reached b
 
 def _scan(shard: DataFrame, longest: int, turn: int, shards: int, since: np.ndarray, buckets: int) -> DataFrame:
     """Counts of one scan: of words in the first cycle, and of the phrases whose cycle it is."""
-    sent = zlib.compress(since.tobytes(), 1)
+    sent, shape = zlib.compress(since.tobytes(), 1), since.shape
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.frombuffer(zlib.decompress(sent), np.uint8)
+        cells = np.frombuffer(zlib.decompress(sent), np.uint8).reshape(shape)
         for words, sizes, _ in _lists(batches):
             for k, at, phrase, before in _grams(words, sizes, longest):
                 if k == 1:
@@ -158,9 +158,9 @@ def _scan(shard: DataFrame, longest: int, turn: int, shards: int, since: np.ndar
                         continue
                     start = np.zeros(len(at), np.uint8)
                 else:
-                    left = _cells(before[at], cells)
+                    left = _cells(before[at], cells[k - 2])
                     at, left = at[left > 0], left[left > 0]
-                    right = _cells(before[at + 1], cells)
+                    right = _cells(before[at + 1], cells[k - 2])
                     start = np.maximum(left, right)
                     go = (right > 0) & (start.astype(np.int64) + shards > turn)
                     at, start = at[go], start[go]
@@ -174,9 +174,9 @@ def _scan(shard: DataFrame, longest: int, turn: int, shards: int, since: np.ndar
     return map_arrow(shard.select("lang", "words"), scan, COUNTS)
 
 
-def _merged(counts: DataFrame, least: int, turn: int, shards: int, longest: int) -> DataFrame:
+def _merged(counts: DataFrame, least: int, turn: int, shards: int, longest: int, bits: int) -> DataFrame:
     """Counts of one bucket as one row. What has had its cycle and is rare goes."""
-    bits, kinds = BITS, {"phrase": U64, "k": np.uint8, "start": np.uint8, "n": np.int64, "reached": np.uint8}
+    kinds = {"phrase": U64, "k": np.uint8, "start": np.uint8, "n": np.int64, "reached": np.uint8}
 
     def meet(table: pa.Table) -> pa.Table:
         got = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items()}
@@ -204,7 +204,9 @@ def frequent_phrases(table: DataFrame, longest: int = 5, least: int = 100, shard
     if longest * shards + shards > 255:
         raise ValueError("turns are counted in one byte")
     buckets = _buckets(table)
-    since, last, turn, counts = np.zeros(1 << BITS, np.uint8), {}, 0, None
+    lengths_below = max(1, longest - 1)
+    bits = max(6, BITS - (lengths_below - 1).bit_length())  # cells travel in words of 64
+    since, last, turn, counts = np.zeros((lengths_below, 1 << bits), np.uint8), {}, 0, None
     while True:
         # A length is counted while one less has reached the threshold within a cycle.
         lengths = [k for k in range(2, longest + 1) if k - 1 in last and turn < last[k - 1] + shards]
@@ -212,17 +214,17 @@ def frequent_phrases(table: DataFrame, longest: int = 5, least: int = 100, shard
             break
         got = _scan(table.where(F.col("shard") == turn % shards), max([1, *lengths]), turn, shards, since, buckets)
         before = counts
-        counts = written(_merged(got if before is None else before.drop("fresh").withColumn("fresh", F.lit(None).cast("array<long>")).unionByName(got), least, turn, shards, longest), "counts")
+        counts = written(_merged(got if before is None else before.drop("fresh").withColumn("fresh", F.lit(None).cast("array<long>")).unionByName(got), least, turn, shards, longest, bits), "counts")
         if before is not None:
             forget(before)
         turn += 1
-        place = F.expr(f"place & {(1 << BITS) - 1}")
-        words = counts.select(F.explode("fresh").alias("place")).groupBy(F.shiftright("place", BITS).alias("k"), F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")).toArrow()
-        bits = np.unpackbits(np.asarray(words.column("bits")).astype(np.int64).view(np.uint8), bitorder="little").reshape(-1, 64)
-        rows, digit = np.nonzero(bits)
-        cells = np.asarray(words.column("w")).astype(np.int64)[rows] * 64 + digit
-        since[cells[since[cells] == 0]] = turn
-        last |= dict.fromkeys(map(int, np.unique(np.asarray(words.column("k")))), turn)
+        place = F.expr(f"place & {(1 << bits) - 1}")
+        words = counts.select(F.explode("fresh").alias("place")).groupBy(F.shiftright("place", bits).alias("k"), F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")).toArrow()
+        rows, digit = np.nonzero(np.unpackbits(np.asarray(words.column("bits")).astype(np.int64).view(np.uint8), bitorder="little").reshape(-1, 64))
+        k, cell = np.asarray(words.column("k")).astype(np.int64)[rows], np.asarray(words.column("w")).astype(np.int64)[rows] * 64 + digit
+        new = since[k - 1, cell] == 0
+        since[k[new] - 1, cell[new]] = turn
+        last |= dict.fromkeys(map(int, np.unique(k)), turn)
     return _with_sides(table, counts, longest)
 
 

@@ -78,6 +78,17 @@ def test_shared_cells_change_no_result(docs, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(docs, 5, 5).collect())) == loops(docs.collect(), 5, 5, 100, 2000)
 
 
+def test_cells_shared_with_other_lengths_cut_no_cycle(spark, monkeypatch):
+    # Few cells and many frequent words: longer phrases meet words in their cells before any phrase of their length is scanned.
+    monkeypatch.setattr(collocations, "BITS", 6)
+    r = random.Random(8)
+    lines = [[f"v{r.randrange(300)}" for _ in range(r.randint(2, 7))] for _ in range(40)]
+    rows = [(i, " ".join(w for _ in range(8) for w in r.choice(lines)), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = loops(docs.collect(), 5, 5, 100, 2000)
+    assert sorted(map(tuple, collocations.collocations(docs, 5, 5).collect())) == want and len(want) > 100
+
+
 def vectors():
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(0, 0.3, 7)], "clash") for i in range(-60, 300)]
