@@ -126,7 +126,9 @@ def weights_turnover_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = _book(spark, sf_dir)
-    return rounded(we.book_risk(_samples(spark, sf_dir, book), book), "hhi", "gross", "effective_n", "top_sector", "vol", "drawdown", "var", "cvar", digits=4)
+    # Weights have six digits, so these sums have at most twelve; without that, an exact half would go by the order of a sum.
+    risk = rounded(we.book_risk(_samples(spark, sf_dir, book), book), "hhi", "gross", "top_sector", digits=12)
+    return rounded(risk, "hhi", "gross", "effective_n", "top_sector", "vol", "drawdown", "var", "cvar", digits=4)
 
 
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,19 @@ def test_walk_forward_fits_every_rebalance_date(spark, name):
         assert rows.where("margin IS NULL OR score IS NULL").count() == 0 and rows.select(F.count_distinct("margin")).first()[0] > 20
 
 
+@pytest.mark.parametrize("weights", [[0.079965, 0.119978, 0.05839, 0.112017], [0.112017, 0.05839, 0.119978, 0.079965]])
+def test_halves_in_book_risk_do_not_go_by_the_order_of_rows(spark, monkeypatch, weights):
+    from tessera.plans import weight_queries as wq
+
+    day = datetime.date(2024, 1, 1)
+    # Rows of one partition are summed in their order; exactly they have 0.37035 together.
+    book = spark.createDataFrame([(day, f"s{i}", "x", w) for i, w in enumerate(weights)], "date date, symbol string, sector string, weight double").coalesce(1)
+    samples = book.select(F.col("date").alias("book_date"), "date", "symbol", F.lit(0.01).alias("ret"), F.lit(0).alias("age"))
+    monkeypatch.setattr(wq, "_book", lambda *_: book)
+    monkeypatch.setattr(wq, "_samples", lambda *_: samples)
+    assert [r["top_sector"] for r in wq.book_risk(spark, SF).collect()] == [0.3704]
+
+
 def run_stream(spark, rows, schema, build, mode):
     """What build() makes of rows that come in one file after another."""
     base = tempfile.mkdtemp(prefix="spark-")
