@@ -76,10 +76,11 @@ def first_attempts(attempts: DataFrame, seconds: int = 300, late: str = "1 hour"
     return out.select(F.col("symbol").cast(attempts.schema["symbol"].dataType).alias("symbol"), F.timestamp_micros("us").alias("ts"), "id")
 
 
-def order_increases(fills: DataFrame, late: str = "1 hour") -> DataFrame:
+def order_increases(fills: DataFrame, late: str = "1 hour", buckets: int = 256) -> DataFrame:
     """(day, order_id, increase): by how much each fill (ts, order_id, notional), whose notional is cumulative, raises its order's highest of the New York day.
 
-    Repeated and smaller notionals raise nothing and come out only as the order's first row of a day, with 0. The state of an order and day is its highest; it goes
+    Repeated and smaller notionals raise nothing and come out only as the order's first row of a day, with 0. Orders fall into `buckets` by a hash, since calls of Python
+    for each order cost more than its rows; the state of a bucket and day is the highest of each of its orders. It goes
     when the watermark has passed the day, after which rows of that day are dropped. Append mode only; the sum of a day is that of operators.execution.daily_totals.
     """
 
@@ -87,18 +88,21 @@ def order_increases(fills: DataFrame, late: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        known, (top,) = state.exists, state.get if state.exists else (0.0,)
-        out, end = [], 0
+        tops = dict(zip(*state.get, strict=True)) if state.exists else {}
+        before, end = {}, 0
         for b in batches:
-            out.append(max([top, *b["notional"].tolist()]) - top)
-            top, end = top + out[-1], int(b["day_end"].max())
-        state.update((top,))
+            for order, notional in zip(b["order_id"].tolist(), b["notional"].tolist(), strict=True):
+                before.setdefault(order, tops.get(order))
+                if notional > tops.setdefault(order, 0.0):
+                    tops[order] = notional
+            end = max(end, int(b["day_end"].max()))
+        state.update((list(tops), list(tops.values())))
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        increase = sum(out)
-        if increase > 0 or not known:
-            yield pd.DataFrame({"day": [key[0]], "order_id": pd.Series([key[1]], dtype=object), "increase": [float(increase)]})
+        out = [(order, tops[order] - (top or 0.0)) for order, top in before.items() if top is None or tops[order] > top]
+        if out:
+            yield pd.DataFrame({"day": [key[0]] * len(out), "order_id": pd.Series([o for o, _ in out], dtype=object), "increase": [x for _, x in out]})
 
     rows = _day(fills, late).where("order_id IS NOT NULL AND ts IS NOT NULL AND notional IS NOT NULL")
-    kept = rows.select(F.to_date("local").alias("day"), F.col("order_id").cast("string").alias("order_id"), F.col("notional").cast("double").alias("notional"), F.unix_millis(F.date_trunc("day", "local") + F.expr("INTERVAL 1 DAY")).alias("day_end"), "local")
-    out = kept.groupBy("day", "order_id").applyInPandasWithState(run, "day date, order_id string, increase double", "top double", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = rows.select(F.to_date("local").alias("day"), F.pmod(F.xxhash64("order_id"), F.lit(buckets)).alias("bucket"), F.col("order_id").cast("string").alias("order_id"), F.col("notional").cast("double").alias("notional"), F.unix_millis(F.date_trunc("day", "local") + F.expr("INTERVAL 1 DAY")).alias("day_end"), "local")
+    out = kept.groupBy("day", "bucket").applyInPandasWithState(run, "day date, order_id string, increase double", "orders array<string>, tops array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("day", F.col("order_id").cast(fills.schema["order_id"].dataType).alias("order_id"), "increase")

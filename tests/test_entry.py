@@ -116,3 +116,20 @@ def test_order_increases_of_late_and_repeated_fills(spark):
     # A day that the watermark has passed takes no more rows.
     gone = run_stream(spark, [[(at(3, 20), 7, 4.0)], [(at(9, 20), 7, 1.0)], [(at(9, 21), 7, 2.0)], [(at(3, 21), 7, 100.0)]], schema, lambda s: rules.order_increases(s), "append")
     assert sorted((str(r["day"]), r["increase"]) for r in gone) == [("2024-01-03", 4.0), ("2024-01-09", 1.0), ("2024-01-09", 1.0)]
+
+
+def test_states_of_order_increases_do_not_grow_with_orders(spark):
+    from tessera.operators import execution as ex
+    from tessera.streaming import rules
+
+    base, schema = tempfile.mkdtemp(prefix="spark-"), "ts timestamp, order_id long, notional double"
+    at = lambda hour: datetime.datetime(2024, 1, 3, hour, tzinfo=datetime.UTC)
+    rows = [[(at(20), i, float(i % 7)) for i in range(2000)], [(at(21), i, float(i % 11)) for i in range(1000, 3000)]]
+    for some in rows:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    out, got = rules.order_increases(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), late="3 days"), []
+    stream = out.writeStream.outputMode("append").foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress) <= 256
+    (want,) = ex.daily_totals(spark.createDataFrame(rows[0] + rows[1], schema)).collect()
+    assert (len({r["order_id"] for r in got}), sum(r["increase"] for r in got)) == (want["orders"], want["value"])
