@@ -21,18 +21,32 @@ from tessera.llm.queries import tokenizer_path
 MIX = {"good": 0.97, "poor": 0.03}
 
 
+#: Rows and bytes of the batches of whole texts that travel to Python and back; each task holds several of them on both sides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches for the stages, which run on the same executors one after another; smaller ones stay."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def _boxed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("__row"), "doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model is trained on all labelled documents that are there."""
+    _small_batches(spark)
     model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(_boxed(docs), model).where("toxicity < 0.5").select("__row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.75 or more, the one with the least id stays."""
+    _small_batches(spark)
     return ngram_join.keep_one_of_each(docs, k=5, percent=75)
 
 

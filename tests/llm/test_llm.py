@@ -617,3 +617,19 @@ def test_pipeline_stages_do_what_they_say(spark):
     assert {i for i in apart if len(texts[i].split()) >= 5} == {i for i in texts if least[i] == i and len(texts[i].split()) >= 5}
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_personal_data(spark, docs, sf).collect()}
     assert all((clean[i] != texts[i]) or not base_spans(texts[i]) for i in texts) and not any(re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]", t or "") for t in clean.values())
+
+
+def test_pipeline_stages_travel_in_small_batches(spark):
+    import corpus_pipeline
+
+    before = {key: spark.conf.get(key) for key in corpus_pipeline.BATCH}
+    try:
+        docs = spark.createDataFrame([(1, "some words of a text", "en", "a", 20)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 1
+        assert {key: int(spark.conf.get(key)) for key in corpus_pipeline.BATCH} == corpus_pipeline.BATCH
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        corpus_pipeline._small_batches(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
