@@ -99,7 +99,8 @@ def cross_sectional_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = src.deal_bars(spark, sf_dir).select("date").distinct()
+    # A row for each session; stored, since all that is built on it would read the deals again.
+    sessions = src.stored(src.deal_bars(spark, sf_dir).select("date").distinct(), "sessions")
     some = sessions.withColumn("k", F.row_number().over(Window.orderBy("date")) - 1).where("k % 40 = 39").select("date")
     return fe.purged_splits(sessions, some, 104, 13, 4)
 

@@ -60,6 +60,13 @@ def test_halves_in_book_risk_do_not_go_by_the_order_of_rows(spark, monkeypatch,
     assert [r["top_sector"] for r in wq.book_risk(spark, SF).collect()] == [0.3704]
 
 
+def test_folds_read_the_deals_once(spark):
+    from tessera.plans import analysis_queries as aq
+
+    # What is left after the sessions were stored reads no deals at all.
+    assert not any("lineitem" in f for f in aq.purged_folds(spark, SF).inputFiles())
+
+
 def run_stream(spark, rows, schema, build, mode):
     """What build() makes of rows that come in one file after another."""
     base = tempfile.mkdtemp(prefix="spark-")
